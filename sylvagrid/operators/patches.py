@@ -14,10 +14,12 @@ from ..constants import (BLOCK_M, CELL_M, LABEL_CAP, N_STRATA, PATCH_HALF, S2_NO
                          VAL_FRAC, VALID_YEARS)
 from ..functions import geo
 from ..functions.text import landcover_name
-from .quantiles import distributed_quantiles
+from ..session import materialize
+from .quantiles import NATIVE_GROUP_ROWS, table_quantiles
 from .ranking import hashed_rank
 from .raster import halo_tiles
 from .shots import label_cap, thin_per_cell, year_filter
+from .sizing import is_small
 
 
 def extraction_table(shots: DataFrame, years=VALID_YEARS, cap: float = LABEL_CAP,
@@ -42,13 +44,14 @@ def block_means(df: DataFrame, label: str = "agbd") -> DataFrame:
         "block_id", (F.col("_s") / F.col("n_shots")).alias("block_mean"), "n_shots")
 
 
-def block_strata(means: DataFrame, n_strata: int = N_STRATA) -> DataFrame:
+def block_strata(means: DataFrame, n_strata: int = N_STRATA, small: bool | None = None) -> DataFrame:
     """Quantile stratum (0-based) of each block: right-closed bins, the ends clipped."""
-    probs = [k / n_strata for k in range(1, n_strata)]
-    edges = distributed_quantiles(means, "block_mean", probs).agg(
-        F.array_sort(F.collect_list("q")).alias("edges"))  # n_strata - 1 values
-    above = F.size(F.filter("edges", lambda e: e < F.col("block_mean")))
-    return means.crossJoin(F.broadcast(edges)).withColumn("stratum", above).drop("edges")
+    edges = table_quantiles(means, "block_mean", {f"_e{k}": k / n_strata for k in range(1, n_strata)}, small)
+    above = F.lit(0)
+    for k in range(1, n_strata):
+        above = above + F.when(F.col("block_mean") > F.col(f"_e{k}"), 1).otherwise(0)
+    return means.crossJoin(F.broadcast(edges)).withColumn("stratum", above).select(  # edges: one row
+        *means.columns, "stratum")
 
 
 def block_split(strata: DataFrame, train: float = TRAIN_FRAC, val: float = VAL_FRAC,
@@ -77,7 +80,13 @@ def stratified_block_split(df: DataFrame, label: str = "agbd", size: float = BLO
     skew handling of the sort-merge join.
     """
     b = with_blocks(df, size)
-    assigned = block_split(block_strata(block_means(b, label), n_strata), train, val, seed)
+    means = block_means(b, label)
+    small = is_small(df)
+    if not small:
+        # The block table is read several times below; cut it from the shot scan once.
+        means = materialize(means)
+        small = means.count() <= NATIVE_GROUP_ROWS
+    assigned = block_split(block_strata(means, n_strata, small), train, val, seed)
     return b.join(assigned.select("block_id", "split"), "block_id")
 
 

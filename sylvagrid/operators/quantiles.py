@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizing import is_small
+
 _LOG_STEPS = 512        # buckets per unit of log1p: value buckets about 0.2 % wide
 _LINEAR_STEPS = 16384   # sub-buckets per value bucket
 NATIVE_GROUP_ROWS = 1_000_000
@@ -41,19 +43,23 @@ def _ranks(n: Column, probs: Sequence[float]) -> Column:
     return F.array(*items)
 
 
-def _locate(counts: DataFrame, keys: list[str], order: str, wanted: Column) -> DataFrame:
-    """Rows of a count table that hold a wanted rank; ``r`` becomes relative to the row."""
+def _locate(counts: DataFrame, keys: list[str], order: str, probs: Sequence[float]) -> DataFrame:
+    """Rows of a count table that hold a wanted rank (``_w``), and the rank of their first row."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     upto = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    hit = F.filter(wanted, lambda x: (x["r"] >= F.col("_lo")) & (x["r"] < F.col("_hi")))
-    return (c.withColumn("_w", F.transform(hit, lambda x: x.withField("r", x["r"] - F.col("_lo"))))
-            .where(F.size("_w") > 0))
+    c = (counts.withColumn("_hi", F.col("_first") + F.sum("_n").over(upto))
+         .withColumn("_lo", F.col("_hi") - F.col("_n")))
+    hit = F.filter(_ranks(F.col("_total"), probs), lambda x: (x["r"] >= F.col("_lo")) & (x["r"] < F.col("_hi")))
+    return (c.withColumn("_w", hit).where(F.size("_w") > 0)
+            .drop("_first").withColumnRenamed("_lo", "_first").drop("_n", "_hi"))
 
 
 def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                           keys: Sequence[str] = ()) -> DataFrame:
-    """Columns keys..., p, q: one row per group and probability. NULL values are skipped."""
+    """Columns keys..., p, q: one row per group and probability. NULL values are skipped.
+
+    Three scans and three map-side combined counts; nothing is kept per input row.
+    """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull()).withColumn("_b1", _log_bucket(F.col("_v")))
@@ -61,23 +67,23 @@ def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     l1 = base.groupBy(*keys, "_b1").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    l1 = l1.withColumn("_total", F.sum("_n").over(w))
-    t1 = _locate(l1, keys, "_b1", _ranks(F.col("_total"), probs)).select(
-        *keys, "_b1", "_min", "_max", "_w")
-
-    k1 = [*keys, "_b1"]
-    span = F.col("_max") - F.col("_min")
-    b2 = F.when(span > 0, F.floor((F.col("_v") - F.col("_min")) / span * _LINEAR_STEPS)).otherwise(0).cast("long")
-    # At most two wanted ranks per probability and group: the small side of each join.
-    in1 = base.join(_small(t1.drop("_w"), keys), k1).withColumn("_b2", b2)
-    l2 = in1.groupBy(*k1, "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    t2 = _locate(l2.join(_small(t1.drop("_min", "_max"), keys), k1), k1, "_b2", F.col("_w")).select(
-        *k1, "_b2", "_w")
-
-    k2 = [*k1, "_b2"]
-    in2 = in1.join(_small(t2.drop("_w"), keys), k2)
-    l3 = in2.groupBy(*k2, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    t3 = _locate(l3.join(_small(t2, keys), k2), k2, "_v", F.col("_w"))
+    l1 = l1.withColumn("_total", F.sum("_n").over(w)).withColumn("_first", F.lit(0).cast("long"))
+    t1 = _locate(l1, keys, "_b1", probs).drop("_w")
+
+    def sub_bucket() -> Column:
+        span = F.col("_max") - F.col("_min")
+        return F.when(span > 0, F.floor((F.col("_v") - F.col("_min")) / span * _LINEAR_STEPS)).otherwise(
+            0).cast("long")
+
+    # The located buckets: at most two wanted ranks per probability and group.
+    carried = [*keys, "_b1", "_min", "_max", "_total", "_first"]
+    l2 = base.join(_small(t1, keys), [*keys, "_b1"]).withColumn("_b2", sub_bucket()).groupBy(
+        *carried, "_b2").agg(F.count(F.lit(1)).alias("_n"))
+    t2 = _locate(l2, [*keys, "_b1"], "_b2", probs).drop("_w")
+
+    l3 = base.join(_small(t2, keys), [*keys, "_b1"]).where(F.col("_b2") == sub_bucket()).groupBy(
+        *carried, "_b2", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    t3 = _locate(l3, [*keys, "_b1", "_b2"], "_v", probs)
 
     found = t3.select(*keys, "_v", F.explode("_w").alias("_x"))
     low = F.max(F.when(~F.col("_x.upper"), F.col("_v")))
@@ -87,13 +93,32 @@ def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def _small(t: DataFrame, keys: list[str]) -> DataFrame:
-    # Without keys the table has at most 2 * len(probs) rows; with keys the optimizer
-    # decides by measured size.
+    # Without keys the table has at most 2 * len(probs) rows; with keys its measured size
+    # decides how it is joined.
     return t if keys else F.broadcast(t)
 
 
-def table_quantiles(df: DataFrame, value: str, named: dict[str, float]) -> DataFrame:
-    """One row: the named quantiles of a whole column."""
+def _native(df: DataFrame, keys: list[str], named: dict[str, tuple[str, float]]) -> DataFrame:
+    """Built-in exact percentiles, one buffer per value column for all its probabilities."""
+    probs: dict[str, list[float]] = {}
+    for v, p in named.values():
+        probs.setdefault(v, []).append(float(p))
+    buffers = df.groupBy(*keys).agg(*[
+        F.percentile(F.col(v).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(f"_q_{v}")
+        for v, ps in probs.items()])
+    return buffers.select(*keys, *[
+        F.col(f"_q_{v}")[probs[v].index(float(p))].alias(n) for n, (v, p) in named.items()])
+
+
+def table_quantiles(df: DataFrame, value: str, named: dict[str, float],
+                    small: bool | None = None) -> DataFrame:
+    """One row: the named quantiles of a whole column.
+
+    A column of a small input (by the optimizer's estimate, or as the caller knows) is put
+    into one buffer; any other goes the distributed way. Both give the same values.
+    """
+    if is_small(df) if small is None else small:
+        return _native(df, [], {n: (value, p) for n, p in named.items()})
     q = distributed_quantiles(df, value, sorted(set(named.values())))
     return q.agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in named.items()])
 
@@ -109,13 +134,12 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[s
     """
     keys = list(keys)
     values = sorted({v for v, _ in named.values()})
+    if native_rows > 0 and is_small(df):
+        # No group can be large, so the counting pass is left out.
+        return _native(df, keys, named)
     large = F.broadcast(df.groupBy(*keys).count().where(F.col("count") > native_rows).select(*keys))
 
-    def agg(v: str, p: float) -> Column:
-        return F.percentile(F.col(v), F.lit(p))
-
-    small_groups = df.join(large, keys, "left_anti").groupBy(*keys).agg(
-        *[agg(v, p).alias(n) for n, (v, p) in named.items()])
+    small_groups = _native(df.join(large, keys, "left_anti"), keys, named)
 
     longer = df.join(large, keys, "left_semi").select(
         *keys, F.explode(F.array(*[
