@@ -61,10 +61,14 @@ def merge_sums(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def metrics_from_sums(df: DataFrame) -> DataFrame:
-    """Measures from the nine sums (population variance from moments)."""
+    """Measures from the nine sums (population variance from moments).
+
+    A variance below the rounding error of the moments is the variance of a constant.
+    """
     n = F.col("n")
     mean = F.try_divide(F.col("sum_y"), n)
-    total = (F.try_divide(F.col("sum_yy"), n) - mean * mean) * n
+    spread = (F.try_divide(F.col("sum_yy"), n) - mean * mean) * n
+    total = F.when(spread > F.lit(1e-12) * F.col("sum_yy"), spread)
     rmse = F.sqrt(F.try_divide(F.col("sum_sq"), n))
     keys = [c for c in df.columns if c not in SUMS]
     return df.select(
@@ -105,19 +109,29 @@ def _values(df: DataFrame, name: str, items: Sequence[str]) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(i) for i in items])).alias(name))
 
 
-def dense_spread(per_seed: DataFrame, stratum: str, strata: Sequence[str],
+def dense_spread(sums: DataFrame, strata: Sequence[tuple[str, str | None, Sequence[str]]],
                  variants: Sequence[str] = VARIANT_ORDER) -> DataFrame:
     """Every variant x stratum, also empty ones; each seed of a variant counts in all strata.
 
-    ``per_seed`` holds one row per (variant, seed, stratum), so both sides are tiny.
+    ``sums`` holds the nine sums per (variant, seed, strata columns), some hundreds of
+    rows, and ``strata`` lists (report, column or None for all rows, labels). Each row is
+    offered to every label and adds its sums where it matches and nothing elsewhere, so the
+    result is dense without joining the table to itself.
     """
-    seeds = per_seed.select("variant", "seed").distinct()
-    dims = F.broadcast(_values(per_seed, "variant", variants)).crossJoin(
-        F.broadcast(_values(per_seed, stratum, strata)))
-    full = (dims.join(seeds, "variant", "left")
-            .join(per_seed, ["variant", "seed", stratum], "left")
-            .withColumn("n", F.coalesce("n", F.lit(0))))
-    return seed_spread(full, ["variant", stratum])
+    labels = [(rep, col, lab) for rep, col, labs in strata for lab in labs]
+    offers = F.array(*[F.struct(
+        F.lit(rep).alias("report"), F.lit(lab).alias("stratum"),
+        (F.coalesce(F.col(col) == lab, F.lit(False)) if col else F.lit(True)).alias("hit"))
+        for rep, col, lab in labels])
+    offered = sums.select("variant", "seed", *SUMS, F.explode(offers).alias("x"))
+    per_seed = metrics_from_sums(offered.groupBy("variant", "seed", "x.report", "x.stratum").agg(
+        *[F.coalesce(F.sum(F.when(F.col("x.hit"), F.col(s))), F.lit(0)).alias(s) for s in SUMS]))
+    spread = seed_spread(per_seed, ["variant", "report", "stratum"])
+    dims = sums.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.lit(rep).alias("report"), F.lit(lab).alias("stratum"))
+        for v in variants for rep, _, lab in labels])).alias("d")).select("d.*")
+    return (dims.join(spread, ["variant", "report", "stratum"], "left")
+            .withColumns({"n_seeds": F.coalesce("n_seeds", F.lit(0)), "n_patches": F.coalesce("n_patches", F.lit(0))}))
 
 
 def overall(preds: DataFrame) -> DataFrame:
@@ -126,8 +140,9 @@ def overall(preds: DataFrame) -> DataFrame:
 
 def by_label_bin(preds: DataFrame, edges: Sequence[int] = LABEL_BINS) -> DataFrame:
     binned = preds.withColumn("agbd_bin", label_bin("true_agbd", edges))
-    per_seed = regression_metrics(binned, ["variant", "seed", "agbd_bin"])
-    return dense_spread(per_seed, "agbd_bin", bin_labels(edges))
+    sums = running_sums(binned, ["variant", "seed", "agbd_bin"])
+    return dense_spread(sums, [("agbd_bin", "agbd_bin", bin_labels(edges))]).drop("report").withColumnRenamed(
+        "stratum", "agbd_bin")
 
 
 def with_landcover(preds: DataFrame, landcover: DataFrame) -> DataFrame:
@@ -141,26 +156,21 @@ def with_landcover(preds: DataFrame, landcover: DataFrame) -> DataFrame:
 
 
 def by_landcover(preds: DataFrame, landcover: DataFrame) -> DataFrame:
-    per_seed = regression_metrics(with_landcover(preds, landcover), ["variant", "seed", "landcover"])
-    return dense_spread(per_seed, "landcover", LANDCOVER_STRATA)
+    sums = running_sums(with_landcover(preds, landcover), ["variant", "seed", "landcover"])
+    return dense_spread(sums, [("landcover", "landcover", LANDCOVER_STRATA)]).drop("report").withColumnRenamed(
+        "stratum", "landcover")
 
 
 def metric_report(preds: DataFrame, landcover: DataFrame, edges: Sequence[int] = LABEL_BINS) -> DataFrame:
-    """Overall, per bin and per class in one scan and one join: (table, variant, stratum, ...).
+    """Overall, per bin and per class in one scan and one join: (report, variant, stratum, ...).
 
-    First one set of sums per (variant, seed, bin, class), some hundreds of rows; the
-    three tables are then three groupings of those.
+    The only pass over the predictions yields one set of sums per (variant, seed, bin,
+    class); the three tables are groupings of those few rows.
     """
     tagged = with_landcover(preds, landcover).withColumn("agbd_bin", label_bin("true_agbd", edges))
     sums = running_sums(tagged, ["variant", "seed", "agbd_bin", "landcover"])
-    out = None
-    for name, key, strata in (("overall", None, ("all",)), ("agbd_bin", "agbd_bin", bin_labels(edges)),
-                              ("landcover", "landcover", LANDCOVER_STRATA)):
-        part = sums.withColumn("stratum", F.col(key) if key else F.lit("all"))
-        per_seed = metrics_from_sums(merge_sums(part, ["variant", "seed", "stratum"]))
-        table = dense_spread(per_seed, "stratum", strata).withColumn("report", F.lit(name))
-        out = table if out is None else out.unionByName(table)
-    return out
+    return dense_spread(sums, [("overall", None, ("all",)), ("agbd_bin", "agbd_bin", bin_labels(edges)),
+                               ("landcover", "landcover", LANDCOVER_STRATA)])
 
 
 def mean_huber(df: DataFrame, keys: Sequence[str] = (), delta: float = HUBER_DELTA,
