@@ -7,23 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ARTIFACT_MIN, MAP_MAX, MAP_STRIDE, MIN_STD, PATCH_HALF
+from ..constants import ARTIFACT_MIN, LANDCOVER_NAMES, MAP_MAX, MAP_STRIDE, MIN_STD, PATCH_HALF
 from ..functions.cleaning import clip, valid_mask, zscore
 from ..functions.text import lookup
-from ..constants import LANDCOVER_NAMES
 from .metrics import agreement_by_bin
 from .quantiles import table_quantiles
-from .raster import focal_sums
+from .raster import focal_sums, with_extent
 
 
-def is_stride_center(height: int, width: int, half: int = PATCH_HALF, stride: int = MAP_STRIDE) -> Column:
+def is_stride_center(height: int | Column, width: int | Column, half: int = PATCH_HALF, stride: int = MAP_STRIDE) -> Column:
     r, c = F.col("row_"), F.col("col_")
     return ((r >= half) & (r < height - half) & ((r - half) % stride == 0)
             & (c >= half) & (c < width - half) & ((c - half) % stride == 0))
 
 
 def stride_map(pixels: DataFrame, bands: Sequence[str], norm: DataFrame, weights: Mapping[str, float],
-               intercept: float, height: int, width: int, half: int = PATCH_HALF,
+               intercept: float, height: int | None = None, width: int | None = None, half: int = PATCH_HALF,
                stride: int = MAP_STRIDE) -> DataFrame:
     """Map of a linear score of window means in normalised space.
 
@@ -36,13 +35,17 @@ def stride_map(pixels: DataFrame, bands: Sequence[str], norm: DataFrame, weights
     wide = norm.agg(*[x for b in bands for x in (
         F.max(F.when(F.col("channel") == b, F.col("mean"))).alias(f"{b}__m"),
         F.max(F.when(F.col("channel") == b, F.col("std"))).alias(f"{b}__d"))])
-    z = pixels.crossJoin(F.broadcast(wide)).select(  # wide: one row
-        "row_", "col_", *[zscore(b, F.col(f"{b}__m"), F.col(f"{b}__d"), MIN_STD).alias(b) for b in bands])
+    if height is None or width is None:
+        px = with_extent(pixels)
+    else:
+        px = pixels.withColumns({"_last_row": F.lit(height - 1), "_last_col": F.lit(width - 1)})
+    z = px.crossJoin(F.broadcast(wide)).select(  # wide: one row
+        "row_", "col_", "_last_row", "_last_col", *[zscore(b, F.col(f"{b}__m"), F.col(f"{b}__d"), MIN_STD).alias(b) for b in bands])
     ok = F.lit(True)
     for b in bands:
         ok = ok & F.col(b).isNotNull()
     f = focal_sums(z.withColumn("center_ok", ok), list(bands), half).where(
-        is_stride_center(height, width, half, stride))
+        is_stride_center(F.col("_last_row") + 1, F.col("_last_col") + 1, half, stride))
     score = F.lit(float(intercept))
     for b in bands:
         score = score + F.lit(float(weights[b])) * F.coalesce(F.col(f"{b}__s"), F.lit(0.0)) / area

@@ -130,7 +130,9 @@ def dense_spread(sums: DataFrame, strata: Sequence[tuple[str, str | None, Sequen
     dims = sums.sparkSession.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(v).alias("variant"), F.lit(rep).alias("report"), F.lit(lab).alias("stratum"))
         for v in variants for rep, _, lab in labels])).alias("d")).select("d.*")
-    return (dims.join(spread, ["variant", "report", "stratum"], "left")
+    # A variant without any seed: no means, no spread.
+    fill = {f"{m}_std": F.when(F.col("n_seeds").isNull(), F.lit(0.0)).otherwise(F.col(f"{m}_std")) for m in MEASURES}
+    return (dims.join(spread, ["variant", "report", "stratum"], "left").withColumns(fill)
             .withColumns({"n_seeds": F.coalesce("n_seeds", F.lit(0)), "n_patches": F.coalesce("n_patches", F.lit(0))}))
 
 

@@ -90,7 +90,12 @@ def regrid_nearest(targets: DataFrame, source: DataFrame, value: str,
         *[F.col(f"t_{k}").alias(k) for k in keys], value)
 
 
-def _gradient(along: str, across: str, value: str, last: int, step: float) -> Column:
+def with_extent(df: DataFrame) -> DataFrame:
+    """Adds the last row and column of the grid (one aggregated row, joined to every pixel)."""
+    return df.crossJoin(F.broadcast(df.agg(F.max("row_").alias("_last_row"), F.max("col_").alias("_last_col"))))
+
+
+def _gradient(along: str, across: str, value: str, last: Column, step: float) -> Column:
     """Central difference with one-sided ends; NULL next to a missing pixel."""
     w = Window.partitionBy(across).orderBy(along)
     at = F.col(along)
@@ -101,14 +106,19 @@ def _gradient(along: str, across: str, value: str, last: int, step: float) -> Co
             .otherwise((nxt - prev) / (2 * step)))
 
 
-def slope(df: DataFrame, height: int, width: int, value: str = "elevation_m", step: float = 10.0,
-          out: str = "slope_deg") -> DataFrame:
+def slope(df: DataFrame, height: int | None = None, width: int | None = None, value: str = "elevation_m",
+          step: float = 10.0, out: str = "slope_deg") -> DataFrame:
     """Slope in degrees. One raster row, then one raster column, is the window partition,
     so the largest group is the grid width or height."""
-    g = df.withColumn("_dx", _gradient("col_", "row_", value, width - 1, step))
-    g = g.withColumn("_dy", _gradient("row_", "col_", value, height - 1, step))
+    if height is None or width is None:
+        g = with_extent(df)
+    else:
+        g = df.withColumns({"_last_row": F.lit(height - 1), "_last_col": F.lit(width - 1)})
+    g = g.withColumn("_dx", _gradient("col_", "row_", value, F.col("_last_col"), step))
+    g = g.withColumn("_dy", _gradient("row_", "col_", value, F.col("_last_row"), step))
     deg = F.degrees(F.atan(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))))
-    return g.withColumn(out, F.when(F.col(value).isNotNull(), deg)).drop("_dx", "_dy")
+    return g.withColumn(out, F.when(F.col(value).isNotNull(), deg)).drop(
+        "_dx", "_dy", "_last_row", "_last_col")
 
 
 def focal_sums(df: DataFrame, values: Sequence[str], half: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -1 +1,352 @@
-"""Registered queries."""
+"""Queries over observations and pixel tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import MIN_STD
+from ..functions import geo, sensors, times
+from ..functions.cleaning import nodata_to_null, positive, valid_mask, zscore_filled
+from ..operators import maps, patches, quantiles, raster
+from ..session import scratch_path
+from ..sources import readers, writers
+from .registry import query, r, rounded
+
+HALF = 2
+CLEAR = "scl IN (4, 5, 6, 7)"
+
+
+@query("flt8_clear_sky_mask", f"""SELECT year, month, row_, col_, cloud, lia, CASE WHEN {CLEAR} THEN b04 END AS b04,
+  CASE WHEN {CLEAR} THEN b08 END AS b08 FROM fx_sar_obs""")
+def flt8(t):
+    return raster.clear_sky(t.fx_sar_obs, ["b04", "b08"]).select(
+        "year", "month", "row_", "col_", "cloud", "lia", "b04", "b08")
+
+
+@query("flt9_cloud_filter", "SELECT cloud, COUNT(*) AS n FROM fx_sar_obs WHERE cloud <= 70 GROUP BY 1")
+def flt9(t):
+    return raster.low_cloud(t.fx_sar_obs).groupBy("cloud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flt10_positive_power", """SELECT year, month, COUNT(*) AS n, COUNT(CASE WHEN vv > 0 THEN vv END) AS n_vv,
+  COUNT(CASE WHEN vh > 0 THEN vh END) AS n_vh, COUNT(lia) AS n_lia FROM fx_sar_obs GROUP BY 1, 2""")
+def flt10(t):
+    return t.fx_sar_obs.groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.count(positive("vv")).alias("n_vv"), F.count(positive("vh")).alias("n_vh"),
+        F.count("lia").alias("n_lia"))
+
+
+@query("flt13_valid_mask", """SELECT row_, col_, band1 IS NOT NULL AS present, COALESCE(band1 > 0 AND band1 < 40, FALSE)
+  AS valid FROM (SELECT row_, col_, CASE WHEN band2 = 7 THEN NULL ELSE band1 - 5 END AS band1 FROM fx_grid) q""")
+def flt13(t):
+    v = F.when(F.col("band2") == 7, F.lit(-9999.0)).otherwise(F.col("band1") - 5)
+    g = t.fx_grid.withColumn("v", v)
+    return g.select("row_", "col_", valid_mask("v", -9999.0).alias("present"),
+                    valid_mask("v", -9999.0, True, 40.0).alias("valid"))
+
+
+@query("flt14_crop_to_valid", """WITH v AS (SELECT row_, col_, CASE WHEN row_ >= 1 AND col_ BETWEEN 10 AND 30 THEN band1 END AS v
+  FROM fx_grid), b AS (SELECT GREATEST(MIN(row_) FILTER (v IS NOT NULL) - 2, 0) AS r0,
+  LEAST(MAX(row_) FILTER (v IS NOT NULL) + 2, MAX(row_)) AS r1, GREATEST(MIN(col_) FILTER (v IS NOT NULL) - 2, 0) AS c0,
+  LEAST(MAX(col_) FILTER (v IS NOT NULL) + 2, MAX(col_)) AS c1 FROM v)
+SELECT row_, col_, v FROM v, b WHERE row_ BETWEEN r0 AND r1 AND col_ BETWEEN c0 AND c1""")
+def flt14(t):
+    v = F.when((F.col("row_") >= 1) & F.col("col_").between(10, 30), F.col("band1"))
+    return maps.crop_to_valid(t.fx_grid.select("row_", "col_", v.alias("v")), "v")
+
+
+@query("flt15_band_selection", "SELECT year, row_, col_, b04, b08 FROM fx_sar_obs WHERE year = 1998")
+def flt15(t):
+    return t.fx_sar_obs.where("year = 1998").drop("scl").select("year", "row_", "col_", "b04", "b08")
+
+
+@query("src9_raster_by_year", """SELECT g.row_, g.col_, g.band1 + 1 AS band1, g.band2, g.elevation_m FROM fx_grid g""")
+def src9(t):
+    return readers.raster_year(yearly(t), static(t), 1997, ["band1", "band2"])
+
+
+def yearly(t):
+    """Yearly bands: the grid in two years."""
+    years = F.explode(F.array(F.lit(1996), F.lit(1997))).alias("year")
+    g = t.fx_grid.select("row_", "col_", "band1", "band2", years)
+    return g.withColumn("band1", F.col("band1") + (F.col("year") - 1996))
+
+
+def static(t):
+    return t.fx_grid.select("row_", "col_", "elevation_m")
+
+
+@query("src10_window_read", """SELECT p.shot_number, dr.dr AS dr, dc.dc AS dc, g.band2 AS value
+FROM fx_points p CROSS JOIN (VALUES (-1), (0), (1)) dr(dr) CROSS JOIN (VALUES (-1), (0), (1)) dc(dc)
+LEFT JOIN fx_grid g ON g.row_ = p.crow + dr.dr AND g.col_ = p.ccol + dc.dc""")
+def src10(t):
+    w = patches.read_windows(t.fx_points.select("shot_number", "crow", "ccol"), t.fx_grid, ["band2"], 1)
+    return w.select("shot_number", "dr", "dc", F.col("band2").alias("value"))
+
+
+@query("src11_halo_row_block", """WITH st AS (SELECT AVG(band1) AS m, STDDEV_POP(band1) AS s FROM fx_grid),
+z AS (SELECT row_, col_, band1 IS NOT NULL AS ok, COALESCE((band1 - m) / s, 0e0) AS z FROM fx_grid, st),
+h AS (SELECT *, UNNEST(generate_series(CAST(FLOOR((row_ - 2) / 16e0) AS BIGINT), CAST(FLOOR((row_ + 2) / 16e0) AS BIGINT)))
+  AS tile_row FROM z),
+h2 AS (SELECT *, UNNEST(generate_series(CAST(FLOOR((col_ - 2) / 16e0) AS BIGINT), CAST(FLOOR((col_ + 2) / 16e0) AS BIGINT)))
+  AS tile_col FROM h)
+SELECT tile_row, tile_col, COUNT(*) AS n, COUNT(*) FILTER (ok) AS n_finite, ROUND(SUM(z), 6) AS z_sum FROM h2 GROUP BY 1, 2""")
+def src11(t):
+    g = t.fx_grid
+    st = g.agg(F.avg("band1").alias("m"), F.stddev_pop("band1").alias("s"))  # one row
+    z = g.crossJoin(F.broadcast(st)).select(
+        "row_", "col_", F.col("band1").isNotNull().alias("ok"),
+        zscore_filled("band1", F.col("m"), F.col("s"), MIN_STD).alias("z"))
+    return raster.halo_tiles(z, 16, HALF).groupBy("tile_row", "tile_col").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_finite"), F.round(F.sum("z"), 6).alias("z_sum"))
+
+
+@query("src12_strided_overview", "SELECT row_, col_, band1 FROM fx_grid WHERE row_ % 10 = 0 AND col_ % 10 = 0")
+def src12(t):
+    return raster.stride_pixels(t.fx_grid, 10).select("row_", "col_", "band1")
+
+
+@query("src12_averaged_overview", """SELECT CAST(FLOOR(row_ / 3e0) AS BIGINT) AS row_, CAST(FLOOR(col_ / 3e0) AS BIGINT) AS col_,
+  ROUND(AVG(band1), 6) AS band1 FROM fx_grid GROUP BY 1, 2""")
+def src12b(t):
+    return rounded(raster.averaged_overview(t.fx_grid, ["band1"], 3), ["band1"])
+
+
+@query("agg13_temporal_median", """SELECT year, row_, col_, ROUND(quantile_cont(lia, 0.5), 6) AS lia FROM fx_sar_obs
+GROUP BY 1, 2, 3""")
+def agg13(t):
+    return rounded(quantiles.group_medians(t.fx_sar_obs, ["year", "row_", "col_"], ["lia"]), ["lia"])
+
+
+@query("agg13_median_of_large_groups", """SELECT year, ROUND(quantile_cont(vv, 0.5), 9) AS vv, ROUND(quantile_cont(lia, 0.9), 6) AS lia
+FROM fx_sar_obs GROUP BY 1""")
+def agg13b(t):
+    # A zero limit sends every group down the distributed way.
+    q = quantiles.group_quantiles(t.fx_sar_obs, ["year"], {"vv": ("vv", 0.5), "lia": ("lia", 0.9)}, native_rows=0)
+    return q.select("year", r("vv", 9).alias("vv"), r("lia"))
+
+
+BAND_STATS = """SELECT '{b}' AS band, ROUND(MIN({b}), 6) AS min, ROUND(MAX({b}), 6) AS max, ROUND(AVG({b}), 6) AS mean,
+  ROUND(STDDEV_POP({b}), 6) AS std, COUNT({b}) AS n_valid, ROUND(COUNT({b}) * 100e0 / COUNT(*), 6) AS valid_pct FROM v"""
+
+
+@query("agg23_band_stats", """WITH v AS (SELECT CASE WHEN vv > 0 THEN 10 * LOG10(vv) END AS vv_db,
+  CASE WHEN vh > 0 THEN 10 * LOG10(vh) END AS vh_db, CASE WHEN vv > 0 AND vh > 0 THEN 10 * LOG10(vv) - 10 * LOG10(vh) END AS ratio
+  FROM fx_sar_obs) """ + " UNION ALL ".join(BAND_STATS.format(b=b) for b in ("vv_db", "vh_db", "ratio")))
+def agg23(t):
+    d = t.fx_sar_obs.select(sensors.to_db("vv").alias("vv_db"), sensors.to_db("vh").alias("vh_db"))
+    d = d.withColumn("ratio", sensors.ratio_db("vv_db", "vh_db"))
+    return rounded(raster.band_stats(d, ["vv_db", "vh_db", "ratio"]), ["min", "max", "mean", "std", "valid_pct"])
+
+
+OPTICAL = f"""SELECT year, row_, col_, ROUND(quantile_cont(CASE WHEN {CLEAR} THEN b04 END, 0.5), 6) AS b04,
+  ROUND(quantile_cont(CASE WHEN {CLEAR} THEN b08 END, 0.5), 6) AS b08 FROM fx_sar_obs
+WHERE cloud <= 70 AND year IN (1996, 1997, 1998) GROUP BY 1, 2, 3"""
+
+
+@query("rst1_optical_composite", OPTICAL)
+def rst1(t):
+    return rounded(raster.optical_composite(t.fx_sar_obs, ["b04", "b08"], (1996, 1997, 1998)), ["b04", "b08"])
+
+
+@query("rst2_index_composite", f"""SELECT row_, col_, ROUND(quantile_cont(CASE WHEN {CLEAR} AND b08 + b04 <> 0
+  THEN (b08 - b04) / (b08 + b04) END, 0.5), 6) AS ndvi FROM fx_sar_obs
+WHERE cloud <= 70 AND year = 1997 AND month = 7 GROUP BY 1, 2""")
+def rst2(t):
+    return rounded(raster.index_composite(t.fx_sar_obs, "b08", "b04", 1997, 7), ["ndvi"])
+
+
+SAR = """SELECT year, row_, col_, 10 * LOG10(quantile_cont(CASE WHEN vv > 0 THEN vv END, 0.5)) AS VV_dB,
+  10 * LOG10(quantile_cont(CASE WHEN vh > 0 THEN vh END, 0.5)) AS VH_dB, DEGREES(quantile_cont(lia, 0.5)) AS LIA_deg
+FROM fx_sar_obs GROUP BY 1, 2, 3"""
+
+
+@query("rst3_sar_composite", f"""SELECT year, row_, col_, ROUND(VV_dB, 6) AS VV_dB, ROUND(VH_dB, 6) AS VH_dB,
+  ROUND(LIA_deg, 6) AS LIA_deg FROM ({SAR}) q""")
+def rst3(t):
+    return rounded(raster.sar_composite(t.fx_sar_obs), ["VV_dB", "VH_dB", "LIA_deg"])
+
+
+SLOPE = """WITH mx AS (SELECT MAX(row_) AS h, MAX(col_) AS w FROM fx_grid),
+v AS (SELECT row_, col_, CASE WHEN row_ * 50 + col_ = 777 THEN NULL ELSE elevation_m END AS z FROM fx_grid),
+n AS (SELECT v.*, l.z AS l, x.z AS x, u.z AS u, d.z AS d, h, w FROM v CROSS JOIN mx
+  LEFT JOIN v l ON l.row_ = v.row_ AND l.col_ = v.col_ - 1 LEFT JOIN v x ON x.row_ = v.row_ AND x.col_ = v.col_ + 1
+  LEFT JOIN v u ON u.row_ = v.row_ - 1 AND u.col_ = v.col_ LEFT JOIN v d ON d.row_ = v.row_ + 1 AND d.col_ = v.col_),
+g AS (SELECT row_, col_, z, CASE WHEN col_ = 0 THEN (x - z) / 10e0 WHEN col_ = w THEN (z - l) / 10e0 ELSE (x - l) / 20e0 END AS dx,
+  CASE WHEN row_ = 0 THEN (d - z) / 10e0 WHEN row_ = h THEN (z - u) / 10e0 ELSE (d - u) / 20e0 END AS dy FROM n)
+SELECT row_, col_, z AS elevation_m, ROUND(CASE WHEN z IS NOT NULL THEN DEGREES(ATAN(SQRT(dx * dx + dy * dy))) END, 6)
+  AS slope_deg FROM g"""
+
+
+def elevation(t):
+    z = F.when(F.col("row_") * 50 + F.col("col_") != 777, F.col("elevation_m"))
+    return t.fx_grid.select("row_", "col_", z.alias("elevation_m"))
+
+
+@query("win6_slope", SLOPE)
+def win6(t):
+    return rounded(raster.slope(elevation(t)), ["slope_deg"])
+
+
+@query("rst4_terrain_layer", """WITH src AS (SELECT row_, col_, CASE WHEN band2 = 0 THEN NULL ELSE band2 END AS z FROM fx_grid),
+mx AS (SELECT MAX(row_) AS h, MAX(col_) AS w FROM fx_grid),
+t AS (SELECT row_, col_, row_ * 0.8e0 AS sy, col_ * 0.8e0 AS sx FROM fx_grid),
+k AS (SELECT t.row_, t.col_, CAST(FLOOR(sy) AS BIGINT) + i AS rr, CAST(FLOOR(sx) AS BIGINT) + j AS cc,
+  (CASE WHEN i = 1 THEN sy - FLOOR(sy) ELSE 1 - (sy - FLOOR(sy)) END) * (CASE WHEN j = 1 THEN sx - FLOOR(sx)
+    ELSE 1 - (sx - FLOOR(sx)) END) AS w FROM t CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j)),
+v AS (SELECT k.row_, k.col_, SUM(CASE WHEN z IS NOT NULL THEN k.w * z END) / NULLIF(SUM(CASE WHEN z IS NOT NULL THEN k.w END), 0) AS z
+  FROM k LEFT JOIN src ON src.row_ = k.rr AND src.col_ = k.cc WHERE k.w > 0 GROUP BY 1, 2),
+n AS (SELECT v.*, l.z AS l, x.z AS x, u.z AS u, d.z AS d, h, w FROM v CROSS JOIN mx
+  LEFT JOIN v l ON l.row_ = v.row_ AND l.col_ = v.col_ - 1 LEFT JOIN v x ON x.row_ = v.row_ AND x.col_ = v.col_ + 1
+  LEFT JOIN v u ON u.row_ = v.row_ - 1 AND u.col_ = v.col_ LEFT JOIN v d ON d.row_ = v.row_ + 1 AND d.col_ = v.col_),
+g AS (SELECT row_, col_, z, CASE WHEN col_ = 0 THEN (x - z) / 10e0 WHEN col_ = w THEN (z - l) / 10e0 ELSE (x - l) / 20e0 END AS dx,
+  CASE WHEN row_ = 0 THEN (d - z) / 10e0 WHEN row_ = h THEN (z - u) / 10e0 ELSE (d - u) / 20e0 END AS dy FROM n)
+SELECT row_, col_, ROUND(z, 6) AS elevation_m, ROUND(CASE WHEN z IS NOT NULL THEN DEGREES(ATAN(SQRT(dx * dx + dy * dy))) END, 5)
+  AS slope_deg FROM g""")
+def rst4(t):
+    g = t.fx_grid
+    source = g.select("row_", "col_", nodata_to_null("band2", 0.0).alias("elevation_m"))
+    targets = g.select("row_", "col_", (F.col("row_") * 0.8).alias("sy"), (F.col("col_") * 0.8).alias("sx"))
+    dem = raster.regrid_bilinear(targets, source, "elevation_m")
+    out = raster.slope(dem)
+    return out.select("row_", "col_", r("elevation_m"), r("slope_deg", 5).alias("slope_deg"))
+
+
+@query("rst5_mosaic", """SELECT row_, col_, CASE WHEN col_ < 30 AND band1 IS NOT NULL THEN band1 WHEN row_ >= 2 AND band2 <> 5
+  THEN band2 WHEN col_ < 30 THEN NULL END AS v FROM fx_grid WHERE col_ < 30 OR row_ >= 2""")
+def rst5(t):
+    g = t.fx_grid
+    first = g.where("col_ < 30").select("row_", "col_", F.col("band1").alias("v"), F.lit(1).alias("tile_order"))
+    second = g.where("row_ >= 2").select("row_", "col_", nodata_to_null("band2", 5.0).alias("v"),
+                                         F.lit(2).alias("tile_order"))
+    return raster.mosaic(first.unionByName(second), ["v"])
+
+
+TARGETS = "SELECT row_, col_, row_ * 0.7e0 + 0.3e0 AS sy, col_ * 0.9e0 - 0.25e0 AS sx FROM fx_grid"
+
+
+def targets(t):
+    return t.fx_grid.select("row_", "col_", (F.col("row_") * F.lit(0.7) + 0.3).alias("sy"),
+                            (F.col("col_") * F.lit(0.9) - 0.25).alias("sx"))
+
+
+BILINEAR = f"""WITH t AS ({TARGETS}), k AS (SELECT t.row_, t.col_, CAST(FLOOR(sy) AS BIGINT) + i AS rr,
+  CAST(FLOOR(sx) AS BIGINT) + j AS cc, (CASE WHEN i = 1 THEN sy - FLOOR(sy) ELSE 1 - (sy - FLOOR(sy)) END)
+  * (CASE WHEN j = 1 THEN sx - FLOOR(sx) ELSE 1 - (sx - FLOOR(sx)) END) AS w
+  FROM t CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j))
+SELECT k.row_, k.col_, ROUND(SUM(CASE WHEN band1 IS NOT NULL THEN w * band1 END)
+  / NULLIF(SUM(CASE WHEN band1 IS NOT NULL THEN w END), 0), 6) AS band1
+FROM k LEFT JOIN fx_grid g ON g.row_ = k.rr AND g.col_ = k.cc WHERE w > 0 GROUP BY 1, 2"""
+
+
+@query("rst6_regrid_bilinear", BILINEAR)
+def rst6(t):
+    return rounded(raster.regrid_bilinear(targets(t), t.fx_grid, "band1"), ["band1"])
+
+
+@query("rst6_identity", "SELECT row_, col_, band1 FROM fx_grid")
+def rst6b(t):
+    same = t.fx_grid.select("row_", "col_", F.col("row_").cast("double").alias("sy"),
+                            F.col("col_").cast("double").alias("sx"))
+    return raster.regrid_bilinear(same, t.fx_grid, "band1")
+
+
+@query("jn14_bilinear_neighbours", BILINEAR.replace("band1", "band2"))
+def jn14(t):
+    return rounded(raster.regrid_bilinear(targets(t), t.fx_grid, "band2"), ["band2"])
+
+
+@query("rst7_regrid_nearest", f"""WITH t AS ({TARGETS}) SELECT t.row_, t.col_, g.lc_class FROM t LEFT JOIN fx_grid g
+  ON g.row_ = CAST(FLOOR(sy + 0.5e0) AS BIGINT) AND g.col_ = CAST(FLOOR(sx + 0.5e0) AS BIGINT)""")
+def rst7(t):
+    return raster.regrid_nearest(targets(t), t.fx_grid, "lc_class")
+
+
+@query("win7_focal_stats", f"""SELECT a.row_, a.col_, ROUND(AVG(b.band1), 6) AS band1_mean, ROUND(STDDEV_POP(b.band1), 5) AS band1_std,
+  COUNT(b.band1) AS band1_n FROM fx_grid a JOIN fx_grid b ON b.row_ BETWEEN a.row_ - {HALF} AND a.row_ + {HALF}
+  AND b.col_ BETWEEN a.col_ - {HALF} AND a.col_ + {HALF} GROUP BY 1, 2""")
+def win7(t):
+    f = raster.focal_stats(t.fx_grid.select("row_", "col_", "band1"), ["band1"], HALF)
+    return f.select("row_", "col_", r("band1_mean"), r("band1_std", 5).alias("band1_std"), "band1_n")
+
+
+@query("jn7_window_join", f"""SELECT p.shot_number, COUNT(g.band1) AS n, ROUND(SUM(g.band1), 6) AS total FROM fx_points p
+JOIN fx_grid g ON g.row_ BETWEEN p.crow - {HALF} AND p.crow + {HALF} AND g.col_ BETWEEN p.ccol - {HALF} AND p.ccol + {HALF}
+GROUP BY 1""")
+def jn7(t):
+    # Points share pixels: each window is read once per distinct center.
+    centers = t.fx_points.select("crow", "ccol").distinct()
+    w = patches.read_windows(centers, t.fx_grid.select("row_", "col_", "band1"), ["band1"], HALF)
+    sums = w.groupBy("crow", "ccol").agg(F.count("band1").alias("n"), F.round(F.sum("band1"), 6).alias("total"))
+    return t.fx_points.join(sums, ["crow", "ccol"]).select("shot_number", "n", "total")
+
+
+@query("jn5_point_to_raster", """SELECT p.shot_number, p.year, g.band1 + (p.year - 1996) AS band1, g.band2 FROM fx_points p
+JOIN fx_grid g ON g.row_ = p.crow AND g.col_ = p.ccol""")
+def jn5(t):
+    p = t.fx_points.select("shot_number", "year", F.col("crow").alias("row_"), F.col("ccol").alias("col_"))
+    return p.join(yearly(t), ["year", "row_", "col_"]).select("shot_number", "year", "band1", "band2")
+
+
+@query("jn6_static_join", "SELECT g.row_, g.col_, y.year, g.band2, g.elevation_m FROM fx_grid g CROSS JOIN (VALUES (1996), (1997)) y(year)")
+def jn6(t):
+    return patches.stack_bands(yearly(t), static(t)).select("row_", "col_", "year", "band2", "elevation_m")
+
+
+@query("mth1_decibel", """SELECT year, month, row_, col_, ROUND(CASE WHEN vv > 0 THEN 10 * LOG10(vv) END, 6) AS vv_db FROM fx_sar_obs""")
+def mth1(t):
+    return t.fx_sar_obs.select("year", "month", "row_", "col_", r(sensors.to_db("vv")).alias("vv_db"))
+
+
+@query("mth2_degrees", "SELECT year, month, row_, col_, ROUND(DEGREES(lia), 6) AS lia_deg FROM fx_sar_obs")
+def mth2(t):
+    return t.fx_sar_obs.select("year", "month", "row_", "col_", r(sensors.to_degrees("lia")).alias("lia_deg"))
+
+
+@query("mth3_sar_ratio", """SELECT year, month, row_, col_, ROUND(CASE WHEN vv > 0 AND vh > 0 THEN 10 * LOG10(vv) - 10 * LOG10(vh) END, 5)
+  AS ratio FROM fx_sar_obs""")
+def mth3(t):
+    return t.fx_sar_obs.select("year", "month", "row_", "col_", r(
+        sensors.ratio_db(sensors.to_db("vv"), sensors.to_db("vh")), 5).alias("ratio"))
+
+
+@query("mth10_stride_centers", f"""SELECT row_, col_ FROM fx_grid, (SELECT MAX(row_) + 1 AS h, MAX(col_) + 1 AS w FROM fx_grid) m
+WHERE row_ >= {HALF} AND row_ < h - {HALF} AND (row_ - {HALF}) % 3 = 0 AND col_ >= {HALF} AND col_ < w - {HALF}
+  AND (col_ - {HALF}) % 3 = 0""")
+def mth10(t):
+    g = raster.with_extent(t.fx_grid.select("row_", "col_"))
+    return g.where(maps.is_stride_center(F.col("_last_row") + 1, F.col("_last_col") + 1, HALF, 3)).select("row_", "col_")
+
+
+@query("snk6_raster_store", "SELECT row_, col_, band1, 10e0 AS dx, CAST(50 AS BIGINT) AS width FROM fx_grid WHERE band1 > 20")
+def snk6(t):
+    path = scratch_path(t.spark, "raster")
+    g = geo.Grid(500000.0, 4746000.0, 10.0, 10.0, 40, 50)
+    writers.write_raster(t.fx_grid.select("row_", "col_", "band1", "band2"), g, ["band1", "band2"], path, 16)
+    meta = t.spark.read.parquet(f"{path}/grid")  # one row
+    return t.spark.read.parquet(f"{path}/pixels").where("band1 > 20").crossJoin(F.broadcast(meta)).select(
+        "row_", "col_", "band1", "dx", "width")
+
+
+@query("dat2_mission_year", """SELECT shot_number, CAST(EXTRACT(YEAR FROM TIMESTAMP '2018-01-01' + to_microseconds(
+  CAST(delta_time * 1000000 AS BIGINT))) AS INTEGER) AS year FROM fx_shots""")
+def dat2(t):
+    return t.fx_shots.select("shot_number", F.year(times.mission_time("delta_time")).alias("year"))
+
+
+@query("dat3_season", """SELECT CAST(EXTRACT(YEAR FROM acq_datetime) AS INTEGER) AS year, CAST(EXTRACT(MONTH FROM acq_datetime) AS INTEGER) AS month,
+  EXTRACT(MONTH FROM acq_datetime) BETWEEN 4 AND 9 AS growing, COUNT(*) AS n FROM fx_shots GROUP BY ALL""")
+def dat3(t):
+    return t.fx_shots.groupBy(F.year("acq_datetime").alias("year"), F.month("acq_datetime").alias("month"),
+                              times.growing_season("acq_datetime").alias("growing")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dat4_month_end", "SELECT last_day(CAST(acq_datetime AS DATE)) AS month_end, COUNT(*) AS n FROM fx_shots GROUP BY 1")
+def dat4(t):
+    return t.fx_shots.groupBy(times.month_end("acq_datetime").alias("month_end")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dat5_date_window", """SELECT shot_number FROM fx_shots
+WHERE CAST(acq_datetime AS DATE) BETWEEN DATE '1997-04-01' AND DATE '1997-09-30'""")
+def dat5(t):
+    return t.fx_shots.where(times.within_dates("acq_datetime", "1997-04-01", "1997-09-30")).select("shot_number")
