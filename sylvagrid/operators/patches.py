@@ -154,7 +154,7 @@ def extract_patches(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
         "year", "crow", "ccol").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     if drop_incomplete:
         g = g.where(F.size("cells") == side * side)
-    flat = F.flatten(F.array(*[F.transform("cells", lambda x, b=b: x[b].cast("float")) for b in bands]))
+    flat = F.flatten(F.array(*[F.col("cells")[b].cast("array<float>") for b in bands]))
     return points.join(g.select("year", "crow", "ccol", flat.alias("patch")), ["year", "crow", "ccol"])
 
 
@@ -175,9 +175,12 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
     px = halo_tiles(pixels.select("year", "row_", "col_", *bands), tile, half)
     fills = None if fill is None else np.asarray(fill, dtype="float32")
 
+    empty = pd.DataFrame({c: pd.Series([], dtype=object if c == "patch" else "int64")
+                          for c in ("year", "crow", "ccol", "patch")})
+
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
-            return pd.DataFrame({"year": [], "crow": [], "ccol": [], "patch": []})
+            return empty
         r0 = int(left["tile_row"].iloc[0]) * tile - half
         c0 = int(left["tile_col"].iloc[0]) * tile - half
         block = np.full((len(bands), span, span), np.nan, dtype="float32")
@@ -189,7 +192,8 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
                 block[i, rows, cols] = np.where(v == S2_NODATA, np.nan, v)
         if fills is not None:
             block = np.where(np.isnan(block), fills[:, None, None], block)
-        keep, out = [], []
+        keep: list[int] = []
+        out: list[np.ndarray] = []
         for k, (r, c) in enumerate(zip(left["crow"].to_numpy() - r0, left["ccol"].to_numpy() - c0)):
             p = block[:, r - half:r + half + 1, c - half:c + half + 1]
             if fills is None and np.isnan(p).any():
@@ -197,7 +201,7 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
             keep.append(k)
             out.append(p.reshape(-1))
         res = left.iloc[keep][["year", "crow", "ccol"]].reset_index(drop=True)
-        res["patch"] = out
+        res["patch"] = pd.Series(out, dtype=object)
         return res
 
     keys = ["year", "tile_row", "tile_col"]

@@ -1 +1,348 @@
-"""Registered queries."""
+"""Queries that build the training dataset: thinning, blocks, split, patches, statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import MIN_STD
+from ..functions import arrays, geo
+from ..functions.cleaning import nodata_to_null, zscore, zscore_filled
+from ..operators import maps, patches, shots
+from ..session import scratch_path
+from ..sources import readers, writers
+from .fixtures import BLOCK, CELL, YEARS
+from .q_raster import HALF, static, yearly
+from .q_shots import FUNNEL_SQL, GRID, SPLIT_SQL, assigned, extracted
+from .registry import query, r, rounded
+
+BANDS = ["band1", "band2", "elevation_m"]
+SIDE = 2 * HALF + 1
+AREA = SIDE * SIDE
+
+
+@query("dst1_extraction_table", f"""WITH {SPLIT_SQL} SELECT shot_number, agbd, easting, northing FROM thin""")
+def dst1(t):
+    return extracted(t).select("shot_number", "agbd", "easting", "northing")
+
+
+@query("dst2_spatial_blocks", f"""SELECT CAST(FLOOR(easting / {BLOCK}e0) AS BIGINT) * 100000
+  + CAST(FLOOR(northing / {BLOCK}e0) AS BIGINT) AS block_id, COUNT(*) AS n FROM fx_shots GROUP BY 1""")
+def dst2(t):
+    return patches.with_blocks(t.fx_shots, BLOCK).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dst3_quantile_strata", f"WITH {SPLIT_SQL} SELECT block_id, ROUND(m, 6) AS block_mean, stratum FROM strat")
+def dst3(t):
+    means = patches.block_means(patches.with_blocks(extracted(t), BLOCK))
+    return patches.block_strata(means).select("block_id", r("block_mean"), "stratum")
+
+
+@query("dst4_block_split", f"WITH {SPLIT_SQL} SELECT shot_number, block_id, split FROM assigned")
+def dst4(t):
+    return assigned(t).select("shot_number", "block_id", "split")
+
+
+@query("dst5_leakage_check", f"""WITH {SPLIT_SQL} SELECT COUNT(*) AS leaking FROM (
+  SELECT block_id FROM assigned GROUP BY 1 HAVING COUNT(DISTINCT split) > 1) q""")
+def dst5(t):
+    return patches.leaking_blocks(assigned(t)).agg(F.count(F.lit(1)).alias("leaking"))
+
+
+@query("agg16_block_mean", f"""WITH {SPLIT_SQL} SELECT block_id, ROUND(m, 6) AS block_mean FROM bm""")
+def agg16(t):
+    return patches.block_means(patches.with_blocks(extracted(t), BLOCK)).select("block_id", r("block_mean"))
+
+
+@query("win3_ranked_cut", """WITH rk AS (SELECT patch_id, lc_class, ROW_NUMBER() OVER (PARTITION BY lc_class
+    ORDER BY md5(CONCAT('42|', CAST(patch_id AS VARCHAR))), patch_id) AS rn, COUNT(*) OVER (PARTITION BY lc_class) AS n
+  FROM fx_patch_landcover)
+SELECT patch_id, lc_class, CASE WHEN rn <= FLOOR(n * 0.7e0) THEN 0 WHEN rn <= FLOOR(n * 0.7e0) + FLOOR(n * 0.15e0) THEN 1
+  ELSE 2 END AS split FROM rk""")
+def win3(t):
+    s = t.fx_patch_landcover.select(F.col("patch_id").alias("block_id"), F.col("lc_class").alias("stratum"))
+    return patches.block_split(s).select(F.col("block_id").alias("patch_id"), F.col("stratum").alias("lc_class"), "split")
+
+
+def points(t):
+    return t.fx_points
+
+
+def pixels(t):
+    return patches.stack_bands(yearly(t), static(t))
+
+
+# Windows of the checks: every window pixel with its three channels.
+WINDOWS_SQL = f"""w AS (SELECT p.shot_number, p.year, p.crow, p.ccol, p.agbd, g.row_ - p.crow AS dr, g.col_ - p.ccol AS dc,
+    g.band1 + (p.year - 1996) AS band1, g.band2, g.elevation_m
+  FROM fx_points p JOIN fx_grid g ON g.row_ BETWEEN p.crow - {HALF} AND p.crow + {HALF}
+    AND g.col_ BETWEEN p.ccol - {HALF} AND p.ccol + {HALF}),
+good AS (SELECT shot_number FROM w GROUP BY 1 HAVING COUNT(band1) = {AREA})"""
+SUMS_SQL = """COUNT(*) * 3 AS n_values, ROUND(SUM(band1), 4) AS s1, ROUND(SUM(band2), 4) AS s2,
+  ROUND(SUM(CAST(elevation_m AS FLOAT)::DOUBLE), 2) AS s3, ROUND(SUM(band2 * ((dr + 2) * 5 + dc + 2)), 4) AS positional"""
+PATCH_SQL = f"""WITH {WINDOWS_SQL} SELECT w.shot_number, w.year, {SUMS_SQL} FROM w JOIN good ON good.shot_number = w.shot_number
+GROUP BY 1, 2"""
+
+
+def patch_sums(df):
+    """Sums per channel and a position-weighted sum, so that a transposed patch would show."""
+    def total(i):
+        part = F.slice("patch", i * AREA + 1, AREA)
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    weighted = F.aggregate(
+        F.zip_with(F.slice("patch", AREA + 1, AREA), F.sequence(F.lit(0), F.lit(AREA - 1)),
+                   lambda v, i: v.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
+    return df.select("shot_number", "year", F.size("patch").cast("bigint").alias("n_values"), r(total(0), 4).alias("s1"),
+                     r(total(1), 4).alias("s2"), r(total(2), 2).alias("s3"), r(weighted, 4).alias("positional"))
+
+
+@query("pat1_patches_by_keys", PATCH_SQL)
+def pat1(t):
+    return patch_sums(patches.extract_patches(points(t), pixels(t), BANDS, HALF))
+
+
+@query("pat2_patches_by_tiles", PATCH_SQL)
+def pat2(t):
+    return patch_sums(patches.extract_patches_tiled(points(t), pixels(t), BANDS, HALF, tile=16))
+
+
+@query("pat2_patches_filled", f"""WITH fillv AS (SELECT 7e0 AS f1, 8e0 AS f2, 9e0 AS f3),
+k AS (SELECT p.shot_number, p.year, p.crow + dr.dr AS rr, p.ccol + dc.dc AS cc, dr.dr, dc.dc FROM fx_points p
+  CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) dr(dr) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) dc(dc)),
+w AS (SELECT k.shot_number, k.year, dr, dc, COALESCE(g.band1 + (k.year - 1996), f1) AS band1, COALESCE(g.band2, f2) AS band2,
+  COALESCE(g.elevation_m, f3) AS elevation_m FROM k CROSS JOIN fillv LEFT JOIN fx_grid g ON g.row_ = k.rr AND g.col_ = k.cc)
+SELECT shot_number, year, {SUMS_SQL} FROM w GROUP BY 1, 2""")
+def pat2b(t):
+    return patch_sums(patches.extract_patches_tiled(points(t), pixels(t), BANDS, HALF, tile=16, fill=[7.0, 8.0, 9.0]))
+
+
+@query("flt7_nodata_patch_drop", f"""WITH {WINDOWS_SQL} SELECT p.shot_number, good.shot_number IS NOT NULL AS kept
+FROM fx_points p LEFT JOIN good ON good.shot_number = p.shot_number""")
+def flt7(t):
+    kept = patches.extract_patches(points(t), pixels(t), BANDS, HALF).select("shot_number", F.lit(True).alias("kept"))
+    return points(t).join(kept, "shot_number", "left").select(
+        "shot_number", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def labelled(t):
+    """Patches with a split by point id (two thirds train)."""
+    p = patches.extract_patches(points(t), pixels(t), BANDS, HALF)
+    return p.withColumn("split", (F.col("shot_number") % 3).cast("int")).withColumn(
+        "split", F.when(F.col("split") == 2, 0).otherwise(F.col("split")))
+
+
+TRAIN = "CASE WHEN w.shot_number % 3 = 2 THEN 0 ELSE w.shot_number % 3 END = 0"
+NORM_SQL = f"""WITH {WINDOWS_SQL}, px AS (SELECT w.* FROM w JOIN good ON good.shot_number = w.shot_number WHERE {TRAIN}),
+l AS (SELECT 'band1' AS channel, CAST(CAST(band1 AS FLOAT) AS DOUBLE) AS v FROM px
+  UNION ALL SELECT 'band2', CAST(CAST(band2 AS FLOAT) AS DOUBLE) FROM px
+  UNION ALL SELECT 'elevation_m', CAST(CAST(elevation_m AS FLOAT) AS DOUBLE) FROM px)
+SELECT channel, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_POP(v), 6) AS std, COUNT(*) AS n_pixels FROM l GROUP BY 1"""
+
+
+@query("agg12_normalisation_stats", NORM_SQL)
+def agg12(t):
+    return rounded(patches.normalisation_table(labelled(t), BANDS, SIDE), ["mean", "std"])
+
+
+@query("pat3_normalisation_from_meta", NORM_SQL)
+def pat3(t):
+    """The table written as nested metadata and read back with the near-zero check."""
+    path = scratch_path(t.spark, "meta")
+    n = rounded(patches.normalisation_table(labelled(t), BANDS, SIDE), ["mean", "std"])
+    # One entry per channel.
+    meta = n.agg(F.array_sort(F.collect_list("channel")).alias("channels"), F.map_from_entries(F.collect_list(
+        F.struct("channel", F.struct("mean", "std", "n_pixels")))).alias("normalization"))
+    writers.write_json(meta, path)
+    return readers.normalisation_from_meta(readers.read_dataset_meta(t.spark, path), BANDS)
+
+
+@query("pat4_dataset_summary", f"""WITH f AS ({FUNNEL_SQL})
+SELECT 42 AS rng_seed, 500e0 AS agbd_cap_mgha, raw, after_year_filter, after_agbd_cap, after_spatial_subsample FROM f""")
+def pat4(t):
+    counts = shots.funnel(t.fx_shots, YEARS, 500.0, CELL, 42, GRID, 12)
+    record = counts.select(F.to_json(F.struct(
+        F.lit(42).alias("rng_seed"), F.lit(500.0).alias("agbd_cap_mgha"),
+        F.struct("raw", "after_year_filter", "after_agbd_cap", "after_spatial_subsample").alias("counts"))).alias("json"))
+    schema = ("rng_seed INT, agbd_cap_mgha DOUBLE, counts STRUCT<raw: BIGINT, after_year_filter: BIGINT, "
+              "after_agbd_cap: BIGINT, after_spatial_subsample: BIGINT>")
+    return record.select(F.from_json("json", schema).alias("m")).select("m.rng_seed", "m.agbd_cap_mgha", "m.counts.*")
+
+
+LC_SQL = f"""WITH w AS (SELECT p.shot_number, g.lc_class, COUNT(*) AS n FROM fx_points p JOIN fx_grid g
+  ON g.row_ BETWEEN p.crow - {HALF} AND p.crow + {HALF} AND g.col_ BETWEEN p.ccol - {HALF} AND p.ccol + {HALF} GROUP BY 1, 2),
+b AS (SELECT *, SUM(n) OVER (PARTITION BY shot_number) AS total, ROW_NUMBER() OVER (PARTITION BY shot_number
+  ORDER BY n DESC, lc_class) AS rn FROM w),
+pl AS (SELECT shot_number, lc_class, n / total AS lc_purity, CASE lc_class WHEN 10 THEN 'tree_cover' WHEN 30 THEN 'grassland'
+  WHEN 40 THEN 'cropland' WHEN 50 THEN 'built_up' ELSE 'unknown' END AS lc_name FROM b WHERE rn = 1)"""
+
+
+def patch_landcover(t):
+    return patches.majority_class(t.fx_points, t.fx_grid, HALF, ["shot_number"])
+
+
+@query("agg14_majority_class", LC_SQL + " SELECT shot_number, lc_class, ROUND(lc_purity, 6) AS lc_purity FROM pl")
+def agg14(t):
+    return patch_landcover(t).select("shot_number", "lc_class", r("lc_purity"))
+
+
+@query("pat5_patch_landcover", f"""WITH c AS (SELECT shot_number, CAST(round_even((4746000e0 - northing) / 1000e0, 0) AS BIGINT) AS crow,
+    CAST(round_even((easting - 500000e0) / 1000e0, 0) AS BIGINT) AS ccol FROM fx_shots),
+w AS (SELECT p.shot_number, g.lc_class, COUNT(*) AS n FROM c p JOIN fx_grid g ON g.row_ BETWEEN p.crow - {HALF} AND p.crow + {HALF}
+  AND g.col_ BETWEEN p.ccol - {HALF} AND p.ccol + {HALF} GROUP BY 1, 2),
+b AS (SELECT *, SUM(n) OVER (PARTITION BY shot_number) AS total, ROW_NUMBER() OVER (PARTITION BY shot_number
+  ORDER BY n DESC, lc_class) AS rn FROM w),
+j AS (SELECT c.shot_number, COALESCE(b.lc_class, 0) AS lc_class, COALESCE(b.n / b.total, 0e0) AS p FROM c
+  LEFT JOIN b ON b.shot_number = c.shot_number AND b.rn = 1)
+SELECT shot_number, lc_class, ROUND(p, 6) AS lc_purity, CASE lc_class WHEN 10 THEN 'tree_cover' WHEN 30 THEN 'grassland'
+  WHEN 40 THEN 'cropland' WHEN 50 THEN 'built_up' ELSE 'unknown' END AS lc_name FROM j""")
+def pat5(t):
+    g = geo.Grid(500000.0, 4746000.0, 1000.0, 1000.0, 30, 30)
+    c = t.fx_shots.select("shot_number", geo.pixel_row_rounded("northing", g).alias("crow"),
+                          geo.pixel_col_rounded("easting", g).alias("ccol"))
+    return rounded(patches.majority_class(c, t.fx_grid, HALF, ["shot_number"]), ["lc_purity"])
+
+
+@query("agg15_class_distribution", LC_SQL + """, tot AS (SELECT COUNT(*) AS t FROM pl)
+SELECT lc_class, MAX(lc_name) AS lc_name, COUNT(*) AS n, ROUND(COUNT(*) * 100e0 / MAX(t), 6) AS pct FROM pl, tot GROUP BY 1""")
+def agg15(t):
+    return rounded(maps.class_distribution(patch_landcover(t)), ["pct"])
+
+
+@query("agg15_purity_summary", """SELECT ROUND(AVG(lc_purity), 6) AS mean_purity, ROUND(quantile_cont(lc_purity, 0.5), 6) AS median_purity
+FROM fx_patch_landcover""")
+def agg15b(t):
+    from ..operators.quantiles import table_quantiles
+    p = t.fx_patch_landcover
+    return p.agg(r(F.avg("lc_purity")).alias("mean_purity")).crossJoin(F.broadcast(  # one row each
+        rounded(table_quantiles(p, "lc_purity", {"median_purity": 0.5}), ["median_purity"])))
+
+
+@query("agg15_raster_classes", """WITH v AS (SELECT lc_class FROM fx_grid WHERE lc_class > 0)
+SELECT lc_class, CASE lc_class WHEN 10 THEN 'tree_cover' WHEN 30 THEN 'grassland' WHEN 40 THEN 'cropland' WHEN 50 THEN 'built_up' END
+  AS lc_name, COUNT(*) AS n, ROUND(COUNT(*) * 100e0 / (SELECT COUNT(*) FROM v), 6) AS pct FROM v GROUP BY 1""")
+def agg15c(t):
+    return rounded(maps.class_distribution(t.fx_grid, keep_zero=False), ["pct"])
+
+
+@query("prj3_zscore", """WITH st AS (SELECT AVG(band1) AS m, STDDEV_POP(band1) AS s FROM fx_grid)
+SELECT row_, col_, ROUND((band1 - m) / s, 6) AS z FROM fx_grid, st""")
+def prj3(t):
+    st = t.fx_grid.agg(F.avg("band1").alias("m"), F.stddev_pop("band1").alias("s"))  # one row
+    return t.fx_grid.crossJoin(F.broadcast(st)).select(
+        "row_", "col_", r(zscore("band1", F.col("m"), F.col("s"), MIN_STD)).alias("z"))
+
+
+@query("prj4_mean_fill", """WITH st AS (SELECT AVG(band1) AS m, STDDEV_POP(band1) AS s FROM fx_grid)
+SELECT row_, col_, COALESCE(ROUND((CASE WHEN band2 <> 3 THEN band1 END - m) / s, 6), 0e0) AS z FROM fx_grid, st""")
+def prj4(t):
+    g = t.fx_grid
+    st = g.agg(F.avg("band1").alias("m"), F.stddev_pop("band1").alias("s"))  # one row
+    coded = F.when(F.col("band2") == 3, F.lit(-32768.0)).otherwise(F.col("band1"))
+    z = zscore_filled(nodata_to_null(coded, -32768.0), F.col("m"), F.col("s"), MIN_STD)
+    return g.crossJoin(F.broadcast(st)).select("row_", "col_", r(z).alias("z"))
+
+
+# ---- arrays ----
+
+def small_patches(t):
+    return patches.extract_patches(points(t), pixels(t), BANDS, HALF).select("shot_number", "patch")
+
+
+@query("arr1_channel_slice", f"""WITH {WINDOWS_SQL} SELECT w.shot_number, CAST(50 AS BIGINT) AS n, ROUND(SUM(CAST(elevation_m AS FLOAT)::DOUBLE), 2) AS first_half,
+  ROUND(SUM(band1), 4) AS second_half FROM w JOIN good ON good.shot_number = w.shot_number GROUP BY 1""")
+def arr1(t):
+    p = small_patches(t).select("shot_number", arrays.take_channels("patch", [2, 0], SIDE).alias("p"))
+
+    def total(a, b):
+        return F.aggregate(F.slice("p", a, b), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    return p.select("shot_number", F.size("p").cast("bigint").alias("n"), r(total(1, AREA), 2).alias("first_half"),
+                    r(total(AREA + 1, AREA), 4).alias("second_half"))
+
+
+@query("arr2_dihedral_variants", f"""WITH {WINDOWS_SQL}, px AS (SELECT w.shot_number, dr + 2 AS i, dc + 2 AS j, band2 FROM w
+  JOIN good ON good.shot_number = w.shot_number),
+moved AS (SELECT shot_number, k.turns, h.flip_h, band2,
+  CASE k.turns WHEN 0 THEN i WHEN 1 THEN 4 - j WHEN 2 THEN 4 - i ELSE j END AS ri,
+  CASE k.turns WHEN 0 THEN j WHEN 1 THEN i WHEN 2 THEN 4 - j ELSE 4 - i END AS rj
+  FROM px CROSS JOIN (VALUES (0), (1), (2), (3)) k(turns) CROSS JOIN (VALUES (FALSE), (TRUE)) h(flip_h))
+SELECT shot_number, turns, flip_h, ROUND(SUM(band2 * (ri * 5 + CASE WHEN flip_h THEN 4 - rj ELSE rj END)), 4) AS positional
+FROM moved GROUP BY 1, 2, 3""")
+def arr2(t):
+    one = small_patches(t).select("shot_number", arrays.take_channels("patch", [1], SIDE).alias("p"))
+    v = one.select("shot_number", F.explode(arrays.dihedral_variants("p", SIDE)).alias("x")).select("shot_number", "x.*")
+    weighted = F.aggregate(F.zip_with("patch", F.sequence(F.lit(0), F.lit(AREA - 1)), lambda a, i: a.cast("double") * i),
+                           F.lit(0.0), lambda acc, x: acc + x)
+    return v.select("shot_number", "turns", "flip_h", r(weighted, 4).alias("positional"))
+
+
+@query("arr3_patch_explode", f"""WITH {WINDOWS_SQL} SELECT u.channel, u.n, u.total FROM (
+  SELECT 'band1' AS channel, COUNT(*) AS n, ROUND(SUM(band1), 3) AS total FROM w JOIN good ON good.shot_number = w.shot_number
+  UNION ALL SELECT 'band2', COUNT(*), ROUND(SUM(band2), 3) FROM w JOIN good ON good.shot_number = w.shot_number
+  UNION ALL SELECT 'elevation_m', COUNT(*), ROUND(SUM(CAST(elevation_m AS FLOAT)::DOUBLE), 3) FROM w JOIN good
+    ON good.shot_number = w.shot_number) u""")
+def arr3(t):
+    return patches.patch_pixels(small_patches(t), BANDS, SIDE).groupBy("channel").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total"))
+
+
+# ---- grid arithmetic ----
+
+@query("mth4_grid_cell", """SELECT shot_number, CAST(FLOOR((easting - 515000e0) / 100e0) AS BIGINT) AS cx,
+  CAST(FLOOR((northing - 4731000e0) / 100e0) AS BIGINT) AS cy FROM fx_shots""")
+def mth4(t):
+    return t.fx_shots.select("shot_number", geo.cell_index(F.col("easting") - 515000, 100.0).alias("cx"),
+                             geo.cell_index(F.col("northing") - 4731000, 100.0).alias("cy"))
+
+
+@query("mth5_block_id", """SELECT shot_number, CAST(FLOOR(easting / 10000e0) AS BIGINT) * 100000
+  + CAST(FLOOR(northing / 10000e0) AS BIGINT) AS block_id FROM fx_shots""")
+def mth5(t):
+    return t.fx_shots.select("shot_number", geo.block_id("easting", "northing", 10_000.0).alias("block_id"))
+
+
+@query("mth6_pixel_floor", """SELECT shot_number, CAST(FLOOR((4746000e0 - (northing + 0.25e0)) / 10e0) AS BIGINT) AS row_,
+  CAST(FLOOR((easting + 0.25e0 - 500000e0) / 10e0) AS BIGINT) AS col_ FROM fx_shots""")
+def mth6(t):
+    return t.fx_shots.select("shot_number", geo.pixel_row(F.col("northing") + 0.25, GRID).alias("row_"),
+                             geo.pixel_col(F.col("easting") + 0.25, GRID).alias("col_"))
+
+
+@query("mth7_pixel_half_even", """SELECT shot_number, CAST(round_even((4746000e0 - northing) / 10e0, 0) AS BIGINT) AS row_,
+  CAST(round_even((easting - 500000e0) / 10e0, 0) AS BIGINT) AS col_ FROM fx_shots""")
+def mth7(t):
+    return t.fx_shots.select("shot_number", geo.pixel_row_rounded("northing", GRID).alias("row_"),
+                             geo.pixel_col_rounded("easting", GRID).alias("col_"))
+
+
+UTM_N = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+UTM_A = 6378137.0 / (1 + UTM_N) * (1 + UTM_N**2 / 4 + UTM_N**4 / 64)
+UTM_S = (UTM_N / 2 - 2 * UTM_N**2 / 3 + 5 * UTM_N**3 / 16 + 41 * UTM_N**4 / 180,
+         13 * UTM_N**2 / 48 - 3 * UTM_N**3 / 5 + 557 * UTM_N**4 / 1440,
+         61 * UTM_N**3 / 240 - 103 * UTM_N**4 / 140, 49561 * UTM_N**4 / 161280)
+UTM_E = 2 * UTM_N**0.5 / (1 + UTM_N)
+
+
+def utm_sql() -> str:
+    east = "eta" + "".join(f" + {a!r} * COS({2 * j} * xi) * SINH({2 * j} * eta)" for j, a in enumerate(UTM_S, 1))
+    north = "xi" + "".join(f" + {a!r} * SIN({2 * j} * xi) * COSH({2 * j} * eta)" for j, a in enumerate(UTM_S, 1))
+    return f"""WITH a AS (SELECT shot_number, SIN(RADIANS(lat_lowestmode)) AS s, RADIANS(lon_lowestmode + 9e0) AS lam FROM fx_shots),
+b AS (SELECT shot_number, lam, SINH(ATANH(s) - {UTM_E!r} * ATANH({UTM_E!r} * s)) AS t FROM a),
+c AS (SELECT shot_number, ATAN2(t, COS(lam)) AS xi, ATANH(SIN(lam) / SQRT(1 + t * t)) AS eta FROM b)
+SELECT shot_number, ROUND(500000e0 + {0.9996 * UTM_A!r} * ({east}), 4) AS easting,
+  ROUND({0.9996 * UTM_A!r} * ({north}), 4) AS northing FROM c"""
+
+
+@query("mth8_lonlat_to_utm", utm_sql())
+def mth8(t):
+    s = t.fx_shots.select("shot_number", "lon_lowestmode", "lat_lowestmode")
+    u = shots.with_utm(s)
+    return u.select("shot_number", r("easting", 4).alias("easting"), r("northing", 4).alias("northing"))
+
+
+@query("mth11_sizes_and_extents", """SELECT granule_ur, ROUND(east - west, 6) AS width_deg, ROUND(north - south, 6) AS height_deg,
+  seq * 1000000 / 1e9 AS size_gb FROM fx_catalogue""")
+def mth11(t):
+    return t.fx_catalogue.select("granule_ur", r(F.col("east") - F.col("west")).alias("width_deg"),
+                                 r(F.col("north") - F.col("south")).alias("height_deg"),
+                                 (F.col("seq") * 1000000 / 1e9).alias("size_gb"))
