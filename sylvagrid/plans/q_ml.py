@@ -1 +1,110 @@
-"""Registered queries."""
+"""Modelling queries. Fitted models are checked by row counts; everything deterministic by SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import CHANNELS, SEEDS, VARIANT_CHANNELS, VARIANT_ORDER
+from ..operators import metrics, modelling
+from .registry import query, r, rounded
+
+# Signal share of each channel in the derived feature table.
+SIGNAL = {c: 0.02 * (i + 1) for i, c in enumerate(CHANNELS)}
+
+
+def features(t):
+    """Window features derived from the orders: a share of the label plus hashed noise."""
+    o = t.orders
+    label = F.col("o_totalprice") * 1.2 / 1000.0
+    cols = [(label * SIGNAL[c] + (F.col("o_orderkey") * (37 + 11 * i) % 997) * (0.05 * (i % 4 + 1))).alias(f"{c}_mean")
+            for i, c in enumerate(CHANNELS)]
+    block = (F.col("o_orderkey") % 60).alias("block_id")
+    return o.select(F.col("o_orderkey").alias("patch_id"), block, label.alias("label"), *cols)
+
+
+def train(t):
+    return features(t).where("block_id % 5 <> 0")
+
+
+def test(t):
+    return features(t).where("block_id % 5 = 0")
+
+
+N_TEST = "SELECT COUNT(*) FROM orders WHERE (o_orderkey % 60) % 5 = 0"
+
+
+@query("ml1_feature_sets", "SELECT v.variant, v.n AS n_features, (" + N_TEST + ") AS n_rows FROM (VALUES "
+       + ", ".join(f"('{v}', CAST({len(c)} AS BIGINT))" for v, c in VARIANT_CHANNELS.items()) + ") v(variant, n)")
+def ml1(t):
+    out = None
+    for v in VARIANT_ORDER:
+        d = modelling.assembler(modelling.feature_columns(v)).transform(test(t))
+        size = F.size(_as_array("features")).cast("bigint")
+        row = d.agg(F.max(size).alias("n_features"), F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(v).alias("variant"), "n_features", "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _as_array(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(c)
+
+
+def evaluated(df, variant, seed):
+    m = metrics.regression_metrics(df.withColumnRenamed("prediction", "pred_agbd").withColumnRenamed("label", "true_agbd"))
+    return rounded(m.select(F.lit(variant).alias("variant"), F.lit(seed).alias("seed"), *m.columns), metrics.MEASURES, 3)
+
+
+@query("ml2_single_model")
+def ml2(t):
+    m = modelling.fit_single(train(t), modelling.feature_columns("s2_only"), 42)
+    return evaluated(m.transform(test(t)), "s2_only", 42)
+
+
+@query("ml3_late_fusion")
+def ml3(t):
+    m = modelling.LateFusion(42).fit(train(t).persist())
+    return evaluated(m.transform(test(t)), "late", 42)
+
+
+@query("ml4_robust_fit")
+def ml4(t):
+    m = modelling.fit_single(train(t), modelling.feature_columns("s1_only"), 42, loss="huber")
+    scored = m.transform(test(t))
+    return metrics.mean_huber(scored, truth="label", pred="prediction").select(r("huber_mean", 3).alias("huber_mean"))
+
+
+@query("ml5_variant_seed_grid")
+def ml5(t):
+    jobs = modelling.run_grid(("s1_only", "s2_only", "early"), SEEDS)
+    scored = modelling.score_all(modelling.fit_grid(train(t), jobs), test(t))
+    return rounded(metrics.overall(scored), [f"{m}_{s}" for m in metrics.MEASURES for s in ("mean", "std")], 3)
+
+
+@query("ml6_parameter_search")
+def ml6(t):
+    rows = modelling.grid_search(train(t).where("block_id % 7 <> 0"), train(t).where("block_id % 7 = 0"),
+                                 modelling.feature_columns("early"))
+    return t.spark.createDataFrame([(x["reg"], x["mix"], round(x["val_rmse"], 3)) for x in rows],
+                                   "reg DOUBLE, mix DOUBLE, val_rmse DOUBLE")
+
+
+W = [0.5, -0.25, 0.125, 1.5, 0.75]
+F_SQL = " + ".join(
+    f"{w!r} * (o_totalprice * 1.2e0 / 1000e0 * {SIGNAL[c]!r} + CAST(o_orderkey * {37 + 11 * CHANNELS.index(c)} % 997 AS DOUBLE)"
+    f" * {0.05 * (CHANNELS.index(c) % 4 + 1)!r})" for w, c in zip(W, VARIANT_CHANNELS["s1_only"]))
+
+
+@query("scr1_batch_scoring", f"SELECT o_orderkey AS patch_id, ROUND(3e0 + {F_SQL}, 4) AS prediction FROM orders")
+def scr1(t):
+    cols = modelling.feature_columns("s1_only")
+    d = modelling.batch_score(features(t), cols, modelling.linear_predictor(W, 3.0))
+    return d.select("patch_id", r("prediction", 4).alias("prediction"))
+
+
+@query("scr2_score_all", f"""SELECT v.variant, v.seed, ({N_TEST}) AS n FROM (VALUES ('late', 42), ('late', 7), ('late', 123),
+  ('s2_only', 7), ('s1_only', 7), ('early', 7)) v(variant, seed)""")
+def scr2(t):
+    models = modelling.fit_grid(train(t), modelling.map_jobs())
+    return modelling.score_all(models, test(t)).groupBy("variant", "seed").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,78 @@
-"""Registered queries."""
+"""Streaming queries: the events table arrives as a stream of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics
+from ..schemas import EVENTS
+from ..session import scratch_path
+from ..streaming import ingest
+from .registry import query, rounded
+
+
+def stream(t):
+    s = ingest.file_stream(t.spark, t.folder, EVENTS, "events.parquet")
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+ACCEPT_SQL = "value >= 10 AND event_type <> 'error'"
+
+
+def accept():
+    return (F.col("value") >= 10) & ~F.isnan("value") & (F.col("event_type") != "error")
+
+
+@query("str1_incremental_ingest", f"""SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events
+WHERE {ACCEPT_SQL} GROUP BY 1""")
+def str1(t):
+    out, ck = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ck")
+    ingest.ingest(stream(t), accept(), out, ck)
+    ingest.ingest(stream(t), accept(), out, ck)  # a rerun finds nothing new
+    return t.spark.read.parquet(out).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("str2_running_metrics", """SELECT event_type, COUNT(*) AS n, ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(ABS(e)), 6) AS mae,
+  ROUND(1 - SUM(e * e) / (VAR_POP(y) * COUNT(*)), 6) AS r2, ROUND(AVG(e), 6) AS bias,
+  ROUND(SQRT(AVG(e * e)) / AVG(y) * 100, 6) AS rel_rmse_pct FROM (
+  SELECT event_type, value AS y, GREATEST(value * 0.8e0 - 3e0, 0e0) - value AS e FROM events) q GROUP BY 1""")
+def str2(t):
+    out, ck = scratch_path(t.spark, "metrics"), scratch_path(t.spark, "ck")
+    s = stream(t).withColumns({"true_agbd": F.col("value"), "pred_agbd": F.col("value") * 0.8 - 3.0})
+    ingest.running_metrics(s, ["event_type"], out, ck)
+    return rounded(metrics.metrics_from_sums(ingest.latest_batch(t.spark, out)), metrics.MEASURES)
+
+
+@query("str3_windowed_coverage", """WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS s, COUNT(*) AS n,
+    COUNT(*) FILTER (EXTRACT(MONTH FROM ts) BETWEEN 4 AND 9) AS n_growing FROM events GROUP BY 1)
+SELECT CAST(s AS DATE) AS day, n, n_growing FROM w WHERE s + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 6 HOUR""")
+def str3(t):
+    out, ck = scratch_path(t.spark, "windows"), scratch_path(t.spark, "ck")
+    # Append mode: a window is written once the watermark has passed its end.
+    ingest.drain(ingest.windowed_counts(stream(t), "ts", "1 day", "6 hours"), out, ck)
+    return t.spark.read.schema("start TIMESTAMP, n LONG, n_growing LONG").parquet(out).select(
+        F.to_date("start").alias("day"), "n", "n_growing")
+
+
+@query("str4_retry_failures", """SELECT CASE WHEN value >= 20 AND event_type <> 'error' THEN 'good'
+  WHEN value >= 5 THEN 'recovered' ELSE 'still_failed' END AS outcome, COUNT(*) AS n FROM events GROUP BY 1""")
+def str4(t):
+    good, bad, ck = (scratch_path(t.spark, x) for x in ("good", "bad", "ck"))
+    checks = {"small": F.col("value") >= 20, "error": F.col("event_type") != "error"}
+    ingest.quarantine(stream(t), checks, good, bad, ck)
+    recovered, still = ingest.retry(t.spark.read.parquet(bad), t.events, "event_id", F.col("value") >= 5)
+    parts = {"good": t.spark.read.parquet(good), "recovered": recovered, "still_failed": still}
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("outcome"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("str5_duplicate_safe_ingest", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
+def str5(t):
+    out, ck = scratch_path(t.spark, "dedup"), scratch_path(t.spark, "ck")
+    twice = stream(t).unionByName(stream(t))
+    ingest.drain(ingest.dedup(twice, "event_id", "ts", "2 hours"), out, ck)
+    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
