@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
@@ -34,16 +34,15 @@ def assembler(columns: Sequence[str], out: str = "features") -> VectorAssembler:
 
 def regression_pipeline(columns: Sequence[str], loss: str = "squaredError", reg: float = 1e-3,
                         prediction: str = "prediction") -> Pipeline:
-    """Assemble, scale and fit a linear model.
+    """Assemble and fit a linear model, which standardises its features itself.
 
     Squared error is solved from one pass of normal equations, 15 x 15 at most; the
     Huber loss iterates with tree-combined gradients.
     """
-    lr = LinearRegression(featuresCol="scaled", labelCol=LABEL, predictionCol=prediction, weightCol="weight",
+    lr = LinearRegression(featuresCol="features", labelCol=LABEL, predictionCol=prediction, weightCol="weight",
                           regParam=reg, loss=loss, maxIter=50,
                           solver="normal" if loss == "squaredError" else "l-bfgs")
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    return Pipeline(stages=[assembler(columns), scaler, lr])
+    return Pipeline(stages=[assembler(columns), lr])
 
 
 def seed_weights(seed: int, ident: str = "patch_id") -> Column:
@@ -88,7 +87,7 @@ class LateFusion:
             rest, part = t.where(F.col("fold") != k), t.where(F.col("fold") == k)
             for sensor in self.SENSORS:
                 m = regression_pipeline(self._columns(sensor), prediction=f"p_{sensor}").fit(rest)
-                part = m.transform(part).drop("features", "scaled")
+                part = m.transform(part).drop("features")
             held_out = part if held_out is None else held_out.unionByName(part)
         for sensor in self.SENSORS:
             self.models[sensor] = regression_pipeline(self._columns(sensor), prediction=f"p_{sensor}").fit(t)
@@ -98,8 +97,8 @@ class LateFusion:
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for m in self.models.values():
-            out = m.transform(out).drop("features", "scaled")
-        return self.top.transform(out).drop("features", "scaled")
+            out = m.transform(out).drop("features")
+        return self.top.transform(out).drop("features")
 
 
 def fit_variant(train: DataFrame, variant: str, seed: int, suffixes: Sequence[str] = ("_mean",)):
@@ -115,8 +114,11 @@ def run_grid(variants: Sequence[str] = VARIANT_ORDER, seeds: Sequence[int] = SEE
 
 def fit_grid(train: DataFrame, jobs: Sequence[tuple[str, int]] | None = None,
              suffixes: Sequence[str] = ("_mean",)) -> dict:
-    """One model per (variant, seed). The loop runs over a fixed dozen of fits, each of
-    which is a distributed job; the training rows are kept in memory or on disk between."""
+    """One Spark ML model per (variant, seed), for losses that a single pass cannot solve.
+
+    The loop runs over a fixed dozen of distributed fits. Linear least-squares models come
+    from one pass in ``fusion.fit_linear_grid``.
+    """
     kept = train.persist()
     try:
         return {(v, s): fit_variant(kept, v, s, suffixes) for v, s in (jobs or run_grid())}

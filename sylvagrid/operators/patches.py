@@ -74,10 +74,10 @@ def stratified_block_split(df: DataFrame, label: str = "agbd", size: float = BLO
                            seed: int = 42) -> DataFrame:
     """Shots with block_id and split; all shots of a block share one split.
 
-    The block side of the join back is one row per block. Blocks are square pieces of the
-    Earth's surface, so for 10 km there are at most about five million; their measured
-    size decides how they are joined. A block with a third of all shots is split by the
-    skew handling of the sort-merge join.
+    The block side of the join back is one row per block, broadcast when it is counted to
+    be short. Beyond that (10 km blocks of the whole Earth are about five million) the
+    join is shuffled and a block with a third of all shots is split by its skew handling.
+    ``df`` is read twice; pass a written table or ``settle`` it when it is costly.
     """
     b = with_blocks(df, size)
     means = block_means(b, label)
@@ -86,8 +86,8 @@ def stratified_block_split(df: DataFrame, label: str = "agbd", size: float = BLO
         # The block table is read several times below; cut it from the shot scan once.
         means = materialize(means)
         small = means.count() <= NATIVE_GROUP_ROWS
-    assigned = block_split(block_strata(means, n_strata, small), train, val, seed)
-    return b.join(assigned.select("block_id", "split"), "block_id")
+    assigned = block_split(block_strata(means, n_strata, small), train, val, seed).select("block_id", "split")
+    return b.join(F.broadcast(assigned) if small else assigned, "block_id")
 
 
 def split_summary(df: DataFrame, label: str = "agbd") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions.cleaning import clip
 from .quantiles import table_quantiles
+from .sizing import checked_broadcast
 
 TAIL = {"q0900": 0.90, "q0950": 0.95, "q0990": 0.99, "q0995": 0.995, "q0999": 0.999}
 
@@ -49,8 +50,8 @@ def histogram(df: DataFrame, column: str, bins: int = 60, upper: float | None =
     by = list(by)
     v = df.select(*by, clip(column, high=upper).alias("v")).where(F.col("v").isNotNull())
     span = v.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    # One row per group of a low-cardinality column; without groups exactly one row.
-    joined = v.join(span, by) if by else v.crossJoin(F.broadcast(span))
+    # Without groups exactly one row; with groups the size is checked before a broadcast.
+    joined = v.join(checked_broadcast(span)[0], by) if by else v.crossJoin(F.broadcast(span))
     counted = joined.withColumn("bin", _bucket(F.col("v"), F.col("low"), F.col("high"), bins))
     return counted.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"),

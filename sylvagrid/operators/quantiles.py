@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import is_small
+from .sizing import checked_broadcast, is_small
 
 _LOG_STEPS = 512        # buckets per unit of log1p: value buckets about 0.2 % wide
 _LINEAR_STEPS = 16384   # sub-buckets per value bucket
@@ -129,16 +129,18 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[s
 
     Groups of up to ``native_rows`` rows use the built-in ``percentile``, one shuffle for
     all columns. Larger groups go through ``distributed_quantiles``, so no task ever holds
-    one of them. There are at most rows / native_rows large groups, the proven bound of
-    the broadcast below: a million keys at 10**12 rows.
+    one of them. A counting pass over the key columns finds them; there are at most
+    rows / native_rows, and mostly none.
     """
     keys = list(keys)
-    values = sorted({v for v, _ in named.values()})
     if native_rows > 0 and is_small(df):
         # No group can be large, so the counting pass is left out.
         return _native(df, keys, named)
-    large = F.broadcast(df.groupBy(*keys).count().where(F.col("count") > native_rows).select(*keys))
-
+    values = sorted({v for v, _ in named.values()})
+    large, n_large = checked_broadcast(
+        df.groupBy(*keys).count().where(F.col("count") > native_rows).select(*keys))
+    if n_large == 0:
+        return _native(df, keys, named)
     small_groups = _native(df.join(large, keys, "left_anti"), keys, named)
 
     longer = df.join(large, keys, "left_semi").select(
@@ -150,9 +152,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[s
         F.max(F.when((F.col("_name") == v) & (F.col("p") == p), F.col("q"))).alias(n)
         for n, (v, p) in named.items()])
     # A large group without any value still is a group.
-    every_large = df.join(large, keys, "left_semi").select(*keys).distinct()
-    large_groups = every_large.join(large_groups, keys, "left")
-    return small_groups.unionByName(large_groups)
+    return small_groups.unionByName(large.join(large_groups, keys, "left"))
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str],

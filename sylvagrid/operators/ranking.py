@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from ..session import materialize
+from .sizing import is_small
 
 
 def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -59,22 +61,35 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], ident: str, seed: int,
 
 
 def hashed_sample(df: DataFrame, n: int, ident: str, seed: int) -> DataFrame:
-    """Exactly ``n`` rows (or all), the first in hash order."""
-    return hashed_rank(df, [], ident, seed, "_rank", "_size").where(F.col("_rank") <= n).drop("_rank", "_size")
+    """Exactly ``n`` rows (or all), the first in hash order.
 
+    Counts per hash prefix (at most 65536 rows) tell how far the sample reaches; only rows
+    up to that prefix are sorted, each task keeping ``n`` at most.
+    """
+    h = df.withColumn("_h", hash_order(seed, ident)).withColumn("_b", F.substring("_h", 1, 4))
+    sizes = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")).where(
+        F.col("_off") < n).agg(F.max("_b").alias("_last"))
+    return (h.crossJoin(F.broadcast(reach)).where(F.col("_b") <= F.col("_last"))  # reach: one row
+            .orderBy("_h", ident).limit(n).drop("_h", "_b", "_last"))
 
-def running_total(df: DataFrame, coarse: Column, order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Global running sum over ``order``.
 
-    ``coarse`` must not decrease along ``order`` (a date of a time order, say): each
-    coarse bucket is summed by itself and shifted by the total of the buckets before.
+def running_total(df: DataFrame, order: Sequence[str], value: str, out: str,
+                  small: bool | None = None) -> DataFrame:
+    """Global running sum over ``order``, whose columns together are unique.
+
+    A small table is summed by one window. A large one is cut into even ranges of the
+    order and written once, so that its ranges stay put; each range is summed by itself
+    and shifted by the total of the ranges before it.
     """
-    b = df.withColumn("_b", coarse)
-    totals = b.groupBy("_b").agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (b.withColumn("_in", F.sum(value).over(inside))
-            .join(offsets, "_b")
-            .withColumn(out, F.col("_in") + F.col("_off"))
-            .drop("_b", "_in", "_off"))
+    upto = (Window.unboundedPreceding, 0)
+    if is_small(df) if small is None else small:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(*upto)))
+    b = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    totals = b.groupBy("_p").agg(F.sum(value).alias("_t"))  # one row per range
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(*upto)
+    return (b.withColumn("_in", F.sum(value).over(inside)).join(F.broadcast(offsets), "_p")
+            .withColumn(out, F.col("_in") + F.col("_off")).drop("_p", "_in", "_off"))

@@ -140,10 +140,13 @@ def already_done(catalogue: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def best_epochs(log: DataFrame, patience: int, min_delta: float, max_epochs: int) -> DataFrame:
     """Early stopping replayed per run: best epoch, best score and the last epoch trained.
 
-    A run trains at most ``max_epochs`` epochs, which bounds the folded array. An epoch
-    improves when it beats the best so far by more than ``min_delta``.
+    A run trains at most ``max_epochs`` epochs and each counts once (a repeated log line by
+    its lowest score), which bounds the folded array. An epoch improves when it beats the
+    best so far by more than ``min_delta``.
     """
-    e = log.where(F.col("epoch") <= max_epochs).groupBy("run").agg(
+    once = log.where(F.col("epoch").between(1, max_epochs)).groupBy("run", "epoch").agg(
+        F.min("val_rmse").alias("val_rmse"))
+    e = once.groupBy("run").agg(
         F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("long").alias("epoch"),
                                              F.col("val_rmse").cast("double").alias("score")))).alias("h"))
     zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"),

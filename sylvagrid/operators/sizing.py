@@ -8,6 +8,9 @@ An input that cannot be estimated counts as large.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialize
 
 SMALL_BYTES = 64 * 1024 * 1024
 
@@ -22,3 +25,25 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     size = estimated_bytes(df)
     return size is not None and size <= limit
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A small input as it is; a large one written once, for a plan that reads it repeatedly."""
+    return df if is_small(df) else materialize(df)
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
+    """An aggregated side table, hinted for broadcast only when it is known to be short.
+
+    A table from a small input cannot be long. Otherwise it is written once, counted, and
+    left to a shuffled join when it has more than ``max_rows`` rows. The count comes back
+    when it is known.
+    """
+    if is_small(df):
+        return F.broadcast(df), None
+    m = materialize(df)
+    n = m.count()
+    return (F.broadcast(m) if n <= max_rows else m), n

@@ -145,6 +145,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        # The views cast zone-less timestamps; the operators assume UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

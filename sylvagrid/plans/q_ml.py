@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CHANNELS, SEEDS, VARIANT_CHANNELS, VARIANT_ORDER
-from ..operators import metrics, modelling
+from ..constants import CHANNELS, VARIANT_CHANNELS, VARIANT_ORDER
+from ..operators import fusion, metrics, modelling
 from .registry import query, r, rounded
 
 # Signal share of each channel in the derived feature table.
@@ -77,8 +77,7 @@ def ml4(t):
 
 @query("ml5_variant_seed_grid")
 def ml5(t):
-    jobs = modelling.run_grid(("s1_only", "s2_only", "early"), SEEDS)
-    scored = modelling.score_all(modelling.fit_grid(train(t), jobs), test(t))
+    scored = fusion.score_grid(fusion.fit_linear_grid(train(t)), test(t))
     return rounded(metrics.overall(scored), [f"{m}_{s}" for m in metrics.MEASURES for s in ("mean", "std")], 3)
 
 
@@ -106,5 +105,5 @@ def scr1(t):
 @query("scr2_score_all", f"""SELECT v.variant, v.seed, ({N_TEST}) AS n FROM (VALUES ('late', 42), ('late', 7), ('late', 123),
   ('s2_only', 7), ('s1_only', 7), ('early', 7)) v(variant, seed)""")
 def scr2(t):
-    models = modelling.fit_grid(train(t), modelling.map_jobs())
-    return modelling.score_all(models, test(t)).groupBy("variant", "seed").agg(F.count(F.lit(1)).alias("n"))
+    models = fusion.fit_linear_grid(train(t), modelling.map_jobs())
+    return fusion.score_grid(models, test(t)).groupBy("variant", "seed").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from ..constants import BEAMS
 from ..functions import geo
 from ..functions.cleaning import clip
 from ..operators import patches, ranking, scenes, shots
+from ..operators.sizing import settle
 from ..session import scratch_path
 from ..sources import readers, writers
 from .fixtures import BLOCK, CELL, YEARS
@@ -47,7 +48,7 @@ def extracted(t):
 
 
 def assigned(t):
-    return patches.stratified_block_split(extracted(t), size=BLOCK)
+    return patches.stratified_block_split(settle(extracted(t)), size=BLOCK)
 
 
 @query("split_summary", f"""WITH {SPLIT_SQL}
@@ -297,15 +298,26 @@ def win2(t):
     return shots.thin_per_cell(shots.year_filter(t.fx_shots, YEARS), CELL, 42).select("shot_number", "agbd", "year_")
 
 
-@query("win8_running_total", """WITH g AS (SELECT acq_datetime, granule, COUNT(*) AS kept FROM fx_shots
+WIN8_SQL = """WITH g AS (SELECT acq_datetime, granule, COUNT(*) AS kept FROM fx_shots
   WHERE granule LIKE 'GEDI04_A_%' GROUP BY ALL)
 SELECT CAST(acq_datetime AS VARCHAR) AS acquired, granule, kept,
-  CAST(SUM(kept) OVER (ORDER BY acq_datetime, granule ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_kept FROM g""")
-def win8(t):
-    g = t.fx_shots.where(F.col("granule").startswith("GEDI04_A_")).groupBy("acq_datetime", "granule").agg(
+  CAST(SUM(kept) OVER (ORDER BY acq_datetime, granule ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_kept FROM g"""
+
+
+def granule_totals(t):
+    return t.fx_shots.where(F.col("granule").startswith("GEDI04_A_")).groupBy("acq_datetime", "granule").agg(
         F.count(F.lit(1)).alias("kept"))
-    out = ranking.running_total(g, F.date_trunc("month", "acq_datetime"), ["acq_datetime", "granule"],
-                                "kept", "total_kept")
+
+
+@query("win8_running_total", WIN8_SQL)
+def win8(t):
+    out = ranking.running_total(granule_totals(t), ["acq_datetime", "granule"], "kept", "total_kept")
+    return out.withColumn("acquired", F.col("acq_datetime").cast("string")).drop("acq_datetime")
+
+
+@query("win8_running_total_ranges", WIN8_SQL)
+def win8b(t):
+    out = ranking.running_total(granule_totals(t), ["acq_datetime", "granule"], "kept", "total_kept", small=False)
     return out.withColumn("acquired", F.col("acq_datetime").cast("string")).drop("acq_datetime")
 
 

@@ -35,10 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     Only where it is unset (a local test session) a temporary folder is made and
     registered, and only for a local master.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -59,7 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
     Used where several branches read one expensive intermediate: the files survive
     executor loss and every branch sees the same rows.
     """
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -112,13 +112,11 @@ def raster_year(pixels: DataFrame, static: DataFrame, year: int, bands: Collecti
 
 
 def split_rows(patches: DataFrame, split: int) -> DataFrame:
-    """Rows of one split; an empty split is an error raised when the result is read."""
+    """Rows of one split (a pruned partition of the stored table); an empty split is an error."""
     rows = patches.where(F.col("split") == split)
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    checked = n.select(F.when(F.col("_n") > 0, F.col("_n")).otherwise(
-        F.raise_error(F.lit(f"no patches in split {split}")).cast("long")).alias("split_size"))
-    # The one-row side drives the join, so the check also runs for an empty split.
-    return F.broadcast(checked).join(rows, F.lit(True), "left")
+    if rows.isEmpty():
+        raise ValueError(f"no patches in split {split}")
+    return rows
 
 
 def tile_names(boxes: DataFrame) -> DataFrame:
