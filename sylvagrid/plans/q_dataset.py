@@ -276,11 +276,10 @@ def arr2(t):
     return v.select("shot_number", "turns", "flip_h", r(weighted, 4).alias("positional"))
 
 
-@query("arr3_patch_explode", f"""WITH {WINDOWS_SQL} SELECT u.channel, u.n, u.total FROM (
-  SELECT 'band1' AS channel, COUNT(*) AS n, ROUND(SUM(band1), 3) AS total FROM w JOIN good ON good.shot_number = w.shot_number
-  UNION ALL SELECT 'band2', COUNT(*), ROUND(SUM(band2), 3) FROM w JOIN good ON good.shot_number = w.shot_number
-  UNION ALL SELECT 'elevation_m', COUNT(*), ROUND(SUM(CAST(elevation_m AS FLOAT)::DOUBLE), 3) FROM w JOIN good
-    ON good.shot_number = w.shot_number) u""")
+@query("arr3_patch_explode", f"""WITH {WINDOWS_SQL}, px AS (SELECT w.* FROM w JOIN good ON good.shot_number = w.shot_number),
+l AS (SELECT 'band1' AS channel, band1 AS v FROM px UNION ALL SELECT 'band2', band2 FROM px
+  UNION ALL SELECT 'elevation_m', CAST(elevation_m AS FLOAT)::DOUBLE FROM px)
+SELECT channel, COUNT(*) AS n, ROUND(SUM(v), 3) AS total FROM l GROUP BY 1""")
 def arr3(t):
     return patches.patch_pixels(small_patches(t), BANDS, SIDE).groupBy("channel").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total"))
