@@ -123,7 +123,7 @@ def dense_spread(sums: DataFrame, strata: Sequence[tuple[str, str | None, Sequen
         F.lit(rep).alias("report"), F.lit(lab).alias("stratum"),
         (F.coalesce(F.col(col) == lab, F.lit(False)) if col else F.lit(True)).alias("hit"))
         for rep, col, lab in labels])
-    offered = sums.select("variant", "seed", *SUMS, F.explode(offers).alias("x"))
+    offered = sums.where(F.col("variant").isin(*variants)).select("variant", "seed", *SUMS, F.explode(offers).alias("x"))
     per_seed = metrics_from_sums(offered.groupBy("variant", "seed", "x.report", "x.stratum").agg(
         *[F.coalesce(F.sum(F.when(F.col("x.hit"), F.col(s))), F.lit(0)).alias(s) for s in SUMS]))
     spread = seed_spread(per_seed, ["variant", "report", "stratum"])
@@ -132,7 +132,8 @@ def dense_spread(sums: DataFrame, strata: Sequence[tuple[str, str | None, Sequen
         for v in variants for rep, _, lab in labels])).alias("d")).select("d.*")
     # A variant without any seed: no means, no spread.
     fill = {f"{m}_std": F.when(F.col("n_seeds").isNull(), F.lit(0.0)).otherwise(F.col(f"{m}_std")) for m in MEASURES}
-    return (dims.join(spread, ["variant", "report", "stratum"], "left").withColumns(fill)
+    # At most one row per fixed variant and label.
+    return (dims.join(F.broadcast(spread), ["variant", "report", "stratum"], "left").withColumns(fill)
             .withColumns({"n_seeds": F.coalesce("n_seeds", F.lit(0)), "n_patches": F.coalesce("n_patches", F.lit(0))}))
 
 

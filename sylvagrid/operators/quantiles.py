@@ -93,9 +93,9 @@ def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def _small(t: DataFrame, keys: list[str]) -> DataFrame:
-    # Without keys the table has at most 2 * len(probs) rows; with keys its measured size
-    # decides how it is joined.
-    return t if keys else F.broadcast(t)
+    # Without keys the table has at most 2 * len(probs) rows; with keys that many per
+    # group, and it is counted before it is broadcast.
+    return checked_broadcast(t)[0] if keys else F.broadcast(t)
 
 
 def _native(df: DataFrame, keys: list[str], named: dict[str, tuple[str, float]]) -> DataFrame:
@@ -139,9 +139,12 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[s
     values = sorted({v for v, _ in named.values()})
     large, n_large = checked_broadcast(
         df.groupBy(*keys).count().where(F.col("count") > native_rows).select(*keys))
+    # Rows travel as plain values and meet their group before any buffer is filled: a
+    # serialised percentile buffer per row would be several times the size of the row.
+    narrow = df.select(*keys, *values)
     if n_large == 0:
-        return _native(df, keys, named)
-    small_groups = _native(df.join(large, keys, "left_anti"), keys, named)
+        return _native(narrow.repartition(*keys), keys, named)
+    small_groups = _native(narrow.join(large, keys, "left_anti").repartition(*keys), keys, named)
 
     longer = df.join(large, keys, "left_semi").select(
         *keys, F.explode(F.array(*[

@@ -16,6 +16,7 @@ from ..functions.cleaning import nan_to_null, positive
 from .quantiles import group_medians
 
 PIXEL = ("row_", "col_")
+TILE = 256  # side of a processing tile in pixels
 
 
 def clear_sky(obs: DataFrame, bands: Sequence[str], scl: str = "scl",
@@ -62,22 +63,26 @@ def regrid_bilinear(targets: DataFrame, source: DataFrame, value: str,
                     keys: Sequence[str] = PIXEL, y: str = "sy", x: str = "sx") -> DataFrame:
     """Value of ``source`` at fractional pixel positions (whole numbers are pixel centers).
 
-    Each target meets its (up to) four neighbours through exact pixel keys, an equi-join;
-    missing neighbours give their weight up, as nodata does.
+    The source is folded into quads, the four values around each gap between pixel
+    centers, and every target meets its one quad in an equi-join on the quad's key, which
+    the fold has already partitioned by. Missing corners give their weight up, as nodata
+    does.
     """
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    s = source.select(F.explode(F.array(*[
+        F.struct((F.col("row_") - i).alias("_r"), (F.col("col_") - j).alias("_c"), F.lit(2 * i + j).alias("k"),
+                 F.col(value).cast("double").alias("v")) for i, j in corners])).alias("q")).select("q.*")
+    quads = s.where(F.col("v").isNotNull()).groupBy("_r", "_c").agg(
+        *[F.max(F.when(F.col("k") == 2 * i + j, F.col("v"))).alias(f"_v{i}{j}") for i, j in corners])
     r0, c0 = F.floor(y).cast("long"), F.floor(x).cast("long")
-    fy, fx = F.col(y) - r0, F.col(x) - c0
-    corners = F.array(*[
-        F.struct((r0 + i).alias("row_"), (c0 + j).alias("col_"),
-                 ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w"))
-        for i in (0, 1) for j in (0, 1)])
-    t = targets.select(*[F.col(k).alias(f"t_{k}") for k in keys], F.explode(
-        F.filter(corners, lambda k: k["w"] > 0)).alias("k")).select(
-        *[f"t_{k}" for k in keys], "k.row_", "k.col_", "k.w")
-    s = source.select(*PIXEL, F.col(value).alias("v"))
-    w = F.when(F.col("v").isNotNull(), F.col("w"))
-    return t.join(s, list(PIXEL), "left").groupBy(*[F.col(f"t_{k}").alias(k) for k in keys]).agg(
-        F.try_divide(F.sum(w * F.col("v")), F.sum(w)).alias(value))
+    t = targets.select(*keys, r0.alias("_r"), c0.alias("_c"), (F.col(y) - r0).alias("_fy"), (F.col(x) - c0).alias("_fx"))
+    top, total = F.lit(0.0), F.lit(0.0)
+    for i, j in corners:
+        w = (F.col("_fy") if i else 1 - F.col("_fy")) * (F.col("_fx") if j else 1 - F.col("_fx"))
+        ok = F.col(f"_v{i}{j}").isNotNull()
+        top = top + F.when(ok, w * F.col(f"_v{i}{j}")).otherwise(0.0)
+        total = total + F.when(ok, w).otherwise(0.0)
+    return t.join(quads, ["_r", "_c"], "left").select(*keys, F.when(total > 0, top / total).alias(value))
 
 
 def regrid_nearest(targets: DataFrame, source: DataFrame, value: str,
@@ -95,9 +100,34 @@ def with_extent(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(F.max("row_").alias("_last_row"), F.max("col_").alias("_last_col"))))
 
 
+def halo_tiles(pixels: DataFrame, tile: int, half: int) -> DataFrame:
+    """Every pixel once per tile whose halo holds it (mostly one, four at a corner)."""
+    def tiles(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - half) / tile).cast("long"),
+                          F.floor((F.col(c) + half) / tile).cast("long"))
+
+    return (pixels.withColumn("tile_row", F.explode(tiles("row_")))
+            .withColumn("tile_col", F.explode(tiles("col_"))))
+
+
+def gather_tiles(df: DataFrame, keys: Sequence[str], tile: int, half: int) -> DataFrame:
+    """Halo tiles with all pixels of a tile in one partition.
+
+    Windows over the rows and over the columns of a tile then need no further shuffle,
+    and no window is longer than a tile side with its halo, however wide the grid is.
+    """
+    return halo_tiles(df, tile, half).repartition(*keys, "tile_row", "tile_col")
+
+
+def own_pixels(df: DataFrame, tile: int) -> DataFrame:
+    """Drops the halo copies: each pixel is kept by the tile it lies in."""
+    return df.where((F.floor(F.col("row_") / tile) == F.col("tile_row"))
+                    & (F.floor(F.col("col_") / tile) == F.col("tile_col"))).drop("tile_row", "tile_col")
+
+
 def _gradient(along: str, across: str, value: str, last: Column, step: float) -> Column:
     """Central difference with one-sided ends; NULL next to a missing pixel."""
-    w = Window.partitionBy(across).orderBy(along)
+    w = Window.partitionBy("tile_row", "tile_col", across).orderBy(along)
     at = F.col(along)
     prev = F.when(F.lag(along).over(w) == at - 1, F.lag(value).over(w))
     nxt = F.when(F.lead(along).over(w) == at + 1, F.lead(value).over(w))
@@ -107,42 +137,47 @@ def _gradient(along: str, across: str, value: str, last: Column, step: float) ->
 
 
 def slope(df: DataFrame, height: int | None = None, width: int | None = None, value: str = "elevation_m",
-          step: float = 10.0, out: str = "slope_deg") -> DataFrame:
-    """Slope in degrees. One raster row, then one raster column, is the window partition,
-    so the largest group is the grid width or height."""
+          step: float = 10.0, out: str = "slope_deg", tile: int = TILE) -> DataFrame:
+    """Slope in degrees from central differences, one-sided at the edges of the grid."""
     if height is None or width is None:
         g = with_extent(df)
     else:
         g = df.withColumns({"_last_row": F.lit(height - 1), "_last_col": F.lit(width - 1)})
+    g = gather_tiles(g, [], tile, 1)
     g = g.withColumn("_dx", _gradient("col_", "row_", value, F.col("_last_col"), step))
     g = g.withColumn("_dy", _gradient("row_", "col_", value, F.col("_last_row"), step))
     deg = F.degrees(F.atan(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))))
-    return g.withColumn(out, F.when(F.col(value).isNotNull(), deg)).drop(
-        "_dx", "_dy", "_last_row", "_last_col")
+    return own_pixels(g.withColumn(out, F.when(F.col(value).isNotNull(), deg)).drop(
+        "_dx", "_dy", "_last_row", "_last_col"), tile)
 
 
-def focal_sums(df: DataFrame, values: Sequence[str], half: int, keys: Sequence[str] = ()) -> DataFrame:
+def focal_sums(df: DataFrame, values: Sequence[str], half: int, keys: Sequence[str] = (),
+               tile: int = TILE) -> DataFrame:
     """Sum, sum of squares and count of the square window around every pixel.
 
     Separable: a moving sum along the columns of each row, then along the rows of each
-    column. Two shuffles whatever the window size, instead of one key per window pixel.
+    column. The pixels travel once, to their tiles, whatever the window size.
     """
     keys = list(keys)
-    across = Window.partitionBy(*keys, "row_").orderBy("col_").rangeBetween(-half, half)
-    down = Window.partitionBy(*keys, "col_").orderBy("row_").rangeBetween(-half, half)
+    place = [*keys, "tile_row", "tile_col"]
+    across = Window.partitionBy(*place, "row_").orderBy("col_").rangeBetween(-half, half)
+    down = Window.partitionBy(*place, "col_").orderBy("row_").rangeBetween(-half, half)
     parts = {}
     for v in values:
         parts[f"{v}__s"] = F.col(v)
         parts[f"{v}__q"] = F.col(v) * F.col(v)
         parts[f"{v}__n"] = F.col(v).isNotNull().cast("long")
-    d = df.select(*df.columns, *[e.alias(k) for k, e in parts.items()])
-    d = d.select(*df.columns, *[F.sum(k).over(across).alias(k) for k in parts])
-    return d.select(*df.columns, *[F.sum(k).over(down).alias(k) for k in parts])
+    d = gather_tiles(df, keys, tile, half)
+    columns = d.columns
+    d = d.select(*columns, *[e.alias(k) for k, e in parts.items()])
+    d = d.select(*columns, *[F.sum(k).over(across).alias(k) for k in parts])
+    return own_pixels(d.select(*columns, *[F.sum(k).over(down).alias(k) for k in parts]), tile)
 
 
-def focal_stats(df: DataFrame, values: Sequence[str], half: int, keys: Sequence[str] = ()) -> DataFrame:
+def focal_stats(df: DataFrame, values: Sequence[str], half: int, keys: Sequence[str] = (),
+                tile: int = TILE) -> DataFrame:
     """Window mean, population std and valid count of every pixel."""
-    s = focal_sums(df, values, half, keys)
+    s = focal_sums(df, values, half, keys, tile)
     cols = []
     for v in values:
         n = F.col(f"{v}__n")
@@ -180,16 +215,6 @@ def band_stats(df: DataFrame, bands: Sequence[str], positive_only: bool = False)
         "x.*", (F.col("x.n_valid") * 100.0 / F.col("total")).alias("valid_pct"))
 
 
-def halo_tiles(pixels: DataFrame, tile: int, half: int) -> DataFrame:
-    """Every pixel once per tile whose halo holds it (mostly one, four at a corner)."""
-    def tiles(c: str) -> Column:
-        return F.sequence(F.floor((F.col(c) - half) / tile).cast("long"),
-                          F.floor((F.col(c) + half) / tile).cast("long"))
-
-    return (pixels.withColumn("tile_row", F.explode(tiles("row_")))
-            .withColumn("tile_col", F.explode(tiles("col_"))))
-
-
 def grid_shapes(maps: DataFrame, by: str) -> DataFrame:
     return maps.groupBy(by).agg((F.max("row_") + 1).alias("height"), (F.max("col_") + 1).alias("width"))
 

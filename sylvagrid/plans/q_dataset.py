@@ -328,15 +328,15 @@ def utm_sql() -> str:
     return f"""WITH a AS (SELECT shot_number, SIN(RADIANS(lat_lowestmode)) AS s, RADIANS(lon_lowestmode + 9e0) AS lam FROM fx_shots),
 b AS (SELECT shot_number, lam, SINH(ATANH(s) - {UTM_E!r} * ATANH({UTM_E!r} * s)) AS t FROM a),
 c AS (SELECT shot_number, ATAN2(t, COS(lam)) AS xi, ATANH(SIN(lam) / SQRT(1 + t * t)) AS eta FROM b)
-SELECT shot_number, ROUND(500000e0 + {0.9996 * UTM_A!r} * ({east}), 4) AS easting,
-  ROUND({0.9996 * UTM_A!r} * ({north}), 4) AS northing FROM c"""
+SELECT shot_number, ROUND(500000e0 + {0.9996 * UTM_A!r} * ({east}), 2) AS easting,
+  ROUND({0.9996 * UTM_A!r} * ({north}), 2) AS northing FROM c"""
 
 
 @query("mth8_lonlat_to_utm", utm_sql())
 def mth8(t):
     s = t.fx_shots.select("shot_number", "lon_lowestmode", "lat_lowestmode")
     u = shots.with_utm(s)
-    return u.select("shot_number", r("easting", 4).alias("easting"), r("northing", 4).alias("northing"))
+    return u.select("shot_number", r("easting", 2).alias("easting"), r("northing", 2).alias("northing"))
 
 
 @query("mth11_sizes_and_extents", """SELECT granule_ur, ROUND(east - west, 6) AS width_deg, ROUND(north - south, 6) AS height_deg,

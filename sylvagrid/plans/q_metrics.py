@@ -117,12 +117,12 @@ def agg17(t):
                  F.count_distinct("patch_id").alias("n_patches"))
 
 
-@query("agg22_huber", """SELECT variant, ROUND(AVG(l), 6) AS huber_mean, ROUND(SUM(l), 4) AS huber_sum FROM (
+@query("agg22_huber", """SELECT variant, ROUND(AVG(l), 6) AS huber_mean, ROUND(SUM(l), 2) AS huber_sum FROM (
   SELECT variant, CASE WHEN ABS(pred_agbd - true_agbd) <= 30 THEN (pred_agbd - true_agbd) * (pred_agbd - true_agbd) / 2e0
     ELSE 30e0 * (ABS(pred_agbd - true_agbd) - 15e0) END AS l FROM fx_predictions) q GROUP BY 1""")
 def agg22(t):
     return metrics.mean_huber(t.fx_predictions, ["variant"]).select(
-        "variant", r("huber_mean"), F.round("huber_sum", 4).alias("huber_sum"))
+        "variant", r("huber_mean"), F.round("huber_sum", 2).alias("huber_sum"))
 
 
 def cell_sql(col: str, pick: str) -> str:

@@ -12,7 +12,7 @@ from .. import schemas
 from ..constants import AOIS
 from ..functions import geo
 from ..functions.cleaning import clean_columns
-from ..operators.shots import clip_to_box, tag_beam, tag_granule, with_default_pft
+from ..operators.shots import clip_to_box, quality_filter, tag_beam, tag_granule, with_default_pft
 
 
 def aoi_table(spark: SparkSession) -> DataFrame:
@@ -42,12 +42,19 @@ def with_aoi(df: DataFrame, name: str | Column) -> DataFrame:
     return j.withColumn("west", ok).drop("_aoi")
 
 
-def read_shots(spark: SparkSession, path: str, box=None, schema: StructType | None = None) -> DataFrame:
-    """Shot table, optionally clipped; NaN becomes NULL in the measured columns."""
+def read_shots(spark: SparkSession, path: str, box=None, quality: Mapping | None = None,
+               schema: StructType | None = None) -> DataFrame:
+    """Shot table, optionally clipped and quality-filtered ({} for the default thresholds).
+
+    Both filters apply to the stored columns, so they reach the Parquet scan; only then
+    NaN becomes NULL in the measured columns.
+    """
     df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     df = with_default_pft(df)
     if box is not None:
         df = clip_to_box(df, box)
+    if quality is not None:
+        df = quality_filter(df, quality)
     return clean_columns(df, [c for c in ("agbd", "agbd_se", "sensitivity") if c in df.columns])
 
 

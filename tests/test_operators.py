@@ -98,6 +98,27 @@ def test_funnel_is_monotone(spark):
     assert f[0] == 500 and all(a >= b for a, b in zip(f, f[1:])) and f[4] > 0
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    quality_frame(spark).withColumns({"lon_lowestmode": F.lit(1.0), "lat_lowestmode": F.lit(2.0),
+                                      "other": F.lit("x")}).write.parquet(str(tmp_path / "q"))
+    d = readers.read_shots(spark, str(tmp_path / "q"), (0.0, 0.0, 3.0, 3.0), {}).select("shot_number", "agbd")
+    assert rows(d, "shot_number") == [(1,)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    scan = readers.read_shots(spark, str(tmp_path / "q"), (0.0, 0.0, 3.0, 3.0), {}).select(
+        "shot_number", "agbd")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = scan[scan.index("PushedFilters"):]
+    assert "other" not in scan
+    for part in ("GreaterThanOrEqual(sensitivity,0.95)", "EqualTo(l4_quality_flag,1)", "LessThanOrEqual(lat_lowestmode,3.0)"):
+        assert part in pushed
+
+
+def test_one_shuffle_for_focal_windows(spark, tmp_path):
+    grid_frame(spark, np.ones((6, 6))).write.parquet(str(tmp_path / "g"))
+    f = raster.focal_stats(spark.read.parquet(str(tmp_path / "g")), ["v"], 1)
+    assert f._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_first_land_granule(spark):
     c = spark.createDataFrame([(f"g{i:02d}", 500, 300 if i == 14 else 10) for i in range(20)], "granule STRING, n_total LONG, n_land LONG")
     assert shots.first_land_granule(c, "granule").first()["granule"] == "g14"
@@ -252,15 +273,17 @@ def test_slope_matches_numpy_gradient(spark):
     dy, dx = np.gradient(a, 10.0, 10.0)
     want = np.degrees(np.arctan(np.sqrt(dx ** 2 + dy ** 2)))
     want[np.isnan(a)] = np.nan
-    for size in ({}, {"height": 7, "width": 9}):
+    for size in ({}, {"height": 7, "width": 9}, {"tile": 3}):
         got = to_array(raster.slope(grid_frame(spark, a), value="v", **size), "slope_deg", a.shape)
         np.testing.assert_allclose(got, want, rtol=1e-10)
 
 
-def test_focal_equals_explicit_windows(spark):
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_focal_equals_explicit_windows(spark, tile):
     a = np.random.default_rng(2).normal(0, 3, (8, 6))
     a[2, 2] = np.nan
-    f = raster.focal_stats(grid_frame(spark, a), ["v"], 2)
+    f = raster.focal_stats(grid_frame(spark, a), ["v"], 2, tile=tile)
+    assert f.count() == 48
     mean, n = to_array(f, "v_mean", a.shape), to_array(f, "v_n", a.shape)
     std = to_array(f, "v_std", a.shape)
     for i in range(8):
