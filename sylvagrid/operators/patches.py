@@ -139,6 +139,10 @@ def extract_patches(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
     Incomplete windows (outside the grid or any nodata) are dropped before any array is
     built: nodata pixels are filtered out and short windows fail the count. One group
     collects at most (2 * half + 1)**2 pixels, because a pixel table has unique keys.
+
+    The optimizer does not see how much the windows multiply the centers, so neither they
+    nor the patches may become a broadcast side: the windows are the preserved side of a
+    left join, and the patches are merged with the points on the key they are grouped by.
     """
     side = 2 * half + 1
     w = window_keys(distinct_centers(points), half)
@@ -149,13 +153,16 @@ def extract_patches(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
         for b in bands:
             ok = ok & F.col(b).isNotNull() & (F.col(b) != S2_NODATA) & ~F.isnan(b)
         px = px.where(ok)
+    px = px.withColumn("_hit", F.lit(True))
     cell = F.struct("dr", "dc", *bands)
-    g = w.join(px, ["year", "row_", "col_"], "inner" if drop_incomplete else "left").groupBy(
-        "year", "crow", "ccol").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    if drop_incomplete:
+        cell = F.when(F.col("_hit"), cell)  # the list skips NULL
+    g = w.join(px, ["year", "row_", "col_"], "left").groupBy("year", "crow", "ccol").agg(
+        F.array_sort(F.collect_list(cell)).alias("cells"))
     if drop_incomplete:
         g = g.where(F.size("cells") == side * side)
     flat = F.flatten(F.array(*[F.col("cells")[b].cast("array<float>") for b in bands]))
-    return points.join(g.select("year", "crow", "ccol", flat.alias("patch")), ["year", "crow", "ccol"])
+    return points.join(g.select("year", "crow", "ccol", flat.alias("patch")).hint("merge"), ["year", "crow", "ccol"])
 
 
 def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
@@ -215,7 +222,7 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
     wanted = centers.select(*keys).distinct()
     px = px.join(wanted, keys, "left_semi")
     patches = centers.groupBy(*keys).cogroup(px.groupBy(*keys)).applyInPandas(cut, cut_schema)
-    return points.join(patches, ["year", "crow", "ccol"])
+    return points.join(patches.hint("merge"), ["year", "crow", "ccol"])
 
 
 def patch_pixels(patches: DataFrame, channels: Sequence[str], size: int) -> DataFrame:
@@ -242,10 +249,13 @@ def majority_class(centers: DataFrame, landcover: DataFrame, half: int, ident: S
     """
     c = centers.select(*ident, "crow", "ccol")
     distinct = c.select("crow", "ccol").distinct()
-    counts = (window_keys(distinct, half).join(landcover.select("row_", "col_", "lc_class"), ["row_", "col_"])
+    # A left join, so that the windows (many more rows than estimated) are never broadcast.
+    counts = (read_windows(distinct, landcover, ["lc_class"], half)
               .groupBy("crow", "ccol", "lc_class").agg(F.count(F.lit(1)).alias("n")))
+    inside = F.col("lc_class").isNotNull()
     best = counts.groupBy("crow", "ccol").agg(
-        F.max(F.struct(F.col("n"), (-F.col("lc_class")).alias("neg"))).alias("best"), F.sum("n").alias("total"))
+        F.max(F.when(inside, F.struct(F.col("n"), (-F.col("lc_class")).alias("neg")))).alias("best"),
+        F.sum(F.when(inside, F.col("n"))).alias("total"))
     per_center = best.select("crow", "ccol", (-F.col("best.neg")).cast("int").alias("lc_class"),
                              (F.col("best.n") / F.col("total")).alias("lc_purity"))
     # No overlap with the grid at all: class 0 with purity 0.
