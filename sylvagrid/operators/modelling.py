@@ -81,17 +81,21 @@ class LateFusion:
         return [f"{c}{s}" for c in self.SENSORS[sensor] for s in self.suffixes]
 
     def fit(self, train: DataFrame) -> "LateFusion":
-        t = train.withColumn("fold", fold_of("block_id", self.folds)).withColumn("weight", seed_weights(self.seed))
-        held_out = None
-        for k in range(self.folds):
-            rest, part = t.where(F.col("fold") != k), t.where(F.col("fold") == k)
+        t = train.withColumn("fold", fold_of("block_id", self.folds)).withColumn(
+            "weight", seed_weights(self.seed)).persist()
+        try:
+            held_out = None
+            for k in range(self.folds):
+                rest, part = t.where(F.col("fold") != k), t.where(F.col("fold") == k)
+                for sensor in self.SENSORS:
+                    m = regression_pipeline(self._columns(sensor), prediction=f"p_{sensor}").fit(rest)
+                    part = m.transform(part).drop("features")
+                held_out = part if held_out is None else held_out.unionByName(part)
             for sensor in self.SENSORS:
-                m = regression_pipeline(self._columns(sensor), prediction=f"p_{sensor}").fit(rest)
-                part = m.transform(part).drop("features")
-            held_out = part if held_out is None else held_out.unionByName(part)
-        for sensor in self.SENSORS:
-            self.models[sensor] = regression_pipeline(self._columns(sensor), prediction=f"p_{sensor}").fit(t)
-        self.top = regression_pipeline([f"p_{s}" for s in self.SENSORS]).fit(held_out)
+                self.models[sensor] = regression_pipeline(self._columns(sensor), prediction=f"p_{sensor}").fit(t)
+            self.top = regression_pipeline([f"p_{s}" for s in self.SENSORS]).fit(held_out)
+        finally:
+            t.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def ml2(t):
 
 @query("ml3_late_fusion")
 def ml3(t):
-    m = modelling.LateFusion(42).fit(train(t).persist())
+    m = modelling.LateFusion(42).fit(train(t))
     return evaluated(m.transform(test(t)), "late", 42)
 
 

@@ -67,6 +67,14 @@ def src1(t):
         "shot_number", "lon_lowestmode", "lat_lowestmode", "agbd")
 
 
+def beam_tables(t, columns=None):
+    """One stored table per beam; together they are read once."""
+    path = scratch_path(t.spark, "beams")
+    s = t.fx_shots if columns is None else t.fx_shots.select("beam", *columns)
+    writers.write_partitioned(s, path, ["beam"])
+    return {b: t.spark.read.parquet(f"{path}/beam={b}") for b in BEAMS}
+
+
 TAGS_SQL = """CASE WHEN granule LIKE 'GEDI04_A_%' THEN CAST(make_timestamp(CAST(SUBSTR(granule, 10, 4) AS BIGINT), 1, 1,
     CAST(SUBSTR(granule, 17, 2) AS BIGINT), CAST(SUBSTR(granule, 19, 2) AS BIGINT),
     CAST(SUBSTR(granule, 21, 2) AS DOUBLE)) + to_days(CAST(SUBSTR(granule, 14, 3) AS INTEGER) - 1) AS VARCHAR) END"""
@@ -77,8 +85,7 @@ TAGS_SQL = """CASE WHEN granule LIKE 'GEDI04_A_%' THEN CAST(make_timestamp(CAST(
   beam, beam IN ('BEAM0101', 'BEAM0110', 'BEAM1000', 'BEAM1011') AS is_power_beam, COUNT(*) AS n
 FROM fx_shots WHERE {IN_BOX} GROUP BY ALL""")
 def src2(t):
-    s = t.fx_shots.drop("acq_datetime")
-    parts = {b: s.where(F.col("beam") == b).drop("beam") for b in BEAMS}
+    parts = beam_tables(t, ["shot_number", "lon_lowestmode", "lat_lowestmode", "pft_class", "granule"])
     u = shots.tag_granule(shots.clip_to_box(readers.union_beams(parts), BOX))
     return u.groupBy("granule", "acq_datetime", "orbit", "beam", "is_power_beam").agg(
         F.count(F.lit(1)).alias("n")).withColumn("acquired", F.col("acq_datetime").cast("string")).drop("acq_datetime")
@@ -88,9 +95,8 @@ def src2(t):
   SELECT beam, pft_class FROM fx_shots WHERE beam = 'BEAM0000'
   UNION ALL SELECT beam, -1 FROM fx_shots WHERE beam = 'BEAM1011') q GROUP BY 1, 2""")
 def src3(t):
-    s = t.fx_shots
-    u = readers.union_beams({"BEAM0000": s.where(F.col("beam") == "BEAM0000").drop("beam"),
-                             "BEAM1011": s.where(F.col("beam") == "BEAM1011").drop("beam", "pft_class")})
+    parts = beam_tables(t, ["shot_number", "pft_class"])
+    u = readers.union_beams({"BEAM0000": parts["BEAM0000"], "BEAM1011": parts["BEAM1011"].drop("pft_class")})
     return u.groupBy("beam", "pft_class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -273,8 +279,7 @@ def jn16(t):
 
 @query("set1_union_all", """SELECT beam, COUNT(*) AS n, MIN(shot_number) AS first_shot FROM fx_shots GROUP BY beam""")
 def set1(t):
-    s = t.fx_shots.drop("pft_class")
-    return readers.union_beams({b: s.where(F.col("beam") == b).drop("beam") for b in BEAMS}).groupBy("beam").agg(
+    return readers.union_beams(beam_tables(t, ["shot_number"])).groupBy("beam").agg(
         F.count(F.lit(1)).alias("n"), F.min("shot_number").alias("first_shot"))
 
 

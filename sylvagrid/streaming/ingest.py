@@ -78,10 +78,13 @@ def quarantine(stream: DataFrame, checks: Mapping[str, Column], good: str, bad:
     reason = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()])
 
     def route(df: DataFrame, batch: int) -> None:
-        tagged = df.withColumn("reason", reason)
-        tagged.where(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(
-            f"{good}/batch={batch:09d}")
-        tagged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{bad}/batch={batch:09d}")
+        tagged = df.withColumn("reason", reason).persist()  # the batch is read once for both outputs
+        try:
+            tagged.where(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(
+                f"{good}/batch={batch:09d}")
+            tagged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{bad}/batch={batch:09d}")
+        finally:
+            tagged.unpersist()
 
     drain_batches(stream, route, checkpoint)
 
