@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +17,16 @@ from ..functions.text import landcover_name
 from ..session import materialize
 from .quantiles import NATIVE_GROUP_ROWS, table_quantiles
 from .ranking import hashed_rank
-from .raster import halo_tiles
+from .raster import TILE, focal_sums, halo_tiles
 from .shots import label_cap, thin_per_cell, year_filter
 from .sizing import is_small
 
 
 def extraction_table(shots: DataFrame, years=VALID_YEARS, cap: float = LABEL_CAP,
-                     cell: float = CELL_M, seed: int = 42) -> DataFrame:
-    """Year filter, label cap and thinning of projected shots."""
-    return thin_per_cell(label_cap(year_filter(shots, years), cap), cell, seed)
+                     cell: float = CELL_M, seed: int = 42,
+                     keep: Sequence[str] | None = ("shot_number", "agbd", "easting", "northing", "year_")) -> DataFrame:
+    """Year filter, label cap and thinning of projected shots, reduced to ``keep``."""
+    return thin_per_cell(label_cap(year_filter(shots, years), cap), cell, seed, keep=keep)
 
 
 def with_blocks(df: DataFrame, size: float = BLOCK_M, x: str = "easting", y: str = "northing") -> DataFrame:
@@ -149,10 +150,7 @@ def extract_patches(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
     px = pixels.select("year", "row_", "col_", *bands)
     if drop_incomplete:
         # Only complete pixels count; the Parquet reader also skips by the null statistics.
-        ok = F.lit(True)
-        for b in bands:
-            ok = ok & F.col(b).isNotNull() & (F.col(b) != S2_NODATA) & ~F.isnan(b)
-        px = px.where(ok)
+        px = px.where(valid_pixel(bands))
     px = px.withColumn("_hit", F.lit(True))
     cell = F.struct("dr", "dc", *bands)
     if drop_incomplete:
@@ -199,16 +197,13 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
                 block[i, rows, cols] = np.where(v == S2_NODATA, np.nan, v)
         if fills is not None:
             block = np.where(np.isnan(block), fills[:, None, None], block)
-        keep: list[int] = []
-        out: list[np.ndarray] = []
-        for k, (r, c) in enumerate(zip(left["crow"].to_numpy() - r0, left["ccol"].to_numpy() - c0)):
-            p = block[:, r - half:r + half + 1, c - half:c + half + 1]
-            if fills is None and np.isnan(p).any():
-                continue
-            keep.append(k)
-            out.append(p.reshape(-1))
-        res = left.iloc[keep][["year", "crow", "ccol"]].reset_index(drop=True)
-        res["patch"] = pd.Series(out, dtype=object)
+        windows = np.lib.stride_tricks.sliding_window_view(block, (side, side), axis=(1, 2))
+        r = left["crow"].to_numpy() - r0 - half
+        c = left["ccol"].to_numpy() - c0 - half
+        cut_out = windows[:, r, c].transpose(1, 0, 2, 3).reshape(len(left), -1)
+        keep = ~np.isnan(cut_out).any(axis=1) if fills is None else np.ones(len(left), dtype=bool)
+        res = left.loc[keep, ["year", "crow", "ccol"]].reset_index(drop=True)
+        res["patch"] = pd.Series(list(cut_out[keep]), dtype=object)
         return res
 
     keys = ["year", "tile_row", "tile_col"]
@@ -242,6 +237,48 @@ def normalisation_table(patches: DataFrame, channels: Sequence[str], size: int)
                                      F.count(v).alias("n_pixels"))
 
 
+def valid_pixel(bands: Sequence[str]) -> Column:
+    """TRUE where no band is missing in any of its codings."""
+    ok = F.lit(True)
+    for b in bands:
+        ok = ok & F.col(b).isNotNull() & (F.col(b) != S2_NODATA) & ~F.isnan(b)
+    return ok
+
+
+def complete_centers(pixels: DataFrame, bands: Sequence[str], half: int, tile: int = TILE) -> DataFrame:
+    """Pixels whose whole window is inside the grid and valid, found without cutting any window."""
+    side = 2 * half + 1
+    v = pixels.select("year", "row_", "col_", F.when(valid_pixel(bands), F.lit(1.0)).alias("_ok"))
+    return focal_sums(v, ["_ok"], half, ["year"], tile).where(F.col("_ok__n") == side * side).select(
+        "year", "row_", "col_")
+
+
+def normalisation_by_weights(points: DataFrame, pixels: DataFrame, bands: Sequence[str], half: int,
+                             tile: int = TILE) -> DataFrame:
+    """The normalisation table of the training patches without the patches.
+
+    A pixel counts once for every training window that covers it, and that number is a
+    moving sum of the training points per pixel. So the statistics are one weighted
+    aggregate over the grid instead of one value per patch pixel. ``points`` has year,
+    crow, ccol and split.
+    """
+    per_center = points.where(F.col("split") == 0).groupBy(
+        "year", F.col("crow").alias("row_"), F.col("ccol").alias("col_")).agg(F.count(F.lit(1)).alias("_c"))
+    centers = complete_centers(pixels, bands, half, tile).join(per_center, ["year", "row_", "col_"])
+    px = pixels.select("year", "row_", "col_", *[F.col(b).cast("float").cast("double").alias(b) for b in bands])
+    px = px.join(centers, ["year", "row_", "col_"], "left")
+    w = F.col("_c__s")
+    weighted = focal_sums(px, ["_c"], half, ["year"], tile).where(w > 0)
+    sums = weighted.agg(*[x for b in bands for x in (
+        F.sum(w * F.col(b)).alias(f"{b}__s"), F.sum(w * F.col(b) * F.col(b)).alias(f"{b}__q"))],
+        F.sum(w).cast("long").alias("n_pixels"))  # one row
+    stats = F.array(*[F.struct(
+        F.lit(b).alias("channel"), (F.col(f"{b}__s") / F.col("n_pixels")).alias("mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col(f"{b}__q") / F.col("n_pixels")
+                          - F.pow(F.col(f"{b}__s") / F.col("n_pixels"), 2))).alias("std")) for b in bands])
+    return sums.select(F.explode(stats).alias("x"), "n_pixels").select("x.channel", "x.mean", "x.std", "n_pixels")
+
+
 def majority_class(centers: DataFrame, landcover: DataFrame, half: int, ident: Sequence[str]) -> DataFrame:
     """Most frequent class of the window clipped to the grid, ties to the smallest code.
 

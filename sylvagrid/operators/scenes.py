@@ -77,7 +77,7 @@ def scene_status(scenes: DataFrame, jobs: DataFrame, files: DataFrame) -> DataFr
 
     Jobs and files are reduced to one row per scene (combined map-side) before the joins.
     """
-    job = newest(jobs, ["granule"], "request_time", "job_id").select(
+    job = newest(jobs.select("granule", "request_time", "job_id", "status_code"), ["granule"], "request_time", "job_id").select(
         F.col("granule").alias("scene_name"), "status_code")
     disk = scene_files(files).withColumn("on_disk", F.lit(True))
     j = scenes.join(job, "scene_name", "left").join(disk, "scene_name", "left")
@@ -111,7 +111,8 @@ def schedule(spark_df: DataFrame, variants: Sequence[str], seeds: Sequence[int])
 
 def run_status(plan: DataFrame, state: DataFrame, results: DataFrame) -> DataFrame:
     """Schedule with the orchestration state and the newest result of each run."""
-    last = newest(results.where(~F.col("is_sweep")), ["name"], "created_at", "run_id")
+    real = results.where(~F.col("is_sweep")).select("name", "created_at", "run_id", "run_state", "best_val_rmse")
+    last = newest(real, ["name"], "created_at", "run_id")
     j = plan.join(state.select("name", "status"), "name", "left").join(
         last.select("name", "run_state", "best_val_rmse"), "name", "left")
     orch = F.coalesce("status", F.lit("pending"))

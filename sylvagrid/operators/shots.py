@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import LABEL_CAP, POWER_BEAMS, QUALITY_DEFAULTS, VALID_YEARS
 from ..functions import geo, times
 from ..functions.cleaning import nan_to_null
+from ..functions.text import hash_order
 from .ranking import pick_one
 
 
@@ -120,8 +121,6 @@ def funnel(df: DataFrame, years: Collection[int], cap: float, cell_size: float,
     The scan is combined per thinning cell: a cell yields its three row counts and the
     one shot that survives the thinning, which is then tested against the grid edge.
     """
-    from ..functions.text import hash_order
-
     in_year = F.coalesce(F.col("year_").isin(*years), F.lit(False))
     kept = in_year & F.coalesce((F.col("agbd") <= cap) & ~F.isnan("agbd"), F.lit(False))
     cells = df.withColumn("year_", acquisition_year(df.columns)).select(
@@ -144,11 +143,14 @@ def funnel(df: DataFrame, years: Collection[int], cap: float, cell_size: float,
 
 
 def thin_per_cell(df: DataFrame, cell_size: float, seed: int, ident: str = "shot_number",
-                  x: str = "easting", y: str = "northing") -> DataFrame:
-    """At most one pseudo-random shot per square cell anchored at (0, 0)."""
-    from ..functions.text import hash_order
+                  x: str = "easting", y: str = "northing", keep: Sequence[str] | None = None) -> DataFrame:
+    """At most one pseudo-random shot per square cell anchored at (0, 0).
 
+    A picked row travels whole, so name the columns to ``keep`` and only those are read.
+    """
     cells = df.withColumns({"_cx": geo.cell_index(x, cell_size), "_cy": geo.cell_index(y, cell_size)})
+    if keep is not None:
+        cells = cells.select("_cx", "_cy", *dict.fromkeys([ident, *keep]))
     return pick_one(cells, ["_cx", "_cy"], [hash_order(seed, ident), F.col(ident)]).drop("_cx", "_cy")
 
 

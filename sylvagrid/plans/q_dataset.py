@@ -31,10 +31,10 @@ def dst2(t):
     return patches.with_blocks(t.fx_shots, BLOCK).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dst3_quantile_strata", f"WITH {SPLIT_SQL} SELECT block_id, ROUND(m, 6) AS block_mean, stratum FROM strat")
+@query("dst3_quantile_strata", f"WITH {SPLIT_SQL} SELECT block_id, ROUND(m, 9) AS block_mean, stratum FROM strat")
 def dst3(t):
     means = patches.block_means(patches.with_blocks(extracted(t), BLOCK))
-    return patches.block_strata(means).select("block_id", r("block_mean"), "stratum")
+    return patches.block_strata(means).select("block_id", r("block_mean", 9).alias("block_mean"), "stratum")
 
 
 @query("dst4_block_split", f"WITH {SPLIT_SQL} SELECT shot_number, block_id, split FROM assigned")
@@ -48,9 +48,9 @@ def dst5(t):
     return patches.leaking_blocks(assigned(t)).agg(F.count(F.lit(1)).alias("leaking"))
 
 
-@query("agg16_block_mean", f"""WITH {SPLIT_SQL} SELECT block_id, ROUND(m, 6) AS block_mean FROM bm""")
+@query("agg16_block_mean", f"""WITH {SPLIT_SQL} SELECT block_id, ROUND(m, 9) AS block_mean FROM bm""")
 def agg16(t):
-    return patches.block_means(patches.with_blocks(extracted(t), BLOCK)).select("block_id", r("block_mean"))
+    return patches.block_means(patches.with_blocks(extracted(t), BLOCK)).select("block_id", r("block_mean", 9).alias("block_mean"))
 
 
 @query("win3_ranked_cut", """WITH rk AS (SELECT patch_id, lc_class, ROW_NUMBER() OVER (PARTITION BY lc_class
@@ -144,6 +144,12 @@ def agg12(t):
     return rounded(patches.normalisation_table(labelled(t), BANDS, SIDE), ["mean", "std"])
 
 
+@query("agg12_normalisation_by_weights", NORM_SQL)
+def agg12b(t):
+    p = points(t).withColumn("split", F.when(F.col("shot_number") % 3 == 1, 1).otherwise(0))
+    return rounded(patches.normalisation_by_weights(p, pixels(t), BANDS, HALF), ["mean", "std"])
+
+
 @query("pat3_normalisation_from_meta", NORM_SQL)
 def pat3(t):
     """The table written as nested metadata and read back with the near-zero check."""

@@ -300,7 +300,7 @@ def set3(t):
     ORDER BY md5(CONCAT('42|', CAST(shot_number AS VARCHAR(20)))), shot_number) AS rn
   FROM fx_shots WHERE {YEARS_SQL}) q WHERE rn = 1""")
 def win2(t):
-    return shots.thin_per_cell(shots.year_filter(t.fx_shots, YEARS), CELL, 42).select("shot_number", "agbd", "year_")
+    return shots.thin_per_cell(shots.year_filter(t.fx_shots, YEARS), CELL, 42, keep=["agbd", "year_"])
 
 
 WIN8_SQL = """WITH g AS (SELECT acq_datetime, granule, COUNT(*) AS kept FROM fx_shots

@@ -359,6 +359,22 @@ def test_patches_by_keys_and_by_tiles_agree(spark):
             np.testing.assert_array_equal(np.array(a[r["shot_number"]], dtype="float32"), want)
 
 
+def test_weights_equal_cut_patches(spark):
+    px = raster_years(spark)
+    pts = spark.range(300).select(
+        F.col("id").alias("shot_number"), (F.lit(2020) + F.col("id") % 2).alias("year").cast("int"),
+        F.when(F.col("id") % 3 == 0, 10).otherwise(F.col("id") * 7 % 30).cast("long").alias("crow"),
+        F.when(F.col("id") % 3 == 0, 12).otherwise(F.col("id") * 11 % 26).cast("long").alias("ccol"),
+        (F.col("id") % 4).cast("int").alias("split"))
+    cut = patches.extract_patches(pts, px, ["b1", "b2"], 2)
+    a = {r["channel"]: r for r in patches.normalisation_table(cut, ["b1", "b2"], 5).collect()}
+    b = {r["channel"]: r for r in patches.normalisation_by_weights(pts, px, ["b1", "b2"], 2, tile=8).collect()}
+    for c in ("b1", "b2"):
+        assert a[c]["n_pixels"] == b[c]["n_pixels"] > 0
+        assert a[c]["mean"] == pytest.approx(b[c]["mean"], rel=1e-9)
+        assert a[c]["std"] == pytest.approx(b[c]["std"], rel=1e-5)
+
+
 def test_majority_ties_and_border(spark):
     lc = grid_frame(spark, np.array([[10.0, 10.0, 0.0], [20.0, 20.0, 0.0], [0.0, 0.0, 0.0]]), "lc_class").withColumn(
         "lc_class", F.col("lc_class").cast("int"))
