@@ -111,8 +111,10 @@ def hexbin(df: DataFrame, x: str, y: str, limit: float, grid: int = 60, keys: Se
     sx, sy = (limit + 2 * pad) / grid, (limit + 2 * pad) / ny
     p = df.select(*keys, ((F.col(x) + pad) / sx).alias("u"), ((F.col(y) + pad) / sy).alias("v"))
     i1, j1, i2, j2 = F.rint("u"), F.rint("v"), F.floor("u"), F.floor("v")
-    d1 = F.pow(F.col("u") - i1, 2) + 3 * F.pow(F.col("v") - j1, 2)
-    d2 = F.pow(F.col("u") - i2 - 0.5, 2) + 3 * F.pow(F.col("v") - j2 - 0.5, 2)
+    du1, dv1 = F.col("u") - i1, F.col("v") - j1
+    du2, dv2 = F.col("u") - i2 - 0.5, F.col("v") - j2 - 0.5
+    d1 = du1 * du1 + 3 * (dv1 * dv1)
+    d2 = du2 * du2 + 3 * (dv2 * dv2)
     first = d1 < d2
     hexed = p.select(
         *keys, F.when(first, 0).otherwise(1).alias("lattice"),

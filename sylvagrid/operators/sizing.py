@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SMALL_BYTES = 64 * 1024 * 1024
+# Measured: one percentile buffer wins up to about a million distinct values and loses
+# by a factor of seventeen at twelve million.
+SMALL_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
