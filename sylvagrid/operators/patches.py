@@ -276,7 +276,9 @@ def normalisation_by_weights(points: DataFrame, pixels: DataFrame, bands: Sequen
         F.lit(b).alias("channel"), (F.col(f"{b}__s") / F.col("n_pixels")).alias("mean"),
         F.sqrt(F.greatest(F.lit(0.0), F.col(f"{b}__q") / F.col("n_pixels")
                           - F.pow(F.col(f"{b}__s") / F.col("n_pixels"), 2))).alias("std")) for b in bands])
-    return sums.select(F.explode(stats).alias("x"), "n_pixels").select("x.channel", "x.mean", "x.std", "n_pixels")
+    # Without a training window there is no row, as in the table from patches.
+    return sums.where(F.col("n_pixels") > 0).select(F.explode(stats).alias("x"), "n_pixels").select(
+        "x.channel", "x.mean", "x.std", "n_pixels")
 
 
 def majority_class(centers: DataFrame, landcover: DataFrame, half: int, ident: Sequence[str]) -> DataFrame:
