@@ -120,7 +120,11 @@ def hexbin(df: DataFrame, x: str, y: str, limit: float, grid: int = 60, keys: Se
         *keys, F.when(first, 0).otherwise(1).alias("lattice"),
         F.when(first, i1).otherwise(i2).cast("long").alias("i"),
         F.when(first, j1).otherwise(j2).cast("long").alias("j"))
-    ok = (F.col("i") >= 0) & (F.col("j") >= 0) & F.when(
-        F.col("lattice") == 0, (F.col("i") <= grid) & (F.col("j") <= ny)).otherwise(
-        (F.col("i") < grid) & (F.col("j") < ny))
-    return hexed.where(ok).groupBy(*keys, "lattice", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    # The lattice limits are tested on aggregated copies of the bin: tested on the bin itself
+    # they would move below the aggregate and repeat the distances for every comparison.
+    bins = hexed.groupBy(*keys, "lattice", "i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.min("lattice").alias("_l"), F.min("i").alias("_i"), F.min("j").alias("_j"))
+    inside = (F.col("_i") >= 0) & (F.col("_j") >= 0) & F.when(
+        F.col("_l") == 0, (F.col("_i") <= grid) & (F.col("_j") <= ny)).otherwise(
+        (F.col("_i") < grid) & (F.col("_j") < ny))
+    return bins.where(inside).drop("_l", "_i", "_j")
