@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_clean
+from ..session import scratch_path
+from . import decontam, line_clean, packing, sharding, url_rules, warc
 from .common import table
 
 
@@ -15,10 +16,31 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.find_windows(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.public_encoder())
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = url_rules.labelled_pages(pages, table(spark, sf_dir, "labels"))
+    return url_rules.filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(archives).drop("url", "payload")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_benchmark_decontamination, op9_quality_rules)}
-CHECKS: dict[str, str] = {"op4_benchmark_decontamination": decontam.SQL, "op9_quality_rules": line_clean.SQL}
+    f.__name__: f for f in (
+        op2_packing, op4_benchmark_decontamination, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules)}
+CHECKS: dict[str, str] = {
+    "op4_benchmark_decontamination": decontam.SQL, "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL}
