@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontam, line_clean, packing, sharding, url_rules, warc
+from . import decontam, line_clean, packing, sharding, suffix_dedup, url_rules, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.find_windows(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.public_encoder())
 
@@ -41,6 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_packing, op4_benchmark_decontamination, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules)}
+        op1_suffix_dedup, op2_packing, op4_benchmark_decontamination, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules)}
 CHECKS: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
     "op4_benchmark_decontamination": decontam.SQL, "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL}
