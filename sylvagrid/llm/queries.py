@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, line_clean, packing, sharding, suffix_dedup, url_rules, warc
+from . import decontam, line_clean, packing, sharding, substring_dedup, suffix_dedup, url_rules, warc
 from .common import table
 
 
@@ -24,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.public_encoder())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_long_matches(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labelled = url_rules.labelled_pages(pages, table(spark, sf_dir, "labels"))
@@ -45,7 +51,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_dedup, op2_packing, op4_benchmark_decontamination, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules)}
+        op1_suffix_dedup, op2_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules)}
 CHECKS: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.SQL,
-    "op4_benchmark_decontamination": decontam.SQL, "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL}
+    "op4_benchmark_decontamination": decontam.SQL, "op5_substring_dedup": substring_dedup.SQL,
+    "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL}

@@ -190,7 +190,7 @@ class ByteRule:
         return matches(text, sizes, docs, self.least)
 
 
-def spans_of(text: bytes, found, least: int) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(text: bytes | list[bytes], found, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal ranges to remove: all of a copy (None), else the union of what was found."""
     if found is None:
         n = len(text) if len(text) >= least else 0
