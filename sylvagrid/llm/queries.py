@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, line_clean, packing, sharding, substring_dedup, suffix_dedup, url_rules, warc
+from . import decontam, jaccard_join, line_clean, packing, sharding, substring_dedup, suffix_dedup, url_rules, warc
 from .common import table
 
 
@@ -49,10 +49,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_dedup, op2_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules)}
+        op1_suffix_dedup, op2_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules,
+        op10_jaccard_join)}
 CHECKS: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.SQL,
     "op4_benchmark_decontamination": decontam.SQL, "op5_substring_dedup": substring_dedup.SQL,
-    "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL}
+    "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL,
+    "op10_jaccard_join": jaccard_join.SQL}
