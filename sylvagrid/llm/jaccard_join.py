@@ -33,7 +33,7 @@ from .suffix_dedup import rolling
 
 SHINGLE = 4
 PERCENT = 85
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 WIDE = 5  # half widths of a wide segment; a plain one has 2
 I8, U8 = np.int64, np.uint64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -153,9 +153,12 @@ def _index(shingle: int, percent: int, buckets: int):
                 to = ((sig >> U(1)) % U(buckets)).astype(I8)
                 order = np.lexsort((sig, to))
                 edge = np.searchsorted(to[order], np.arange(buckets + 1))
-                kind = np.uint16 if len(known) < 65536 else np.uint32
-                rows = [(b, known.tobytes(), which[i].astype(kind).tobytes(), sig[i].tobytes())
-                        for b in range(buckets) if len(i := order[edge[b]:edge[b + 1]])]
+                rows = []
+                for b in range(buckets):
+                    if len(i := order[edge[b]:edge[b + 1]]):
+                        used, place = np.unique(which[i], return_inverse=True)
+                        kind = np.uint16 if len(used) < 65536 else np.uint32
+                        rows.append((b, known[used].tobytes(), place.astype(kind).tobytes(), sig[i].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(
                         ("bucket", "known", "which", "sigs"),
@@ -203,8 +206,11 @@ def _tokens(buckets: int):
             to = (mix(token.view(U8)) % U(buckets)).astype(I8)
             order = np.argsort(to, kind="stable")
             edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = [(b, cls.tobytes(), which[i].astype(np.uint32).tobytes(), token[i].tobytes())
-                    for b in range(buckets) if len(i := order[edge[b]:edge[b + 1]])]
+            rows = []
+            for b in range(buckets):
+                if len(i := order[edge[b]:edge[b + 1]]):
+                    used, place = np.unique(which[i], return_inverse=True)
+                    rows.append((b, cls[used].tobytes(), place.astype(np.uint32).tobytes(), token[i].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(
                     ("bucket", "known", "which", "tokens"),

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, jaccard_join, line_clean, packing, sharding, substring_dedup, suffix_dedup, url_rules, warc
+from . import decontam, jaccard_join, line_clean, packing, sharding, substring_dedup, suffix_dedup, toxicity, url_rules, warc
 from .common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find_windows(docs, table(spark, sf_dir, "benchmark")))
@@ -55,7 +61,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_dedup, op2_packing, op4_benchmark_decontamination, op5_substring_dedup, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules,
+        op1_suffix_dedup, op2_packing, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules,
         op10_jaccard_join)}
 CHECKS: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.SQL,
