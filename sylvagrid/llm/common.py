@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK = 4 << 20  # bytes of text hashed at once in a task
+CHUNK = 1 << 20  # bytes of text hashed at once in a task
 U = np.uint64
 
 

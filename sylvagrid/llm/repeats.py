@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import U, mix, parts, texts_of
 
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 HOT = 5_000
 I8, U8, U4 = np.int64, np.uint64, np.uint32
 
