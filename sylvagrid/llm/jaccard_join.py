@@ -240,7 +240,7 @@ def _may_link(percent: int):
 
 
 def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(summary, links): ``summary`` has (doc_id, n_shingles, cls) for every row, ``links`` has the
+    """(summary, links): ``summary`` has (doc_id, _k, n_shingles, cls) for every row, ``links`` has the
     verified pairs (a, b) of classes that connect all that is connected."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_t")).withColumn("_k", F.xxhash64("doc_id", "_t"))
@@ -284,11 +284,10 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     b = apart.select("sig", *[F.col(c).alias(d) for c, d in (("cls", "b"), ("n", "nb"), ("u", "ub"), ("label", "lb"))])
     rest = a.join(b, "sig").where((F.col("la") < F.col("lb")) & _may_link(percent)).select("a", "b").distinct()
     more = verified(rest)
-    return summary.drop("_k"), materialize(links.unionByName(more))
+    return summary, materialize(links.unionByName(more))
 
 
-def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     summary, links = link_classes(docs, shingle, percent)
     labels = components(links)
     classes = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_d"))
@@ -296,7 +295,25 @@ def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = materialize(named)
     least = named.groupBy("label").agg(F.min("_d").alias("component_id"))
     of = named.join(least, "label").select("cls", "component_id")
-    return summary.join(of, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return summary.join(of, "cls", "left").select("doc_id", "_k", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id it reaches by links) of every row."""
+    return _placed(docs, shingle, percent).drop("_k")
+
+
+def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id; all columns stay.
+
+    Rows that share id and text are one document. A null id gives way to any other.
+    """
+    firsts = _placed(docs, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k").distinct()
+    name = "_first"
+    while name in docs.columns:
+        name += "_"
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary"))
+    return docs.join(firsts.withColumnRenamed("_k", name), key == F.col(name), "left_semi")
 
 
 SQL = r"""
