@@ -26,10 +26,10 @@ QUALITY_DEFAULTS = {
 GRANULE_PATTERN = r"GEDI04_A_(\d{4})(\d{3})(\d{2})(\d{2})(\d{2})_O(\d+)_"
 MISSION_EPOCH = "2018-01-01 00:00:00"
 
-# Areas of interest (name, description, west, south, east, north).
+# Areas of interest (name, west, south, east, north).
 AOIS = (
-    ("dev", "MGRS tile 29TNG, central Galicia", -8.5, 42.6, -7.3, 43.6),
-    ("full", "Galicia and western Asturias", -9.5, 41.5, -5.5, 43.5),
+    ("dev", -8.5, 42.6, -7.3, 43.6),
+    ("full", -9.5, 41.5, -5.5, 43.5),
 )
 
 # Channel registry; the order is a contract.
@@ -96,4 +96,6 @@ HUBER_DELTA = 30.0
 MIN_STD = 1e-8
 PATIENCE = 5
 MIN_DELTA = 0.05
-MAX_EPOCHS = 30
+
+# Fixed value: names of the remote jobs that belong to this project.
+JOB_PREFIX = "biomass_s1_"

@@ -11,7 +11,8 @@ from ..constants import ARTIFACT_MIN, LANDCOVER_NAMES, MAP_MAX, MAP_STRIDE, MIN_
 from ..functions.cleaning import clip, valid_mask, zscore
 from ..functions.text import lookup
 from .metrics import agreement_by_bin
-from .quantiles import table_quantiles
+from ..session import materialize
+from .quantiles import columns_quantiles
 from .raster import focal_sums, with_extent
 
 
@@ -79,17 +80,24 @@ def ensemble(maps: DataFrame, n_members: int, value: str = "agbd") -> DataFrame:
         F.when(full, F.avg(value)).alias("mean_agbd"), F.when(full, F.stddev_samp(value)).alias("std_agbd"))
 
 
+def mean_cv() -> Column:
+    """Mean coefficient of variation in per cent, where the mean is above 10."""
+    return F.avg(F.when(F.col("mean_agbd") > 10, F.col("std_agbd") / F.col("mean_agbd") * 100)).alias("cv_mean_pct")
+
+
 def ensemble_summary(ens: DataFrame) -> DataFrame:
-    """Range, mean, median of the mean map; the same and p95 of the deviation; mean CV."""
-    cv = F.when(F.col("mean_agbd") > 10, F.col("std_agbd") / F.col("mean_agbd") * 100)
+    """Range, mean, median of the mean map; the same and p95 of the deviation; mean CV.
+
+    The ensemble is written once; all quantiles of both columns come from the same passes.
+    """
+    ens = materialize(ens)
     basic = ens.agg(
         F.count("mean_agbd").alias("n_valid"), F.min("mean_agbd").alias("mean_min"),
         F.avg("mean_agbd").alias("mean_mean"), F.max("mean_agbd").alias("mean_max"),
         F.min("std_agbd").alias("std_min"), F.avg("std_agbd").alias("std_mean"),
-        F.max("std_agbd").alias("std_max"), F.avg(cv).alias("cv_mean_pct"))
-    q1 = table_quantiles(ens, "mean_agbd", {"mean_median": 0.5})
-    q2 = table_quantiles(ens, "std_agbd", {"std_median": 0.5, "std_p95": 0.95})
-    return basic.crossJoin(F.broadcast(q1)).crossJoin(F.broadcast(q2))  # one row each
+        F.max("std_agbd").alias("std_max"), mean_cv())
+    q = columns_quantiles(ens, {"mean_median": ("mean_agbd", 0.5), "std_median": ("std_agbd", 0.5), "std_p95": ("std_agbd", 0.95)})
+    return basic.crossJoin(F.broadcast(q))  # one row each
 
 
 def valid_extent(df: DataFrame, value: str, pad: int = 2) -> DataFrame:

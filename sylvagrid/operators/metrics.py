@@ -20,14 +20,24 @@ from ..functions.text import lookup, plus_minus
 MEASURES = ("rmse", "mae", "r2", "bias", "rel_rmse_pct")
 
 
+def scored_pair(truth: str = "true_agbd", pred: str = "pred_agbd") -> tuple[Column, Column]:
+    """Label and clipped prediction, both NULL unless both are numbers."""
+    y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
+    both = y.isNotNull() & p.isNotNull() & ~F.isnan(y) & ~F.isnan(p)
+    return F.when(both, y), F.when(both, clip(p, low=0.0))
+
+
 def regression_aggregates(truth: str = "true_agbd", pred: str = "pred_agbd") -> list[Column]:
-    """n and the five measures; predictions are clipped at 0, undefined values are NULL."""
-    y = F.col(truth).cast("double")
-    e = clip(F.col(pred).cast("double"), low=0.0) - y
+    """n and the five measures; predictions are clipped at 0, undefined values are NULL.
+
+    A row without label or prediction (NULL or NaN) counts nowhere, n included.
+    """
+    y, p = scored_pair(truth, pred)
+    e = p - y
     total = F.var_pop(y) * F.count(y)
     rmse = F.sqrt(F.avg(e * e))
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count(y).alias("n"),
         rmse.alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.when(total > 0, 1 - F.sum(e * e) / total).alias("r2"),
@@ -44,11 +54,10 @@ def regression_metrics(df: DataFrame, keys: Sequence[str] = (), truth: str = "tr
 def running_sums(df: DataFrame, keys: Sequence[str] = (), truth: str = "true_agbd",
                  pred: str = "pred_agbd") -> DataFrame:
     """The nine mergeable sums; partial tables can be added up at any time."""
-    y = F.col(truth).cast("double")
-    p = clip(F.col(pred).cast("double"), low=0.0)
+    y, p = scored_pair(truth, pred)
     e = p - y
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sum_y"), F.sum(p).alias("sum_p"),
+        F.count(y).alias("n"), F.sum(y).alias("sum_y"), F.sum(p).alias("sum_p"),
         F.sum(y * y).alias("sum_yy"), F.sum(p * p).alias("sum_pp"), F.sum(y * p).alias("sum_yp"),
         F.sum(F.abs(e)).alias("sum_abs"), F.sum(e * e).alias("sum_sq"), F.sum(e).alias("sum_err"))
 
@@ -123,7 +132,8 @@ def dense_spread(sums: DataFrame, strata: Sequence[tuple[str, str | None, Sequen
         F.lit(rep).alias("report"), F.lit(lab).alias("stratum"),
         (F.coalesce(F.col(col) == lab, F.lit(False)) if col else F.lit(True)).alias("hit"))
         for rep, col, lab in labels])
-    offered = sums.where(F.col("variant").isin(*variants)).select("variant", "seed", *SUMS, F.explode(offers).alias("x"))
+    unlisted = F.when(~F.col("variant").isin(*variants), F.raise_error(F.concat(F.lit("not a listed variant: "), "variant")))
+    offered = sums.where(unlisted.isNull()).select("variant", "seed", *SUMS, F.explode(offers).alias("x"))
     per_seed = metrics_from_sums(offered.groupBy("variant", "seed", "x.report", "x.stratum").agg(
         *[F.coalesce(F.sum(F.when(F.col("x.hit"), F.col(s))), F.lit(0)).alias(s) for s in SUMS]))
     spread = seed_spread(per_seed, ["variant", "report", "stratum"])
@@ -178,7 +188,9 @@ def metric_report(preds: DataFrame, landcover: DataFrame, edges: Sequence[int] =
 
 def mean_huber(df: DataFrame, keys: Sequence[str] = (), delta: float = HUBER_DELTA,
                truth: str = "true_agbd", pred: str = "pred_agbd") -> DataFrame:
-    loss = huber(F.col(pred).cast("double") - F.col(truth).cast("double"), delta)
+    y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
+    error = p - y
+    loss = huber(F.when(~F.isnan(error), error), delta)
     return df.groupBy(*keys).agg(F.avg(loss).alias("huber_mean"), F.sum(loss).alias("huber_sum"))
 
 

@@ -15,11 +15,11 @@ from ..constants import (BLOCK_M, CELL_M, LABEL_CAP, N_STRATA, PATCH_HALF, S2_NO
 from ..functions import geo
 from ..functions.text import landcover_name
 from ..session import materialize
-from .quantiles import NATIVE_GROUP_ROWS, table_quantiles
+from .quantiles import table_quantiles
 from .ranking import hashed_rank
 from .raster import TILE, focal_sums, halo_tiles
 from .shots import label_cap, thin_per_cell, year_filter
-from .sizing import is_small
+from .sizing import checked_broadcast
 
 
 def extraction_table(shots: DataFrame, years=VALID_YEARS, cap: float = LABEL_CAP,
@@ -45,9 +45,9 @@ def block_means(df: DataFrame, label: str = "agbd") -> DataFrame:
         "block_id", (F.col("_s") / F.col("n_shots")).alias("block_mean"), "n_shots")
 
 
-def block_strata(means: DataFrame, n_strata: int = N_STRATA, small: bool | None = None) -> DataFrame:
+def block_strata(means: DataFrame, n_strata: int = N_STRATA) -> DataFrame:
     """Quantile stratum (0-based) of each block: right-closed bins, the ends clipped."""
-    edges = table_quantiles(means, "block_mean", {f"_e{k}": k / n_strata for k in range(1, n_strata)}, small)
+    edges = table_quantiles(means, "block_mean", {f"_e{k}": k / n_strata for k in range(1, n_strata)})
     above = F.lit(0)
     for k in range(1, n_strata):
         above = above + F.when(F.col("block_mean") > F.col(f"_e{k}"), 1).otherwise(0)
@@ -78,17 +78,13 @@ def stratified_block_split(df: DataFrame, label: str = "agbd", size: float = BLO
     The block side of the join back is one row per block, broadcast when it is counted to
     be short. Beyond that (10 km blocks of the whole Earth are about five million) the
     join is shuffled and a block with a third of all shots is split by its skew handling.
-    ``df`` is read twice; pass a written table or ``settle`` it when it is costly.
+    ``df`` is read twice; pass a written table when it is costly.
     """
     b = with_blocks(df, size)
     means = block_means(b, label)
-    small = is_small(df)
-    if not small:
-        # The block table is read several times below; cut it from the shot scan once.
-        means = materialize(means)
-        small = means.count() <= NATIVE_GROUP_ROWS
-    assigned = block_split(block_strata(means, n_strata, small), train, val, seed).select("block_id", "split")
-    return b.join(F.broadcast(assigned) if small else assigned, "block_id")
+    means = materialize(means)  # read several times below; cut from the shot scan once
+    assigned = block_split(block_strata(means, n_strata), train, val, seed).select("block_id", "split")
+    return b.join(checked_broadcast(assigned)[0], "block_id")
 
 
 def split_summary(df: DataFrame, label: str = "agbd") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.cleaning import clip
-from .quantiles import table_quantiles
+from .quantiles import columns_quantiles, table_quantiles
 from .sizing import checked_broadcast
 
 TAIL = {"q0900": 0.90, "q0950": 0.95, "q0990": 0.99, "q0995": 0.995, "q0999": 0.999}
@@ -30,9 +30,8 @@ def tail(df: DataFrame, column: str, limits: Sequence[float] = (500, 1000)) -> D
 
 
 def median_ratio(df: DataFrame, numerator: str, denominator: str) -> DataFrame:
-    a = table_quantiles(df, numerator, {"a": 0.5})
-    b = table_quantiles(df, denominator, {"b": 0.5})
-    return a.crossJoin(F.broadcast(b)).select(F.try_divide("a", "b").alias("ratio"))
+    q = columns_quantiles(df, {"a": (numerator, 0.5), "b": (denominator, 0.5)})
+    return q.select(F.try_divide("a", "b").alias("ratio"))
 
 
 def _bucket(v: Column, low: Column, high: Column, bins: int) -> Column:

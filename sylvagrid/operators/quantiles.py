@@ -8,7 +8,8 @@ hot group. ``distributed_quantiles`` finds the same order statistics by narrowin
 2. count per linear sub-bucket inside the few buckets that hold a wanted rank,
 3. count per distinct value inside the few sub-buckets that hold one.
 
-Every step is a map-side combined count, and every window runs over counts.
+Every step is a map-side combined count, and every window runs over counts. NaN is skipped
+like NULL, and a negative zero is a zero.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import checked_broadcast, is_small
+from .sizing import checked_broadcast
 
 _LOG_STEPS = 512        # buckets per unit of log1p: value buckets about 0.2 % wide
 _LINEAR_STEPS = 16384   # sub-buckets per value bucket
 NATIVE_GROUP_ROWS = 1_000_000
 
 
+def _value(name: str) -> Column:
+    """The column as a double without NaN and negative zero."""
+    v = F.col(name).cast("double")
+    return F.when(~F.isnan(v), F.when(v == 0, F.lit(0.0)).otherwise(v))
+
+
 def _log_bucket(v: Column) -> Column:
     # Monotone in v: log1p is semi-monotonic by the Java specification.
     return F.when(v < 0, -F.floor(F.log1p(-v) * _LOG_STEPS) - 1).otherwise(
@@ -32,13 +39,14 @@ def _log_bucket(v: Column) -> Column:
 
 
 def _ranks(n: Column, probs: Sequence[float]) -> Column:
-    """Wanted 0-based ranks as array<struct(p, frac, upper, r)>."""
+    """Wanted 0-based ranks as array<struct(p, weight, upper, r)>."""
     items = []
     for p in probs:
         pos = F.lit(float(p)) * (n - 1)
         frac = pos - F.floor(pos)
         for upper, rank in ((False, F.floor(pos)), (True, F.ceil(pos))):
-            items.append(F.struct(F.lit(float(p)).alias("p"), frac.alias("frac"),
+            weight = frac if upper else F.ceil(pos) - pos
+            items.append(F.struct(F.lit(float(p)).alias("p"), weight.cast("double").alias("weight"),
                                   F.lit(upper).alias("upper"), rank.cast("long").alias("r")))
     return F.array(*items)
 
@@ -61,7 +69,7 @@ def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     Three scans and three map-side combined counts; nothing is kept per input row.
     """
     keys = list(keys)
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+    base = df.select(*keys, _value(value).alias("_v")).where(
         F.col("_v").isNotNull()).withColumn("_b1", _log_bucket(F.col("_v")))
 
     l1 = base.groupBy(*keys, "_b1").agg(
@@ -86,10 +94,12 @@ def distributed_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     t3 = _locate(l3, [*keys, "_b1", "_b2"], "_v", probs)
 
     found = t3.select(*keys, "_v", F.explode("_w").alias("_x"))
-    low = F.max(F.when(~F.col("_x.upper"), F.col("_v")))
-    high = F.max(F.when(F.col("_x.upper"), F.col("_v")))
+    upper = F.col("_x.upper")
+    low, high = F.max(F.when(~upper, F.col("_v"))), F.max(F.when(upper, F.col("_v")))
+    below, above = F.max(F.when(~upper, F.col("_x.weight"))), F.max(F.when(upper, F.col("_x.weight")))
+    # The built-in's own interpolation, so that both ways give the same bits.
     return found.groupBy(*keys, F.col("_x.p").alias("p")).agg(
-        (low + (high - low) * F.max("_x.frac")).alias("q"))
+        F.when(low == high, low).otherwise(below * low + above * high).alias("q"))
 
 
 def _small(t: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,25 +114,26 @@ def _native(df: DataFrame, keys: list[str], named: dict[str, tuple[str, float]])
     for v, p in named.values():
         probs.setdefault(v, []).append(float(p))
     buffers = df.groupBy(*keys).agg(*[
-        F.percentile(F.col(v).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(f"_q_{v}")
+        F.percentile(_value(v), F.array(*[F.lit(p) for p in ps])).alias(f"_q_{v}")
         for v, ps in probs.items()])
     return buffers.select(*keys, *[
         F.col(f"_q_{v}")[probs[v].index(float(p))].alias(n) for n, (v, p) in named.items()])
 
 
-def table_quantiles(df: DataFrame, value: str, named: dict[str, float],
-                    small: bool | None = None) -> DataFrame:
-    """One row: the named quantiles of a whole column.
-
-    A column of a small input (by the optimizer's estimate, or as the caller knows) is put
-    into one buffer; any other goes the distributed way. Both give the same values.
-    """
-    if is_small(df) if small is None else small:
-        return _native(df, [], {n: (value, p) for n, p in named.items()})
+def table_quantiles(df: DataFrame, value: str, named: dict[str, float]) -> DataFrame:
+    """One row: the named quantiles of a whole column."""
     q = distributed_quantiles(df, value, sorted(set(named.values())))
     return q.agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in named.items()])
 
 
+def columns_quantiles(df: DataFrame, named: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: quantiles of several columns from the same three passes (name -> column, p)."""
+    values = sorted({v for v, _ in named.values()})
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), _value(v).alias("_value")) for v in values])).alias("_x")
+    q = distributed_quantiles(df.select(pairs).select("_x.*"), "_value", sorted({p for _, p in named.values()}), ["_name"])
+    return q.agg(*[F.max(F.when((F.col("_name") == v) & (F.col("p") == p), F.col("q"))).alias(n) for n, (v, p) in named.items()])
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[str, float]],
                     native_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
     """Exact quantiles per group: ``named`` maps an output name to (value column, p).
@@ -133,9 +144,6 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[s
     rows / native_rows, and mostly none.
     """
     keys = list(keys)
-    if native_rows > 0 and is_small(df):
-        # No group can be large, so the counting pass is left out.
-        return _native(df, keys, named)
     values = sorted({v for v, _ in named.values()})
     large, n_large = checked_broadcast(
         df.groupBy(*keys).count().where(F.col("count") > native_rows).select(*keys))
@@ -148,7 +156,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[s
 
     longer = df.join(large, keys, "left_semi").select(
         *keys, F.explode(F.array(*[
-            F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_value")) for v in values
+            F.struct(F.lit(v).alias("_name"), _value(v).alias("_value")) for v in values
         ])).alias("_x")).select(*keys, "_x._name", "_x._value")
     q = distributed_quantiles(longer, "_value", sorted({p for _, p in named.values()}), [*keys, "_name"])
     large_groups = q.groupBy(*keys).agg(*[

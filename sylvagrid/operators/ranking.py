@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
 from ..session import materialize
-from .sizing import is_small
 
 
 def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -75,17 +74,13 @@ def hashed_sample(df: DataFrame, n: int, ident: str, seed: int) -> DataFrame:
             .orderBy("_h", ident).limit(n).drop("_h", "_b", "_last"))
 
 
-def running_total(df: DataFrame, order: Sequence[str], value: str, out: str,
-                  small: bool | None = None) -> DataFrame:
+def running_total(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Global running sum over ``order``, whose columns together are unique.
 
-    A small table is summed by one window. A large one is cut into even ranges of the
-    order and written once, so that its ranges stay put; each range is summed by itself
-    and shifted by the total of the ranges before it.
+    The table is cut into even ranges of the order and written once, so that its ranges
+    stay put; each range is summed by itself and shifted by the total of the ranges before.
     """
     upto = (Window.unboundedPreceding, 0)
-    if is_small(df) if small is None else small:
-        return df.withColumn(out, F.sum(value).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(*upto)))
     b = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     totals = b.groupBy("_p").agg(F.sum(value).alias("_t"))  # one row per range
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

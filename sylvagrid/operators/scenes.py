@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from ..constants import JOB_PREFIX
 from ..functions.text import band_kind, run_name
 from .ranking import pick_one
 
@@ -72,12 +73,14 @@ def scene_files(files: DataFrame, scene: str = "scene_name", name: str = "file_n
         F.round(F.sum(size) / 1e6, 1).alias("total_mb"))
 
 
-def scene_status(scenes: DataFrame, jobs: DataFrame, files: DataFrame) -> DataFrame:
+def scene_status(scenes: DataFrame, jobs: DataFrame, files: DataFrame, prefix: str = JOB_PREFIX) -> DataFrame:
     """Each scene with its newest job, its files and one status.
 
-    Jobs and files are reduced to one row per scene (combined map-side) before the joins.
+    Only jobs whose name starts with ``prefix`` count, so that a newer job of another batch
+    decides nothing. Jobs and files are reduced to one row per scene (combined map-side) before the joins.
     """
-    job = newest(jobs.select("granule", "request_time", "job_id", "status_code"), ["granule"], "request_time", "job_id").select(
+    own = jobs.where(F.col("name").startswith(prefix))
+    job = newest(own.select("granule", "request_time", "job_id", "status_code"), ["granule"], "request_time", "job_id").select(
         F.col("granule").alias("scene_name"), "status_code")
     disk = scene_files(files).withColumn("on_disk", F.lit(True))
     j = scenes.join(job, "scene_name", "left").join(disk, "scene_name", "left")
@@ -138,14 +141,14 @@ def already_done(catalogue: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return catalogue.join(done.select(key), key, "left_semi")
 
 
-def best_epochs(log: DataFrame, patience: int, min_delta: float, max_epochs: int) -> DataFrame:
+def best_epochs(log: DataFrame, patience: int, min_delta: float) -> DataFrame:
     """Early stopping replayed per run: best epoch, best score and the last epoch trained.
 
-    A run trains at most ``max_epochs`` epochs and each counts once (a repeated log line by
-    its lowest score), which bounds the folded array. An epoch improves when it beats the
-    best so far by more than ``min_delta``.
+    Each epoch of a run counts once, a repeated log line by its lowest score; a run's epochs
+    are folded as one array. An epoch improves when it beats the best so far by more than
+    ``min_delta``; patience alone ends a run.
     """
-    once = log.where(F.col("epoch").between(1, max_epochs)).groupBy("run", "epoch").agg(
+    once = log.where("epoch >= 1").groupBy("run", "epoch").agg(
         F.min("val_rmse").alias("val_rmse"))
     e = once.groupBy("run").agg(
         F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("long").alias("epoch"),

@@ -1,9 +1,4 @@
-"""Size checks that decide between a one-buffer way and a distributed way.
-
-The optimizer's own size estimate is read before anything runs. For a file scan it starts
-from the file sizes, filters do not lower it and joins multiply it, so it errs upwards.
-An input that cannot be estimated counts as large.
-"""
+"""Broadcasts of tables whose rows have been counted."""
 
 from __future__ import annotations
 
@@ -12,40 +7,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Measured: one percentile buffer wins up to about a million distinct values and loses
-# by a factor of seventeen at twelve million.
-SMALL_BYTES = 16 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no classic plan to ask, e.g. over a remote client
-        return None
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
 BROADCAST_ROWS = 1_000_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A small input as it is; a large one written once, for a plan that reads it repeatedly."""
-    return df if is_small(df) else materialize(df)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
-    """An aggregated side table, hinted for broadcast only when it is known to be short.
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """An aggregated side table, written once and counted, and its count.
 
-    A table from a small input cannot be long. Otherwise it is written once, counted, and
-    left to a shuffled join when it has more than ``max_rows`` rows. The count comes back
-    when it is known.
+    It is hinted for broadcast up to ``max_rows`` rows and left to a shuffled join beyond.
     """
-    if is_small(df):
-        return F.broadcast(df), None
     m = materialize(df)
     n = m.count()
     return (F.broadcast(m) if n <= max_rows else m), n

@@ -64,7 +64,7 @@ FROM {part}""",
 SELECT o_orderkey AS shot_number, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS year,
   (o_orderkey * 7) % (SELECT CAST(FLOOR(MAX(p_partkey) / 50e0) AS BIGINT) + 1 FROM {part}) AS crow,
   (o_orderkey * 13) % 50 AS ccol, o_totalprice * 1.2e0 / 1000e0 AS agbd
-FROM {orders} WHERE EXTRACT(YEAR FROM o_orderdate) IN (1996, 1997)""",
+FROM {orders}""",
     "fx_predictions": """
 SELECT o_orderkey AS patch_id, v.variant AS variant, s.seed AS seed,
   o_totalprice * 1.2e0 / 1000e0 AS true_agbd,
@@ -78,7 +78,7 @@ SELECT o_orderkey AS patch_id,
   CAST(CASE o_custkey % 10 WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 10 WHEN 3 THEN 30 WHEN 4 THEN 30
     WHEN 5 THEN 40 WHEN 6 THEN 20 WHEN 7 THEN 50 WHEN 8 THEN 80 ELSE 90 END AS INT) AS lc_class,
   CAST(25 + (o_orderkey * 17) % 76 AS DOUBLE) / 100e0 AS lc_purity
-FROM {orders} WHERE o_orderkey % 10 <> 9""",
+FROM {orders} WHERE o_orderstatus <> 'P'""",
     "fx_maps": """
 SELECT s.seed AS seed, CAST(FLOOR(p_partkey / 50e0) AS BIGINT) AS row_, p_partkey % 50 AS col_,
   CASE WHEN (p_partkey + s.seed) % 17 = 0 THEN CAST(NULL AS DOUBLE)
@@ -88,11 +88,11 @@ SELECT s.seed AS seed, CAST(FLOOR(p_partkey / 50e0) AS BIGINT) AS row_, p_partke
 FROM {part} CROSS JOIN (VALUES (42), (7), (123)) AS s(seed)""",
     "fx_scenes": """
 SELECT CONCAT('S1_', CAST(event_id AS VARCHAR(20))) AS scene_name,
-  CAST(2020 + event_id % 3 AS INT) AS year, CAST(1 + event_id % 12 AS INT) AS month,
+  CAST(2020 + event_id % 3 AS INT) AS year, CAST(CASE WHEN event_id % 36 = 5 THEN 7 ELSE 1 + event_id % 12 END AS INT) AS month,  -- no scene in June 2022
   CAST(1 + (event_id * 7) % 28 AS INT) AS day, CAST((event_id * 5) % 86400 AS INT) AS second_of_day,
   CASE WHEN event_type IN ('click', 'view') THEN 'ASCENDING' ELSE 'DESCENDING' END AS flight_direction,
   CAST(event_id % 1000 AS BIGINT) * 1000000 AS bytes
-FROM {events} WHERE event_id % 36 <> 5""",
+FROM {events}""",
     "fx_jobs": """
 SELECT event_id AS job_id, CONCAT('S1_', CAST(user_id AS VARCHAR(20))) AS granule,
   CONCAT(CASE WHEN event_id % 5 = 0 THEN 'other_' ELSE 'biomass_s1_' END, CAST(user_id AS VARCHAR(20))) AS name,
@@ -101,11 +101,11 @@ SELECT event_id AS job_id, CONCAT('S1_', CAST(user_id AS VARCHAR(20))) AS granul
   ts AS request_time
 FROM {events}""",
     "fx_files": """
-SELECT CONCAT('S1_', CAST(event_id % 400 AS VARCHAR(20))) AS scene_name,
+SELECT CONCAT('S1_', CAST(event_id % 260 AS VARCHAR(20))) AS scene_name,
   CONCAT('rtc_', CAST(event_id AS VARCHAR(20)), CASE event_id % 7 WHEN 0 THEN '_VV.tif' WHEN 1 THEN '_VH.tif'
     WHEN 2 THEN '_inc_map.tif' WHEN 3 THEN '.zip' WHEN 4 THEN '_DEM.tif' ELSE '.txt' END) AS file_name,
   CAST((event_id * 1009) % 5000000 AS BIGINT) AS size
-FROM {events} WHERE event_id % 400 < 260 AND event_id % 3 <> 0""",
+FROM {events}""",
     "fx_training_log": """
 SELECT user_id AS run, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS epoch,
   value AS val_rmse
@@ -130,9 +130,9 @@ FROM {orders}""",
 SELECT CASE WHEN event_id % 50 = 0 THEN '   '
     ELSE CONCAT('G', CAST((event_id * 3) % 20000 AS VARCHAR(20)), '\t',
       CASE WHEN event_type = 'error' THEN 'download' ELSE 'read' END, '\t', 'message ', event_type) END AS value
-FROM {events} WHERE event_id % 4 = 0""",
+FROM {events}""",
     "fx_done": """
-SELECT CONCAT('G', CAST(o_orderkey AS VARCHAR(20))) AS granule_ur FROM {orders} WHERE o_orderkey % 3 = 0""",
+SELECT CONCAT('G', CAST(o_orderkey AS VARCHAR(20))) AS granule_ur FROM {orders} WHERE o_orderstatus = 'F'""",
 }
 
 

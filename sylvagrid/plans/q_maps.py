@@ -49,7 +49,7 @@ def agg10(t):
 @query("agg11_coefficient_of_variation", f"""WITH {ENS} SELECT ROUND(AVG(CASE WHEN mean_agbd > 10 THEN std_agbd / mean_agbd * 100 END), 6)
   AS cv_mean_pct FROM ens""")
 def agg11(t):
-    return maps.ensemble_summary(ens(t)).select(r("cv_mean_pct"))
+    return ens(t).agg(maps.mean_cv()).select(r("cv_mean_pct"))
 
 
 @query("rst9_ensemble_summary", f"""WITH {ENS} SELECT COUNT(mean_agbd) AS n_valid, ROUND(MIN(mean_agbd), 6) AS mean_min,

@@ -236,8 +236,8 @@ def agg20(t):
     CASE WHEN l.val_rmse < st.best - 0.05e0 THEN l.epoch ELSE st.best_epoch END,
     CASE WHEN l.val_rmse < st.best - 0.05e0 THEN 0 ELSE st.waited + 1 END
   FROM st JOIN fx_training_log l ON l.run = st.run AND l.epoch = st.epoch + 1
-  WHERE st.waited < 5 AND l.epoch <= 30)
+  WHERE st.waited < 5)
 SELECT run, best_epoch, best AS best_rmse, epoch AS last_epoch FROM st
 QUALIFY ROW_NUMBER() OVER (PARTITION BY run ORDER BY epoch DESC) = 1""")
 def win5(t):
-    return scenes.best_epochs(t.fx_training_log, 5, 0.05, 30)
+    return scenes.best_epochs(t.fx_training_log, 5, 0.05)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import clip
 from ..functions.sensors import ndvi
 from ..operators import metrics, profile, quantiles, ranking, shots
 from .registry import query, r, rounded
@@ -23,7 +24,7 @@ def prf1b(t):
     s = t.fx_shots
     m = s.agg(F.count("agbd").alias("count"), r(F.avg("agbd")).alias("mean"), r(F.stddev_samp("agbd")).alias("std"),
               F.min("agbd").alias("min"), F.max("agbd").alias("max"))
-    q = quantiles.table_quantiles(s, "agbd", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, small=False)
+    q = quantiles.table_quantiles(s, "agbd", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return m.crossJoin(F.broadcast(rounded(q, ["q25", "q50", "q75"])))
 
 
@@ -69,13 +70,16 @@ def prf4b(t):
     return profile.histogram_2d(t.fx_shots.where("agbd < 400"), "sensitivity", "agbd", 50)
 
 
-@query("prf5_monthly_counts", """WITH c AS (SELECT CAST(date_trunc('month', acq_datetime) AS DATE) AS m, COUNT(*) AS n
-  FROM fx_shots WHERE EXTRACT(MONTH FROM acq_datetime) <> 3 GROUP BY 1),
+@query("prf5_monthly_counts", """WITH c AS (SELECT CAST(date_trunc('month', CASE WHEN EXTRACT(MONTH FROM acq_datetime) = 3
+  THEN acq_datetime + INTERVAL 1 MONTH ELSE acq_datetime END) AS DATE) AS m, COUNT(*) AS n FROM fx_shots GROUP BY 1),
 ms AS (SELECT CAST(UNNEST(generate_series((SELECT MIN(m) FROM c), (SELECT MAX(m) FROM c), INTERVAL 1 MONTH)) AS DATE) AS m)
 SELECT last_day(ms.m) AS month_end, COALESCE(c.n, 0) AS n, EXTRACT(MONTH FROM ms.m) BETWEEN 4 AND 9 AS growing
 FROM ms LEFT JOIN c ON c.m = ms.m""")
 def prf5(t):
-    return profile.monthly_counts(t.fx_shots.where(F.month("acq_datetime") != 3), "acq_datetime")
+    # March counts as April, so that there are months without rows.
+    at = F.col("acq_datetime").cast("timestamp")
+    moved = F.when(F.month(at) == 3, at + F.expr("interval 1 month")).otherwise(at)
+    return profile.monthly_counts(t.fx_shots.withColumn("acq_datetime", moved), "acq_datetime")
 
 
 @query("prf6_category_counts", """SELECT 'beam' AS category, beam AS value, COUNT(*) AS n FROM fx_shots GROUP BY 2
@@ -117,25 +121,25 @@ def prf10(t):
     return rounded(rounded(d, ["mean", "std", "q25", "q50", "q75"]), ["min", "max"], 9)
 
 
-def hex_sql(src: str, x: str, y: str, limit: int) -> str:
+def hex_sql(src: str, x: str, y: str, limit: int, key: str = "") -> str:
     pad = 1e-9 * limit
-    return f"""WITH p AS (SELECT ({x} + {pad!r}) / (({limit} + 2 * {pad!r}) / 60) AS u,
+    return f"""WITH p AS (SELECT {key}({x} + {pad!r}) / (({limit} + 2 * {pad!r}) / 60) AS u,
   ({y} + {pad!r}) / (({limit} + 2 * {pad!r}) / 34) AS v FROM ({src}) q),
-d AS (SELECT round_even(u, 0) AS i1, round_even(v, 0) AS j1, FLOOR(u) AS i2, FLOOR(v) AS j2,
+d AS (SELECT {key}round_even(u, 0) AS i1, round_even(v, 0) AS j1, FLOOR(u) AS i2, FLOOR(v) AS j2,
   POW(u - round_even(u, 0), 2) + 3 * POW(v - round_even(v, 0), 2) < POW(u - FLOOR(u) - 0.5e0, 2)
   + 3 * POW(v - FLOOR(v) - 0.5e0, 2) AS f FROM p),
-h AS (SELECT CASE WHEN f THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN f THEN i1 ELSE i2 END AS BIGINT) AS i,
+h AS (SELECT {key}CASE WHEN f THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN f THEN i1 ELSE i2 END AS BIGINT) AS i,
   CAST(CASE WHEN f THEN j1 ELSE j2 END AS BIGINT) AS j FROM d)
-SELECT lattice, i, j, COUNT(*) AS n FROM h WHERE i >= 0 AND j >= 0
-  AND CASE WHEN lattice = 0 THEN i <= 60 AND j <= 34 ELSE i < 60 AND j < 34 END GROUP BY 1, 2, 3"""
+SELECT {key}lattice, i, j, COUNT(*) AS n FROM h WHERE i >= 0 AND j >= 0
+  AND CASE WHEN lattice = 0 THEN i <= 60 AND j <= 34 ELSE i < 60 AND j < 34 END GROUP BY {key}lattice, i, j"""
 
 
-@query("prf11_hexbin", hex_sql("SELECT true_agbd, GREATEST(pred_agbd, 0e0) AS p FROM fx_predictions "
-                               "WHERE variant = 'early' AND seed = 7", "true_agbd", "p", 500))
+@query("prf11_hexbin", hex_sql("SELECT variant, true_agbd, GREATEST(pred_agbd, 0e0) AS p FROM fx_predictions "
+                               "WHERE seed = 7", "true_agbd", "p", 500, "variant, "))
 def prf11(t):
-    p = t.fx_predictions.where("variant = 'early' AND seed = 7").select(
-        "true_agbd", F.greatest("pred_agbd", F.lit(0.0)).alias("p"))
-    return profile.hexbin(p, "true_agbd", "p", 500.0)
+    p = t.fx_predictions.where("seed = 7").select(
+        "variant", "true_agbd", clip("pred_agbd", low=0.0).alias("p"))
+    return profile.hexbin(p, "true_agbd", "p", 500.0, keys=["variant"])
 
 
 @query("prf11_hexbin_maps", hex_sql("SELECT ref_agb, agbd FROM fx_maps WHERE seed = 7 AND agbd IS NOT NULL AND ref_agb > 0",

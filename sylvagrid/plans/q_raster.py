@@ -67,7 +67,7 @@ def src9(t):
 
 def yearly(t):
     """Yearly bands: the grid in two years."""
-    years = F.explode(F.array(F.lit(1996), F.lit(1997))).alias("year")
+    years = F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year")
     g = t.fx_grid.select("row_", "col_", "band1", "band2", years)
     return g.withColumn("band1", F.col("band1") + (F.col("year") - 1996))
 
@@ -288,7 +288,7 @@ def jn5(t):
     return p.join(yearly(t), ["year", "row_", "col_"]).select("shot_number", "year", "band1", "band2")
 
 
-@query("jn6_static_join", "SELECT g.row_, g.col_, y.year, g.band2, g.elevation_m FROM fx_grid g CROSS JOIN (VALUES (1996), (1997)) y(year)")
+@query("jn6_static_join", "SELECT g.row_, g.col_, y.year, g.band2, g.elevation_m FROM fx_grid g CROSS JOIN (SELECT CAST(UNNEST(range(1995, 2002)) AS INTEGER) AS year) y")
 def jn6(t):
     return patches.stack_bands(yearly(t), static(t)).select("row_", "col_", "year", "band2", "elevation_m")
 

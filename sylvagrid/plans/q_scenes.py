@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..constants import SEEDS, VARIANT_ORDER
+from ..constants import JOB_PREFIX, SEEDS, VARIANT_ORDER
 from ..functions import geo, times
 from ..operators import scenes
 from ..session import scratch_path
@@ -93,7 +93,7 @@ def jsn1(t):
 @query("win4_newest_job", """SELECT granule, job_id, status_code FROM fx_jobs WHERE name LIKE 'biomass\\_s1\\_%' ESCAPE '\\'
 QUALIFY ROW_NUMBER() OVER (PARTITION BY granule ORDER BY request_time DESC, job_id DESC) = 1""")
 def win4(t):
-    jobs = t.fx_jobs.where(F.col("name").startswith("biomass_s1_"))
+    jobs = t.fx_jobs.where(F.col("name").startswith(JOB_PREFIX))
     return scenes.newest(jobs, ["granule"], "request_time", "job_id").select("granule", "job_id", "status_code")
 
 
@@ -111,6 +111,7 @@ def jn15(t):
 
 
 AUDIT_SQL = f"""WITH {DISK_SQL}, last AS (SELECT granule, status_code FROM fx_jobs
+  WHERE name LIKE 'biomass\\_s1\\_%' ESCAPE '\\'
   QUALIFY ROW_NUMBER() OVER (PARTITION BY granule ORDER BY request_time DESC, job_id DESC) = 1),
 st AS (SELECT s.scene_name, right(s.scene_name, 12) AS short_name, COALESCE(last.status_code, 'NONE') AS job_status,
   disk.scene_name IS NOT NULL AS on_disk, COALESCE(disk.total_mb, 0e0) AS total_mb,

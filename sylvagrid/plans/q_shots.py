@@ -9,8 +9,7 @@ from ..constants import BEAMS
 from ..functions import geo
 from ..functions.cleaning import clip
 from ..operators import patches, ranking, scenes, shots
-from ..operators.sizing import settle
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import readers, writers
 from .fixtures import BLOCK, CELL, YEARS
 from .registry import query, r
@@ -48,7 +47,7 @@ def extracted(t):
 
 
 def assigned(t):
-    return patches.stratified_block_split(settle(extracted(t)), size=BLOCK)
+    return patches.stratified_block_split(materialize(extracted(t)), size=BLOCK)
 
 
 @query("split_summary", f"""WITH {SPLIT_SQL}
@@ -92,11 +91,10 @@ def src2(t):
 
 
 @query("src3_missing_column_default", """SELECT beam, CAST(pft_class AS INTEGER) AS pft_class, COUNT(*) AS n FROM (
-  SELECT beam, pft_class FROM fx_shots WHERE beam = 'BEAM0000'
-  UNION ALL SELECT beam, -1 FROM fx_shots WHERE beam = 'BEAM1011') q GROUP BY 1, 2""")
+  SELECT beam, CASE WHEN beam = 'BEAM1011' THEN -1 ELSE pft_class END AS pft_class FROM fx_shots) q GROUP BY 1, 2""")
 def src3(t):
     parts = beam_tables(t, ["shot_number", "pft_class"])
-    u = readers.union_beams({"BEAM0000": parts["BEAM0000"], "BEAM1011": parts["BEAM1011"].drop("pft_class")})
+    u = readers.union_beams({**parts, "BEAM1011": parts["BEAM1011"].drop("pft_class")})
     return u.groupBy("beam", "pft_class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -112,7 +110,7 @@ def src4(t):
 @query("src5_geo_points", "SELECT shot_number, agbd FROM fx_shots WHERE agbd > 400")
 def src5(t):
     path = scratch_path(t.spark, "geo")
-    # Well-known binary of a little-endian point, as a GeoParquet writer stores it.
+    # The geometry travels as the bytes of "lon lat"; the reader keeps it as it is.
     text = F.concat_ws(" ", F.col("lon_lowestmode").cast("string"), F.col("lat_lowestmode").cast("string"))
     writers.write_table(t.fx_shots.withColumn("geometry", F.encode(text, "UTF-8")), path)
     return readers.read_geo_points(t.spark, path).where("agbd > 400").select("shot_number", "agbd")
@@ -322,7 +320,7 @@ def win8(t):
 
 @query("win8_running_total_ranges", WIN8_SQL)
 def win8b(t):
-    out = ranking.running_total(granule_totals(t), ["acq_datetime", "granule"], "kept", "total_kept", small=False)
+    out = ranking.running_total(granule_totals(t), ["acq_datetime", "granule"], "kept", "total_kept")
     return out.withColumn("acquired", F.col("acq_datetime").cast("string")).drop("acq_datetime")
 
 

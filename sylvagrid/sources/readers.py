@@ -17,7 +17,7 @@ from ..operators.shots import clip_to_box, quality_filter, tag_beam, tag_granule
 
 def aoi_table(spark: SparkSession) -> DataFrame:
     """The named areas of interest (a fixed dimension of two rows)."""
-    rows = [(n, w, s, e, nn) for n, _, w, s, e, nn in AOIS]
+    rows = [(n, w, s, e, nn) for n, w, s, e, nn in AOIS]
     arr = F.array(*[F.struct(F.lit(n).alias("aoi"), F.lit(w).alias("west"), F.lit(s).alias("south"),
                              F.lit(e).alias("east"), F.lit(nn).alias("north")) for n, w, s, e, nn in rows])
     return spark.range(1).select(F.explode(arr).alias("x")).select("x.*")
@@ -25,7 +25,7 @@ def aoi_table(spark: SparkSession) -> DataFrame:
 
 def get_aoi(name: str) -> tuple[float, float, float, float]:
     """(west, south, east, north) of a named area."""
-    for n, _, w, s, e, nn in AOIS:
+    for n, w, s, e, nn in AOIS:
         if n == name:
             return (w, s, e, nn)
     raise KeyError(f"unknown AOI {name!r}; known: {sorted(a[0] for a in AOIS)}")

@@ -18,7 +18,7 @@ def test_beams_and_channels():
     assert len(constants.BEAMS) == 8 and set(constants.POWER_BEAMS) <= set(constants.BEAMS)
     assert len(constants.CHANNELS) == 15
     assert [len(constants.VARIANT_CHANNELS[v]) for v in constants.VARIANT_ORDER] == [5, 12, 15, 15]
-    for _, _, w, s, e, n in constants.AOIS:
+    for _, w, s, e, n in constants.AOIS:
         assert w < e and s < n
 
 

@@ -20,15 +20,6 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*(cols or df.columns)).collect())
 
 
-def force_large(monkeypatch):
-    """Make every input count as large, so that the distributed ways run."""
-    for m in (quantiles, patches, ranking):
-        if hasattr(m, "is_small"):
-            monkeypatch.setattr(m, "is_small", lambda df, limit=0: False)
-    from sylvagrid.operators import sizing
-    monkeypatch.setattr(sizing, "is_small", lambda df, limit=0: False)
-
-
 # ---- points ----
 
 def quality_frame(spark):
@@ -68,15 +59,12 @@ def test_thinning_keeps_one_per_cell_and_ignores_partitioning(spark):
         geo.cell_index("easting", 2000.0), geo.cell_index("northing", 2000.0)).distinct().count()
 
 
-def test_split_properties(spark, monkeypatch):
+def test_split_properties(spark):
     p = point_frame(spark, 3000)
     a = patches.stratified_block_split(p, size=2500.0)
     assert patches.leaking_blocks(a).count() == 0 and a.count() == 3000
     b = patches.stratified_block_split(p.repartition(11, "agbd"), size=2500.0)
     assert rows(a, "shot_number", "split") == rows(b, "shot_number", "split")
-    force_large(monkeypatch)
-    c = patches.stratified_block_split(p, size=2500.0)
-    assert rows(a, "shot_number", "split") == rows(c, "shot_number", "split")
     with pytest.raises(ValueError):
         patches.block_split(a, 0.9, 0.1)
 
@@ -143,10 +131,9 @@ def test_hashed_sample(spark):
     assert ranking.hashed_sample(d, 9999, "id", 42).count() == 5000
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_running_total(spark, small):
+def test_running_total(spark):
     d = spark.range(3000).select("id", (F.col("id") % 7).alias("v"))
-    got = rows(ranking.running_total(d.repartition(9, "v"), ["id"], "v", "s", small=small), "id", "s")
+    got = rows(ranking.running_total(d.repartition(9, "v"), ["id"], "v", "s"), "id", "s")
     want = np.cumsum(np.arange(3000) % 7)
     assert got == [(i, int(w)) for i, w in enumerate(want)]
 
@@ -155,21 +142,19 @@ PROBS = {"a": 0.0, "b": 0.02, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.999, "g": 1.
 
 
 @pytest.mark.parametrize("kind", ["normal", "tail", "ties", "constant", "one", "negative", "wide"])
-@pytest.mark.parametrize("small", [True, False])
-def test_table_quantiles_match_numpy(spark, kind, small):
+def test_table_quantiles_match_numpy(spark, kind):
     g = np.random.default_rng(11)
     v = {"normal": g.normal(0, 50, 4001), "tail": g.lognormal(3, 2, 3000), "ties": g.integers(0, 4, 5000) * 1.0,
          "constant": np.full(700, 7.25), "one": np.array([3.5]), "negative": -g.gamma(2, 9, 2500),
          "wide": 10.0 ** g.uniform(-8, 9, 3000)}[kind]
     df = spark.createDataFrame(pd.DataFrame({"v": v})).unionByName(spark.sql("SELECT CAST(NULL AS DOUBLE) AS v"))
-    got = quantiles.table_quantiles(df, "v", PROBS, small=small).first()
+    got = quantiles.table_quantiles(df, "v", PROBS).first()
     for n, p in PROBS.items():
         assert got[n] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12)
 
 
 @pytest.mark.parametrize("limit", [0, 300, 10**6])
-def test_group_quantiles_with_a_hot_group(spark, monkeypatch, limit):
-    force_large(monkeypatch)
+def test_group_quantiles_with_a_hot_group(spark, limit):
     g = np.random.default_rng(2)
     n = 3000
     key = np.where(np.arange(n) < n // 3, 0, g.integers(1, 40, n))
@@ -185,8 +170,46 @@ def test_group_quantiles_with_a_hot_group(spark, monkeypatch, limit):
         assert (math.isnan(ym) and pd.isna(got.loc[k, "ym"])) or got.loc[k, "ym"] == pytest.approx(ym)
 
 
+def test_quantile_ways_agree_to_the_bit(spark):
+    g = np.random.default_rng(6)
+    odd = [NAN, None, 0.0, -0.0, float("inf"), float("-inf")]
+    data = [(0, float(x)) for x in g.normal(0, 3, 900)] + [(1, x) for x in odd * 3] + [(2, float(i)) for i in range(1, 10)] + [
+        (2, NAN)] * 5 + [(3, NAN), (3, None)] + [(4, float(x)) for x in g.integers(0, 3, 200)] + [(5, -0.0), (5, 0.0)]
+    df = spark.createDataFrame(data, "k INT, v DOUBLE")
+    named = {n: ("v", p) for n, p in PROBS.items()}
+    ways = [{r["k"]: [repr(r[n]) for n in PROBS] for r in quantiles.group_quantiles(df, ["k"], named, limit).collect()} for limit in (0, 50, 10**6)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == 6
+    assert ways[0][2] == [repr(float(x)) for x in np.quantile(np.arange(1.0, 10.0), list(PROBS.values()))] or ways[0][2][3] == "5.0"
+    assert ways[0][3] == ["None"] * len(PROBS)
+    one = quantiles.table_quantiles(df.where("k = 2"), "v", PROBS).first()
+    assert [repr(one[n]) for n in PROBS] == ways[0][2]
+
+
 # ---- metrics ----
 
+def test_unscored_rows_count_nowhere(spark):
+    data = [(1, "late", 42, 10.0, 12.0), (2, "late", 42, 30.0, 20.0), (3, "late", 42, 50.0, None), (4, "late", 42, 70.0, NAN),
+            (5, "late", 42, None, 9.0), (6, "late", 42, NAN, 9.0)]
+    p = preds(spark, data)
+    want = {"n": 2, "rmse": pytest.approx(math.sqrt(52)), "mae": 6.0, "r2": pytest.approx(1 - 104 / 200), "bias": -4.0,
+            "rel_rmse_pct": pytest.approx(math.sqrt(52) / 20 * 100)}
+    assert metrics.regression_metrics(p).first().asDict() == want
+    assert metrics.metrics_from_sums(metrics.running_sums(p)).first().asDict() == want
+    landcover = spark.createDataFrame([(i, 10) for i in range(1, 7)], "patch_id LONG, lc_class INT")
+    report = metrics.metric_report(p, landcover).where("variant = 'late' AND report = 'overall'").first()
+    spread = metrics.overall(p).first()
+    for m in metrics.MEASURES:
+        assert report[f"{m}_mean"] == want[m] and spread[f"{m}_mean"] == want[m]
+    assert report["n_patches"] == spread["n_patches"] == 2
+    assert metrics.by_label_bin(p).where("variant = 'late'").agg(F.sum("n_patches")).first()[0] == 2
+
+
+def test_unlisted_variants_are_an_error(spark):
+    p = preds(spark, [(1, "other", 42, 10.0, 12.0)])
+    with pytest.raises(Exception, match="not a listed variant"):
+        metrics.by_label_bin(p).collect()
+
+
 def preds(spark, data):
     return spark.createDataFrame(data, "patch_id LONG, variant STRING, seed INT, true_agbd DOUBLE, pred_agbd DOUBLE")
 
@@ -444,6 +467,8 @@ def test_scene_status_categories(spark):
     sc = spark.createDataFrame([(x,) for x in "abcdefg"], "scene_name STRING")
     jobs = spark.createDataFrame([(1, "c", "FAILED", 1), (2, "c", "RUNNING", 2), (3, "d", "SUCCEEDED", 1), (4, "e", "FAILED", 1),
                                   (5, "f", "EXPIRED", 1)], "job_id LONG, granule STRING, status_code STRING, request_time INT")
+    jobs = jobs.withColumn("name", F.lit("biomass_s1_x")).unionByName(  # a newer job of another batch decides nothing
+        jobs.limit(1).withColumns({"name": F.lit("other"), "granule": F.lit("c"), "request_time": F.lit(9)}))
     files = spark.createDataFrame([("a", "x_VV.tif", 10), ("a", "x_VH.tif", 10), ("b", "x_vv.tif", 10)],
                                   "scene_name STRING, file_name STRING, size LONG")
     got = dict(rows(scenes.scene_status(sc, jobs, files), "scene_name", "category"))
@@ -452,9 +477,9 @@ def test_scene_status_categories(spark):
 
 
 def test_early_stopping_replay(spark):
-    def replay(scores, patience=2, delta=0.05, most=30):
+    def replay(scores, patience=2, delta=0.05):
         best, best_epoch, wait, last = None, None, 0, 0
-        for e, s in enumerate(scores[:most], 1):
+        for e, s in enumerate(scores, 1):
             last = e
             if best is None or s < best - delta:
                 best, best_epoch, wait = s, e, 0
@@ -467,7 +492,7 @@ def test_early_stopping_replay(spark):
     g = np.random.default_rng(9)
     runs = {f"r{i}": (50 - np.cumsum(g.normal(0.1, 1, 40))).round(3).tolist() for i in range(12)}
     log = spark.createDataFrame([(k, e, s) for k, v in runs.items() for e, s in enumerate(v, 1)], "run STRING, epoch INT, val_rmse DOUBLE")
-    got = {r["run"]: (r["best_epoch"], r["best_rmse"], r["last_epoch"]) for r in scenes.best_epochs(log, 2, 0.05, 30).collect()}
+    got = {r["run"]: (r["best_epoch"], r["best_rmse"], r["last_epoch"]) for r in scenes.best_epochs(log, 2, 0.05).collect()}
     assert got == {k: replay(v) for k, v in runs.items()}
 
 
