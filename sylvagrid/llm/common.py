@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
+
 CHUNK = 1 << 20  # bytes of text hashed at once in a task
 U = np.uint64
 
@@ -16,6 +18,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: compressed, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def parts(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,9 +9,10 @@ empty parts than they make up for indexes the empty ones as well, so that no lin
 
 A set is indexed in its own band and in that of the largest set it can link with. Signatures that
 two or more classes share make candidates. Shingles that no other candidate has bound each pair's
-overlap. Each candidate is first verified against its most frequent pivot; what the links leave
-apart within a signature is verified pair by pair, as far as the bounds allow a link. Verification
-intersects the whole sets of 64-bit shingle hashes.
+overlap. Each candidate is first verified against its most frequent pivot. What the links leave
+apart within a signature is paired by rare shingles: of two sets in different components, the first
+common shingle, the rarest first, must come so early that enough can follow. All pairs that pass are
+verified by intersecting the whole sets of 64-bit shingle hashes.
 
 Words: A-Z lower-cased, runs between ASCII white space. A text of fewer than ``shingle`` words is one
 shingle; null and empty texts have none and link with nothing. Repeated rows share a class.
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U, chunks, mix, parts, ranges, texts_of
+from .common import U, chunks, mix, parts, ranges, texts_of, unused, written
 from .components import components
 from .suffix_dedup import rolling
 
@@ -128,6 +129,17 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(sigs), np.concatenate(which)
 
 
+def packed(sig: np.ndarray) -> bytes:
+    """The low 48 bits of signatures: chance equals only add candidates, which are verified."""
+    return np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _summary(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +170,7 @@ def _index(shingle: int, percent: int, buckets: int):
                     if len(i := order[edge[b]:edge[b + 1]]):
                         used, place = np.unique(which[i], return_inverse=True)
                         kind = np.uint16 if len(used) < 65536 else np.uint32
-                        rows.append((b, known[used].tobytes(), place.astype(kind).tobytes(), sig[i].tobytes()))
+                        rows.append((b, known[used].tobytes(), place.astype(kind).tobytes(), packed(sig[i])))
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(
                         ("bucket", "known", "which", "sigs"),
@@ -170,7 +182,7 @@ def _shared(key, table):
     """Members (sig, cls) of the signatures that two or more classes share, one of them whole."""
     sigs, classes = [np.zeros(0, U8)], [np.zeros(0, I8)]
     for known, which, sig in zip(*(table[c].to_pylist() for c in ("known", "which", "sigs")), strict=True):
-        sigs.append(np.frombuffer(sig, U8))
+        sigs.append(unpacked(sig))
         kind = np.uint16 if len(which) == 2 * len(sigs[-1]) else np.uint32
         classes.append(np.frombuffer(known, I8)[np.frombuffer(which, kind)])
     sig, cls = np.concatenate(sigs), np.concatenate(classes)
@@ -239,6 +251,28 @@ def _may_link(percent: int):
     return room * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (cls, tokens, n, label) with different labels that can still link.
+
+    Only tokens found under two labels can be common; the others take the first places of a set, the
+    rest follow from rare to frequent. The first common token of a pair needs room behind it.
+    """
+    tokens = sets.select("cls", "n", "label", F.explode("tokens").alias("t"))
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("_l"), F.max("label").alias("_h"))
+    common = tokens.join(often.where("_l < _h").select("t", "df"), "t")
+    line = Window.partitionBy("cls").orderBy("df", "t")
+    placed = common.withColumns({"_r": F.row_number().over(line), "_s": F.count(F.lit(1)).over(Window.partitionBy("cls"))})
+    placed = placed.select("cls", "n", "label", "t", (F.col("n") - F.col("_s") + F.col("_r") - 1).alias("at"))
+    early = written(placed.where((F.col("n") - F.col("at")) * 100 >= F.col("n") * percent))
+
+    def side(x: str) -> DataFrame:
+        return early.select("t", *[F.col(c).alias(d + x) for c, d in (("cls", ""), ("n", "n"), ("label", "l"), ("at", "p"))])
+
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("la") < F.col("lb")) & (room * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return side("a").join(side("b"), "t").where(fits).select("a", "b").distinct()
+
+
 def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(summary, links): ``summary`` has (doc_id, _k, n_shingles, cls) for every row, ``links`` has the
     verified pairs (a, b) of classes that connect all that is connected."""
@@ -248,18 +282,18 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = int(max(parts(docs), -(-size // (16 << 20))))
     index = rows.select("_t").mapInArrow(_index(shingle, percent, buckets), "bucket int, known binary, which binary, sigs binary")
-    members = materialize(index.groupBy("bucket").applyInArrow(_shared, "sig bigint, cls bigint"))
+    members = written(index.groupBy("bucket").applyInArrow(_shared, "sig bigint, cls bigint"))
     # Whole sets of the candidates, from one row of each class.
     reps = members.select("cls").distinct().join(
         summary.groupBy("cls").agg(F.min_by("_k", F.struct("doc_id", "_k")).alias("_k")), "cls")
-    sets = rows.select("_k", "_t").join(reps, "_k").select("cls", "_t").mapInArrow(_sets(shingle), "cls bigint, tokens array<bigint>")
-    sets = materialize(sets.dropDuplicates(["cls"]))
+    texts = rows.select("_k", "_t").join(reps, "_k").dropDuplicates(["_k"])  # dealt by _k already
+    sets = written(texts.select("cls", "_t").mapInArrow(_sets(shingle), "cls bigint, tokens array<bigint>"))
     alone = sets.mapInArrow(_tokens(buckets), "bucket int, known binary, which binary, tokens binary").groupBy("bucket").applyInArrow(
         _alone, "cls bigint, alone bigint").groupBy("cls").agg(F.sum("alone").alias("u"))
     stats = sets.select("cls", F.size("tokens").cast("long").alias("n")).join(alone, "cls", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # A class that shares too few tokens with all others has no link.
     stats = stats.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
-    members = materialize(members.join(stats, "cls"))
+    members = written(members.join(stats, "cls"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
@@ -279,11 +313,8 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     # Signatures whose members the links have not joined.
     apart = placed.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("sig")
-    apart = materialize(placed.join(apart, "sig").select("sig", "cls", "n", "u", "label"))
-    a = apart.select("sig", *[F.col(c).alias(d) for c, d in (("cls", "a"), ("n", "na"), ("u", "ua"), ("label", "la"))])
-    b = apart.select("sig", *[F.col(c).alias(d) for c, d in (("cls", "b"), ("n", "nb"), ("u", "ub"), ("label", "lb"))])
-    rest = a.join(b, "sig").where((F.col("la") < F.col("lb")) & _may_link(percent)).select("a", "b").distinct()
-    more = verified(rest)
+    apart = placed.join(apart, "sig").groupBy("cls").agg(F.min("n").alias("n"), F.min("label").alias("label"))
+    more = verified(_rare_pairs(sets.join(written(apart), "cls"), percent))
     return summary, materialize(links.unionByName(more))
 
 
@@ -309,9 +340,7 @@ def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     Rows that share id and text are one document. A null id gives way to any other.
     """
     firsts = _placed(docs, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_k").distinct()
-    name = "_first"
-    while name in docs.columns:
-        name += "_"
+    name = unused("_first", docs)
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary"))
     return docs.join(firsts.withColumnRenamed("_k", name), key == F.col(name), "left_semi")
 
