@@ -87,8 +87,10 @@ def matches(text: bytes, sizes: np.ndarray, docs: np.ndarray, least: int = LEAST
     smallest = np.full(int(ids.max()) + 1, 2**63 - 1, I8)
     np.minimum.at(smallest, ids[at], docs[piece[at]])
     start = at[smallest[ids[at]] < docs[piece[at]]]
-    a, b = merged(start, start + least)
-    return piece[a], a - begin[piece[a]], b - begin[piece[a]]
+    apart = start + piece[start]  # one place between pieces, so that none runs into the next
+    a, b = merged(apart, apart + least)
+    owner = piece[start[np.searchsorted(apart, a)]]
+    return owner, a - owner - begin[owner], b - owner - begin[owner]
 
 
 class _Words:
