@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, merged, mix, shared_broadcast, texts_of
+from .common import U, merged, mix, shared_broadcast, texts_of, unused
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20  # benchmark text per broadcast block
@@ -111,7 +111,8 @@ def blocks_of(benchmark: DataFrame, width: int, block_bytes: int) -> list[Window
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH,
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``_words`` (word count), ``_spans`` (flat first, end word numbers of maximal
-    hit runs) and ``_items`` (ids of the items whose windows occur). Other columns stay."""
+    hit runs) and ``_items`` (ids of the items whose windows occur), which replace columns of
+    these names. Other columns stay."""
     longs = F.array().cast("array<bigint>")
     out = docs.withColumns({"_text": F.col(text).cast("binary"), "_words": F.lit(0).cast("long"), "_spans": longs, "_items": longs})
     for windows in blocks_of(benchmark, width, block_bytes):
@@ -151,7 +152,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
 
     Documents without a hit come back unchanged, with all their columns.
     """
-    found = find_windows(docs, benchmark, text, width)
+    aside = {c: unused(f"_own{c}", docs) for c in ("_text", "_words", "_spans", "_items") if c in docs.columns}
+    found = find_windows(docs.withColumnsRenamed(aside), benchmark, text, width)
+    own = [aside.get(c, c) for c in docs.columns]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +164,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
                 keep.append(hit < reject_share * n or not hit)
                 if hit:
                     texts[i] = _cut(texts[i].encode(), spans)
-            names = [c for c in batch.schema.names if c in docs.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch[c] for c in names],
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch[c] for c in own],
                                              names).filter(pa.array(keep, pa.bool_()))
+    names = docs.columns
     return found.mapInArrow(cut, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, U, chunks, merged, sliding
+from .common import RollingHash, U, chunks, merged, sliding, unused
 from .repeats import remove_repeats
 
 LEAST = 50
@@ -221,8 +221,9 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         a, b = spans_of(text, found, least)
         return (without(text, a, b).decode("utf-8", "ignore") if len(a) else text.decode()), len(a)
 
-    out = remove_repeats(docs, ByteRule(least), finish, {"text": pa.string(), "_runs": pa.int64()}, docs.columns)
-    return out.where((F.col("_runs") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    runs = unused("_runs", docs)
+    out = remove_repeats(docs, ByteRule(least), finish, {"text": pa.string(), runs: pa.int64()}, docs.columns)
+    return out.where((F.col(runs) == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 
 SQL = """

@@ -106,6 +106,7 @@ def test_dedup_keeps_columns_and_valid_text(spark):
     docs = frame(spark, rows)
     out = suffix_dedup.dedup(docs)
     assert out.columns == docs.columns
+    assert {r._k for r in out.collect()} <= {r._k for r in docs.collect()}
     kept = {(i, t) for i, t in out.select("doc_id", "text").collect()}
     assert (0, rows[0][1]) in kept or len(rows[0][1]) >= 50
     assert all("�" not in (t or "") for _, t in kept)
@@ -271,6 +272,7 @@ def test_decontaminated_texts(spark):
     benchmark = spark.createDataFrame([(1, leak)], "item_id bigint, text string")
     out = decontam.decontaminate(docs, benchmark)
     assert out.columns == docs.columns
+    assert {r._spans for r in out.collect()} == {"own0", "own2", "own3", "own4"}
     assert {r.doc_id: r.text for r in out.collect()} == {
         1: "Before,  - and a good many other words after it, more than were hit", 3: "clean text\nstays", 4: None, 5: ""}
     assert collected(decontam.decontaminate(docs, benchmark.limit(0)).select("doc_id", "text")) == sorted(rows, key=repr)
@@ -541,3 +543,8 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_signatures_are_packed():
+    sig = np.array([0, 1, 2**48 - 1, 2**63 + 5], np.uint64)
+    assert (jaccard_join.unpacked(jaccard_join.packed(sig)) == sig & np.uint64(2**48 - 1)).all()
