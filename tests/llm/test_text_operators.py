@@ -339,14 +339,14 @@ def test_warc_round_trip(spark, tmp_path):
              (104, "u", "z" * 6_000_000), (None, "u", "only null"), (None, "u", rows[5][2])]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
     made = warc.write_archives(pages, str(tmp_path / "a"))
-    got = {r.page_id if r.page_id is not None else r.payload_bytes: r for r in warc.read_archives(made).collect()}
+    got = {(r.page_id, r.payload_bytes): r for r in warc.read_archives(made).collect()}
     groups = collections.defaultdict(list)
     for i, _, h in rows:
         groups[h or ""].append(i)
     assert len(got) == len(rows)
     for i, url, html in rows:
         payload = (html or "").encode()
-        r = got[i if i is not None else len(payload)]
+        r = got[i, len(payload)]
         last = max((x for x in groups[html or ""] if x is not None), default=None)
         assert r.payload_bytes == len(payload)
         assert r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -407,7 +407,7 @@ def brute_repeated(words):
 
 def test_line_cleaning(spark):
     body = "This is a plain sentence with a fair number of words, and it ends well."
-    rows = corpus(9) + [(400, "\n".join([body] * 3)), (401, "a | b | c | d | e\n" * 10), (402, body + "\nLicensed under CC.\n" + body[:-1] + " also so."),
+    rows = corpus(9) + [(400, "\n".join([body] * 3)), (401, "a | b | c | d | e\n" * 10), (402, body + "\nLicensed under CC.\nAnother line follows it with other content, and that one ends well too."),
                         (403, " ".join(f"w{i}###" for i in range(40))), (404, "no no no no no " * 10), (405, "é " * 30 + ".")]
     got = {(r.doc_id, r.clean_text): r for r in line_clean.clean_lines(frame(spark, rows)).collect()}
     by_id = collections.defaultdict(list)
