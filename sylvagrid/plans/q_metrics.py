@@ -64,6 +64,20 @@ def agg1(t):
     return rounded(metrics.regression_metrics(t.fx_predictions, ["variant", "seed"]), metrics.MEASURES)
 
 
+# Rows without a prediction (NULL) or with an undefined one (NaN) are not scored.
+UNSCORED = """SELECT patch_id, variant, seed, true_agbd, CASE WHEN true_agbd < 60 THEN CAST(NULL AS DOUBLE)
+  WHEN true_agbd > 480 THEN CAST('NaN' AS DOUBLE) ELSE pred_agbd END AS pred_agbd FROM {}"""
+
+
+@query("agg1_with_unscored_rows", f"""SELECT variant, seed, n, ROUND(rmse, 6) AS rmse, ROUND(mae, 6) AS mae,
+  ROUND(r2, 6) AS r2, ROUND(bias, 6) AS bias, ROUND(rel_rmse_pct, 6) AS rel_rmse_pct FROM (
+  SELECT variant, seed, {MEASURES_SQL} FROM {CLIPPED.format(
+      src=f"(SELECT * FROM ({UNSCORED.format('fx_predictions')}) u WHERE pred_agbd IS NOT NULL AND NOT isnan(pred_agbd)) s")} q GROUP BY 1, 2) z""")
+def agg1_unscored(t):
+    p = t.spark.sql(UNSCORED.format("{p}"), p=t.fx_predictions)
+    return rounded(metrics.metrics_from_sums(metrics.running_sums(p, ["variant", "seed"])), metrics.MEASURES)
+
+
 @query("agg2_mergeable_metrics", f"""SELECT variant, n, ROUND(rmse, 6) AS rmse, ROUND(mae, 6) AS mae,
   ROUND(r2, 6) AS r2, ROUND(bias, 6) AS bias, ROUND(rel_rmse_pct, 6) AS rel_rmse_pct FROM (
   SELECT variant, {MEASURES_SQL} FROM {CLIPPED.format(src='fx_predictions')} q GROUP BY 1) z""")
