@@ -11,8 +11,11 @@ from ..functions import geo
 
 
 def write_shards(df: DataFrame, path: str, by: str = "granule") -> None:
-    """One folder per input unit; a unit without surviving rows leaves none."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+    """One folder per input unit; a unit without surviving rows leaves none.
+
+    Rows are rebalanced by unit first: few files for each, several writers for a large one.
+    """
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def compact_shards(spark: SparkSession, shards: str, out: str, tile_deg: float = 0.25) -> None:

@@ -47,23 +47,32 @@ def dedup(stream: DataFrame, ident: str, ts: str, delay: str = "1 day") -> DataF
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([ident])
 
 
+def _complete(spark: SparkSession, out: str):
+    """The file system and the folders of complete batches in order, as Hadoop paths."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
+    fs = marks.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, sorted((m.getPath().getParent() for m in fs.globStatus(marks) or []), key=lambda p: p.toString())
+
+
 def running_metrics(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str) -> None:
     """The nine metric sums per key, rewritten after every batch (complete mode).
 
     The state is one row per key. Each batch writes its own folder, so a repeated batch
-    replaces itself.
+    replaces itself; the writer marks a folder when it is complete. The two newest stay.
     """
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch:09d}")
+        fs, done = _complete(df.sparkSession, out)
+        for old in done[:-2]:
+            fs.delete(old, True)
 
     drain_batches(running_sums(stream, keys), write, checkpoint, "complete")
 
 
 def latest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """Result of the last complete batch."""
-    df = spark.read.parquet(out)
-    last = df.agg(F.max("batch").alias("batch"))  # one row
-    return df.join(F.broadcast(last), "batch").drop("batch")
+    """Result of the last complete batch; only its folder is read."""
+    _, done = _complete(spark, out)
+    return spark.read.parquet(done[-1].toString())
 
 
 def windowed_counts(stream: DataFrame, ts: str, width: str, delay: str) -> DataFrame:
