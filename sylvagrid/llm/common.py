@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -32,6 +33,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_ROWS = "500"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold few rows: rows with whole texts are large."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def parts(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -125,6 +135,16 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], reach[np.concatenate([at[1:] - 1, [len(end) - 1]])]
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes of ``column``, so that a task's Python objects stay few."""
+    for batch in batches:
+        n = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy().astype(np.int64)
+        part = np.concatenate([[0], np.cumsum(n)[:-1]]) // size if len(n) else n
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """A binary column as bytes; null becomes empty."""
     return [t or b"" for t in column.to_pylist()]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, merged, mix, shared_broadcast, texts_of, unused
+from .common import U, merged, mix, shared_broadcast, slices, small_batches, texts_of, unused
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20  # benchmark text per broadcast block
@@ -77,7 +77,7 @@ class WindowSet:
 
 def _scan(batches: Iterator[pa.RecordBatch], block, column: str) -> Iterator[pa.RecordBatch]:
     windows: WindowSet = block.value
-    for batch in batches:
+    for batch in slices(batches, column):
         n_words, spans, items = [], [], []
         for text, old_spans, old_items in zip(texts_of(batch[column]), batch["_spans"].to_pylist(),
                                               batch["_items"].to_pylist(), strict=True):
@@ -114,7 +114,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
     hit runs) and ``_items`` (ids of the items whose windows occur), which replace columns of
     these names. Other columns stay."""
     longs = F.array().cast("array<bigint>")
-    out = docs.withColumns({"_text": F.col(text).cast("binary"), "_words": F.lit(0).cast("long"), "_spans": longs, "_items": longs})
+    out = small_batches(docs).withColumns({"_text": F.col(text).cast("binary"), "_words": F.lit(0).cast("long"), "_spans": longs, "_items": longs})
     for windows in blocks_of(benchmark, width, block_bytes):
         block = shared_broadcast(docs.sparkSession, windows)
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
@@ -157,7 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     own = [aside.get(c, c) for c in docs.columns]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             texts, keep = batch[text].to_pylist(), []
             for i, (n, spans) in enumerate(zip(batch["_words"].to_pylist(), batch["_spans"].to_pylist(), strict=True)):
                 hit = sum(spans[1::2]) - sum(spans[::2])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U, chunks, mix, parts, ranges, texts_of, unused, written
+from .common import U, chunks, mix, parts, ranges, slices, small_batches, texts_of, unused, written
 from .components import components
 from .suffix_dedup import rolling
 
@@ -142,7 +142,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _summary(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_t"):
             n, c = [], []
             for _, group in chunks(texts_of(batch["_t"]), CHUNK):
                 for s in shingle_sets(group, shingle):
@@ -157,7 +157,7 @@ def _index(shingle: int, percent: int, buckets: int):
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_t"):
             for _, group in chunks(texts_of(batch["_t"]), CHUNK):
                 sets = [s for s in shingle_sets(group, shingle) if len(s)]
                 known, first = np.unique(np.array([class_of(s) for s in sets], I8), return_index=True)
@@ -201,7 +201,7 @@ def _shared(key, table):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_t"):
             sets = [s for _, g in chunks(texts_of(batch["_t"]), CHUNK) for s in shingle_sets(g, shingle)]
             yield pa.RecordBatch.from_arrays([batch["cls"], pa.array([s.view(I8) for s in sets], pa.list_(pa.int64()))], ["cls", "tokens"])
     return run
@@ -230,8 +230,26 @@ def _tokens(buckets: int):
     return run
 
 
-def _alone(key, table):
-    """How many tokens of each class no other candidate has, in one bucket."""
+def _alone(buckets: int):
+    """How many tokens of each class no other candidate has, in one bucket; packed by class."""
+    def run(key, table):
+        known, n = _lone_tokens(table)
+        to = (mix(known.view(U8)) % U(buckets)).astype(I8)
+        order = np.argsort(to, kind="stable")
+        edge = np.searchsorted(to[order], np.arange(buckets + 1))
+        held = [(b, known[i].tobytes(), n[i].tobytes()) for b in range(buckets) if len(i := order[edge[b]:edge[b + 1]])]
+        return pa.table(dict(zip(("part", "cls", "n"), (pa.array(c, k) for c, k in zip(
+            zip(*held, strict=True) if held else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+    return run
+
+
+def _summed(key, table):
+    cls, n = (np.frombuffer(b"".join(table[c].to_pylist()), I8) for c in ("cls", "n"))
+    known, place = np.unique(cls, return_inverse=True)
+    return pa.table({"cls": pa.array(known), "u": pa.array(np.bincount(place, n).astype(I8))})
+
+
+def _lone_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     token = np.frombuffer(b"".join(table["tokens"].to_pylist()), I8)
     cls = np.concatenate([np.frombuffer(k, I8)[np.frombuffer(w, np.uint32)] for k, w in
                           zip(table["known"].to_pylist(), table["which"].to_pylist(), strict=True)] or [np.zeros(0, I8)])
@@ -241,8 +259,7 @@ def _alone(key, table):
     same = t[1:] == t[:-1]
     one[1:] &= ~same
     one[:-1] &= ~same
-    known, n = np.unique(c[one], return_counts=True)
-    return pa.table({"cls": pa.array(known, pa.int64()), "alone": pa.array(n, pa.int64())})
+    return np.unique(c[one], return_counts=True)
 
 
 def _may_link(percent: int):
@@ -277,7 +294,7 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """(summary, links): ``summary`` has (doc_id, _k, n_shingles, cls) for every row, ``links`` has the
     verified pairs (a, b) of classes that connect all that is connected."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_t")).withColumn("_k", F.xxhash64("doc_id", "_t"))
+    rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_t")).withColumn("_k", F.xxhash64("doc_id", "_t"))
     summary = materialize(rows.mapInArrow(_summary(shingle), "doc_id bigint, _k bigint, n_shingles bigint, cls bigint"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = int(max(parts(docs), -(-size // (16 << 20))))
@@ -289,7 +306,7 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     texts = rows.select("_k", "_t").join(reps, "_k").dropDuplicates(["_k"])  # dealt by _k already
     sets = written(texts.select("cls", "_t").mapInArrow(_sets(shingle), "cls bigint, tokens array<bigint>"))
     alone = sets.mapInArrow(_tokens(buckets), "bucket int, known binary, which binary, tokens binary").groupBy("bucket").applyInArrow(
-        _alone, "cls bigint, alone bigint").groupBy("cls").agg(F.sum("alone").alias("u"))
+        _alone(buckets), "part int, cls binary, n binary").groupBy("part").applyInArrow(_summed, "cls bigint, u bigint")
     stats = sets.select("cls", F.size("tokens").cast("long").alias("n")).join(alone, "cls", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # A class that shares too few tokens with all others has no link.
     stats = stats.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)

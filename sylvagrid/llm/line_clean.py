@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 # Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = ("|", ">", "·", "•", "»", "›")
@@ -108,10 +110,10 @@ def clean_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
     """``docs`` with the counts, ``base_failed``, ``kept`` and ``clean_text`` (the surviving lines)."""
     added = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(),
              "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "clean_text": pa.string()}
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in small_batches(docs).columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             columns: dict[str, list] = {c: [] for c in added}
             for t in batch[text].to_pylist():
                 n, chars, symbols, dup, repeat, kept_words, lines = judge((t or "").encode())

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import slices, small_batches
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -145,11 +146,12 @@ def pack(docs: DataFrame, encoder: Callable[[], ByteBpe], window: int = WINDOW,
     ``window - least_piece + 1`` tokens.
     """
     end = array("I", [end_id]).tobytes()
+    docs = small_batches(docs)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         tokens, packer = encoder(), Packer(window, open_windows, least_piece, task << 32)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = tokens.encode(text or "") + end
                 packer.add(doc, 0, ids, len(ids) // 4)

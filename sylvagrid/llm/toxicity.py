@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, mix, shared_broadcast
+from .common import U, chunks, mix, shared_broadcast, slices, small_batches
 from .suffix_dedup import rolling
 
 TRAINING_ROWS = 20_000
 FOLDS = 5
 BASE_SCORE = 0.05
 LEAST_STRENGTH = 0.25  # features of less are not kept
-MEMO = 100_000
+MEMO = 30_000
 
 # Letters that a sign can stand for.
 LOOKS_LIKE = {
@@ -62,14 +62,14 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     """Trigram counts over the lower-cased texts of all rows; at most ``SYMBOLS``**3 rows are collected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for _, group in chunks((t or "" for t in batch["text"].to_pylist()), 1 << 20):
                 s = np.concatenate([[0, 0], symbols_of("\0\0".join(group).lower()), [0]])
                 total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs).select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SYMBOLS**3)
     for r in rows:
         counts[r["gram"]] = r["n"]
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model.value)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
             texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()]
             for first, group in chunks(texts):
@@ -247,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, (keys, strength, heads) = Decoder(model.value), fitted.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             best = np.full(batch.num_rows, BASE_SCORE)
             texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()] if len(keys) else []
             for first, group in chunks(texts):

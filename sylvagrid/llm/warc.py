@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import small_batches
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
@@ -125,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, sample_b
         if made := _write(records(), folder, sample_bytes, dictionary_bytes):
             yield pa.RecordBatch.from_pydict(dict(zip(("path", "records", "bytes"), ([x] for x in made), strict=True)))
 
-    marked = with_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), least_bytes)
+    marked = with_revisits(small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), least_bytes)
     return materialize(marked.mapInArrow(run, "path string, records bigint, bytes bigint"))
 
 
