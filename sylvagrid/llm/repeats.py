@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import U, mix, parts, texts_of
 
 BUCKET_BYTES = 4 << 20
-HOT = 5_000
+HOT = 1_000
 I8, U8, U4 = np.int64, np.uint64, np.uint32
 
 ANCHORS = "a int, b int, keys binary, rows binary, at binary"
@@ -76,8 +76,9 @@ def remove_repeats(docs: DataFrame, rule, finish: Callable, added: dict[str, pa.
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = int(max(parts(docs), -(-size // bucket_bytes)))
-    own = [c for c in keep if c != "text"]
-    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_doc"), text.alias("_t"))
+    kept = [c for c in keep if c != "text"]
+    own = [f"_own{i}" for i in range(len(kept))]  # columns travel under names of our own
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)], F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_doc"), text.alias("_t"))
     rows = rows.withColumn("_k", F.xxhash64("_doc", "_t")).withColumn("_b", F.pmod("_k", F.lit(n)).cast("int"))
     keyed = rows.select("_b", "_k", "_doc", F.unhex(F.md5("_t")).alias("_m"))
     several = keyed.groupBy("_m").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -177,4 +178,5 @@ def remove_repeats(docs: DataFrame, rule, finish: Callable, added: dict[str, pa.
     kinds = {pa.int64(): "bigint", pa.string(): "string"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema),
                         *(f"`{x}` {kinds[k]}" for x, k in added.items())])
-    return dealt.cogroup(c.groupBy("b")).applyInArrow(apply, schema)
+    out = dealt.cogroup(c.groupBy("b")).applyInArrow(apply, schema)
+    return out.select(*[F.col(o).alias(c) for c, o in zip(kept, own, strict=True)], *added)
