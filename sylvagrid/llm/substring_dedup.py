@@ -101,6 +101,12 @@ class _Words:
     def cut(self, start: int, stop: int) -> bytes:
         return b" ".join(self.words[start:stop])
 
+    def places(self, start: np.ndarray, least: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words as one text, and where in it the windows that begin at ``start`` begin and end."""
+        size = np.array([len(w) for w in self.words], I8)
+        end = np.cumsum(size + 1) - 1
+        return b" ".join(self.words), (end - size)[start], end[start + least - 1]
+
 
 class WordRule:
     """Units are words; see the module."""

@@ -19,21 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, U, chunks, merged, sliding, unused
-from .repeats import remove_repeats
+from .common import U, chunks, merged, sliding, unused
+from .repeats import remove_repeats, rolling
 
 LEAST = 50
 GRAM = 20
 STREAM = 256  # bytes of a piece streamed in one lane
 I8 = np.int64
-_hash: list[RollingHash] = []
-
-
-def rolling() -> RollingHash:
-    """One set of power tables per worker."""
-    if not _hash:
-        _hash.append(RollingHash())
-    return _hash[0]
 
 
 def minimisers(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +165,10 @@ class _Bytes:
     def cut(self, start: int, stop: int) -> bytes:
         return self.text[start:stop]
 
+    def places(self, start: np.ndarray, least: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """A text, and where in it the windows that begin at ``start`` begin and end."""
+        return self.text, start, start + least
+
 
 class ByteRule:
     """Units are bytes; see the module."""

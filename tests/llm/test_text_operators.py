@@ -101,6 +101,36 @@ def test_suffix_dedup_with_hot_anchors_and_small_buckets(spark):
     assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_rows_with_a_hot_passage_do_not_meet_in_one_task(spark, unit):
+    import pyarrow as pa
+
+    from sylvagrid.llm.repeats import remove_repeats
+    rng, limit = random.Random(7), 40
+    passage, other = (" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n)) for n in (60, 55))
+    def own():
+        return " ".join("".join(rng.choices("klmnopqrst", k=5)) for _ in range(rng.randint(0, 30)))
+    rows = [(i, f"{own()} {passage if i % 3 == 0 else other if i % 3 == 1 else own()} {own()}") for i in range(200)]
+    rows += [(3, passage[2:]), (None, passage), (500, rows[9][1]), (501, rows[9][1])]
+    rule = suffix_dedup.ByteRule if unit == "bytes" else substring_dedup.WordRule
+
+    class Bounded(rule):
+        def match(self, text, sizes, docs):
+            assert len(sizes) <= limit
+            return super().match(text, sizes, docs)
+
+    def finish(text, found):
+        units = text if unit == "bytes" else text.split()
+        a, b = suffix_dedup.spans_of(units, found, 50)
+        return int((b - a).sum()), hashlib.sha256(repr([list(units[x:y]) for x, y in zip(a, b)]).encode()).hexdigest()
+    docs = frame(spark, rows)
+    added = {"gone": pa.int64(), "sha": pa.string()}
+    got = [collected(remove_repeats(docs, r(), finish, added, ["doc_id"], bucket_bytes=2000, hot=h)) for r, h in ((rule, 10**6), (Bounded, 10))]
+    assert got[0] == got[1]
+    want = brute_repeats(rows, (lambda t: t.encode()) if unit == "bytes" else str.split, 50)
+    assert sorted(((i, g) for i, g, _ in got[1]), key=repr) == sorted(((i, w[1]) for (i, _), w in zip(rows, want)), key=repr)
+
+
 def test_dedup_keeps_columns_and_valid_text(spark):
     rows = corpus(3)
     docs = frame(spark, rows)
