@@ -2,8 +2,10 @@
 
 A noisy channel writes letters as look-alike digits and signs, spaces them out and repeats them.
 Words that show such traces become character lattices; Viterbi decoding finds the letters that the
-channel and a character trigram model of the whole corpus make likeliest. Restored text is scored by
-the word and word-beginning that is most toxic in the labelled rows.
+channel and a character trigram model of the whole corpus make likeliest. So do words with a doubled
+letter, and short fragments that are unlikely words under the model, with their neighbours; what these
+decode to is read besides the text, not in its place. Restored text is scored by the word and
+word-beginning that is most toxic in the labelled rows.
 
 The language model counts every character of every document. The scorer is fitted on at most about
 ``TRAINING_ROWS`` labelled rows, picked by a hash of the id. Null and empty texts score the base
@@ -42,6 +44,10 @@ TRACE = re.compile(
     r"[^\W\d_][0-9@$€]|[0-9@$€!|+(](?=[^\W\d_])"  # a letter beside a sign
     r"|([^\W\d_])\1\1"  # a letter three times
     r"|(?<!\S)\w(?:[ .*_-]\w){2,}(?![^\s.,;:!?])")  # letters spaced out
+DOUBLED = re.compile(r"([^\W\d_])\1")
+FRAGMENT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,4}(?![^\W\d_])")
+GAP = 3  # signs or spaces between two fragments, at most
+SPLIT = (0.0, -1.0)  # log-probabilities of a kept and of a dropped gap between fragments
 EDGE = re.compile(r"\A(?:([^\w\s])\1+)|(?:([^\w\s])\2+)\Z")
 
 # Symbols of the language model: 0 ends words, a-z, the letters U+00DF to U+00FF, any other letter.
@@ -85,20 +91,39 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
+def usual_likelihood(counts: np.ndarray, model: np.ndarray) -> float:
+    """Mean log-probability of the corpus' symbols; gaps between words count once."""
+    words = counts.copy()
+    words[:, 0, 0] = 0
+    return float((words * model).sum() / max(1.0, words.sum()))
+
+
 class Decoder:
     """Viterbi decoding of words under a language model."""
 
-    def __init__(self, model: np.ndarray) -> None:
-        self.model = model
-        self.memo: dict[str, str] = {}
+    def __init__(self, model: np.ndarray, usual: float) -> None:
+        self.model, self.usual = model, usual
+        self.memo: dict[tuple[str, bool], str] = {}
+        self.odd: dict[str, bool] = {}
         self.symbol = lru_cache(None)(lambda c: int(symbols_of(c)[0]))
 
-    def options(self, sign: str, run: int, spaced: bool) -> list[tuple[str, float]]:
+    def unlikely(self, word: str) -> bool:
+        """If a word's symbols are less likely than those of the corpus are on average."""
+        if (known := self.odd.get(word)) is None:
+            s = [0, 0, *symbols_of(word).tolist(), 0]
+            known = sum(float(self.model[x]) for x in zip(s, s[1:], s[2:])) < self.usual * (len(s) - 2)
+            if len(self.odd) < MEMO:
+                self.odd[word] = known
+        return known
+
+    def options(self, sign: str, run: int, spaced: bool, split: bool = False) -> list[tuple[str, float]]:
         """What a run of one sign may stand for, with its channel log-probability."""
         if self.symbol(sign):
             letters = [(sign, 0.0)]
         elif sign in LOOKS_LIKE:
             letters = [(x, SUBSTITUTED) for x in LOOKS_LIKE[sign]]
+        elif split:
+            return [(sign * run, SPLIT[0]), ("", SPLIT[1])]
         else:
             return [(sign * run, KEPT_SPACE if spaced else 0.0), ("", UNSPACED if spaced else DROPPED)]
         if run == 1:
@@ -109,8 +134,8 @@ class Decoder:
             out = [o for x, c in letters for o in ((x, c + COLLAPSED), (x + x, c + COLLAPSED))]
         return out if self.symbol(sign) else [*out, (sign * run, KEPT_SIGN), *([] if sign.isdigit() else [("", DROPPED)])]
 
-    def decode(self, word: str) -> str:
-        if (known := self.memo.get(word)) is not None:
+    def decode(self, word: str, split: bool = False) -> str:
+        if (known := self.memo.get((word, split))) is not None:
             return known
         spaced = " " in word or all(len(p) < 2 for p in re.split(r"[.*_-]", word))
         states, last = {(0, 0): (0.0, "")}, ""
@@ -119,7 +144,7 @@ class Decoder:
             letters = LOOKS_LIKE.get(m[1], m[1])
             again = [("", COLLAPSED)] if set(letters) & set(last) else []  # the letter before in another guise
             last = letters
-            for out, cost in self.options(m[1], len(m[0]), spaced) + again:
+            for out, cost in self.options(m[1], len(m[0]), spaced, split) + again:
                 ids = [self.symbol(c) for c in out]
                 for (a, b), (score, text) in states.items():
                     score += cost
@@ -132,12 +157,55 @@ class Decoder:
             states = nexts
         best = max((s + (float(self.model[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in states.items())[1]
         if len(self.memo) < MEMO:
-            self.memo[word] = best
+            self.memo[word, split] = best
         return best
 
     def restore(self, text: str) -> str:
-        """The lower-cased text with every suspicious word decoded."""
+        """The lower-cased text with every suspicious word decoded, and further readings in lines of their own."""
         text = text.lower()
+        return "\n".join([self.replaced(text), *sorted(self.readings(text))])
+
+    def readings(self, text: str) -> set[str]:
+        """Other readings of words with a doubled letter, and of fragments with their neighbours."""
+        out, end = set(), 0
+        for m in DOUBLED.finditer(text):
+            a, b = m.span()
+            if a >= end:
+                while a > end and text[a - 1].isalpha():
+                    a -= 1
+                while b < len(text) and text[b].isalpha():
+                    b += 1
+                end = b
+                if (read := self.decode(text[a:b])) != text[a:b]:
+                    out.add(read)
+        spans: list[tuple[int, int, int, int]] = []  # neighbour, first fragment, end of the last, its neighbour
+        for m in FRAGMENT.finditer(text):
+            if self.unlikely(m[0]):
+                a, b = self.neighbour(text, m.start(), -1), self.neighbour(text, m.end(), 1)
+                if spans and a < spans[-1][3]:
+                    spans[-1] = (*spans[-1][:2], m.end(), max(b, spans[-1][3]))
+                else:
+                    spans.append((a, m.start(), m.end(), b))
+        # A neighbour may be part of the word or not: with and without each.
+        for x in {text[a:b] for f, i, j, t in spans for a in (f, i) for b in (j, t)}:
+            if not x.isalpha() and (read := self.decode(x, True)) != x:
+                out.add(read)
+        return out
+
+    @staticmethod
+    def neighbour(text: str, at: int, step: int) -> int:
+        """Where the word before or after a place ends; the place itself if a larger gap or a digit is between."""
+        i = at - (step < 0)
+        far = i + step * GAP
+        while 0 <= i < len(text) and i != far and not text[i].isalnum():
+            i += step
+        if not (0 <= i < len(text) and text[i].isalpha()):
+            return at
+        while 0 <= i < len(text) and text[i].isalpha():
+            i += step
+        return i + (step < 0)
+
+    def replaced(self, text: str) -> str:
         out, end = [], 0
         for m in TRACE.finditer(text):
             a, b = m.span()
@@ -203,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
     A feature's strength is a cautious estimate of the share of toxic rows among the rows that have it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model.value)
+        decoder = Decoder(*model.value)
         for batch in slices(batches, "text"):
             toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
             texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()]
@@ -241,12 +309,14 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
     Columns of ``docs`` that bear these names are replaced.
     """
     spark = docs.sparkSession
-    model = shared_broadcast(spark, language_model(count_trigrams(corpus if corpus is not None else docs)))
+    counts = count_trigrams(corpus if corpus is not None else docs)
+    model = language_model(counts)
+    model = shared_broadcast(spark, (model, usual_likelihood(counts, model)))
     fitted = shared_broadcast(spark, fit(docs, labels, model, limit))
     own = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, (keys, strength, heads) = Decoder(model.value), fitted.value
+        decoder, (keys, strength, heads) = Decoder(*model.value), fitted.value
         for batch in slices(batches, "text"):
             best = np.full(batch.num_rows, BASE_SCORE)
             texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()] if len(keys) else []

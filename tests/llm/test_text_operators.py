@@ -238,6 +238,20 @@ def test_toxicity_is_learned_and_deobfuscated(spark):
     assert toxicity.score(docs, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_doubled_and_split_words(spark):
+    rows, labels = toxic_corpus()
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    forms = ["stuupid", "looser", "sstupid", "i d i o t", "i  d  i  o  t", "stu pid", "stu.pid", "i/d/i/o/t", "id iot", "s tupid"]
+    words = [w for _, t in rows[1:60:4] for w in t.split() if w not in ("idiot", "stupid", "loser")]
+    disguised = [f"{words[5 * i]} {words[5 * i + 1]} {x} {words[5 * i + 2]}" for i, x in enumerate(forms)] + forms
+    clean = [" ".join(words[i:i + 12]) for i in range(0, 480, 12)]
+    docs = frame(spark, rows + [(10_000 + i, t) for i, t in enumerate(disguised + clean)])
+    out = {r.doc_id: r.predicted for r in toxicity.score(docs, lab).collect()}
+    assert [t for i, t in enumerate(disguised) if not out[10_000 + i]] == []
+    assert not any(out[10_000 + len(disguised) + i] for i in range(len(clean)))
+    assert all(out[i] == t for i, _, t in labels)
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark):
     rows, labels = toxic_corpus(300)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
