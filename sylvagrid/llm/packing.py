@@ -39,8 +39,8 @@ SPACE = re.compile(r"(?<=\S)(?= \S)")
 class ByteBpe:
     """Token ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
 
-    A text is cut before every single space between words, where no token can cross; words
-    seen before come from a bounded memo, others go to the merge engine with the same ranks.
+    A text is cut before a space that stands between two characters that are no white space, where
+    no token can cross (tokens of mixed white space exist, so none of it is parted); words seen before come from a bounded memo, others go to the merge engine with the same ranks.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -64,12 +64,8 @@ class ByteBpe:
         return ids
 
     def _plain(self, text: str) -> bytes:
-        if "  " in text:
-            words = SPACE.split(text)
-        else:
-            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else SPACE.split(text)
         get, word = self.memo.get, self._word
-        return b"".join([get(w) or word(w) for w in words])
+        return b"".join([get(w) or word(w) for w in SPACE.split(text)])
 
     def encode(self, text: str) -> bytes:
         if self.split is None or not any(s in text for s in self.special):

@@ -199,6 +199,15 @@ def test_packing(spark, window, keep):
     assert len(short) <= 1
 
 
+@pytest.mark.parametrize("text", ["x \u00a0 \u00a0 \u00a0 y", "x\u00a0 y \u00a0z", "a \u3000 b", "a\t b \t c", "a \n b", "a \u2003 \u2003 b", " \u00a0 \u00a0", "a\u200b b"])
+def test_token_ids_of_mixed_white_space(text):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.public_encoder()()
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(frame(spark, []), packing.public_encoder()).count() == 0
 
