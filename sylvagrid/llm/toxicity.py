@@ -2,10 +2,12 @@
 
 A noisy channel writes letters as look-alike digits and signs, spaces them out and repeats them.
 Words that show such traces become character lattices; Viterbi decoding finds the letters that the
-channel and a character trigram model of the whole corpus make likeliest. So do words with a doubled
-letter, and short fragments that are unlikely words under the model, with their neighbours; what these
-decode to is read besides the text, not in its place. Restored text is scored by the word and
-word-beginning that is most toxic in the labelled rows.
+channel and a character trigram model of the whole corpus make likeliest. Words with a doubled letter
+and words split in parts are read a second way: where the letters from a word's beginning on, without
+gaps and repeats, begin like a learned feature, that place becomes a lattice of its own, and what it
+decodes to is read besides the text, not in its place. No other place could decode to a feature, so
+nothing else needs decoding. Restored text is scored by the word and word-beginning that is most toxic
+in the labelled rows.
 
 The language model counts every character of every document. The scorer is fitted on at most about
 ``TRAINING_ROWS`` labelled rows, picked by a hash of the id. Null and empty texts score the base
@@ -32,6 +34,7 @@ FOLDS = 5
 BASE_SCORE = 0.05
 LEAST_STRENGTH = 0.25  # features of less are not kept
 MEMO = 30_000
+MEMO_LETTERS = 64  # longer words are decoded anew each time
 
 # Letters that a sign can stand for.
 LOOKS_LIKE = {
@@ -44,10 +47,10 @@ TRACE = re.compile(
     r"[^\W\d_][0-9@$€]|[0-9@$€!|+(](?=[^\W\d_])"  # a letter beside a sign
     r"|([^\W\d_])\1\1"  # a letter three times
     r"|(?<!\S)\w(?:[ .*_-]\w){2,}(?![^\s.,;:!?])")  # letters spaced out
-DOUBLED = re.compile(r"([^\W\d_])\1")
-FRAGMENT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,4}(?![^\W\d_])")
-GAP = 3  # signs or spaces between two fragments, at most
-SPLIT = (0.0, -1.0)  # log-probabilities of a kept and of a dropped gap between fragments
+PART = re.compile(r"[^\W\d_]+")
+GAP = re.compile(r"(?:[^\w]|_){1,3}(?=[^\W\d_])")  # signs or spaces between the parts of a word
+SPLIT = (0.0, -1.0)  # log-probabilities of a kept and of a dropped gap between parts
+HEAD = 4  # letters of a feature that a second reading needs
 EDGE = re.compile(r"\A(?:([^\w\s])\1+)|(?:([^\w\s])\2+)\Z")
 
 # Symbols of the language model: 0 ends words, a-z, the letters U+00DF to U+00FF, any other letter.
@@ -91,30 +94,18 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
-def usual_likelihood(counts: np.ndarray, model: np.ndarray) -> float:
-    """Mean log-probability of the corpus' symbols; gaps between words count once."""
-    words = counts.copy()
-    words[:, 0, 0] = 0
-    return float((words * model).sum() / max(1.0, words.sum()))
-
-
 class Decoder:
     """Viterbi decoding of words under a language model."""
 
-    def __init__(self, model: np.ndarray, usual: float) -> None:
-        self.model, self.usual = model, usual
+    def __init__(self, model: np.ndarray, targets: frozenset[bytes] = frozenset()) -> None:
+        self.model = model.tolist()
         self.memo: dict[tuple[str, bool], str] = {}
-        self.odd: dict[str, bool] = {}
         self.symbol = lru_cache(None)(lambda c: int(symbols_of(c)[0]))
-
-    def unlikely(self, word: str) -> bool:
-        """If a word's symbols are less likely than those of the corpus are on average."""
-        if (known := self.odd.get(word)) is None:
-            s = [0, 0, *symbols_of(word).tolist(), 0]
-            known = sum(float(self.model[x]) for x in zip(s, s[1:], s[2:])) < self.usual * (len(s) - 2)
-            if len(self.odd) < MEMO:
-                self.odd[word] = known
-        return known
+        self.targets = {t for t in targets if len(t) >= HEAD}
+        self.longest = max(map(len, self.targets), default=0)
+        self.heads = np.zeros(1 << 6 * HEAD, bool)
+        for t in self.targets:
+            self.heads[sum(x << 6 * (HEAD - 1 - i) for i, x in enumerate(t[:HEAD]))] = True
 
     def options(self, sign: str, run: int, spaced: bool, split: bool = False) -> list[tuple[str, float]]:
         """What a run of one sign may stand for, with its channel log-probability."""
@@ -150,60 +141,53 @@ class Decoder:
                     score += cost
                     for c in ids:
                         if c or b:  # signs in a row end one word once
-                            score += float(self.model[a, b, c])
+                            score += self.model[a][b][c]
                         a, b = (b, c) if c else (0, 0)
                     if score > nexts.get((a, b), (-1e30, ""))[0]:
                         nexts[a, b] = (score, text + out)
             states = nexts
-        best = max((s + (float(self.model[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in states.items())[1]
-        if len(self.memo) < MEMO:
+        best = max((s + (self.model[a][b][0] if b else 0.0), t) for (a, b), (s, t) in states.items())[1]
+        if len(self.memo) < MEMO and len(word) <= MEMO_LETTERS:
             self.memo[word, split] = best
         return best
 
     def restore(self, text: str) -> str:
-        """The lower-cased text with every suspicious word decoded, and further readings in lines of their own."""
-        text = text.lower()
-        return "\n".join([self.replaced(text), *sorted(self.readings(text))])
+        """The lower-cased text with every suspicious word decoded, and second readings in lines of their own."""
+        text = self.replaced(text.lower())
+        return "\n".join([text, *sorted(self.readings(text))])
 
     def readings(self, text: str) -> set[str]:
-        """Other readings of words with a doubled letter, and of fragments with their neighbours."""
-        out, end = set(), 0
-        for m in DOUBLED.finditer(text):
-            a, b = m.span()
-            if a >= end:
-                while a > end and text[a - 1].isalpha():
-                    a -= 1
-                while b < len(text) and text[b].isalpha():
-                    b += 1
-                end = b
-                if (read := self.decode(text[a:b])) != text[a:b]:
-                    out.add(read)
-        spans: list[tuple[int, int, int, int]] = []  # neighbour, first fragment, end of the last, its neighbour
-        for m in FRAGMENT.finditer(text):
-            if self.unlikely(m[0]):
-                a, b = self.neighbour(text, m.start(), -1), self.neighbour(text, m.end(), 1)
-                if spans and a < spans[-1][3]:
-                    spans[-1] = (*spans[-1][:2], m.end(), max(b, spans[-1][3]))
-                else:
-                    spans.append((a, m.start(), m.end(), b))
-        # A neighbour may be part of the word or not: with and without each.
-        for x in {text[a:b] for f, i, j, t in spans for a in (f, i) for b in (j, t)}:
-            if not x.isalpha() and (read := self.decode(x, True)) != x:
-                out.add(read)
+        """Second readings of the places that begin like a target once gaps and repeats are left out."""
+        out: set[str] = set()
+        for at in self.places(text):
+            end, letters, parts, hit = at, [], 0, 0
+            while m := PART.match(text, end):
+                parts, end = parts + 1, m.end()
+                s = symbols_of(m[0])
+                letters += s[np.concatenate([[True], s[1:] != s[:-1]])][:self.longest].tolist()
+                known = [n for n in range(hit + 1, min(len(letters), self.longest) + 1) if bytes(letters[:n]) in self.targets]
+                if known:
+                    hit = known[-1]
+                    word = text[at:end]
+                    if (parts > 1 or len(letters) < len(s)) and (read := self.decode(word, parts > 1)) != word:
+                        out.add(read)
+                if len(letters) >= self.longest or not (gap := GAP.match(text, end)):
+                    break
+                end = gap.end()
         return out
 
-    @staticmethod
-    def neighbour(text: str, at: int, step: int) -> int:
-        """Where the word before or after a place ends; the place itself if a larger gap or a digit is between."""
-        i = at - (step < 0)
-        far = i + step * GAP
-        while 0 <= i < len(text) and i != far and not text[i].isalnum():
-            i += step
-        if not (0 <= i < len(text) and text[i].isalpha()):
-            return at
-        while 0 <= i < len(text) and text[i].isalpha():
-            i += step
-        return i + (step < 0)
+    def places(self, text: str) -> list[int]:
+        """Beginnings of words from which on the next letters, repeats left out, are a target's first."""
+        if not self.targets:
+            return []
+        s = symbols_of(text)
+        first = (s > 0) & (np.concatenate([[0], s[:-1]]) == 0)
+        keep = np.flatnonzero((s > 0) & (first | (s != np.concatenate([[0], s[:-1]]))))
+        if len(keep) < HEAD:
+            return []
+        t, n = s[keep], len(keep) - HEAD + 1
+        code = sum(t[i:i + n] << 6 * (HEAD - 1 - i) for i in range(HEAD))
+        return keep[:n][self.heads[code] & first[keep[:n]]].tolist()
 
     def replaced(self, text: str) -> str:
         out, end = [], 0
@@ -245,12 +229,12 @@ class Words:
         """Hash of the first four bytes (of all of a shorter word)."""
         return rolling().spans(self.prefix, self.start, np.minimum(self.start + 4, self.stop))
 
-    def features(self, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word numbers, hashes): whole words, then beginnings by length."""
-        yield pick, mix(rolling().spans(self.prefix, self.start[pick], self.stop[pick]) + U(1))
+    def features(self, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word numbers, hashes, bytes): whole words, then beginnings by length."""
+        yield pick, mix(rolling().spans(self.prefix, self.start[pick], self.stop[pick]) + U(1)), self.stop[pick] - self.start[pick]
         for n in BEGINNINGS:
             long = pick[self.stop[pick] - self.start[pick] >= n]
-            yield long, mix(rolling().spans(self.prefix, self.start[long], self.start[long] + n) + U(n))
+            yield long, mix(rolling().spans(self.prefix, self.start[long], self.start[long] + n) + U(n)), np.full(len(long), n)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -265,20 +249,26 @@ def training_labels(labels: DataFrame, limit: int) -> DataFrame:
     return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, strengths, first-four-byte hashes) of the features that mark toxic texts.
+def target(feature: bytes) -> bytes:
+    """The symbols of a feature, repeats left out; nothing where it is cut inside a letter."""
+    s = symbols_of(feature.decode("utf-8", "ignore"))
+    return bytes(s[np.concatenate([[True], s[1:] != s[:-1]])].astype(np.uint8)) if len(s) else b""
+
+
+def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, frozenset[bytes]]:
+    """(hashes, strengths, first-four-byte hashes, second readings' targets) of the features that mark toxic texts.
 
     A feature's strength is a cautious estimate of the share of toxic rows among the rows that have it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(*model.value)
+        decoder = Decoder(model.value)
         for batch in slices(batches, "text"):
             toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
             texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()]
             for first, group in chunks(texts):
                 words = Words(group)
                 head, pick = words.head(), np.arange(len(words.start))
-                at, key = (np.concatenate(x) for x in zip(*words.features(pick), strict=True))
+                at, key, length = (np.concatenate(x) for x in zip(*words.features(pick), strict=True))
                 order = np.lexsort((words.text[at], key))
                 at, key = at[order], key[order]
                 text = words.text[at]
@@ -288,19 +278,22 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
                 bad = toxic[first + words.text[at]].astype(np.int64)
                 n = np.diff(np.concatenate([edge, [len(key)]])).astype(np.int64)
                 t = np.add.reduceat(bad, edge) if len(edge) else n
+                whole = b"\n".join(group)
+                size = length[order][new][edge] if len(edge) else edge
+                said = [whole[a:a + m] if b else None for a, m, b in zip(words.start[at[edge]].tolist(), size.tolist(), t.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(key[edge].view(np.int64)), pa.array(head[at[edge]].view(np.int64)),
-                                                  pa.array(t), pa.array(n)], ["key", "head", "bad", "n"])
+                                                  pa.array(t), pa.array(n), pa.array(said, pa.binary())], ["key", "head", "bad", "n", "said"])
 
     sample = F.broadcast(training_labels(labels, limit))  # about ``limit`` rows at most
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", F.col("toxic") == 1).toDF("text", "toxic")
-    counts = rows.mapInArrow(run, "key bigint, head bigint, bad bigint, n bigint").groupBy("key").agg(
-        F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.min("head").alias("head"))
+    counts = rows.mapInArrow(run, "key bigint, head bigint, bad bigint, n bigint, said binary").groupBy("key").agg(
+        F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.min("head").alias("head"), F.max("said").alias("said"))
     strength = (F.col("bad") - F.sqrt("bad")) / (F.col("n") + 1)
-    strong = counts.select("key", "head", strength.alias("p")).where(F.col("p") >= LEAST_STRENGTH).collect()  # bounded by the sample
+    strong = counts.select("key", "head", "said", strength.alias("p")).where(F.col("p") >= LEAST_STRENGTH).collect()  # bounded by the sample
     key = np.array([r["key"] for r in strong], np.int64).view(np.uint64)
     order = np.argsort(key)
     heads = np.unique(np.array([r["head"] for r in strong], np.int64).view(np.uint64))
-    return key[order], np.array([r["p"] for r in strong])[order], heads
+    return key[order], np.array([r["p"] for r in strong])[order], heads, frozenset(target(bytes(r["said"])) for r in strong)
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus: DataFrame | None = None) -> DataFrame:
@@ -309,14 +302,13 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
     Columns of ``docs`` that bear these names are replaced.
     """
     spark = docs.sparkSession
-    counts = count_trigrams(corpus if corpus is not None else docs)
-    model = language_model(counts)
-    model = shared_broadcast(spark, (model, usual_likelihood(counts, model)))
+    model = shared_broadcast(spark, language_model(count_trigrams(corpus if corpus is not None else docs)))
     fitted = shared_broadcast(spark, fit(docs, labels, model, limit))
     own = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, (keys, strength, heads) = Decoder(*model.value), fitted.value
+        keys, strength, heads, targets = fitted.value
+        decoder = Decoder(model.value, targets)
         for batch in slices(batches, "text"):
             best = np.full(batch.num_rows, BASE_SCORE)
             texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()] if len(keys) else []
@@ -324,7 +316,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
                 words = Words(group)
                 head = words.head()
                 pick = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, head), len(heads) - 1)] == head)
-                for at, key in words.features(pick):
+                for at, key, _ in words.features(pick):
                     place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     hit = keys[place] == key
                     np.maximum.at(best, first + words.text[at[hit]], strength[place[hit]])

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -261,6 +262,52 @@ def test_toxicity_of_doubled_and_split_words(spark):
     assert all(out[i] == t for i, _, t in labels)
 
 
+def all_readings(decoder, text, letters):
+    """Second readings of every word and of every run of words of up to so many letters."""
+    text, out = decoder.replaced(text.lower()), set()
+    parts = [m.span() for m in toxicity.PART.finditer(text)]
+    for i, (a, _) in enumerate(parts):
+        for j in range(i, min(i + letters, len(parts))):
+            if j > i and not toxicity.GAP.match(text, parts[j - 1][1]):
+                break
+            out.add(decoder.decode(text[a:parts[j][1]], j > i))
+    return out
+
+
+def test_no_reading_is_lost_by_looking_at_features_only(spark):
+    rows, _ = toxic_corpus(200)
+    bad = ["idiot", "stupid", "loser", "stoopid"]
+    targets = frozenset(toxicity.target(w[:n].encode()) for w in bad for n in (4, 5, 6, 7))
+    model = toxicity.language_model(toxicity.count_trigrams(frame(spark, rows)))
+    decoder, rng = toxicity.Decoder(model, targets), random.Random(2)
+    found = 0
+    for _, text in rows[:60]:
+        words = text.split()[:12]
+        for _ in range(3):
+            w, k = rng.choice(bad), rng.randint(1, 3)
+            words.insert(rng.randint(0, 12), rng.choice([w[:k] + rng.choice([" ", ".", " - ", "/"]) + w[k:], w[:k] + w[k - 1] + w[k:], w[:k] + " " + w[k] + w[k:]]))
+        text = " ".join(words)
+
+        def hits(lines):
+            return {w[:n] for line in lines for w in re.findall("[a-z]+", line) for b in bad for n in (4, 5, 6) if w[:n] == b[:n]}
+        mine, brute = hits(decoder.restore(text).split("\n")), hits({decoder.replaced(text)} | all_readings(decoder, text, 12))
+        assert mine == brute
+        found += len(mine)
+    assert found > 100
+
+
+def test_long_text_of_short_words(spark):
+    model = np.log(np.full((toxicity.SYMBOLS,) * 3, 1 / toxicity.SYMBOLS, np.float32))
+    decoder = toxicity.Decoder(model, frozenset(toxicity.target(w) for w in (b"idio", b"stup", b"stupid")))
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abdiostupu", k=rng.randint(1, 3))) for _ in range(100_000))
+    start = time.process_time()
+    got = decoder.restore(text + " stu pid")
+    assert time.process_time() - start < 5
+    assert len(decoder.memo) <= toxicity.MEMO and max(map(len, (w for w, _ in decoder.memo)), default=0) <= toxicity.MEMO_LETTERS
+    assert "stupid" in got.split("\n")
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark):
     rows, labels = toxic_corpus(300)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
