@@ -10,7 +10,7 @@ nothing else needs decoding. Restored text is scored by the word and word-beginn
 in the labelled rows.
 
 The language model counts every character of every document. The scorer is fitted on at most about
-``TRAINING_ROWS`` labelled rows, picked by a hash of the id. Null and empty texts score the base
+``TRAINING_ROWS`` labelled rows, picked by a hash of the id; equal texts count once. Null and empty texts score the base
 value. Rows that repeat are scored alike; labels without an id or a value are left out, and several
 labels of one id count as toxic if one is. Without labels every score is the base value.
 """
@@ -33,6 +33,7 @@ TRAINING_ROWS = 20_000
 FOLDS = 5
 BASE_SCORE = 0.05
 LEAST_STRENGTH = 0.25  # features of less are not kept
+TOXIC = 0.5  # a score of toxic texts; second readings look for features of that strength
 MEMO = 30_000
 MEMO_LETTERS = 64  # longer words are decoded anew each time
 
@@ -106,6 +107,11 @@ class Decoder:
         self.heads = np.zeros(1 << 6 * HEAD, bool)
         for t in self.targets:
             self.heads[sum(x << 6 * (HEAD - 1 - i) for i, x in enumerate(t[:HEAD]))] = True
+        self.hashes = {}
+        for size in {len(t) for t in self.targets}:
+            every = np.frombuffer(b"".join(t for t in self.targets if len(t) == size), np.uint8)
+            at = np.arange(0, len(every), size)
+            self.hashes[size] = np.sort(rolling().spans(rolling().prefix(every), at, at + size))
 
     def options(self, sign: str, run: int, spaced: bool, split: bool = False) -> list[tuple[str, float]]:
         """What a run of one sign may stand for, with its channel log-probability."""
@@ -151,43 +157,64 @@ class Decoder:
             self.memo[word, split] = best
         return best
 
-    def restore(self, text: str) -> str:
-        """The lower-cased text with every suspicious word decoded, and second readings in lines of their own."""
-        text = self.replaced(text.lower())
-        return "\n".join([text, *sorted(self.readings(text))])
+    def restored(self, texts: list[str]) -> list[str]:
+        """Each text lower-cased with every suspicious word decoded, and second readings in lines of their own."""
+        texts = [self.replaced(t.lower()) for t in texts]
+        out, ends = [], np.cumsum([len(t) + 1 for t in texts])
+        at = self.places("\n".join(texts))
+        own = np.searchsorted(ends, at, side="right")
+        cut = np.searchsorted(own, np.arange(len(texts) + 1))
+        for i, t in enumerate(texts):
+            here = at[cut[i]:cut[i + 1]] - (ends[i] - len(t) - 1)
+            out.append("\n".join([t, *sorted(self.readings(t, here.tolist()))]))
+        return out
 
-    def readings(self, text: str) -> set[str]:
+    def readings(self, text: str, places: list[int]) -> set[str]:
         """Second readings of the places that begin like a target once gaps and repeats are left out."""
         out: set[str] = set()
-        for at in self.places(text):
+        for at in places:
             end, letters, parts, hit = at, [], 0, 0
             while m := PART.match(text, end):
                 parts, end = parts + 1, m.end()
-                s = symbols_of(m[0])
-                letters += s[np.concatenate([[True], s[1:] != s[:-1]])][:self.longest].tolist()
+                last = 0
+                for x in map(self.symbol, m[0]):
+                    if x != last:
+                        letters.append(x)
+                    if len(letters) == self.longest:
+                        break
+                    last = x
                 known = [n for n in range(hit + 1, min(len(letters), self.longest) + 1) if bytes(letters[:n]) in self.targets]
                 if known:
                     hit = known[-1]
                     word = text[at:end]
-                    if (parts > 1 or len(letters) < len(s)) and (read := self.decode(word, parts > 1)) != word:
+                    if (parts > 1 or len(letters) < len(m[0])) and (read := self.decode(word, parts > 1)) != word:
                         out.add(read)
                 if len(letters) >= self.longest or not (gap := GAP.match(text, end)):
                     break
                 end = gap.end()
         return out
 
-    def places(self, text: str) -> list[int]:
-        """Beginnings of words from which on the next letters, repeats left out, are a target's first."""
+    def places(self, text: str) -> np.ndarray:
+        """Beginnings of words from which on the next letters, with gaps or repeats left out, are a target."""
         if not self.targets:
-            return []
-        s = symbols_of(text)
-        first = (s > 0) & (np.concatenate([[0], s[:-1]]) == 0)
-        keep = np.flatnonzero((s > 0) & (first | (s != np.concatenate([[0], s[:-1]]))))
-        if len(keep) < HEAD:
-            return []
-        t, n = s[keep], len(keep) - HEAD + 1
-        code = sum(t[i:i + n] << 6 * (HEAD - 1 - i) for i in range(HEAD))
-        return keep[:n][self.heads[code] & first[keep[:n]]].tolist()
+            return np.zeros(0, np.int64)
+        s = symbols_of(text).astype(np.uint8)
+        before = np.concatenate([[0], s[:-1]])
+        first = (s > 0) & (before == 0)
+        keep = np.flatnonzero(first | ((s > 0) & (s != before)))
+        n = len(keep) - HEAD + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        t = s[keep]
+        code = sum(t[i:i + n].astype(np.int32) << 6 * (HEAD - 1 - i) for i in range(HEAD))
+        at = np.flatnonzero(self.heads[code] & first[keep[:n]])
+        hit, prefix = np.zeros(len(at), bool), rolling().prefix(t) if len(at) else None
+        for size, known in self.hashes.items():
+            end = at + size
+            may = np.flatnonzero((end <= len(keep)) & (keep[np.minimum(end, len(keep)) - 1] - keep[at] >= size))  # not as it stands
+            h = rolling().spans(prefix, at[may], end[may])
+            hit[may] |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        return keep[at[hit]]
 
     def replaced(self, text: str) -> str:
         out, end = [], 0
@@ -264,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
         decoder = Decoder(model.value)
         for batch in slices(batches, "text"):
             toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
-            texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()]
+            texts = [t.encode() for t in decoder.restored(["" if t is None else t for t in batch["text"].to_pylist()])]
             for first, group in chunks(texts):
                 words = Words(group)
                 head, pick = words.head(), np.arange(len(words.start))
@@ -285,7 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
                                                   pa.array(t), pa.array(n), pa.array(said, pa.binary())], ["key", "head", "bad", "n", "said"])
 
     sample = F.broadcast(training_labels(labels, limit))  # about ``limit`` rows at most
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", F.col("toxic") == 1).toDF("text", "toxic")
+    # A text that many rows repeat says as much as one row.
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).agg(
+        F.first("text").alias("text"), (F.max("toxic") == 1).alias("toxic")).select("text", "toxic")
     counts = rows.mapInArrow(run, "key bigint, head bigint, bad bigint, n bigint, said binary").groupBy("key").agg(
         F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.min("head").alias("head"), F.max("said").alias("said"))
     strength = (F.col("bad") - F.sqrt("bad")) / (F.col("n") + 1)
@@ -293,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
     key = np.array([r["key"] for r in strong], np.int64).view(np.uint64)
     order = np.argsort(key)
     heads = np.unique(np.array([r["head"] for r in strong], np.int64).view(np.uint64))
-    return key[order], np.array([r["p"] for r in strong])[order], heads, frozenset(target(bytes(r["said"])) for r in strong)
+    return key[order], np.array([r["p"] for r in strong])[order], heads, frozenset(target(bytes(r["said"])) for r in strong if r["p"] >= TOXIC)
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus: DataFrame | None = None) -> DataFrame:
@@ -311,7 +340,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
         decoder = Decoder(model.value, targets)
         for batch in slices(batches, "text"):
             best = np.full(batch.num_rows, BASE_SCORE)
-            texts = [decoder.restore(t or "").encode() for t in batch["text"].to_pylist()] if len(keys) else []
+            texts = [t.encode() for t in decoder.restored(["" if t is None else t for t in batch["text"].to_pylist()])] if len(keys) else []
             for first, group in chunks(texts):
                 words = Words(group)
                 head = words.head()
@@ -320,7 +349,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
                     place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     hit = keys[place] == key
                     np.maximum.at(best, first + words.text[at[hit]], strength[place[hit]])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(best), pa.array((best >= 0.5).astype(np.int32))],
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(best), pa.array((best >= TOXIC).astype(np.int32))],
                                              [*own, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema), "score double, predicted int"])

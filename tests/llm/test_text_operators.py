@@ -290,7 +290,7 @@ def test_no_reading_is_lost_by_looking_at_features_only(spark):
 
         def hits(lines):
             return {w[:n] for line in lines for w in re.findall("[a-z]+", line) for b in bad for n in (4, 5, 6) if w[:n] == b[:n]}
-        mine, brute = hits(decoder.restore(text).split("\n")), hits({decoder.replaced(text)} | all_readings(decoder, text, 12))
+        mine, brute = hits(decoder.restored([text])[0].split("\n")), hits({decoder.replaced(text)} | all_readings(decoder, text, 12))
         assert mine == brute
         found += len(mine)
     assert found > 100
@@ -302,7 +302,7 @@ def test_long_text_of_short_words(spark):
     rng = random.Random(4)
     text = " ".join("".join(rng.choices("abdiostupu", k=rng.randint(1, 3))) for _ in range(100_000))
     start = time.process_time()
-    got = decoder.restore(text + " stu pid")
+    got = decoder.restored([text + " stu pid", "s tupid"])[0]
     assert time.process_time() - start < 5
     assert len(decoder.memo) <= toxicity.MEMO and max(map(len, (w for w, _ in decoder.memo)), default=0) <= toxicity.MEMO_LETTERS
     assert "stupid" in got.split("\n")
