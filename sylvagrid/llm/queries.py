@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, jaccard_join, line_clean, packing, sharding, substring_dedup, suffix_dedup, toxicity, url_rules, warc
+from . import (decontam, html_text, jaccard_join, lexical_search, line_clean, packing, sharding, substring_dedup, suffix_dedup, toxicity,
+               turn_repair, url_rules, warc)
 from .common import table
 
 
@@ -59,12 +60,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_packing, op3_toxicity, op4_benchmark_decontamination, op5_substring_dedup, op6_url_filter, op7_warc, op8_sharding, op9_quality_rules,
-        op10_jaccard_join)}
+        op10_jaccard_join, op11_html_text, op12_lexical_search, op13_turn_repair)}
 CHECKS: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.SQL,
     "op4_benchmark_decontamination": decontam.SQL, "op5_substring_dedup": substring_dedup.SQL,
     "op7_warc": warc.SQL, "op9_quality_rules": line_clean.SQL,
-    "op10_jaccard_join": jaccard_join.SQL}
+    "op10_jaccard_join": jaccard_join.SQL, "op12_lexical_search": lexical_search.SQL, "op13_turn_repair": turn_repair.SQL}
