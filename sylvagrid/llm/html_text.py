@@ -90,7 +90,6 @@ class Page(HTMLParser):
         if self.line.text:
             self.lines.append(self.line)
             self.line = Line()
-        self.line.region = self.region()
 
     def never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
@@ -128,13 +127,13 @@ class Page(HTMLParser):
             self.leave("head")
         self.imply_ends(tag)
         never = self.never(tag, attrs)
-        if tag in BLOCKS or never:
-            self.cut()
         if not self.hidden:
+            if tag in BLOCKS:
+                self.cut()
             self.line.tags += 1
             if tag == "br":
                 self.line.text.append(" ")
-        if tag in VOID or not (never or self.hidden or tag in TRACKED or tag in self.depth):
+        if tag in VOID or not (never or self.hidden or tag in TRACKED or self.depth.get(tag)):
             return
         region = self.region()
         if tag in REGIONS and not self.hidden and not never:
@@ -146,7 +145,6 @@ class Page(HTMLParser):
         self.open.append((tag, never, region))
         self.depth[tag] = self.depth.get(tag, 0) + 1
         self.hidden += never
-        self.line.region = region
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -163,13 +161,11 @@ class Page(HTMLParser):
                 break
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or self.depth.get(tag):
-            self.cut()
         self.leave(tag)
         if not self.hidden:
+            if tag in BLOCKS:
+                self.cut()
             self.line.tags += 1
-        if not self.line.text:
-            self.line.region = self.region()
 
     def parse_html_declaration(self, i: int) -> int:
         """Where a comment or declaration ends; the page is fed whole, so one without an end takes the rest."""
