@@ -4,7 +4,7 @@ The standard library's parser streams a page's events. Text between two block bo
 tags met since the last one. Elements that are never content by their own name, role or class (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out with all
 they hold. A line's text-to-tag ratio is smoothed with a Gaussian over its neighbours, and a threshold of one
-standard deviation parts the lines in two clusters. A region, the nearest article, section or division around
+standard deviation, for the smoothed and the line's own ratio, parts the lines in two clusters. A region, the nearest article, section or division around
 a line, is content if one of its lines is in the upper cluster; of a content region every line is kept,
 however short. Where a page has articles with text, only those are regions.
 
@@ -206,8 +206,11 @@ def main_text(html: str) -> str:
         lines = [x for x in lines if x[2] in page.articles]
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / n for t, n, _ in lines]))
-    content = {r for (_, _, r), x in zip(lines, ratio.tolist(), strict=True) if x >= THRESHOLD * ratio.std()}
+    own = np.array([len(t) / n for t, n, _ in lines])
+    ratio = smoothed(own)
+    # A line reaches the threshold by itself too, or a neighbour's ratio would carry it in; the best line always counts.
+    upper = (np.minimum(own, ratio) >= THRESHOLD * ratio.std()) | (ratio == ratio.max())
+    content = {r for (_, _, r), x in zip(lines, upper.tolist(), strict=True) if x}
     return "\n\n".join(t for t, _, r in lines if r in content)
 
 
