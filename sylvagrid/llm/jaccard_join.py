@@ -34,7 +34,7 @@ from .suffix_dedup import rolling
 
 SHINGLE = 4
 PERCENT = 85
-CHUNK = 4 << 20
+CHUNK = 1 << 20  # bytes of text in hand at once: a task's arrays are about forty times as large
 WIDE = 5  # half widths of a wide segment; a plain one has 2
 I8, U8 = np.int64, np.uint64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -142,7 +142,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _summary(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
+        for batch in slices(batches, "_t", CHUNK):
             n, c = [], []
             for _, group in chunks(texts_of(batch["_t"]), CHUNK):
                 for s in shingle_sets(group, shingle):
@@ -157,7 +157,7 @@ def _index(shingle: int, percent: int, buckets: int):
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
+        for batch in slices(batches, "_t", CHUNK):
             for _, group in chunks(texts_of(batch["_t"]), CHUNK):
                 sets = [s for s in shingle_sets(group, shingle) if len(s)]
                 known, first = np.unique(np.array([class_of(s) for s in sets], I8), return_index=True)
@@ -201,7 +201,7 @@ def _shared(key, table):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
+        for batch in slices(batches, "_t", CHUNK):
             sets = [s for _, g in chunks(texts_of(batch["_t"]), CHUNK) for s in shingle_sets(g, shingle)]
             yield pa.RecordBatch.from_arrays([batch["cls"], pa.array([s.view(I8) for s in sets], pa.list_(pa.int64()))], ["cls", "tokens"])
     return run

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, mix, shared_broadcast, slices, small_batches
+from .common import CHUNK, U, chunks, mix, shared_broadcast, slices, small_batches
 from .suffix_dedup import rolling
 
 TRAINING_ROWS = 20_000
@@ -72,7 +72,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     """Trigram counts over the lower-cased texts of all rows; at most ``SYMBOLS``**3 rows are collected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CHUNK):
             for _, group in chunks((t or "" for t in batch["text"].to_pylist()), 1 << 20):
                 s = np.concatenate([[0, 0], symbols_of("\0\0".join(group).lower()), [0]])
                 total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, limit: int = TRAINING_ROWS) -
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CHUNK):
             toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
             texts = [t.encode() for t in decoder.restored(["" if t is None else t for t in batch["text"].to_pylist()])]
             for first, group in chunks(texts):
@@ -338,7 +338,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, corpus
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, strength, heads, targets = fitted.value
         decoder = Decoder(model.value, targets)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CHUNK):
             best = np.full(batch.num_rows, BASE_SCORE)
             texts = [t.encode() for t in decoder.restored(["" if t is None else t for t in batch["text"].to_pylist()])] if len(keys) else []
             for first, group in chunks(texts):

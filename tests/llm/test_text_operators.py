@@ -424,6 +424,42 @@ def test_mined_rules_by_brute_force(spark):
     assert {r.verdict for r in got} == {"block", "allow"}
 
 
+def test_long_labelled_urls_do_not_enumerate_their_subsets(spark):
+    """Six copies of a URL of 60 path words, and urls that share random parts of it."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    urls = ["http://spam.org/" + "/".join(words)] * 6 + ["http://spam.org/" + "/".join(rng.sample(words, 30)) for _ in range(10)]
+    urls += [f"http://good.org/en/{i}" for i in range(84)]
+    labelled = spark.createDataFrame([(u, "block" if "spam" in u else "allow") for u in urls] + [(None, "block"), ("http://x/", None)], "url string, label string")
+    rules = url_rules.mine_rules(labelled)
+    assert 0 < rules.count() < 2 * 2**url_rules.URL_TOKENS
+    assert rules.where("verdict = 'block' and confidence = 1 and array_contains(tokens, 'host:spam')").count()
+    assert rules.where("verdict = 'allow' and array_contains(tokens, 'host:good')").count()
+    pages = spark.createDataFrame([(1, urls[0]), (2, urls[9]), (3, "http://good.org/en/500"), (4, "http://new.net/")], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, labelled, ()).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_rules_need_enough_labelled_urls(spark):
+    urls = [(f"http://a.org/{w}/x", "block") for w in ("rare", "rare", "rare", "rare")] + [(f"http://a.org/{w}/x", "block") for w in ["seen"] * 5]
+    urls += [("http://b.org/y", "allow")] * 60
+    rules = url_rules.mine_rules(spark.createDataFrame(urls, "url string, label string"), min_support=0.0001)
+    said = {t for r in rules.collect() for t in r.tokens}
+    assert "path:seen" in said and "path:rare" not in said
+
+
+@needs_data
+def test_blocked_pages_hold_up_on_held_out_labels(spark):
+    """Rules from four fifths of the labelled pages, judged on the rest: blocking is right more often than chance."""
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "labels"))
+    labelled = url_rules.labelled_pages(pages, labels).withColumn("held", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0)
+    held = labelled.where("held").select("url", "label")
+    got = url_rules.filter_urls(held, labelled.where("not held").select("url", "label"), ()).collect()
+    blocked, bad = [r for r in got if r.verdict == "block"], sum(r.label == "block" for r in got) / len(got)
+    assert len(blocked) < 0.2 * len(got)
+    assert not blocked or sum(r.label == "block" for r in blocked) / len(blocked) >= bad
+
+
 def test_url_filter_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://q.org/"), (2, None)], "page_id bigint, url string")
     got = url_rules.filter_urls(pages, spark.createDataFrame([], "url string, label string"))
