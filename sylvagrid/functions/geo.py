@@ -80,6 +80,57 @@ def box_wkt(w: Column | str, s: Column | str, e: Column | str, n: Column | str)
     return F.concat(F.lit("POLYGON(("), ring, F.lit("))"))
 
 
+# Layout of a double (exponent bias, mantissa bits) and the head of a little-endian well-known binary point.
+_BIAS, _MANTISSA = 1023, 52
+_POINT_HEAD = "0101000000"
+
+
+def _double_bytes(c: Column) -> Column:
+    """The eight bytes of a double, lowest first, as hexadecimal text."""
+    size = F.abs(c)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(1 - _BIAS)).cast("int")  # the logarithm may round across a power of two
+    power = F.when(size < F.pow(F.lit(2.0), guess), guess - 1).when(size >= F.pow(F.lit(2.0), guess + 1), guess + 1).otherwise(guess)
+    power = F.greatest(power, F.lit(1 - _BIAS))
+    scaled = (size / F.pow(F.lit(2.0), power) * F.lit(float(2**_MANTISSA))).cast("long")
+    # Below the smallest power of two the leading one is missing, and the exponent field is 0.
+    field = F.shiftleft((power + _BIAS - 1).cast("long"), _MANTISSA) + scaled
+    bits = F.when(size == 0, F.lit(0).cast("long")).otherwise(field)
+    sign = (c < 0) | (c.cast("string") == "-0.0")
+    bits = F.when(sign, bits.bitwiseOR(F.lit(-2**63))).otherwise(bits)
+    text = F.lpad(F.hex(bits), 16, "0")
+    return F.concat(*[F.substring(text, 15 - 2 * i, 2) for i in range(8)])
+
+
+def point_wkb(x: Column | str, y: Column | str) -> Column:
+    """Well-known binary of a point, little-endian; NULL where a coordinate is NULL or not finite."""
+    x, y = as_col(x).cast("double"), as_col(y).cast("double")
+
+    def finite(c: Column) -> Column:
+        return F.abs(c) < F.lit(float("inf"))
+
+    return F.when(finite(x) & finite(y), F.unhex(F.concat(F.lit(_POINT_HEAD), _double_bytes(x), _double_bytes(y))))
+
+
+def _double_at(wkb: Column, place: int) -> Column:
+    """The double in bytes ``place`` to ``place`` + 7 (from 1), lowest first."""
+    bits = F.lit(0).cast("long")
+    for i in range(8):
+        byte = F.conv(F.hex(F.substring(wkb, place + i, 1)), 16, 10).cast("long")
+        bits = bits.bitwiseOR(F.shiftleft(byte, 8 * i))
+    exponent = F.shiftright(bits, _MANTISSA).bitwiseAND(F.lit(2047))
+    mantissa = bits.bitwiseAND(F.lit(2**_MANTISSA - 1)).cast("double") / F.lit(float(2**_MANTISSA))
+    size = F.when(exponent == 0, mantissa * F.pow(F.lit(2.0), F.lit(1 - _BIAS))).when(
+        exponent < 2047, (mantissa + 1) * F.pow(F.lit(2.0), exponent - _BIAS))
+    return F.when(bits < 0, -size).otherwise(size)
+
+
+def wkb_point(wkb: Column | str) -> tuple[Column, Column]:
+    """(x, y) of a little-endian well-known binary point; NULL for anything else."""
+    b = as_col(wkb)
+    good = (F.octet_length(b) == 21) & (F.hex(F.substring(b, 1, 5)) == _POINT_HEAD)
+    return F.when(good, _double_at(b, 6)), F.when(good, _double_at(b, 14))
+
+
 def degree_tile_name(lat: Column | str, lon: Column | str) -> Column:
     """Elevation tile name of a one-degree cell, from its south-west corner."""
     la, lo = as_col(lat), as_col(lon)

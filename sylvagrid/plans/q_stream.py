@@ -1,4 +1,4 @@
-"""Streaming queries: the events table arrives as a stream of files."""
+"""Streaming queries: the events table arrives as a stream of files, in several runs where a run matters."""
 
 from __future__ import annotations
 
@@ -11,11 +11,19 @@ from ..streaming import ingest
 from .registry import query, rounded
 
 
-def stream(t):
-    s = ingest.file_stream(t.spark, t.folder, EVENTS, "events.parquet")
+RUNS = 3
+
+
+def stream(t, folder=None, files_per_batch=None):
+    s = ingest.file_stream(t.spark, folder or t.folder, EVENTS, "*.parquet" if folder else "events.parquet", files_per_batch)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def share(run):
+    """The events that arrive before a run: by id, so that runs overlap in time."""
+    return F.pmod("event_id", F.lit(RUNS)) == run
+
+
 ACCEPT_SQL = "value >= 10 AND event_type <> 'error'"
 
 
@@ -23,14 +31,19 @@ def accept():
     return (F.col("value") >= 10) & ~F.isnan("value") & (F.col("event_type") != "error")
 
 
-@query("str1_incremental_ingest", f"""SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events
-WHERE {ACCEPT_SQL} GROUP BY 1""")
+@query("str1_incremental_ingest", f"""SELECT event_id % {RUNS} AS run, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total,
+  CAST(2 AS BIGINT) AS batches FROM events WHERE {ACCEPT_SQL} GROUP BY 1, 2""")
 def str1(t):
-    out, ck = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ck")
-    ingest.ingest(stream(t), accept(), out, ck)
-    ingest.ingest(stream(t), accept(), out, ck)  # a rerun finds nothing new
-    return t.spark.read.parquet(out).groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    src, out, ck = (scratch_path(t.spark, x) for x in ("arrivals", "ingest", "ck"))
+    batches = []
+    for run in range(RUNS):
+        ingest.land(t.base("events").where(share(run)), src, files=2)
+        batches.append(len(ingest.ingest(stream(t, src, files_per_batch=1), accept(), out, ck)))
+        ingest.ingest(stream(t, src, files_per_batch=1), accept(), out, ck)  # a rerun without arrivals finds nothing new
+    run = F.pmod("event_id", F.lit(RUNS)).alias("run")
+    return t.spark.read.parquet(out).groupBy(run, "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).withColumn(
+        "batches", F.element_at(F.array(*[F.lit(b).cast("bigint") for b in batches]), (F.col("run") + 1).cast("int")))
 
 
 @query("str2_running_metrics", """SELECT event_type, COUNT(*) AS n, ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(ABS(e)), 6) AS mae,
@@ -38,9 +51,23 @@ def str1(t):
   ROUND(SQRT(AVG(e * e)) / AVG(y) * 100, 6) AS rel_rmse_pct FROM (
   SELECT event_type, value AS y, GREATEST(value * 0.8e0 - 3e0, 0e0) - value AS e FROM events) q GROUP BY 1""")
 def str2(t):
-    out, ck = scratch_path(t.spark, "metrics"), scratch_path(t.spark, "ck")
-    s = stream(t).withColumns({"true_agbd": F.col("value"), "pred_agbd": F.col("value") * 0.8 - 3.0})
-    ingest.running_metrics(s, ["event_type"], out, ck)
+    src, out, ck = (scratch_path(t.spark, x) for x in ("arrivals", "metrics", "ck"))
+    broken = [2]  # batches whose publication fails, once
+
+    def publish(batch):
+        if batch in broken:
+            broken.remove(batch)
+            raise ConnectionError("the reader of the results is away")
+
+    def run():
+        s = stream(t, src, files_per_batch=1).withColumns({"true_agbd": F.col("value"), "pred_agbd": F.col("value") * 0.8 - 3.0})
+        return ingest.running_metrics(s, ["event_type"], out, ck, publish)
+
+    # Four files, a batch each; the third batch is done, fails to be published, and is repeated after the restart.
+    ingest.land(t.base("events").where(~share(2)), src, files=3)
+    ingest.resumed(run)
+    ingest.land(t.base("events").where(share(2)), src, files=1)
+    ingest.resumed(run)
     return rounded(metrics.metrics_from_sums(ingest.latest_batch(t.spark, out)), metrics.MEASURES)
 
 
@@ -70,9 +97,42 @@ def str4(t):
     return out
 
 
-@query("str5_duplicate_safe_ingest", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1")
+DELAY_HOURS = 48
+# Deliveries: every event in one of four runs by its time, and once more in the next run: sent again as it was, or measured again
+# and dated some hours later. A repeat survives if the watermark that the runs before it left has passed its first row's expiry
+# but not its own time.
+PARTS, LATER_HOURS = 4, 24 * 12
+PART_SQL = f"""span AS (SELECT MIN(ts) AS t0, MAX(ts) AS t1 FROM events),
+original AS (SELECT event_id, ts, event_type, LEAST({PARTS - 1}, CAST(FLOOR({PARTS} * (EPOCH_US(ts) - EPOCH_US(t0)) / (EPOCH_US(t1) - EPOCH_US(t0) + 1e0)) AS BIGINT)) AS run
+  FROM events, span)"""
+
+
+def deliveries(t):
+    """(event_id, ts, event_type, run, again): what arrives before each run."""
+    e = t.base("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    at = F.unix_micros("ts")
+    span = e.agg(F.min(at).alias("t0"), F.max(at).alias("t1"))
+    run = F.least(F.lit(PARTS - 1), F.floor(PARTS * (at - F.col("t0")) / (F.col("t1") - F.col("t0") + F.lit(1.0)))).cast("bigint")
+    first = e.crossJoin(F.broadcast(span)).select("event_id", "ts", "event_type", run.alias("run"), F.lit(False).alias("again"))  # one row
+    again = first.withColumns({"run": F.col("run") + 1, "again": F.lit(True),
+                               "ts": F.when(F.col("event_id") % 2 == 0, F.col("ts")).otherwise(F.timestamp_micros(at + LATER_HOURS * 3_600_000_000))})
+    return first.unionByName(again)
+
+
+@query("str5_duplicate_safe_ingest", f"""WITH {PART_SQL}, again AS (SELECT event_id, event_type, run + 1 AS run,
+    CASE WHEN event_id % 2 = 0 THEN ts ELSE ts + INTERVAL {LATER_HOURS} HOUR END AS ts FROM original),
+seen AS (SELECT run, MAX(ts) AS newest FROM (SELECT run, ts FROM original UNION ALL SELECT run, ts FROM again) q GROUP BY run),
+marks AS (SELECT run + 1 AS run, DATE_TRUNC('milliseconds', MAX(newest) OVER (ORDER BY run)) - INTERVAL {DELAY_HOURS} HOUR AS mark FROM seen),
+firsts AS (SELECT o.*, (m.mark IS NULL OR o.ts > m.mark) AS kept FROM original o LEFT JOIN marks m USING (run))
+SELECT event_id, event_type, ts, FALSE AS again FROM firsts WHERE kept
+UNION ALL
+SELECT a.event_id, a.event_type, a.ts, TRUE FROM again a JOIN firsts f USING (event_id) JOIN marks m ON m.run = a.run
+WHERE a.ts > m.mark AND (NOT f.kept OR f.ts + INTERVAL {DELAY_HOURS} HOUR <= m.mark)""")
 def str5(t):
-    out, ck = scratch_path(t.spark, "dedup"), scratch_path(t.spark, "ck")
-    twice = stream(t).unionByName(stream(t))
-    ingest.drain(ingest.dedup(twice, "event_id", "ts", "2 hours"), out, ck)
-    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    src, out, ck = (scratch_path(t.spark, x) for x in ("arrivals", "dedup", "ck"))
+    sent = deliveries(t)
+    for run in range(PARTS + 1):
+        ingest.land(sent.where(F.col("run") == run).drop("run"), src, files=2)
+        s = ingest.file_stream(t.spark, src, sent.drop("run").schema)
+        ingest.drain(ingest.dedup(s, "event_id", "ts", f"{DELAY_HOURS} hours"), out, ck)
+    return t.spark.read.parquet(out).select("event_id", "event_type", "ts", "again")

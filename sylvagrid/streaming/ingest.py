@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.metrics import running_sums
@@ -23,27 +25,58 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return r.parquet(folder)
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available into Parquet and stop; a rerun continues from the checkpoint."""
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out))
+def land(rows: DataFrame, folder: str, files: int) -> None:
+    """Add rows to a stream's folder as that many new files."""
+    rows.repartition(files).write.mode("append").parquet(folder)
+
+
+def _finished(q: StreamingQuery) -> list[int]:
+    """Rows of each batch that had any, once the stream has stopped."""
     q.awaitTermination()
+    return [p.numInputRows for p in q.recentProgress if p.numInputRows]
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> list[int]:
+    """Process everything available into Parquet and stop; a rerun continues from the checkpoint.
+
+    Returns the rows of each batch. After the last one the watermark moves on, so a rerun
+    sees state expired by all that came before it.
+    """
+    return _finished(stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+                     .trigger(availableNow=True).start(out))
 
 
 def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
-                  mode: str = "append") -> None:
-    q = (stream.writeStream.foreachBatch(handle).outputMode(mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+                  mode: str = "append") -> list[int]:
+    return _finished(stream.writeStream.foreachBatch(handle).outputMode(mode)
+                     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def ingest(stream: DataFrame, accept: Column, out: str, checkpoint: str) -> None:
+def resumed(run: Callable[[], list[int]], attempts: int = 3) -> list[int]:
+    """Run a drained stream again when it fails, from its checkpoint: the batch that failed is repeated.
+
+    Returns the batches of the attempt that got through; the last attempt's error is raised.
+    """
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return run()
+        except StreamingQueryException:
+            if not left:
+                raise
+    raise ValueError("no attempts")
+
+
+def ingest(stream: DataFrame, accept: Column, out: str, checkpoint: str) -> list[int]:
     """Filtered append of new files; files already taken are skipped by the checkpoint."""
-    drain(stream.where(accept), out, checkpoint)
+    return drain(stream.where(accept), out, checkpoint)
 
 
 def dedup(stream: DataFrame, ident: str, ts: str, delay: str = "1 day") -> DataFrame:
-    """Drops repeats of an id that arrive within the watermark delay."""
+    """Drops repeats of an id that arrive within the watermark delay, and rows older than the watermark.
+
+    An id is forgotten once the watermark passes its first row's time by ``delay``; a later
+    row of it, if not late itself, is taken for new. State is one row per id within reach.
+    """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([ident])
 
 
@@ -54,19 +87,24 @@ def _complete(spark: SparkSession, out: str):
     return fs, sorted((m.getPath().getParent() for m in fs.globStatus(marks) or []), key=lambda p: p.toString())
 
 
-def running_metrics(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str) -> None:
+def running_metrics(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str,
+                    publish: Callable[[int], None] | None = None) -> list[int]:
     """The nine metric sums per key, rewritten after every batch (complete mode).
 
-    The state is one row per key. Each batch writes its own folder, so a repeated batch
-    replaces itself; the writer marks a folder when it is complete. The two newest stay.
+    The state is one row per key and grows over the batches, whatever restarts lie between.
+    Each batch writes its own folder, so a repeated batch replaces itself; the writer marks a
+    folder when it is complete, then ``publish`` is called with the batch's number. An error
+    there stops the stream before the batch counts as done. The two newest folders stay.
     """
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch:09d}")
         fs, done = _complete(df.sparkSession, out)
         for old in done[:-2]:
             fs.delete(old, True)
+        if publish:
+            publish(batch)
 
-    drain_batches(running_sums(stream, keys), write, checkpoint, "complete")
+    return drain_batches(running_sums(stream, keys), write, checkpoint, "complete")
 
 
 def latest_batch(spark: SparkSession, out: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Scalar expressions: edge cases."""
 
 import math
+import random
+import struct
 
 import numpy as np
 import pytest
@@ -128,3 +130,19 @@ def test_strided_grid():
     g = geo.Grid(0.0, 1000.0, 10.0, 10.0, 100, 57).strided(12, 10)
     assert (g.height, g.width) == (len(range(12, 88, 10)), len(range(12, 45, 10)))
     assert (g.x0, g.y0, g.dx) == (120.0, 880.0, 100.0)
+
+
+def test_points_as_well_known_binary(spark):
+    values = [0.0, -0.0, 1.0, -8.5, 42.6, 2.0, 0.5, 1 / 3, -1e-7, 123456.789, 2.0**-1022, 5e-324, 1.7976931348623157e308, 3.9999999999999996, 4.000000000000001]
+    g = random.Random(1)
+    values += [g.uniform(-180, 180) for _ in range(200)] + [g.uniform(-1, 1) * 2.0 ** g.randint(-1000, 1000) for _ in range(200)]
+    d = spark.createDataFrame([(i, x, values[-i]) for i, x in enumerate(values)], "i INT, x DOUBLE, y DOUBLE")
+    w = d.withColumn("w", geo.point_wkb("x", "y"))
+    px, py = geo.wkb_point("w")
+    for r in w.select("x", "y", "w", px.alias("px"), py.alias("py")).collect():
+        assert bytes(r.w) == struct.pack("<BIdd", 1, 1, r.x, r.y)
+        assert (r.px, r.py) == (r.x, r.y)
+    odd = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0)], "x DOUBLE, y DOUBLE")
+    assert odd.select(geo.point_wkb("x", "y").alias("w")).where("w is not null").count() == 0
+    other = spark.createDataFrame([(b"",), (b"lon lat",), (struct.pack(">BIdd", 0, 1, 1.0, 2.0),)], "w BINARY")
+    assert other.select(geo.wkb_point("w")[0].alias("x")).where("x is not null").count() == 0
