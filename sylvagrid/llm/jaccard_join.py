@@ -35,6 +35,7 @@ from .suffix_dedup import rolling
 SHINGLE = 4
 PERCENT = 85
 CHUNK = 1 << 20  # bytes of text in hand at once: a task's arrays are about forty times as large
+BUCKET_BYTES = 6 << 20  # of text a bucket of signatures or tokens; a task's arrays are about fifteen times as large
 WIDE = 5  # half widths of a wide segment; a plain one has 2
 I8, U8 = np.int64, np.uint64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -297,7 +298,7 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_t")).withColumn("_k", F.xxhash64("doc_id", "_t"))
     summary = materialize(rows.mapInArrow(_summary(shingle), "doc_id bigint, _k bigint, n_shingles bigint, cls bigint"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = int(max(parts(docs), -(-size // (16 << 20))))
+    buckets = int(max(parts(docs), -(-size // BUCKET_BYTES)))
     index = rows.select("_t").mapInArrow(_index(shingle, percent, buckets), "bucket int, known binary, which binary, sigs binary")
     members = written(index.groupBy("bucket").applyInArrow(_shared, "sig bigint, cls bigint"))
     # Whole sets of the candidates, from one row of each class.
