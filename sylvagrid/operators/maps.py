@@ -11,8 +11,7 @@ from ..constants import ARTIFACT_MIN, LANDCOVER_NAMES, MAP_MAX, MAP_STRIDE, MIN_
 from ..functions.cleaning import clip, valid_mask, zscore
 from ..functions.text import lookup
 from .metrics import agreement_by_bin
-from ..session import materialize
-from .quantiles import columns_quantiles
+from .quantiles import stored_columns, stored_quantiles
 from .raster import focal_sums, with_extent
 
 
@@ -88,15 +87,15 @@ def mean_cv() -> Column:
 def ensemble_summary(ens: DataFrame) -> DataFrame:
     """Range, mean, median of the mean map; the same and p95 of the deviation; mean CV.
 
-    The ensemble is written once; all quantiles of both columns come from the same passes.
+    The two columns are written once; everything is read from there.
     """
-    ens = materialize(ens)
+    ens, n = stored_columns(ens, ["mean_agbd", "std_agbd"])
     basic = ens.agg(
         F.count("mean_agbd").alias("n_valid"), F.min("mean_agbd").alias("mean_min"),
         F.avg("mean_agbd").alias("mean_mean"), F.max("mean_agbd").alias("mean_max"),
         F.min("std_agbd").alias("std_min"), F.avg("std_agbd").alias("std_mean"),
         F.max("std_agbd").alias("std_max"), mean_cv())
-    q = columns_quantiles(ens, {"mean_median": ("mean_agbd", 0.5), "std_median": ("std_agbd", 0.5), "std_p95": ("std_agbd", 0.95)})
+    q = stored_quantiles(ens, n, {"mean_median": ("mean_agbd", 0.5), "std_median": ("std_agbd", 0.5), "std_p95": ("std_agbd", 0.95)})
     return basic.crossJoin(F.broadcast(q))  # one row each
 
 

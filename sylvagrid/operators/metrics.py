@@ -27,6 +27,9 @@ def scored_pair(truth: str = "true_agbd", pred: str = "pred_agbd") -> tuple[Colu
     return F.when(both, y), F.when(both, clip(p, low=0.0))
 
 
+FLAT = 1e-12  # a variance below this share of the mean square is rounding: the truth is constant and R2 undefined
+
+
 def regression_aggregates(truth: str = "true_agbd", pred: str = "pred_agbd") -> list[Column]:
     """n and the five measures; predictions are clipped at 0, undefined values are NULL.
 
@@ -34,7 +37,8 @@ def regression_aggregates(truth: str = "true_agbd", pred: str = "pred_agbd") ->
     """
     y, p = scored_pair(truth, pred)
     e = p - y
-    total = F.var_pop(y) * F.count(y)
+    spread = F.var_pop(y) * F.count(y)
+    total = F.when(spread > F.lit(FLAT) * F.sum(y * y), spread)
     rmse = F.sqrt(F.avg(e * e))
     return [
         F.count(y).alias("n"),
@@ -77,7 +81,7 @@ def metrics_from_sums(df: DataFrame) -> DataFrame:
     n = F.col("n")
     mean = F.try_divide(F.col("sum_y"), n)
     spread = (F.try_divide(F.col("sum_yy"), n) - mean * mean) * n
-    total = F.when(spread > F.lit(1e-12) * F.col("sum_yy"), spread)
+    total = F.when(spread > F.lit(FLAT) * F.col("sum_yy"), spread)
     rmse = F.sqrt(F.try_divide(F.col("sum_sq"), n))
     keys = [c for c in df.columns if c not in SUMS]
     return df.select(

@@ -6,17 +6,16 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DEM_BANDS, S1_BANDS, S2_BANDS, SEEDS, VARIANT_CHANNELS, VARIANT_ORDER
 from ..functions.text import hash_order
+from .raster import focal_stats
 
 LABEL = "label"
 
@@ -28,6 +27,18 @@ def feature_columns(variant: str, suffixes: Sequence[str] = ("_mean",)) -> list[
     return [f"{c}{s}" for c in VARIANT_CHANNELS[variant] for s in suffixes]
 
 
+def window_features(points: DataFrame, pixels: DataFrame, bands: Sequence[str], half: int) -> DataFrame:
+    """``points`` (crow, ccol) with ``<band>_mean``, the mean of each band's valid pixels around them.
+
+    Windows are moving sums over tiles, so a pixel travels once, and a center that many points
+    share is joined, not summed, many times. Points outside the grid or without a valid pixel
+    in some band are dropped.
+    """
+    means = focal_stats(pixels.select("row_", "col_", *bands), bands, half).select(
+        F.col("row_").alias("crow"), F.col("col_").alias("ccol"), *[f"{b}_mean" for b in bands])
+    return points.join(means.dropna(subset=[f"{b}_mean" for b in bands]), ["crow", "ccol"])
+
+
 def assembler(columns: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error")
 
@@ -50,8 +61,12 @@ def seed_weights(seed: int, ident: str = "patch_id") -> Column:
 
     Every row stays in; the seed varies the fit as a random initialisation would.
     """
-    u = (F.conv(F.substring(hash_order(seed, ident), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    return -F.log(u)
+    return -F.log((hash_number(seed, ident).cast("double") + 0.5) / 4294967296.0)
+
+
+def hash_number(seed: int, ident: Column | str) -> Column:
+    """A 32-bit number from a seeded hash that any engine reproduces."""
+    return F.conv(F.substring(hash_order(seed, ident), 1, 8), 16, 10).cast("long")
 
 
 def fit_single(train: DataFrame, columns: Sequence[str], seed: int, loss: str = "squaredError") -> PipelineModel:
@@ -60,7 +75,7 @@ def fit_single(train: DataFrame, columns: Sequence[str], seed: int, loss: str =
 
 def fold_of(block: str, folds: int) -> Column:
     """Fold of a spatial block, so that neighbours never sit on both sides."""
-    return F.pmod(F.xxhash64(F.col(block)), F.lit(folds)).cast("int")
+    return (hash_number(0, block) % folds).cast("int")
 
 
 class LateFusion:
@@ -147,29 +162,6 @@ def map_jobs() -> list[tuple[str, int]]:
     return [("late", s) for s in SEEDS] + [(v, 7) for v in ("s2_only", "s1_only", "early")]
 
 
-def grid_search(train: DataFrame, valid: DataFrame, columns: Sequence[str], seed: int = 42,
-                regs: Sequence[float] = (0.001, 0.1, 1.0), mixes: Sequence[float] = (0.0, 0.5)) -> list[dict]:
-    """Validation RMSE of each parameter combination on the fixed split, best first."""
-    pipe = regression_pipeline(columns)
-    lr = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(mixes)).build()
-    ev = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="rmse")
-    t = train.withColumn("weight", seed_weights(seed)).persist()
-    try:
-        out = []
-        for params in grid:
-            # L1 terms need the iterative solver.
-            extra = dict(params)
-            if extra[lr.elasticNetParam] > 0:
-                extra[lr.solver] = "l-bfgs"
-            m = pipe.fit(t, extra)
-            out.append({"reg": float(extra[lr.regParam]), "mix": float(extra[lr.elasticNetParam]),
-                        "val_rmse": float(ev.evaluate(m.transform(valid)))})
-    finally:
-        t.unpersist()
-    return sorted(out, key=lambda r: r["val_rmse"])
-
-
 def batch_score(df: DataFrame, columns: Sequence[str], make_predict: Callable, batch_size: int = 256,
                 out: str = "prediction") -> DataFrame:
     """Scores of a user-supplied array model, loaded once per Python worker.

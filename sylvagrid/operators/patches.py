@@ -47,6 +47,7 @@ def block_means(df: DataFrame, label: str = "agbd") -> DataFrame:
 
 def block_strata(means: DataFrame, n_strata: int = N_STRATA) -> DataFrame:
     """Quantile stratum (0-based) of each block: right-closed bins, the ends clipped."""
+    means = materialize(means)  # a row per block, read twice; cut from the scan of the shots
     edges = table_quantiles(means, "block_mean", {f"_e{k}": k / n_strata for k in range(1, n_strata)})
     above = F.lit(0)
     for k in range(1, n_strata):
@@ -82,7 +83,6 @@ def stratified_block_split(df: DataFrame, label: str = "agbd", size: float = BLO
     """
     b = with_blocks(df, size)
     means = block_means(b, label)
-    means = materialize(means)  # read several times below; cut from the shot scan once
     assigned = block_split(block_strata(means, n_strata), train, val, seed).select("block_id", "split")
     return b.join(checked_broadcast(assigned)[0], "block_id")
 

@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.cleaning import clip
-from .quantiles import columns_quantiles, table_quantiles
+from .quantiles import columns_quantiles, stored_columns, stored_quantiles, table_quantiles
 from .sizing import checked_broadcast
 
 TAIL = {"q0900": 0.90, "q0950": 0.95, "q0990": 0.99, "q0995": 0.995, "q0999": 0.999}
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max as one row."""
-    m = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
-               F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
-    q = table_quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    """count, mean, sample std, min, quartiles, max as one row. The column is written once."""
+    kept, n = stored_columns(df, [column])
+    m = kept.agg(F.count(column).alias("count"), F.avg(column).alias("mean"),
+                 F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = stored_quantiles(kept, n, {"q25": (column, 0.25), "q50": (column, 0.5), "q75": (column, 0.75)})
     return m.crossJoin(F.broadcast(q))  # one row each
 
 
 def tail(df: DataFrame, column: str, limits: Sequence[float] = (500, 1000)) -> DataFrame:
-    q = table_quantiles(df, column, TAIL)
-    over = df.agg(*[F.count_if(F.col(column) > x).alias(f"over_{int(x)}") for x in limits])
-    return q.crossJoin(F.broadcast(over))
+    kept, n = stored_columns(df, [column])
+    over = kept.agg(*[F.count_if(F.col(column) > x).alias(f"over_{int(x)}") for x in limits])
+    return stored_quantiles(kept, n, {name: (column, p) for name, p in TAIL.items()}).crossJoin(F.broadcast(over))
 
 
 def median_ratio(df: DataFrame, numerator: str, denominator: str) -> DataFrame:
@@ -68,8 +69,9 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 60) -> DataFrame:
 def uncertainty_histogram(df: DataFrame, label: str = "agbd", se: str = "agbd_se",
                           label_below: float = 400.0, bins: int = 60) -> DataFrame:
     """Label against standard error, below a label limit and the 99th percentile of the error."""
-    limit = table_quantiles(df, se, {"p99": 0.99})
-    kept = df.crossJoin(F.broadcast(limit)).where((F.col(label) < label_below) & (F.col(se) < F.col("p99")))
+    stored, n = stored_columns(df, [label, se])
+    limit = stored_quantiles(stored, n, {"p99": (se, 0.99)})
+    kept = stored.crossJoin(F.broadcast(limit)).where((F.col(label) < label_below) & (F.col(se) < F.col("p99")))
     return histogram_2d(kept.select(label, se), label, se, bins)
 
 

@@ -10,6 +10,10 @@ hot group. ``distributed_quantiles`` finds the same order statistics by narrowin
 
 Every step is a map-side combined count, and every window runs over counts. NaN is skipped
 like NULL, and a negative zero is a zero.
+
+Whole-column quantiles write the wanted columns once and never evaluate their source again.
+The written rows are counted: up to ``NATIVE_GROUP_ROWS`` of them fit the built-in's buffer,
+more are narrowed down. Both give the same bits.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .sizing import checked_broadcast
 
 _LOG_STEPS = 512        # buckets per unit of log1p: value buckets about 0.2 % wide
@@ -120,20 +125,38 @@ def _native(df: DataFrame, keys: list[str], named: dict[str, tuple[str, float]])
         F.col(f"_q_{v}")[probs[v].index(float(p))].alias(n) for n, (v, p) in named.items()])
 
 
-def table_quantiles(df: DataFrame, value: str, named: dict[str, float]) -> DataFrame:
-    """One row: the named quantiles of a whole column."""
-    q = distributed_quantiles(df, value, sorted(set(named.values())))
-    return q.agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in named.items()])
+def stored_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """Some columns of a table, written once to the shared folder, and their number of rows."""
+    path = scratch_path(df.sparkSession, "columns")
+    df.select(*dict.fromkeys(columns)).write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    return kept, kept.count()
 
 
-def columns_quantiles(df: DataFrame, named: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row: quantiles of several columns from the same three passes (name -> column, p)."""
+def stored_quantiles(kept: DataFrame, n: int, named: dict[str, tuple[str, float]], native_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
+    """One row: quantiles of the columns of a written table of ``n`` rows (name -> column, p)."""
+    if n <= native_rows:
+        return _native(kept, [], named)
     values = sorted({v for v, _ in named.values()})
-    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), _value(v).alias("_value")) for v in values])).alias("_x")
-    q = distributed_quantiles(df.select(pairs).select("_x.*"), "_value", sorted({p for _, p in named.values()}), ["_name"])
+    if len(values) == 1:
+        kept = kept.select(F.lit(values[0]).alias("_name"), F.col(values[0]).alias("_value"))
+    else:
+        kept = kept.select(F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), _value(v).alias("_value")) for v in values])).alias("_x")).select("_x.*")
+    q = distributed_quantiles(kept, "_value", sorted({p for _, p in named.values()}), ["_name"])
     return q.agg(*[F.max(F.when((F.col("_name") == v) & (F.col("p") == p), F.col("q"))).alias(n) for n, (v, p) in named.items()])
 
 
+def columns_quantiles(df: DataFrame, named: dict[str, tuple[str, float]], native_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
+    """One row: quantiles of several columns of a table (name -> column, p)."""
+    kept, n = stored_columns(df, sorted({v for v, _ in named.values()}))
+    return stored_quantiles(kept, n, named, native_rows)
+
+
+def table_quantiles(df: DataFrame, value: str, named: dict[str, float], native_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
+    """One row: the named quantiles of a whole column."""
+    return columns_quantiles(df, {name: (value, p) for name, p in named.items()}, native_rows)
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], named: dict[str, tuple[str, float]],
                     native_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
     """Exact quantiles per group: ``named`` maps an output name to (value column, p).

@@ -5,10 +5,13 @@ A pixel table holds one row per pixel (and year); composites produce such tables
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import CLEAR_SCL, MAX_CLOUD
 from ..functions import sensors
@@ -30,10 +33,27 @@ def low_cloud(obs: DataFrame, limit: float = MAX_CLOUD) -> DataFrame:
     return obs.where(F.col("cloud") <= limit)
 
 
+def in_area(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """Pixels inside inclusive row and column limits.
+
+    A table stored by tile (columns ``tile_row`` and ``tile_col``) is also cut by the tiles
+    that the area touches, so the folders of all others are never listed or read.
+    """
+    out = pixels.where(F.col("row_").between(*rows) & F.col("col_").between(*cols))
+    for key, (low, high) in {"tile_row": rows, "tile_col": cols}.items():
+        if key in pixels.columns:
+            out = out.where(F.col(key).between(low // tile, high // tile))
+    return out
+
+
 def optical_composite(obs: DataFrame, bands: Sequence[str], years: Collection[int] | None = None,
-                      max_cloud: float = MAX_CLOUD) -> DataFrame:
-    """Annual per-pixel band median of clear observations from not too cloudy scenes."""
-    o = low_cloud(obs, max_cloud)
+                      max_cloud: float = MAX_CLOUD, area: tuple[tuple[int, int], tuple[int, int]] | None = None,
+                      tile: int = TILE) -> DataFrame:
+    """Annual per-pixel band median of clear observations from not too cloudy scenes.
+
+    ``area`` limits it to inclusive (rows, columns) ranges, see ``in_area``.
+    """
+    o = low_cloud(obs if area is None else in_area(obs, *area, tile), max_cloud)
     if years is not None:
         o = o.where(F.col("year").isin(*years))
     return group_medians(clear_sky(o, bands), ["year", *PIXEL], list(bands))
@@ -60,29 +80,61 @@ def mosaic(tiles: DataFrame, values: Sequence[str], order: str = "tile_order") -
 
 
 def regrid_bilinear(targets: DataFrame, source: DataFrame, value: str,
-                    keys: Sequence[str] = PIXEL, y: str = "sy", x: str = "sx") -> DataFrame:
+                    keys: Sequence[str] = PIXEL, y: str = "sy", x: str = "sx", tile: int = TILE) -> DataFrame:
     """Value of ``source`` at fractional pixel positions (whole numbers are pixel centers).
 
-    The source is folded into quads, the four values around each gap between pixel
-    centers, and every target meets its one quad in an equi-join on the quad's key, which
-    the fold has already partitioned by. Missing corners give their weight up, as nodata
-    does.
+    Source pixels travel once, to the tile they lie in and, on its first row or column, to
+    the neighbour whose last gap they close. Targets travel to the tile of the gap they lie
+    in and follow its pixels in one stream: a task holds one tile as an array and meets any
+    number of targets in batches. Missing corners give their weight up, as nodata does.
     """
-    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
-    s = source.select(F.explode(F.array(*[
-        F.struct((F.col("row_") - i).alias("_r"), (F.col("col_") - j).alias("_c"), F.lit(2 * i + j).alias("k"),
-                 F.col(value).cast("double").alias("v")) for i, j in corners])).alias("q")).select("q.*")
-    quads = s.where(F.col("v").isNotNull()).groupBy("_r", "_c").agg(
-        *[F.max(F.when(F.col("k") == 2 * i + j, F.col("v"))).alias(f"_v{i}{j}") for i, j in corners])
-    r0, c0 = F.floor(y).cast("long"), F.floor(x).cast("long")
-    t = targets.select(*keys, r0.alias("_r"), c0.alias("_c"), (F.col(y) - r0).alias("_fy"), (F.col(x) - c0).alias("_fx"))
-    top, total = F.lit(0.0), F.lit(0.0)
-    for i, j in corners:
-        w = (F.col("_fy") if i else 1 - F.col("_fy")) * (F.col("_fx") if j else 1 - F.col("_fx"))
-        ok = F.col(f"_v{i}{j}").isNotNull()
-        top = top + F.when(ok, w * F.col(f"_v{i}{j}")).otherwise(0.0)
-        total = total + F.when(ok, w).otherwise(0.0)
-    return t.join(quads, ["_r", "_c"], "left").select(*keys, F.when(total > 0, top / total).alias(value))
+    names = [f"_k{i}" for i in range(len(keys))]
+
+    def tiles(c: str) -> Column:
+        low, high = F.floor((F.col(c) - 1) / tile).cast("long"), F.floor(F.col(c) / tile).cast("long")
+        return F.explode(F.sequence(low, high))
+
+    s = source.select(F.col("row_").cast("double").alias("_y"), F.col("col_").cast("double").alias("_x"),
+                      F.col(value).cast("double").alias("_v"), "row_", "col_").where(F.col("_v").isNotNull())
+    s = s.withColumn("_tr", tiles("row_")).withColumn("_tc", tiles("col_")).drop("row_", "col_")
+    t = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"),
+                       F.floor(F.floor(y) / tile).cast("long").alias("_tr"), F.floor(F.floor(x) / tile).cast("long").alias("_tc"))
+    both = s.withColumn("_kind", F.lit(0)).unionByName(t.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    stream = both.repartition("_tr", "_tc").sortWithinPartitions("_tr", "_tc", "_kind").select("_tr", "_tc", "_kind", "_y", "_x", "_v", *names)
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grid = None, np.full((tile + 1, tile + 1), -np.inf)
+        for batch in batches:
+            tr, tc, kind, yy, xx, v = (batch[c].to_numpy(zero_copy_only=False) for c in ("_tr", "_tc", "_kind", "_y", "_x", "_v"))
+            edges = np.flatnonzero((tr[1:] != tr[:-1]) | (tc[1:] != tc[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(kind)]):
+                if a == b:
+                    continue
+                if (tr[a], tc[a]) != now:
+                    now = (tr[a], tc[a])
+                    grid.fill(-np.inf)
+                if kind[a] == 0:
+                    np.maximum.at(grid, ((yy[a:b] - tr[a] * tile).astype(int), (xx[a:b] - tc[a] * tile).astype(int)), v[a:b])
+                    continue
+                known = np.isfinite(yy[a:b]) & np.isfinite(xx[a:b])
+                r, c = np.where(known, yy[a:b], 0.0), np.where(known, xx[a:b], 0.0)
+                r0, c0 = np.floor(r), np.floor(c)
+                i = np.where(known, r0 - tr[a] * tile, 0).astype(int)
+                j = np.where(known, c0 - tc[a] * tile, 0).astype(int)
+                top, total = np.zeros(b - a), np.zeros(b - a)
+                for di in (0, 1):
+                    for dj in (0, 1):
+                        w = (r - r0 if di else 1 - (r - r0)) * (c - c0 if dj else 1 - (c - c0))
+                        corner = grid[i + di, j + dj]
+                        ok = corner > -np.inf
+                        top += np.where(ok, w * np.where(ok, corner, 0.0), 0.0)
+                        total += np.where(ok, w, 0.0)
+                good = known & (total > 0)
+                out = pa.array(top / np.where(good, total, 1.0), mask=~good)
+                yield pa.RecordBatch.from_arrays([*(batch[n].slice(a, b - a) for n in names), out], [*keys, value])
+
+    schema = T.StructType([T.StructField(k, targets.schema[k].dataType) for k in keys] + [T.StructField(value, T.DoubleType())])
+    return stream.mapInArrow(blend, schema)
 
 
 def regrid_nearest(targets: DataFrame, source: DataFrame, value: str,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..constants import JOB_PREFIX
+from ..functions.cleaning import nan_to_null
 from ..functions.text import band_kind, run_name
 from .ranking import pick_one
 
@@ -141,31 +145,96 @@ def already_done(catalogue: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return catalogue.join(done.select(key), key, "left_semi")
 
 
-def best_epochs(log: DataFrame, patience: int, min_delta: float) -> DataFrame:
-    """Early stopping replayed per run: best epoch, best score and the last epoch trained.
+# What a range of a run's epochs does to the state before it: per entry, the state at its end.
+ENTRY = "score DOUBLE, skipped LONG, best DOUBLE, best_epoch LONG, waited LONG, stopped BOOLEAN, last LONG"
+
+
+def epoch_ranges(log: DataFrame, patience: int, min_delta: float) -> DataFrame:
+    """Per run and sorted range of its epochs: what the range does to any state that enters it.
 
-    Each epoch of a run counts once, a repeated log line by its lowest score; a run's epochs
-    are folded as one array. An epoch improves when it beats the best so far by more than
-    ``min_delta``; patience alone ends a run.
+    An entering state either improves within the range's first ``patience`` epochs or stops
+    there, so a range is told by at most ``patience`` entries (epochs below all before them,
+    each with the state at the end of the range if it is the first to improve) and the first
+    ``patience`` epochs. A task goes through its rows once and holds no more than that.
     """
-    once = log.where("epoch >= 1").groupBy("run", "epoch").agg(
-        F.min("val_rmse").alias("val_rmse"))
-    e = once.groupBy("run").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("long").alias("epoch"),
-                                             F.col("val_rmse").cast("double").alias("score")))).alias("h"))
-    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"),
-                    F.lit(0).alias("waited"), F.lit(0).cast("long").alias("last"))
-
-    def step(s: Column, x: Column) -> Column:
-        better = s["best"].isNull() | (x["score"] < s["best"] - min_delta)
-        moved = F.struct(
-            F.when(better, x["score"]).otherwise(s["best"]).alias("best"),
-            F.when(better, x["epoch"]).otherwise(s["best_epoch"]).alias("best_epoch"),
-            F.when(better, 0).otherwise(s["waited"] + 1).alias("waited"), x["epoch"].alias("last"))
-        return F.when(s["waited"] >= patience, s).otherwise(moved)
-
-    return e.select("run", F.aggregate("h", zero, step).alias("s")).select(
-        "run", F.col("s.best_epoch").alias("best_epoch"), F.col("s.best").alias("best_rmse"),
-        F.col("s.last").alias("last_epoch"))
+    once = log.where("epoch >= 1").groupBy("run", F.col("epoch").cast("long").alias("epoch")).agg(
+        F.min(nan_to_null(F.col("val_rmse").cast("double"))).alias("score"))
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = once.repartitionByRange(parts, "run", "epoch").sortWithinPartitions("run", "epoch")
+    schema = T.StructType([T.StructField("run", log.schema["run"].dataType), *T.StructType.fromDDL(
+        f"place LONG, n LONG, epochs ARRAY<LONG>, entries ARRAY<STRUCT<{', '.join(x.replace(' ', ': ', 1) for x in ENTRY.split(', '))}>>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, like = TaskContext.get().partitionId(), to_arrow_schema(schema)
+        now, n, epochs, entries, open_ = None, 0, [], [], False
+
+        def summary(out: list) -> None:
+            out.append({"run": now, "place": place, "n": n, "epochs": epochs, "entries": entries})
+
+        for batch in batches:
+            done: list[dict] = []
+            for key, epoch, score in zip(*(batch[c].to_pylist() for c in ("run", "epoch", "score")), strict=True):
+                if not open_ or key != now:
+                    if open_:
+                        summary(done)
+                    open_, now, n, epochs, entries = True, key, 0, [], []
+                for e in entries:
+                    if e["stopped"]:
+                        continue
+                    e["last"] = epoch
+                    if score is not None and score < e["best"] - min_delta:
+                        e.update(best=score, best_epoch=epoch, waited=0)
+                    else:
+                        e["waited"] += 1
+                        e["stopped"] = e["waited"] >= patience
+                if len(epochs) < patience:
+                    if score is not None and (not entries or score < entries[-1]["score"]):
+                        entries.append({"score": score, "skipped": n, "best": score, "best_epoch": epoch, "waited": 0,
+                                        "stopped": patience <= 0, "last": epoch})
+                    epochs.append(epoch)
+                n += 1
+            yield pa.RecordBatch.from_pylist(done, schema=like)
+        if open_:
+            out: list[dict] = []
+            summary(out)
+            yield pa.RecordBatch.from_pylist(out, schema=like)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def through(state: dict | None, part: dict, patience: int, min_delta: float) -> dict | None:
+    """The state of a run after one more range of its epochs."""
+    if state and state["stopped"]:
+        return state
+    left = patience - state["waited"] if state else patience
+    for e in part["entries"]:
+        if (state is None or e["score"] < state["best"] - min_delta) and e["skipped"] < left:
+            return {k: e[k] for k in ("best", "best_epoch", "waited", "stopped", "last")}
+    if state is None:
+        state = {"best": None, "best_epoch": None, "waited": 0}
+    if part["n"] >= left:
+        return state | {"waited": patience, "stopped": True, "last": part["epochs"][left - 1]}
+    return state | {"waited": state["waited"] + part["n"], "stopped": False, "last": part["epochs"][-1]}
 
 
+def best_epochs(log: DataFrame, patience: int, min_delta: float) -> DataFrame:
+    """Early stopping replayed per run: best epoch, best score and the last epoch trained.
+
+    Each epoch of a run counts once, a repeated log line by its lowest score. An epoch
+    without a score improves nothing; one with a score improves when it beats the best so far by more than ``min_delta``; patience alone ends a
+    run. Epochs are folded in sorted ranges and the ranges of a run in order, so no run is
+    ever in one place, however long its log.
+    """
+    if patience < 1:
+        raise ValueError("patience must be at least 1")
+    schema = T.StructType([T.StructField("run", log.schema["run"].dataType), *T.StructType.fromDDL(
+        "best_epoch LONG, best_rmse DOUBLE, last_epoch LONG")])
+
+    def fold(table: pa.Table) -> pa.Table:
+        state = None
+        for part in sorted(table.to_pylist(), key=lambda p: p["place"]):
+            state = through(state, part, patience, min_delta)
+        row = {"run": table["run"][0].as_py(), "best_epoch": state["best_epoch"], "best_rmse": state["best"], "last_epoch": state["last"]}
+        return pa.Table.from_pylist([row], schema=to_arrow_schema(schema))
+
+    return epoch_ranges(log, patience, min_delta).groupBy("run").applyInArrow(fold, schema)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
+from itertools import chain
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,28 +39,30 @@ def with_default_pft(df: DataFrame) -> DataFrame:
     return df.withColumn("pft_class", F.coalesce(F.col("pft_class").cast("int"), F.lit(-1)))
 
 
+# Each quality rule's column, comparison and threshold setting.
+QUALITY_RULES = (
+    ("l4_quality_flag", "equal", "l4_quality_flag"),
+    ("l2_quality_flag", "equal", "l2_quality_flag"),
+    ("degrade_flag", "equal", "degrade_flag"),
+    ("sensitivity", "least", "min_sensitivity"),
+    ("agbd", "least", "min_agbd"),
+)
+
+
+def _quality_parts(quality: Mapping | None) -> dict[str, list[Column]]:
+    """Conjuncts of every rule: the comparison, which reaches the scan, and the guard against NaN above it."""
+    limits = {**QUALITY_DEFAULTS, **(quality or {})}
+    return {c: [F.col(c) == limits[k]] if how == "equal" else [F.col(c) >= limits[k], ~F.isnan(c)] for c, how, k in QUALITY_RULES}
+
+
 def quality_conditions(quality: Mapping | None = None) -> dict[str, Column]:
     """Named conditions; each one is TRUE or FALSE, never NULL, and NaN fails."""
-    q = {**QUALITY_DEFAULTS, **(quality or {})}
-    raw = {
-        "l4_quality_flag": F.col("l4_quality_flag") == q["l4_quality_flag"],
-        "l2_quality_flag": F.col("l2_quality_flag") == q["l2_quality_flag"],
-        "degrade_flag": F.col("degrade_flag") == q["degrade_flag"],
-        "sensitivity": nan_to_null("sensitivity") >= q["min_sensitivity"],
-        "agbd": nan_to_null("agbd") >= q["min_agbd"],
-    }
-    return {k: F.coalesce(c, F.lit(False)) for k, c in raw.items()}
+    return {k: F.coalesce(reduce(and_, parts), F.lit(False)) for k, parts in _quality_parts(quality).items()}
 
 
 def quality_filter(df: DataFrame, quality: Mapping | None = None) -> DataFrame:
-    q = {**QUALITY_DEFAULTS, **(quality or {})}
-    # Plain conjuncts: the comparisons are pushed to the scan, the NaN guards stay above it.
-    return df.where(
-        (F.col("l4_quality_flag") == q["l4_quality_flag"])
-        & (F.col("l2_quality_flag") == q["l2_quality_flag"])
-        & (F.col("degrade_flag") == q["degrade_flag"])
-        & (F.col("sensitivity") >= q["min_sensitivity"]) & ~F.isnan("sensitivity")
-        & (F.col("agbd") >= q["min_agbd"]) & ~F.isnan("agbd"))
+    """Rows that pass every rule."""
+    return df.where(reduce(and_, chain.from_iterable(_quality_parts(quality).values())))
 
 
 def quality_pass_counts(df: DataFrame, quality: Mapping | None = None) -> DataFrame:
@@ -69,15 +74,18 @@ def quality_pass_counts(df: DataFrame, quality: Mapping | None = None) -> DataFr
     ).select("x.condition", "x.passed", "total")
 
 
+YEAR_SOURCES = {  # the first column that a table has tells the year
+    "acq_datetime": F.year,
+    "acquisition_year": lambda c: F.col(c).cast("int"),
+    "year": lambda c: F.col(c).cast("int"),
+    "delta_time": lambda c: F.year(times.mission_time(c)),
+}
+
+
 def acquisition_year(columns: Collection[str]) -> Column:
-    """Year by the first source there is: timestamp, year columns, seconds since the epoch."""
-    if "acq_datetime" in columns:
-        return F.year("acq_datetime")
-    if "acquisition_year" in columns:
-        return F.col("acquisition_year").cast("int")
-    if "year" in columns:
-        return F.col("year").cast("int")
-    return F.year(times.mission_time("delta_time"))
+    """Year by the first of ``YEAR_SOURCES`` there is."""
+    source = next((c for c in YEAR_SOURCES if c in columns), "delta_time")
+    return YEAR_SOURCES[source](source)
 
 
 def year_filter(df: DataFrame, years: Collection[int] = VALID_YEARS) -> DataFrame:

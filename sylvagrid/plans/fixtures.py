@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import CHANNELS
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -59,6 +61,11 @@ SELECT CAST(FLOOR(p_partkey / 50e0) AS BIGINT) AS row_, p_partkey % 50 AS col_,
   CAST((p_partkey * 37) % 101 AS DOUBLE) AS band2,
   CAST(CASE WHEN p_size <= 20 THEN 10 WHEN p_size <= 35 THEN 30 WHEN p_size <= 45 THEN 40
     WHEN p_size <= 48 THEN 50 ELSE 0 END AS INT) AS lc_class
+FROM {part}""",
+    "fx_channels": """
+SELECT CAST(FLOOR(p_partkey / 50e0) AS BIGINT) AS row_, p_partkey % 50 AS col_,
+  """ + ",\n  ".join(f"CAST((p_partkey * {37 + 11 * i}) % {997 - 6 * i} AS DOUBLE) * {i % 4 + 1}e0 / 20e0 + CAST(p_size AS DOUBLE) / 10e0 AS {c}"
+                     for i, c in enumerate(CHANNELS)) + """
 FROM {part}""",
     "fx_points": """
 SELECT o_orderkey AS shot_number, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS year,

@@ -55,9 +55,9 @@ def flt14(t):
     return maps.crop_to_valid(t.fx_grid.select("row_", "col_", v.alias("v")), "v")
 
 
-@query("flt15_band_selection", "SELECT year, row_, col_, b04, b08 FROM fx_sar_obs WHERE year = 1998")
+@query("flt15_band_selection", "SELECT year, row_, col_, b08, b04 FROM fx_sar_obs")
 def flt15(t):
-    return t.fx_sar_obs.where("year = 1998").drop("scl").select("year", "row_", "col_", "b04", "b08")
+    return readers.select_bands(t.fx_sar_obs, ["b08", "b04"])
 
 
 @query("src9_raster_by_year", """SELECT g.row_, g.col_, g.band1 + 1 AS band1, g.band2, g.elevation_m FROM fx_grid g""")
@@ -149,6 +149,19 @@ def rst1(t):
     return rounded(raster.optical_composite(t.fx_sar_obs, ["b04", "b08"], (1996, 1997, 1998)), ["b04", "b08"])
 
 
+AREA, AREA_TILE = ((2, 7), (1, 5)), 4
+
+
+@query("rst1_composite_of_area", OPTICAL.replace("GROUP BY", f"AND row_ BETWEEN {AREA[0][0]} AND {AREA[0][1]} AND col_ BETWEEN {AREA[1][0]} AND {AREA[1][1]} GROUP BY"))
+def rst1_area(t):
+    """Observations stored by tile; only the folders of tiles that the area touches are read."""
+    path = scratch_path(t.spark, "observations")
+    obs = t.fx_sar_obs.withColumns({"tile_row": geo.cell_index("row_", AREA_TILE), "tile_col": geo.cell_index("col_", AREA_TILE)})
+    writers.write_partitioned(obs, path, ["tile_row", "tile_col"])
+    stored = t.spark.read.parquet(path)
+    return rounded(raster.optical_composite(stored, ["b04", "b08"], (1996, 1997, 1998), area=AREA, tile=AREA_TILE), ["b04", "b08"])
+
+
 @query("rst2_index_composite", f"""SELECT row_, col_, ROUND(quantile_cont(CASE WHEN {CLEAR} AND b08 + b04 <> 0
   THEN (b08 - b04) / (b08 + b04) END, 0.5), 6) AS ndvi FROM fx_sar_obs
 WHERE cloud <= 70 AND year = 1997 AND month = 7 GROUP BY 1, 2""")

@@ -84,8 +84,10 @@ TAGS_SQL = """CASE WHEN granule LIKE 'GEDI04_A_%' THEN CAST(make_timestamp(CAST(
   beam, beam IN ('BEAM0101', 'BEAM0110', 'BEAM1000', 'BEAM1011') AS is_power_beam, COUNT(*) AS n
 FROM fx_shots WHERE {IN_BOX} GROUP BY ALL""")
 def src2(t):
-    parts = beam_tables(t, ["shot_number", "lon_lowestmode", "lat_lowestmode", "pft_class", "granule"])
-    u = shots.tag_granule(shots.clip_to_box(readers.union_beams(parts), BOX))
+    path = scratch_path(t.spark, "granules")
+    writers.write_partitioned(t.fx_shots.select("shot_number", "lon_lowestmode", "lat_lowestmode", "pft_class", "beam", "granule"),
+                              path, ["granule"], ["shot_number"])
+    u = readers.read_granules(t.spark, path, BOX)
     return u.groupBy("granule", "acq_datetime", "orbit", "beam", "is_power_beam").agg(
         F.count(F.lit(1)).alias("n")).withColumn("acquired", F.col("acq_datetime").cast("string")).drop("acq_datetime")
 
@@ -107,13 +109,12 @@ def src4(t):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("agbd"), 6).alias("mean_agbd"))
 
 
-@query("src5_geo_points", "SELECT shot_number, agbd FROM fx_shots WHERE agbd > 400")
+@query("src5_geo_points", "SELECT shot_number, agbd, lon_lowestmode AS lon, lat_lowestmode AS lat FROM fx_shots WHERE agbd > 400")
 def src5(t):
     path = scratch_path(t.spark, "geo")
-    # The geometry travels as the bytes of "lon lat"; the reader keeps it as it is.
-    text = F.concat_ws(" ", F.col("lon_lowestmode").cast("string"), F.col("lat_lowestmode").cast("string"))
-    writers.write_table(t.fx_shots.withColumn("geometry", F.encode(text, "UTF-8")), path)
-    return readers.read_geo_points(t.spark, path).where("agbd > 400").select("shot_number", "agbd")
+    s = t.fx_shots.select("shot_number", "agbd", geo.point_wkb("lon_lowestmode", "lat_lowestmode").alias("geometry"))
+    writers.write_table(s, path)
+    return readers.read_geo_points(t.spark, path, lonlat=True).where("agbd > 400").select("shot_number", "agbd", "lon", "lat")
 
 
 @query("src8_failure_log", """SELECT DISTINCT split_part(value, '\t', 1) AS granule_ur FROM fx_failures
@@ -287,9 +288,9 @@ def set2(t):
 
 
 @query("set3_union_into_state", """SELECT granule_ur FROM fx_done UNION
-SELECT granule_ur FROM fx_catalogue WHERE seq % 5 = 0""")
+SELECT granule_ur FROM fx_catalogue""")
 def set3(t):
-    return t.fx_done.union(t.fx_catalogue.where("seq % 5 = 0").select("granule_ur")).distinct()
+    return t.fx_done.union(t.fx_catalogue.select("granule_ur")).distinct()
 
 
 @query("win2_thin_per_cell", f"""SELECT shot_number, agbd, year_ FROM (SELECT shot_number, agbd,

@@ -58,10 +58,21 @@ def read_shots(spark: SparkSession, path: str, box=None, quality: Mapping | None
     return clean_columns(df, [c for c in ("agbd", "agbd_se", "sensitivity") if c in df.columns])
 
 
-def read_granules(spark: SparkSession, path: str, box) -> DataFrame:
-    """Granule files: one scan over all files, tagged from the file name."""
-    df = spark.read.schema(schemas.SHOTS).parquet(path)
-    df = clip_to_box(df, box).withColumn("granule", F.col("_metadata.file_name"))
+GRANULE_FOLDER = "granule="
+
+
+def read_granules(spark: SparkSession, path: str, box, names: Collection[str] | None = None) -> DataFrame:
+    """Granule files: one scan over the files of all granule folders, tagged from each file's path.
+
+    ``names`` keeps some granules. The name is an expression of the file's metadata alone, so
+    files of other granules are dropped from the scan before any is opened.
+    """
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    name = F.url_decode(F.substring(folder, len(GRANULE_FOLDER) + 1, 1 << 20))
+    df = spark.read.schema(schemas.SHOTS).option("recursiveFileLookup", "true").parquet(path)
+    if names is not None:
+        df = df.where(name.isin(*names))
+    df = clip_to_box(df, box).withColumn("granule", name)
     return tag_granule(with_default_pft(tag_beam(df)))
 
 
@@ -74,9 +85,16 @@ def union_beams(beams: Mapping[str, DataFrame]) -> DataFrame:
     return tag_beam(with_default_pft(out))
 
 
-def read_geo_points(spark: SparkSession, path: str) -> DataFrame:
-    """GeoParquet without its geometry: the column is never read from disk."""
-    return spark.read.parquet(path).drop("geometry")
+def read_geo_points(spark: SparkSession, path: str, lonlat: bool = False) -> DataFrame:
+    """GeoParquet points without their geometry: the column is never read from disk.
+
+    With ``lonlat`` the geometry, well-known binary, is read as columns ``lon`` and ``lat``.
+    """
+    df = spark.read.parquet(path)
+    if not lonlat:
+        return df.drop("geometry")
+    lon, lat = geo.wkb_point("geometry")
+    return df.withColumns({"lon": lon, "lat": lat}).drop("geometry")
 
 
 def read_metrics_csv(spark: SparkSession, path: str, schema: StructType = schemas.METRICS) -> DataFrame:
@@ -112,6 +130,13 @@ def read_failure_log(spark: SparkSession, path: str) -> DataFrame:
     return failed_ids(spark.read.text(path))
 
 
+def select_bands(pixels: DataFrame, bands: Collection[str], keys: Collection[str] = ("year", "row_", "col_")) -> DataFrame:
+    """Some bands of a pixel table in the order given; an unknown band is an error, the others are never read."""
+    if missing := [b for b in bands if b not in pixels.columns]:
+        raise ValueError(f"unknown bands {missing}; known: {pixels.columns}")
+    return pixels.select(*keys, *bands)
+
+
 def raster_year(pixels: DataFrame, static: DataFrame, year: int, bands: Collection[str]) -> DataFrame:
     """Yearly bands of one year (a pruned partition) with the static bands."""
     return pixels.where(F.col("year") == year).select("row_", "col_", *bands).join(

@@ -69,15 +69,13 @@ def test_split_properties(spark):
         patches.block_split(a, 0.9, 0.1)
 
 
-def test_strata_match_numpy(spark):
-    g = np.random.default_rng(5)
-    m = np.round(g.gamma(2.0, 50.0, 43), 3)
-    df = spark.createDataFrame(pd.DataFrame({"block_id": np.arange(43), "block_mean": m, "n_shots": 1}))
-    edges = np.quantile(m, np.linspace(0, 1, 6))
-    edges[0] -= 1e-6
-    want = np.clip(np.digitize(m, edges, right=True) - 1, 0, 4)
-    got = dict(rows(patches.block_strata(df), "block_id", "stratum"))
-    assert [got[i] for i in range(43)] == want.tolist()
+def test_strata_by_hand(spark):
+    """Ten means 1 to 10: the inner edges are 2.8, 4.6, 6.4 and 8.2; a mean on an edge stays below it."""
+    means = [float(x) for x in range(1, 11)]
+    df = spark.createDataFrame([(i, m, 1) for i, m in enumerate(means)], "block_id LONG, block_mean DOUBLE, n_shots LONG")
+    assert rows(patches.block_strata(df), "block_id", "stratum") == [(i, i // 2) for i in range(10)]
+    even = spark.createDataFrame([(i, float(i), 1) for i in range(6)], "block_id LONG, block_mean DOUBLE, n_shots LONG")
+    assert rows(patches.block_strata(even), "block_id", "stratum") == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
 
 
 def test_funnel_is_monotone(spark):
@@ -290,15 +288,21 @@ def to_array(df, name, shape):
     return out
 
 
-def test_slope_matches_numpy_gradient(spark):
-    a = np.random.default_rng(1).normal(500, 40, (7, 9))
-    a[3, 4] = np.nan
-    dy, dx = np.gradient(a, 10.0, 10.0)
-    want = np.degrees(np.arctan(np.sqrt(dx ** 2 + dy ** 2)))
-    want[np.isnan(a)] = np.nan
-    for size in ({}, {"height": 7, "width": 9}, {"tile": 3}):
-        got = to_array(raster.slope(grid_frame(spark, a), value="v", **size), "slope_deg", a.shape)
-        np.testing.assert_allclose(got, want, rtol=1e-10)
+def test_slope_by_hand(spark):
+    """A plane that rises 10 m a pixel along the columns and 10 * sqrt(2) along the rows is 60 degrees steep everywhere."""
+    h, w = 7, 9
+    plane = np.array([[10.0 * c + 10 * math.sqrt(2.0) * r for c in range(w)] for r in range(h)])
+    for size in ({}, {"height": h, "width": w}, {"tile": 3}):
+        got = to_array(raster.slope(grid_frame(spark, plane), value="v", **size), "slope_deg", plane.shape)
+        np.testing.assert_allclose(got, np.full((h, w), 60.0), rtol=1e-9)
+    # One row 0, 10, 40: differences 10, 20, 30 over 10, 20, 10 m; a missing pixel silences itself and its neighbours.
+    row = grid_frame(spark, np.array([[0.0, 10.0, 40.0]] * 2))
+    got = to_array(raster.slope(row, value="v"), "slope_deg", (2, 3))
+    np.testing.assert_allclose(got[0], [45.0, 63.43494882, 71.56505118], rtol=1e-8)
+    holed = np.array([[1.0] * 5] * 5)
+    holed[2, 2] = np.nan
+    got = to_array(raster.slope(grid_frame(spark, holed), value="v"), "slope_deg", (5, 5))
+    assert {(r, c) for r in range(5) for c in range(5) if np.isnan(got[r, c])} == {(2, 2), (1, 2), (3, 2), (2, 1), (2, 3)}
 
 
 @pytest.mark.parametrize("tile", [2, 3, 256])
@@ -345,6 +349,50 @@ def test_bilinear_weights_and_nodata(spark):
     assert rows(raster.regrid_bilinear(t, src, "v")) == [(0, 0, 10.0), (0, 1, 2.5), (1, 0, 10.0), (1, 1, None)]
 
 
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_bilinear_over_tile_borders(spark, tile):
+    g = np.random.default_rng(12)
+    a = g.normal(0, 5, (9, 8))
+    a[g.random(a.shape) < 0.2] = np.nan
+    at = [(i, float(y), float(x)) for i, (y, x) in enumerate(zip(g.uniform(-2, 10, 300), g.uniform(-2, 9, 300)))]
+    at += [(300, 2.0, 3.0), (301, None, 1.0), (302, 1.0, float("nan")), (303, -0.5, 7.5)]
+    t = spark.createDataFrame(at, "id LONG, sy DOUBLE, sx DOUBLE")
+    got = dict(rows(raster.regrid_bilinear(t, grid_frame(spark, a), "v", keys=["id"], tile=tile), "id", "v"))
+    assert len(got) == len(at)
+    for i, y, x in at:
+        top = total = 0.0
+        if y is not None and not math.isnan(x):
+            for r in (math.floor(y), math.floor(y) + 1):
+                for c in (math.floor(x), math.floor(x) + 1):
+                    if 0 <= r < 9 and 0 <= c < 8 and not np.isnan(a[r, c]):
+                        w = (1 - abs(y - r)) * (1 - abs(x - c))
+                        top, total = top + w * a[r, c], total + w
+        assert (got[i] is None) == (total == 0)
+        assert total == 0 or got[i] == pytest.approx(top / total, rel=1e-9, abs=1e-9)
+
+
+def test_bilinear_moves_each_pixel_once(spark):
+    src = grid_frame(spark, np.zeros((64, 64)))
+    t = src.select("row_", "col_", F.col("row_").cast("double").alias("sy"), F.col("col_").cast("double").alias("sx"))
+    d = raster.regrid_bilinear(t, src, "v", tile=32)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    s = src.select(F.col("row_"), F.col("col_")).withColumn("n", F.size(F.sequence(F.floor((F.col("row_") - 1) / 32), F.floor(F.col("row_") / 32)))
+                                                          * F.size(F.sequence(F.floor((F.col("col_") - 1) / 32), F.floor(F.col("col_") / 32))))
+    assert s.agg(F.sum("n")).first()[0] < 1.1 * 64 * 64
+
+
+def test_area_reads_only_its_tiles(spark, tmp_path):
+    obs = grid_frame(spark, np.arange(64.0).reshape(8, 8)).withColumns({
+        "year": F.lit(2020), "cloud": F.lit(0.0), "scl": F.lit(4), "tile_row": F.floor(F.col("row_") / 4), "tile_col": F.floor(F.col("col_") / 4)})
+    obs.write.partitionBy("tile_row", "tile_col").parquet(str(tmp_path / "obs"))
+    d = raster.in_area(spark.read.parquet(str(tmp_path / "obs")), (1, 2), (5, 6), 4)
+    assert sorted(r.v for r in d.collect()) == [13.0, 14.0, 21.0, 22.0]
+    assert len(d.select("v", F.input_file_name().alias("f")).select(F.element_at(F.split("f", "/"), -2), F.element_at(F.split("f", "/"), -3)).distinct().collect()) == 1
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "tile_row" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 def test_grid_mismatch_raises(spark):
     d = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 0, 0)], "m STRING, row_ LONG, col_ LONG")
     with pytest.raises(Exception, match="different grids"):
@@ -496,6 +544,39 @@ def test_early_stopping_replay(spark):
     assert got == {k: replay(v) for k, v in runs.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_early_stopping_over_many_ranges(spark, parts):
+    """One run with most epochs, missing scores, gaps and repeats; ranges cut it anywhere."""
+    def replay(log, patience, delta):
+        best, best_epoch, wait, last = None, None, 0, None
+        for e, s in sorted(log.items()):
+            last = e
+            if s is not None and (best is None or s < best - delta):
+                best, best_epoch, wait = s, e, 0
+            else:
+                wait += 1
+            if wait >= patience:
+                break
+        return best_epoch, best, last
+
+    g = np.random.default_rng(13)
+    logs = {"hot": {2 * e + 1: round(100 - 0.04 * e + float(g.normal(0, 0.4)), 3) for e in range(900)},
+            "down": {e: 50.0 - e for e in range(1, 200)}, "flat": {e: 1.0 for e in range(1, 90)}, "short": {1: 3.0}, "none": {1: None, 2: None, 3: None},
+            "late": {1: None, 2: 5.0, 3: None, 4: 4.0}}
+    table = [(r, e, s) for r, x in logs.items() for e, s in x.items()] + [("hot", 1, 500.0), ("short", 0, -9.0), ("flat", 3, float("nan"))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for patience in (1, 3, 5):
+            log = spark.createDataFrame(table, "run STRING, epoch INT, val_rmse DOUBLE").repartition(4)
+            got = {r["run"]: (r["best_epoch"], r["best_rmse"], r["last_epoch"]) for r in scenes.best_epochs(log, patience, 0.05).collect()}
+            assert got == {k: replay(v, patience, 0.05) for k, v in logs.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        scenes.best_epochs(log, 0, 0.05)
+
+
 def test_failure_log(spark):
     d = spark.createDataFrame([("b\tread\tx",), ("a\tdownload\ty",), ("  ",), ("b\tread\tz",)], "value STRING")
     assert [r[0] for r in readers.failed_ids(d).collect()] == ["a", "b"]
@@ -537,6 +618,42 @@ def test_one_pass_grid_equals_fitted_models(spark):
     assert j.agg(F.max(F.abs(F.col("pred_agbd") - F.col("other")))).first()[0] < 1e-2
 
 
+def test_search_equals_fitted_models(spark):
+    """Elastic nets from sums against Spark ML, and their validation error against its own scores."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    d = feature_frame(spark)
+    columns = modelling.feature_columns("s1_only")
+    train, valid = d.where("block_id % 5 <> 0"), d.where("block_id % 5 = 0")
+    got = {(x["reg"], x["mix"]): x["val_rmse"] for x in fusion.search(train, valid, columns, regs=(0.1, 5.0))}
+    weighted = train.withColumn("weight", modelling.seed_weights(42))
+    for (reg, mix), rmse in got.items():
+        pipe = modelling.regression_pipeline(columns)
+        lr = pipe.getStages()[-1]
+        m = pipe.fit(weighted, {lr.regParam: reg, lr.elasticNetParam: mix, lr.solver: "l-bfgs", lr.maxIter: 1000, lr.tol: 1e-12})
+        want = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse").evaluate(m.transform(valid))
+        assert rmse == pytest.approx(want, rel=2e-4)
+
+
+def test_huber_fit_ignores_outliers(spark):
+    d = feature_frame(spark).withColumn("label", F.when(F.col("patch_id") % 20 == 0, F.col("label") + 5000).otherwise(F.col("label")))
+    d = d.withColumn("label", F.col("label") + 0.0).cache()
+    columns = modelling.feature_columns("s1_only")
+    model = fusion.fit_huber(d, columns, delta=30.0)
+    pull = {r.term: r.gradient for r in fusion.loss_gradient(d, model, delta=30.0).collect()}
+    assert pull.keys() == {"intercept", *columns} and max(map(abs, pull.values())) < 1e-5
+    clean = fusion.fit_huber(d.where("patch_id % 20 <> 0"), columns, delta=30.0)
+    assert abs(model.intercept - clean.intercept) < 15
+    assert max(abs(r.gradient) for r in fusion.loss_gradient(d, clean, delta=30.0).collect()) > 0.1
+
+
+def test_window_features(spark):
+    g = np.random.default_rng(3)
+    a = g.normal(0, 1, (6, 7))
+    points = spark.createDataFrame([(1, 0, 0), (2, 3, 3), (3, 3, 3), (4, 9, 9)], "patch_id LONG, crow LONG, ccol LONG")
+    got = dict(rows(modelling.window_features(points, grid_frame(spark, a), ["v"], 1), "patch_id", "v_mean"))
+    assert got == {1: pytest.approx(a[:2, :2].mean()), 2: pytest.approx(a[2:5, 2:5].mean()), 3: pytest.approx(a[2:5, 2:5].mean())}
+
+
 def test_grids_and_unknown_variant():
     assert len(modelling.run_grid()) == 12 and modelling.run_grid()[0][1] == 42
     assert modelling.map_jobs() == [("late", 42), ("late", 7), ("late", 123), ("s2_only", 7), ("s1_only", 7), ("early", 7)]
