@@ -12,7 +12,6 @@ id count as one. Repeated documents are judged row by row. An empty benchmark hi
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, merged, mix, shared_broadcast, slices, small_batches, texts_of, unused
+from .common import U, merged, mix, ranges, shared_broadcast, slices, small_batches, texts_of, unused, written
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20  # benchmark text per broadcast block
@@ -38,20 +37,30 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of a block of items: word numbers, window hashes by length, and the items of each."""
+    """Distinct windows of a block of items, by length: sorted hashes, a place of each in the items' words, and its items.
+
+    Words are numbered; a window costs some 24 bytes, whatever its length.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], width: int) -> None:
         self.words: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            w = [self.words.setdefault(x, len(self.words)) for x in words_of(text)]
-            n = min(width, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                self.items.setdefault(tuple(w[i:i + n]), set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for window in self.items:
-            by_length.setdefault(len(window), []).append(window)
-        self.hashes = {n: np.sort(self.hashed(np.array(v, np.int64).reshape(-1), n)[::n]) for n, v in by_length.items()}
+        self.ids = np.array([i for i, _ in items], np.int64)
+        texts = [[self.words.setdefault(x, len(self.words)) for x in words_of(t)] for _, t in items]
+        size = np.array([len(t) for t in texts], np.int64)
+        self.stream = np.fromiter((w for t in texts for w in t), np.int32, int(size.sum()))
+        begin, length = np.cumsum(size) - size, np.minimum(size, width)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in np.unique(length[length > 0]).tolist():
+            of = np.flatnonzero(length == n)
+            count = size[of] - n + 1
+            at, item = ranges(begin[of], count), np.repeat(of, count)
+            windows = self.stream[at[:, None] + np.arange(n)]
+            _, first, inverse = np.unique(windows, axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([inverse.reshape(-1), item]), axis=1)
+            edge = np.searchsorted(pairs[0], np.arange(len(first) + 1))
+            hashes = self.hashed(windows[first].reshape(-1), n)[::n]
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[n] = hashes[order], at[first[order]], edge[:-1][order], edge[1:][order], pairs[1].astype(np.int32)
 
     @staticmethod
     def hashed(ids: np.ndarray, n: int) -> np.ndarray:
@@ -66,13 +75,16 @@ class WindowSet:
         """(first word, length, items) of every window that occurs; -1 marks a foreign word."""
         known = ids >= 0
         edges = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
-        for n, hashes in self.hashes.items():
+        for n, (hashes, at, low, high, items) in self.by_length.items():
             for a, b in edges.reshape(-1, 2)[edges[1::2] - edges[::2] >= n]:
                 h = self.hashed(ids[a:b], n)
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                for i in np.flatnonzero(hashes[at] == h) + a:
-                    if found := self.items.get(tuple(ids[i:i + n].tolist())):
-                        yield int(i), n, found
+                place = np.searchsorted(hashes, h)
+                for i in np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == h).tolist():
+                    k = int(place[i])
+                    while k < len(hashes) and hashes[k] == h[i]:  # windows of one hash are told apart by their words
+                        if np.array_equal(self.stream[at[k]:at[k] + n], ids[a + i:a + i + n]):
+                            yield int(a) + i, n, set(self.ids[items[low[k]:high[k]]].tolist())
+                        k += 1
 
 
 def _scan(batches: Iterator[pa.RecordBatch], block, column: str) -> Iterator[pa.RecordBatch]:
@@ -115,7 +127,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
     these names. Other columns stay."""
     longs = F.array().cast("array<bigint>")
     out = small_batches(docs).withColumns({"_text": F.col(text).cast("binary"), "_words": F.lit(0).cast("long"), "_spans": longs, "_items": longs})
+    block = None
     for windows in blocks_of(benchmark, width, block_bytes):
+        if block is not None:  # a task holds one block: what the last one found is written first
+            out = written(out)
+            block.destroy()
         block = shared_broadcast(docs.sparkSession, windows)
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
         out = out.mapInArrow(lambda it, block=block: _scan(it, block, "_text"), schema)
@@ -170,10 +186,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     return found.mapInArrow(cut, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 SQL = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS r, doc_id,

@@ -86,11 +86,12 @@ class Packer:
         offset = 0
         for doc, start, ids, total in pieces:
             self.done.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, self.next_id, offset, is_open,
-                              ids if is_open else None))
+                              bytes(ids) if is_open else None))
             offset += len(ids) // 4
         self.next_id += 1
 
     def add(self, doc, start: int, ids: bytes, total: int) -> None:
+        ids = memoryview(ids)  # pieces are cut without copying what follows
         step = self.window * 4
         while len(ids) >= step:
             self._emit([(doc, start, ids[:step], total)])
@@ -109,7 +110,7 @@ class Packer:
                     self._emit(best[1])
                     continue
             best[0] += n
-            best[1].append((doc, start, ids[:4 * n], total))
+            best[1].append((doc, start, bytes(ids[:4 * n]), total))
             start, ids = start + n, ids[4 * n:]
             if best[0] == self.window:
                 self.open.remove(best)

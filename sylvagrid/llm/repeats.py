@@ -35,7 +35,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, U, mix, parts, ranges, texts_of
+from .common import RollingHash, U, mix, parts, ranges, texts_of, written
 
 BUCKET_BYTES = 4 << 20
 HOT = 1_000
@@ -131,8 +131,9 @@ def remove_repeats(docs: DataFrame, rule, finish: Callable, added: dict[str, pa.
     rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)], F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_doc"), text.alias("_t"))
     rows = rows.withColumn("_k", F.xxhash64("_doc", "_t")).withColumn("_b", F.pmod("_k", F.lit(n)).cast("int"))
     keyed = rows.select("_b", "_k", "_doc", F.unhex(F.md5("_t")).alias("_m"))
-    several = keyed.groupBy("_m").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    copies = keyed.join(several.drop("_n"), "_m").where("_doc > _first").select(F.col("_b").alias("b"), F.col("_k").alias("k"))
+    # Written first: the join then reads two shuffles of its own, and a digest that many rows share is split as skewed.
+    several = written(keyed.groupBy("_m").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    copies = keyed.join(several, "_m").where("_doc > _first").select(F.col("_b").alias("b"), F.col("_k").alias("k"))
     least, before, after = rule.least, rule.before, rule.after
 
     def live(left, copied):
