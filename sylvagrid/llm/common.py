@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -135,6 +136,23 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], reach[np.concatenate([at[1:] - 1, [len(end) - 1]])]
 
 
+def _c_library():
+    try:
+        return ctypes.CDLL(None)
+    except (OSError, TypeError):
+        return None
+
+
+C_LIBRARY = _c_library()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system: a worker that waits between stages holds little then."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(C_LIBRARY, "malloc_trim"):
+        C_LIBRARY.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``size`` bytes of ``column``, so that a task's Python objects stay few."""
     for batch in batches:
@@ -143,6 +161,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20)
         cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             yield batch.slice(a, b - a)
+    trim()
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

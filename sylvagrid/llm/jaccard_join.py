@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U, chunks, mix, parts, ranges, slices, small_batches, texts_of, unused, written
+from .common import U, chunks, mix, parts, ranges, slices, small_batches, texts_of, trim, unused, written
 from .components import components
 from .suffix_dedup import rolling
 
@@ -197,7 +197,10 @@ def _shared(key, table):
         count = np.diff(np.concatenate([first, [len(group)]]))
         good = np.repeat((count > 1) & ~np.logical_and.reduceat(part, first), count)
         group, cls = group[good], cls[good]
-    return pa.table({"sig": pa.array(group.view(I8)), "cls": pa.array(cls)})
+    out = pa.table({"sig": pa.array(group.view(I8)), "cls": pa.array(cls)})
+    del sigs, classes, sig, order, part
+    trim()
+    return out
 
 
 def _sets(shingle: int):
