@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ARTIFACT_MIN, LANDCOVER_NAMES, MAP_MAX, MAP_STRIDE, MIN_STD, PATCH_HALF
@@ -12,7 +12,7 @@ from ..functions.cleaning import clip, valid_mask, zscore
 from ..functions.text import lookup
 from .metrics import agreement_by_bin
 from .quantiles import stored_columns, stored_quantiles
-from .raster import focal_sums, with_extent
+from .raster import focal_sums, regrid_bilinear, with_extent
 
 
 def is_stride_center(height: int | Column, width: int | Column, half: int = PATCH_HALF, stride: int = MAP_STRIDE) -> Column:
@@ -122,8 +122,21 @@ def forest_pairs(ours: DataFrame, product: DataFrame) -> DataFrame:
     return both.join(product.where(F.col("ref_agb") > 0).select("row_", "col_", "ref_agb"), ["row_", "col_"])
 
 
-def compare_with_product(ours: DataFrame, product: DataFrame) -> DataFrame:
-    return agreement_by_bin(forest_pairs(ours, product), "agbd", "ref_agb")
+def on_our_grid(product: DataFrame, ours: DataFrame, factor: float, value: str = "ref_agb") -> DataFrame:
+    """A product whose pixels are ``factor`` of ours wide, both grids with one corner, brought to our pixels.
+
+    Our pixel centers are fractional positions in the product's grid; its values are mixed there.
+    """
+    def place(c: str) -> Column:
+        return (F.col(c) + 0.5) / factor - 0.5
+
+    return regrid_bilinear(ours.select("row_", "col_", place("row_").alias("sy"), place("col_").alias("sx")), product, value)
+
+
+def compare_with_product(ours: DataFrame, product: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Agreement overall and by bins of the product's value, after it has been brought to our grid."""
+    theirs = product if factor == 1 else on_our_grid(product, ours, factor)
+    return agreement_by_bin(forest_pairs(ours, theirs), "agbd", "ref_agb")
 
 
 def zero_by_class(ours: DataFrame, product: DataFrame, landcover: DataFrame) -> DataFrame:
@@ -143,6 +156,22 @@ def zero_by_class(ours: DataFrame, product: DataFrame, landcover: DataFrame) ->
         "our_mean_agbd")
 
 
+def disagreement_crosstab(ens: DataFrame, landcover: DataFrame, steps: Sequence[float],
+                          names: Sequence[str] = ("low", "middle", "high")) -> DataFrame:
+    """Pixels, their share of the class and our mean by land cover class and step of the members' deviation.
+
+    ``steps`` are the lower ends of all levels but the first. Pixels are aggregated once; the
+    shares come from the few cells of the table.
+    """
+    level = F.lit(names[0])
+    for step, name in zip(steps, names[1:], strict=True):
+        level = F.when(F.col("std_agbd") >= step, F.lit(name)).otherwise(level)
+    both = ens.where(F.col("std_agbd").isNotNull()).join(landcover.where(F.col("lc_class") != 0), ["row_", "col_"])
+    cells = both.groupBy("lc_class", level.alias("disagreement")).agg(F.count(F.lit(1)).alias("n"), F.avg("mean_agbd").alias("mean_agbd"))
+    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("lc_class"))  # over a few rows per class
+    return cells.withColumn("pct_of_class", share)
+
+
 def class_distribution(df: DataFrame, code: str = "lc_class", keep_zero: bool = True) -> DataFrame:
     """Count and share per class."""
     d = df if keep_zero else df.where(F.col(code) > 0)

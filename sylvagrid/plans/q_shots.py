@@ -359,12 +359,14 @@ def snk3(t):
         F.count(F.lit(1)).alias("n"), F.count_distinct("block_id").alias("blocks"))
 
 
-@query("snk4_prediction_table", """SELECT variant, seed, COUNT(*) AS n FROM fx_predictions GROUP BY 1, 2""")
+@query("snk4_prediction_table", """SELECT patch_id, variant, seed, ROUND(true_agbd, 2) AS true_agbd, ROUND(pred_agbd, 2) AS pred_agbd FROM (
+  SELECT patch_id, variant, seed, CAST(CAST(true_agbd AS FLOAT) AS DOUBLE) AS true_agbd, CAST(CAST(pred_agbd AS FLOAT) AS DOUBLE) AS pred_agbd
+  FROM fx_predictions) q""")
 def snk4(t):
     path = scratch_path(t.spark, "predictions")
     writers.write_table(t.fx_predictions.withColumns({
         "true_agbd": F.col("true_agbd").cast("float"), "pred_agbd": F.col("pred_agbd").cast("float")}), path)
-    return t.spark.read.parquet(path).groupBy("variant", "seed").agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(path).select("patch_id", "variant", "seed", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("true_agbd", "pred_agbd")])
 
 
 @query("snk8_write_once", "SELECT COUNT(*) AS n, MIN(shot_number) AS first_shot FROM fx_shots WHERE shot_number % 2 = 0")

@@ -544,6 +544,24 @@ def test_early_stopping_replay(spark):
     assert got == {k: replay(v) for k, v in runs.items()}
 
 
+def test_product_on_a_coarser_grid(spark):
+    """A plane keeps its values; a pixel at the corner takes the product's corner pixel."""
+    fine = grid_frame(spark, np.zeros((6, 6))).select("row_", "col_", F.lit(1.0).alias("agbd"))
+    coarse = grid_frame(spark, np.array([[2.0 * r + 20.0 * c for c in range(3)] for r in range(3)]), "ref_agb")
+    got = {(r, c): v for r, c, v in rows(maps.on_our_grid(coarse, fine, 2), "row_", "col_", "ref_agb")}
+    assert len(got) == 36 and got[0, 0] == 0.0 and got[5, 5] == 44.0
+    assert got[2, 3] == pytest.approx(2.0 * 0.75 + 20.0 * 1.25)
+
+
+def test_disagreement_by_class(spark):
+    ens = spark.createDataFrame([(0, 0, 10.0, 1.0), (0, 1, 20.0, 5.0), (0, 2, 30.0, 20.0), (1, 0, 40.0, 4.9), (1, 1, 1.0, 1.0), (1, 2, 7.0, None)],
+                                "row_ LONG, col_ LONG, mean_agbd DOUBLE, std_agbd DOUBLE")
+    lc = spark.createDataFrame([(0, 0, 10), (0, 1, 10), (0, 2, 10), (1, 0, 30), (1, 1, 0), (1, 2, 10)], "row_ LONG, col_ LONG, lc_class INT")
+    got = rows(maps.disagreement_crosstab(ens, lc, (5.0, 20.0)), "lc_class", "disagreement", "n", "mean_agbd", "pct_of_class")
+    third = pytest.approx(100 / 3)
+    assert got == [(10, "high", 1, 30.0, third), (10, "low", 1, 10.0, third), (10, "middle", 1, 20.0, third), (30, "low", 1, 40.0, 100.0)]
+
+
 @pytest.mark.parametrize("parts", [1, 5, 40])
 def test_early_stopping_over_many_ranges(spark, parts):
     """One run with most epochs, missing scores, gaps and repeats; ranges cut it anywhere."""
