@@ -53,6 +53,14 @@ SELECT CAST(EXTRACT(YEAR FROM l_shipdate) AS INT) AS year,
   CAST(l_quantity AS INT) % 12 AS scl,
   l_extendedprice / 10e0 AS b04, l_extendedprice / 4e0 + l_quantity AS b08,
   CAST(l_suppkey % 100 AS DOUBLE) AS cloud
+FROM {lineitem}""",
+    "fx_scene_obs": """
+SELECT CAST(EXTRACT(YEAR FROM l_shipdate) AS INT) AS year, CAST(EXTRACT(MONTH FROM l_shipdate) AS INT) AS month,
+  CAST(FLOOR(l_partkey / 50e0) AS BIGINT) AS row_, l_partkey % 50 AS col_,
+  CASE WHEN l_quantity = 1 THEN 0e0 ELSE l_extendedprice / 1000000e0 END AS vv,
+  CASE WHEN l_quantity = 2 THEN 0e0 ELSE l_extendedprice / 5000000e0 END AS vh,
+  l_quantity / 100e0 AS lia, CAST(l_quantity AS INT) % 12 AS scl,
+  l_extendedprice / 10e0 AS b04, l_extendedprice / 4e0 + l_quantity AS b08, CAST(l_suppkey % 100 AS DOUBLE) AS cloud
 FROM {lineitem}""",
     "fx_grid": """
 SELECT CAST(FLOOR(p_partkey / 50e0) AS BIGINT) AS row_, p_partkey % 50 AS col_,

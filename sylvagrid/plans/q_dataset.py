@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import MIN_STD
+from ..constants import MIN_STD, PATCH_HALF
 from ..functions import arrays, geo
 from ..functions.cleaning import nodata_to_null, zscore, zscore_filled
 from ..operators import maps, patches, shots
@@ -83,14 +83,14 @@ PATCH_SQL = f"""WITH {WINDOWS_SQL} SELECT w.shot_number, w.year, {SUMS_SQL} FROM
 GROUP BY 1, 2"""
 
 
-def patch_sums(df):
+def patch_sums(df, area=AREA):
     """Sums per channel and a position-weighted sum, so that a transposed patch would show."""
     def total(i):
-        part = F.slice("patch", i * AREA + 1, AREA)
+        part = F.slice("patch", i * area + 1, area)
         return F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
     weighted = F.aggregate(
-        F.zip_with(F.slice("patch", AREA + 1, AREA), F.sequence(F.lit(0), F.lit(AREA - 1)),
+        F.zip_with(F.slice("patch", area + 1, area), F.sequence(F.lit(0), F.lit(area - 1)),
                    lambda v, i: v.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
     return df.select("shot_number", "year", F.size("patch").cast("bigint").alias("n_values"), r(total(0), 4).alias("s1"),
                      r(total(1), 4).alias("s2"), r(total(2), 2).alias("s3"), r(weighted, 4).alias("positional"))
@@ -116,6 +116,19 @@ def pat2b(t):
     return patch_sums(patches.extract_patches_tiled(points(t), pixels(t), BANDS, HALF, tile=16, fill=[7.0, 8.0, 9.0]))
 
 
+FULL = 2 * PATCH_HALF + 1
+
+
+@query("pat2_full_geometry", f"""WITH k AS (SELECT p.shot_number, p.year, p.crow + dr.dr AS rr, p.ccol + dc.dc AS cc, dr.dr, dc.dc FROM fx_points p
+  CROSS JOIN (SELECT UNNEST(RANGE({-PATCH_HALF}, {PATCH_HALF + 1})) AS dr) dr CROSS JOIN (SELECT UNNEST(RANGE({-PATCH_HALF}, {PATCH_HALF + 1})) AS dc) dc),
+w AS (SELECT k.shot_number, k.year, dr, dc, COALESCE(g.band1 + (k.year - 1996), 7e0) AS band1, COALESCE(g.band2, 8e0) AS band2,
+  COALESCE(g.elevation_m, 9e0) AS elevation_m FROM k LEFT JOIN fx_grid g ON g.row_ = k.rr AND g.col_ = k.cc)
+SELECT shot_number, year, {SUMS_SQL.replace("(dr + 2) * 5 + dc + 2", f"(dr + {PATCH_HALF}) * {FULL} + dc + {PATCH_HALF}")} FROM w GROUP BY 1, 2""")
+def pat2_full(t):
+    """Patches of 25 x 25 pixels, as models are trained on."""
+    return patch_sums(patches.extract_patches_tiled(points(t), pixels(t), BANDS, PATCH_HALF, tile=64, fill=[7.0, 8.0, 9.0]), FULL * FULL)
+
+
 @query("flt7_nodata_patch_drop", f"""WITH {WINDOWS_SQL} SELECT p.shot_number, good.shot_number IS NOT NULL AS kept
 FROM fx_points p LEFT JOIN good ON good.shot_number = p.shot_number""")
 def flt7(t):

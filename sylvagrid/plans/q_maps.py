@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import MAP_STRIDE, PATCH_HALF
 from ..functions.text import landcover_name
 from ..operators import maps, metrics, raster
 from .q_raster import HALF
@@ -185,22 +186,41 @@ def jn12(t):
 
 BANDS = ("band1", "band2")
 WEIGHTS = {"band1": 60.0, "band2": -25.0}
-CENTERS = f"""mx AS (SELECT MAX(row_) + 1 AS h, MAX(col_) + 1 AS w FROM fx_grid),
-c AS (SELECT g.* FROM fx_grid g, mx WHERE row_ >= {HALF} AND row_ < h - {HALF} AND (row_ - {HALF}) % 3 = 0 AND col_ >= {HALF}
-  AND col_ < w - {HALF} AND (col_ - {HALF}) % 3 = 0)"""
-
-
-@query("rst8_stride_map", f"""WITH st AS (SELECT AVG(band1) AS m1, STDDEV_POP(band1) AS s1, AVG(band2) AS m2, STDDEV_POP(band2) AS s2
-  FROM fx_grid), z AS (SELECT row_, col_, (band1 - m1) / s1 AS z1, (band2 - m2) / s2 AS z2 FROM fx_grid, st), {CENTERS}
-SELECT CAST((c.row_ - {HALF}) / 3 AS BIGINT) AS row_, CAST((c.col_ - {HALF}) / 3 AS BIGINT) AS col_,
-  CASE WHEN MAX(c.band1) IS NOT NULL THEN ROUND(LEAST(GREATEST(80e0 + 60e0 * COALESCE(SUM(z1), 0e0) / 25e0
-    - 25e0 * COALESCE(SUM(z2), 0e0) / 25e0, 0e0), 500e0), 6) END AS agbd
-FROM c JOIN z ON z.row_ BETWEEN c.row_ - {HALF} AND c.row_ + {HALF} AND z.col_ BETWEEN c.col_ - {HALF} AND c.col_ + {HALF}
-GROUP BY c.row_, c.col_""")
-def rst8(t):
+def centers_sql(half, stride):
+    return f"""mx AS (SELECT MAX(row_) + 1 AS h, MAX(col_) + 1 AS w FROM fx_grid),
+c AS (SELECT g.* FROM fx_grid g, mx WHERE row_ >= {half} AND row_ < h - {half} AND (row_ - {half}) % {stride} = 0 AND col_ >= {half}
+  AND col_ < w - {half} AND (col_ - {half}) % {stride} = 0)"""
+
+
+def map_sql(half, stride):
+    area = f"{float((2 * half + 1) ** 2)!r}e0"
+    return f"""WITH st AS (SELECT AVG(band1) AS m1, STDDEV_POP(band1) AS s1, AVG(band2) AS m2, STDDEV_POP(band2) AS s2
+  FROM fx_grid), z AS (SELECT row_, col_, (band1 - m1) / s1 AS z1, (band2 - m2) / s2 AS z2 FROM fx_grid, st), {centers_sql(half, stride)}
+SELECT CAST((c.row_ - {half}) / {stride} AS BIGINT) AS row_, CAST((c.col_ - {half}) / {stride} AS BIGINT) AS col_,
+  CASE WHEN MAX(c.band1) IS NOT NULL THEN ROUND(LEAST(GREATEST(80e0 + 60e0 * COALESCE(SUM(z1), 0e0) / {area}
+    - 25e0 * COALESCE(SUM(z2), 0e0) / {area}, 0e0), 500e0), 6) END AS agbd
+FROM c JOIN z ON z.row_ BETWEEN c.row_ - {half} AND c.row_ + {half} AND z.col_ BETWEEN c.col_ - {half} AND c.col_ + {half}
+GROUP BY c.row_, c.col_"""
+
+
+CENTERS = centers_sql(HALF, 3)
+
+
+def stride_map(t, half, stride):
     g = t.fx_grid.select("row_", "col_", *BANDS)
     norm = raster.band_stats(g, list(BANDS)).select(F.col("band").alias("channel"), "mean", "std")
-    return rounded(maps.stride_map(g, BANDS, norm, WEIGHTS, 80.0, half=HALF, stride=3), ["agbd"])
+    return rounded(maps.stride_map(g, BANDS, norm, WEIGHTS, 80.0, half=half, stride=stride), ["agbd"])
+
+
+@query("rst8_stride_map", map_sql(HALF, 3))
+def rst8(t):
+    return stride_map(t, HALF, 3)
+
+
+@query("rst8_full_geometry", map_sql(PATCH_HALF, MAP_STRIDE))
+def rst8_full(t):
+    """Windows of 25 x 25 pixels at every tenth pixel, as maps are made."""
+    return stride_map(t, PATCH_HALF, MAP_STRIDE)
 
 
 @query("flt11_center_pixel_mask", f"""WITH {CENTERS} SELECT CAST((row_ - {HALF}) / 3 AS BIGINT) AS row_,

@@ -149,15 +149,21 @@ def rst1(t):
     return rounded(raster.optical_composite(t.fx_sar_obs, ["b04", "b08"], (1996, 1997, 1998)), ["b04", "b08"])
 
 
-AREA, AREA_TILE = ((2, 7), (1, 5)), 4
+@query("rst1_growing_grid", OPTICAL.replace("fx_sar_obs", "fx_scene_obs"))
+def rst1_growing(t):
+    """A grid with as many pixels as there are parts, few observations each."""
+    return rounded(raster.optical_composite(t.fx_scene_obs, ["b04", "b08"], (1996, 1997, 1998)), ["b04", "b08"])
 
 
-@query("rst1_composite_of_area", OPTICAL.replace("GROUP BY", f"AND row_ BETWEEN {AREA[0][0]} AND {AREA[0][1]} AND col_ BETWEEN {AREA[1][0]} AND {AREA[1][1]} GROUP BY"))
+AREA, AREA_TILE = ((2, 30), (1, 20)), 16
+
+
+@query("rst1_composite_of_area", OPTICAL.replace("fx_sar_obs", "fx_scene_obs").replace("GROUP BY", f"AND row_ BETWEEN {AREA[0][0]} AND {AREA[0][1]} AND col_ BETWEEN {AREA[1][0]} AND {AREA[1][1]} GROUP BY"))
 def rst1_area(t):
     """Observations stored by tile; only the folders of tiles that the area touches are read."""
     path = scratch_path(t.spark, "observations")
-    obs = t.fx_sar_obs.withColumns({"tile_row": geo.cell_index("row_", AREA_TILE), "tile_col": geo.cell_index("col_", AREA_TILE)})
-    writers.write_partitioned(obs, path, ["tile_row", "tile_col"])
+    obs = t.fx_scene_obs.withColumns({"tile_row": geo.cell_index("row_", AREA_TILE), "tile_col": geo.cell_index("col_", AREA_TILE)})
+    writers.write_partitioned(obs, path, ["tile_row", "tile_col"], ["row_", "col_"])
     stored = t.spark.read.parquet(path)
     return rounded(raster.optical_composite(stored, ["b04", "b08"], (1996, 1997, 1998), area=AREA, tile=AREA_TILE), ["b04", "b08"])
 
@@ -225,6 +231,12 @@ def rst4(t):
     return out.select("row_", "col_", r("elevation_m"), r("slope_deg", 5).alias("slope_deg"))
 
 
+@query("rst3_growing_grid", f"""SELECT year, row_, col_, ROUND(VV_dB, 6) AS VV_dB, ROUND(VH_dB, 6) AS VH_dB, ROUND(LIA_deg, 6) AS LIA_deg
+FROM ({SAR.replace("fx_sar_obs", "fx_scene_obs")}) q""")
+def rst3_growing(t):
+    return rounded(raster.sar_composite(t.fx_scene_obs), ["VV_dB", "VH_dB", "LIA_deg"])
+
+
 @query("rst5_mosaic", """SELECT row_, col_, CASE WHEN col_ < 30 AND band1 IS NOT NULL THEN band1 WHEN row_ >= 2 AND band2 <> 5
   THEN band2 WHEN col_ < 30 THEN NULL END AS v FROM fx_grid WHERE col_ < 30 OR row_ >= 2""")
 def rst5(t):
