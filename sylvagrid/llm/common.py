@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
-CHUNK = 1 << 20  # bytes of text hashed at once in a task
+CHUNK = 1 << 18  # bytes of text hashed at once in a task: its arrays are about a hundred times as large
 U = np.uint64
 
 
@@ -153,10 +153,27 @@ def trim() -> None:
         C_LIBRARY.malloc_trim(0)
 
 
+def trimmed(f: Callable) -> Callable:
+    """A function of (key, table) or (key, left, right) that hands back what it freed."""
+    if f.__code__.co_argcount == 3:
+        def run(key, left, right):
+            out = f(key, left, right)
+            trim()
+            return out
+    else:
+        def run(key, table):
+            out = f(key, table)
+            trim()
+            return out
+    return run
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``size`` bytes of ``column``, so that a task's Python objects stay few."""
+    """The batches in pieces of about ``size`` bytes of ``column`` (texts, or lists of 8-byte numbers), so that a task's Python objects stay few."""
     for batch in batches:
-        n = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy().astype(np.int64)
+        lists = pa.types.is_list(batch[column].type)
+        n = pa.compute.list_value_length(batch[column]) if lists else pa.compute.binary_length(batch[column])
+        n = pa.compute.fill_null(n, 0).to_numpy().astype(np.int64) * (8 if lists else 1)
         part = np.concatenate([[0], np.cumsum(n)[:-1]]) // size if len(n) else n
         cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):

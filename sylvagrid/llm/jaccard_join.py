@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U, chunks, mix, parts, ranges, slices, small_batches, texts_of, trim, unused, written
+from .common import U, chunks, mix, parts, ranges, slices, small_batches, texts_of, trimmed, unused, written
 from .components import components
 from .suffix_dedup import rolling
 
 SHINGLE = 4
 PERCENT = 85
-CHUNK = 1 << 20  # bytes of text in hand at once: a task's arrays are about forty times as large
-BUCKET_BYTES = 6 << 20  # of text a bucket of signatures or tokens; a task's arrays are about fifteen times as large
+CHUNK = 1 << 18  # bytes of text in hand at once: a task's arrays are about forty times as large
+BUCKET_BYTES = 4 << 20  # of text a bucket of signatures or tokens; a task's arrays are about fifteen times as large
 WIDE = 5  # half widths of a wide segment; a plain one has 2
 I8, U8 = np.int64, np.uint64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -197,10 +197,7 @@ def _shared(key, table):
         count = np.diff(np.concatenate([first, [len(group)]]))
         good = np.repeat((count > 1) & ~np.logical_and.reduceat(part, first), count)
         group, cls = group[good], cls[good]
-    out = pa.table({"sig": pa.array(group.view(I8)), "cls": pa.array(cls)})
-    del sigs, classes, sig, order, part
-    trim()
-    return out
+    return pa.table({"sig": pa.array(group.view(I8)), "cls": pa.array(cls)})
 
 
 def _sets(shingle: int):
@@ -214,7 +211,7 @@ def _sets(shingle: int):
 def _tokens(buckets: int):
     """Tokens of the candidates' sets, dealt by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "tokens"):
             n = np.array([len(t) for t in batch["tokens"]], I8)
             cls = batch["cls"].to_numpy()
             token = batch["tokens"].flatten().to_numpy()
@@ -303,14 +300,14 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = int(max(parts(docs), -(-size // BUCKET_BYTES)))
     index = rows.select("_t").mapInArrow(_index(shingle, percent, buckets), "bucket int, known binary, which binary, sigs binary")
-    members = written(index.groupBy("bucket").applyInArrow(_shared, "sig bigint, cls bigint"))
+    members = written(index.groupBy("bucket").applyInArrow(trimmed(_shared), "sig bigint, cls bigint"))
     # Whole sets of the candidates, from one row of each class.
     reps = members.select("cls").distinct().join(
         summary.groupBy("cls").agg(F.min_by("_k", F.struct("doc_id", "_k")).alias("_k")), "cls")
     texts = rows.select("_k", "_t").join(reps, "_k").dropDuplicates(["_k"])  # dealt by _k already
     sets = written(texts.select("cls", "_t").mapInArrow(_sets(shingle), "cls bigint, tokens array<bigint>"))
     alone = sets.mapInArrow(_tokens(buckets), "bucket int, known binary, which binary, tokens binary").groupBy("bucket").applyInArrow(
-        _alone(buckets), "part int, cls binary, n binary").groupBy("part").applyInArrow(_summed, "cls bigint, u bigint")
+        trimmed(_alone(buckets)), "part int, cls binary, n binary").groupBy("part").applyInArrow(trimmed(_summed), "cls bigint, u bigint")
     stats = sets.select("cls", F.size("tokens").cast("long").alias("n")).join(alone, "cls", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # A class that shares too few tokens with all others has no link.
     stats = stats.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)

@@ -35,7 +35,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, U, mix, parts, ranges, texts_of, written
+from .common import RollingHash, U, mix, parts, ranges, texts_of, trimmed, written
 
 BUCKET_BYTES = 4 << 20
 HOT = 1_000
@@ -340,11 +340,12 @@ def remove_repeats(docs: DataFrame, rule, finish: Callable, added: dict[str, pa.
         return pa.table({**{c: left[c] for c in own}, **{c: pa.array(v, added[c]) for c, v in columns.items()}})
 
     dealt = rows.groupBy("_b")
-    sent = dealt.cogroup(copies.groupBy("b")).applyInArrow(anchors, SENT).groupBy("g").applyInArrow(shared, SENT)
+    sent = dealt.cogroup(copies.groupBy("b")).applyInArrow(trimmed(anchors), SENT).groupBy("g").applyInArrow(trimmed(shared), SENT)
     for in_rows, in_buckets in ((pieces, matched), (shown, compared)):
-        sent = dealt.cogroup(sent.groupBy("g")).applyInArrow(in_rows, SENT).groupBy("g").applyInArrow(in_buckets, SENT)
+        sent = dealt.cogroup(sent.groupBy("g")).applyInArrow(trimmed(in_rows), SENT).groupBy("g").applyInArrow(
+            trimmed(in_buckets), SENT)
     kinds = {pa.int64(): "bigint", pa.string(): "string"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema),
                         *(f"`{x}` {kinds[k]}" for x, k in added.items())])
-    out = dealt.cogroup(sent.groupBy("g")).applyInArrow(apply, schema)
+    out = dealt.cogroup(sent.groupBy("g")).applyInArrow(trimmed(apply), schema)
     return out.select(*[F.col(o).alias(c) for c, o in zip(kept, own, strict=True)], *added)

@@ -208,7 +208,9 @@ class Decoder:
         t = s[keep]
         code = sum(t[i:i + n].astype(np.int32) << 6 * (HEAD - 1 - i) for i in range(HEAD))
         at = np.flatnonzero(self.heads[code] & first[keep[:n]])
-        hit, prefix = np.zeros(len(at), bool), rolling().prefix(t) if len(at) else None
+        if not len(at):
+            return at
+        hit, prefix = np.zeros(len(at), bool), rolling().prefix(t)
         for size, known in self.hashes.items():
             end = at + size
             may = np.flatnonzero((end <= len(keep)) & (keep[np.minimum(end, len(keep)) - 1] - keep[at] >= size))  # not as it stands

@@ -11,12 +11,13 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from sylvagrid.llm import (components, decontam, jaccard_join, line_clean, packing, queries, sharding, substring_dedup,
+from sylvagrid.llm import (common, components, decontam, jaccard_join, line_clean, packing, queries, sharding, substring_dedup,
                            suffix_dedup, toxicity, url_rules, warc)
 
 SMALL = "/root/testdata/sf0.001"
@@ -700,3 +701,25 @@ def test_every_operator_is_registered():
 def test_signatures_are_packed():
     sig = np.array([0, 1, 2**48 - 1, 2**63 + 5], np.uint64)
     assert (jaccard_join.unpacked(jaccard_join.packed(sig)) == sig & np.uint64(2**48 - 1)).all()
+
+
+# Memory of the pipeline's stages
+
+def test_lists_are_cut_into_slices_as_well():
+    rows = pa.record_batch({"cls": pa.array(range(40)), "tokens": pa.array([list(range(i * 100)) for i in range(39)] + [None], pa.list_(pa.int64()))})
+    got = list(common.slices([rows], "tokens", 20_000))
+    assert pa.Table.from_batches(got).to_pylist() == rows.to_pylist()
+    assert len(got) > 20 and max(8 * len(b["tokens"].flatten()) for b in got) <= 20_000 + 8 * 3_800
+
+
+def test_what_a_group_freed_is_handed_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    assert common.trimmed(lambda key, table: (key, table))(1, 2) == (1, 2)
+    assert common.trimmed(lambda key, left, right: (key, left, right))(1, 2, 3) == (1, 2, 3)
+    assert len(calls) == 2
+
+
+def test_a_slice_without_places_to_read():
+    decoder = toxicity.Decoder(np.zeros((27, 27, 27)), frozenset([toxicity.target(b"stupid")]))
+    assert not len(decoder.places("all good words here\nand nothing else")) and not len(decoder.places(""))
