@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import run_name
 from ..operators import metrics, scenes
+from ..operators.sizing import looked_up
 from ..session import scratch_path
 from ..sources import readers, writers
 from .registry import query, r, rounded
@@ -196,7 +197,7 @@ def srt2(t):
   ON l.patch_id = p.patch_id GROUP BY 1, 2""")
 def jn13(t):
     ids = t.orders.select(F.col("o_orderkey").alias("patch_id"), F.lit(1).alias("_hit"))
-    j = t.fx_predictions.join(ids, "patch_id", "left")
+    j = looked_up(t.fx_predictions, ids, "patch_id")
     return j.groupBy("variant", "seed").agg(F.count(F.lit(1)).alias("n"),
                                             F.count_if(F.col("_hit").isNull()).alias("unmatched"))
 

@@ -689,3 +689,14 @@ def test_point_to_raster_broadcasts_no_grid(spark):
     from sylvagrid.plans import checks
     plan = joins_of(checks.QUERIES["jn5_point_to_raster"](spark, "/root/testdata/sf0.001"))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "explode" not in plan
+
+
+def test_looked_up_keeps_all_rows_in_any_number_of_parts(spark):
+    from sylvagrid.operators.sizing import looked_up
+    df = spark.createDataFrame([(i % 50 if i % 3 else None, i) for i in range(300)], "k bigint, v bigint")
+    side = spark.createDataFrame([(k, f"s{k}") for k in range(40)], "k bigint, s string")
+    want = sorted((i, f"s{i % 50}" if i % 3 and i % 50 < 40 else None) for i in range(300))
+    for rows in (1, 4, 1000):
+        out = looked_up(df, side, "k", rows)
+        assert sorted((r.v, r.s) for r in out.collect()) == want
+    assert looked_up(df, side, "k", 1).rdd.getNumPartitions() == 40
