@@ -16,6 +16,7 @@ from ..constants import (HUBER_DELTA, LABEL_BINS, LANDCOVER_STRATA, PRODUCT_BINS
 from ..functions.cleaning import clip
 from ..functions.sensors import huber
 from ..functions.text import lookup, plus_minus
+from .sizing import looked_up
 
 MEASURES = ("rmse", "mae", "r2", "bias", "rel_rmse_pct")
 
@@ -165,11 +166,11 @@ def by_label_bin(preds: DataFrame, edges: Sequence[int] = LABEL_BINS) -> DataFra
 def with_landcover(preds: DataFrame, landcover: DataFrame) -> DataFrame:
     """Left join on the patch; the reported class is NULL for a patch without one.
 
-    No hint: the land cover table grows with the patches, so its measured size decides.
+    The land cover table grows with the patches, so it is never broadcast.
     """
     named = landcover.select("patch_id", lookup(F.col("lc_class").cast("int"), REPORTED_LANDCOVER,
                                                 "other").alias("landcover"))
-    return preds.join(named, "patch_id", "left")
+    return looked_up(preds, named, "patch_id")
 
 
 def by_landcover(preds: DataFrame, landcover: DataFrame) -> DataFrame:

@@ -691,6 +691,13 @@ def test_point_to_raster_broadcasts_no_grid(spark):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "explode" not in plan
 
 
+@pytest.mark.parametrize("name", ["jn13_positional_by_id", "jn1_predictions_landcover"])
+def test_predictions_are_streamed_past_the_hashed_side(spark, name):
+    from sylvagrid.plans import checks
+    plan = joins_of(checks.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_looked_up_keeps_all_rows_in_any_number_of_parts(spark):
     from sylvagrid.operators.sizing import looked_up
     df = spark.createDataFrame([(i % 50 if i % 3 else None, i) for i in range(300)], "k bigint, v bigint")
