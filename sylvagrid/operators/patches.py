@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from .raster import TILE, focal_sums, halo_tiles
 from .shots import label_cap, thin_per_cell, year_filter
 from .sizing import checked_broadcast
 
+SUMMARY_ROWS = 512  # patches in hand at once when only their summary is kept
+
 
 def extraction_table(shots: DataFrame, years=VALID_YEARS, cap: float = LABEL_CAP,
                      cell: float = CELL_M, seed: int = 42,
@@ -160,12 +162,17 @@ def extract_patches(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
 
 
 def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[str],
-                          half: int = PATCH_HALF, tile: int = 64, fill: Sequence[float] | None = None) -> DataFrame:
+                          half: int = PATCH_HALF, tile: int = 64, fill: Sequence[float] | None = None,
+                          summary: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, summary_schema: str = "") -> DataFrame:
     """The same patches by halo tiles: every pixel travels about once instead of once per window.
 
     A task holds one tile: (tile + 2 * half)**2 pixels and at most tile**2 distinct
     centers, whatever the number of points. With ``fill`` missing pixels take the given
     value per band; without it incomplete windows are dropped.
+
+    ``summary`` takes patches, ``SUMMARY_ROWS`` at most, as (patch, band, pixel) and gives the
+    columns of ``summary_schema``, a value per patch. They come back in place of the patch, so
+    that no patch leaves its task.
     """
     bands = list(bands)
     side = 2 * half + 1
@@ -176,8 +183,9 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
     px = halo_tiles(pixels.select("year", "row_", "col_", *bands), tile, half)
     fills = None if fill is None else np.asarray(fill, dtype="float32")
 
+    added = T.StructType([T.StructField("patch", T.ArrayType(T.FloatType()))]) if summary is None else T._parse_datatype_string(summary_schema)
     empty = pd.DataFrame({c: pd.Series([], dtype=object if c == "patch" else "int64")
-                          for c in ("year", "crow", "ccol", "patch")})
+                          for c in ("year", "crow", "ccol", *added.names)})
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -196,6 +204,14 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
         windows = np.lib.stride_tricks.sliding_window_view(block, (side, side), axis=(1, 2))
         r = left["crow"].to_numpy() - r0 - half
         c = left["ccol"].to_numpy() - c0 - half
+        if summary is not None:
+            parts = []
+            for i in range(0, len(left), SUMMARY_ROWS):
+                w = windows[:, r[i:i + SUMMARY_ROWS], c[i:i + SUMMARY_ROWS]].transpose(1, 0, 2, 3).reshape(-1, len(bands), side * side)
+                whole = ~np.isnan(w).any(axis=(1, 2))
+                part = left.iloc[i:i + SUMMARY_ROWS].loc[whole, ["year", "crow", "ccol"]].reset_index(drop=True)
+                parts.append(part.assign(**summary(w[whole])))
+            return pd.concat(parts, ignore_index=True)
         cut_out = windows[:, r, c].transpose(1, 0, 2, 3).reshape(len(left), -1)
         keep = ~np.isnan(cut_out).any(axis=1) if fills is None else np.ones(len(left), dtype=bool)
         res = left.loc[keep, ["year", "crow", "ccol"]].reset_index(drop=True)
@@ -204,8 +220,7 @@ def extract_patches_tiled(points: DataFrame, pixels: DataFrame, bands: Sequence[
 
     keys = ["year", "tile_row", "tile_col"]
     cut_schema = T.StructType([T.StructField("year", T.IntegerType()), T.StructField("crow", T.LongType()),
-                               T.StructField("ccol", T.LongType()),
-                               T.StructField("patch", T.ArrayType(T.FloatType()))])
+                               T.StructField("ccol", T.LongType()), *added.fields])
     centers = centers.withColumn("year", F.col("year").cast("int"))
     px = px.withColumn("year", F.col("year").cast("int"))
     # Tiles without a center are dropped before the pixels travel. The tile list has at

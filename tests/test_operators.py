@@ -707,3 +707,14 @@ def test_looked_up_keeps_all_rows_in_any_number_of_parts(spark):
         out = looked_up(df, side, "k", rows)
         assert sorted((r.v, r.s) for r in out.collect()) == want
     assert looked_up(df, side, "k", 1).rdd.getNumPartitions() == 40
+
+
+@pytest.mark.parametrize("fill", [None, [7.0, 8.0, 9.0]])
+def test_summaries_of_tiles_equal_those_of_their_patches(spark, fill):
+    from sylvagrid.plans import fixtures, q_dataset
+    t = fixtures.Tables(spark, "/root/testdata/sf0.01")
+    args = (q_dataset.points(t), q_dataset.pixels(t), q_dataset.BANDS, 2, 4, fill)
+    want = q_dataset.patch_sums(patches.extract_patches_tiled(*args))
+    got = q_dataset.tiled_sums(t, 2, 4, fill)
+    assert got.schema == want.schema or [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert got.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
