@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark removes the shuffle files of finished steps only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_ROWS = "500"
 
 

@@ -20,15 +20,16 @@ shingle; null and empty texts have none and link with nothing. Repeated rows sha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U, chunks, mix, parts, ranges, slices, small_batches, texts_of, trimmed, unused, written
+from .common import U, chunks, let_go, mix, parts, ranges, slices, small_batches, texts_of, trimmed, unused, written
 from .components import components
 from .suffix_dedup import rolling
 
@@ -36,6 +37,10 @@ SHINGLE = 4
 PERCENT = 85
 CHUNK = 1 << 18  # bytes of text in hand at once: a task's arrays are about forty times as large
 BUCKET_BYTES = 4 << 20  # of text a bucket of signatures or tokens; a task's arrays are about fifteen times as large
+FAN = 512  # lots into which a task cuts the entries in hand
+HELD = 1 << 19  # entries in hand, about: a thousand for each lot
+SEEN = 100_000  # classes a task remembers, so as to deal copies once
+LOW = np.uint64(2**48 - 1)
 WIDE = 5  # half widths of a wide segment; a plain one has 2
 I8, U8 = np.int64, np.uint64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -154,39 +159,114 @@ def _summary(shingle: int):
     return run
 
 
-def _index(shingle: int, percent: int, buckets: int):
+PACKED = "lot int, known binary, counts binary, held binary"
+
+
+def dealt(to: np.ndarray, cls: np.ndarray, value: np.ndarray, lots: int) -> pa.Table:
+    """Entries (cls, value) packed by lot, one row each: the classes in turn, how many values each has, the values."""
+    order = np.argsort(to.astype(np.uint16 if lots <= 65536 else I8), kind="stable")
+    to, cls, value = to[order], cls[order], value[order]
+    edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
+    rows = []
+    for i, j in zip(edge, [*edge[1:], len(to)], strict=True):
+        c = cls[i:j]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        counts = np.diff(np.concatenate([first, [j - i]]))
+        rows.append((int(to[i]), c[first].tobytes(), counts.astype(np.uint32).tobytes(), packed(value[i:j])))
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.table(dict(zip(("lot", "known", "counts", "held"), (
+        pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)), strict=True)))
+
+
+def entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(cls, value) of packed rows."""
+    known, counts, held = (b"".join(table[c].to_pylist()) for c in ("known", "counts", "held"))
+    return np.repeat(np.frombuffer(known, I8), np.frombuffer(counts, np.uint32)), unpacked(held)
+
+
+class Deal:
+    """Entries of equal key meet in one of ``buckets`` groups, of which none is large.
+
+    Whoever deals cuts what it holds into at most ``fan`` lots, a row each. More buckets than that
+    take another level: groups of about a bucket's size, some of a lot, are cut again. So the rows of
+    each level grow with the entries, not with the entries times the buckets.
+    """
+
+    def __init__(self, buckets: int, by_class: bool = False, fan: int = FAN, held: int = HELD) -> None:
+        self.fan, self.by_class, self.held = fan, by_class, held
+        self.levels = 1
+        while fan**self.levels < buckets:
+            self.levels += 1
+        self.buckets = buckets
+
+    def place(self, cls: np.ndarray, value: np.ndarray) -> np.ndarray:
+        key = mix(cls.view(U8)) if self.by_class else mix(value >> U(1))
+        return (key % U(self.buckets)).astype(I8)
+
+    def first(self, cls: np.ndarray, value: np.ndarray) -> pa.Table:
+        return dealt(self.place(cls, value) % self.fan, cls, value, self.fan)
+
+    def held_back(self, pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Pieces of entries, dealt as soon as many are in hand."""
+        cls, value, n = [], [], 0
+        for c, v in pieces:
+            cls.append(c)
+            value.append(v)
+            n += len(v)
+            if n >= self.held:
+                yield from self.first(np.concatenate(cls), np.concatenate(value)).to_batches()
+                cls, value, n = [], [], 0
+        if n:
+            yield from self.first(np.concatenate(cls), np.concatenate(value)).to_batches()
+
+    def met(self, rows: DataFrame) -> DataFrame:
+        """The first level's rows, dealt on until a lot is a bucket."""
+        for level in range(1, self.levels):
+            lots = min(self.buckets, self.fan**level)
+            pieces = -(-self.buckets // lots)
+            rows = rows.withColumn("_p", F.pmod(F.xxhash64("known", "counts"), F.lit(pieces))).groupBy("lot", "_p").applyInArrow(
+                trimmed(self.again(level)), PACKED)
+        return rows
+
+    def again(self, level: int) -> Callable:
+        def run(key, table):
+            cls, value = entries(table)
+            low = self.fan**level
+            lot, digit = key[0].as_py(), self.place(cls, value) // low % self.fan
+            out = dealt(digit, cls, value, self.fan)
+            return out.set_column(0, "lot", pa.array(out["lot"].to_numpy().astype(I8) * low + lot, pa.int32()))
+        return run
+
+
+def _index(shingle: int, percent: int, deal: Deal):
     bands = Bands(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen: set[int] = set()
         for batch in slices(batches, "_t", CHUNK):
             for _, group in chunks(texts_of(batch["_t"]), CHUNK):
-                sets = [s for s in shingle_sets(group, shingle) if len(s)]
-                known, first = np.unique(np.array([class_of(s) for s in sets], I8), return_index=True)
-                sig, which = signatures([sets[i] for i in first], bands)
-                to = ((sig >> U(1)) % U(buckets)).astype(I8)
-                order = np.lexsort((sig, to))
-                edge = np.searchsorted(to[order], np.arange(buckets + 1))
-                rows = []
-                for b in range(buckets):
-                    if len(i := order[edge[b]:edge[b + 1]]):
-                        used, place = np.unique(which[i], return_inverse=True)
-                        kind = np.uint16 if len(used) < 65536 else np.uint32
-                        rows.append((b, known[used].tobytes(), place.astype(kind).tobytes(), packed(sig[i])))
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(
-                        ("bucket", "known", "which", "sigs"),
-                        (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)), strict=True)))
+                fresh = {c: s for s in shingle_sets(group, shingle) if len(s) and (c := class_of(s)) not in seen}
+                seen.update(fresh)
+                sig, which = signatures(list(fresh.values()), bands)
+                order = np.argsort(which, kind="stable")
+                yield np.array(list(fresh), I8)[which[order]], sig[order] & LOW
+                if len(seen) > SEEN:
+                    seen.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from deal.held_back(pieces(batches))
     return run
 
 
 def _shared(key, table):
     """Members (sig, cls) of the signatures that two or more classes share, one of them whole."""
-    sigs, classes = [np.zeros(0, U8)], [np.zeros(0, I8)]
-    for known, which, sig in zip(*(table[c].to_pylist() for c in ("known", "which", "sigs")), strict=True):
-        sigs.append(unpacked(sig))
-        kind = np.uint16 if len(which) == 2 * len(sigs[-1]) else np.uint32
-        classes.append(np.frombuffer(known, I8)[np.frombuffer(which, kind)])
-    sig, cls = np.concatenate(sigs), np.concatenate(classes)
+    cls, sig = entries(table)
+    order = np.argsort(sig)
+    sig = sig[order]
+    group = sig >> U(1)
+    same = np.concatenate([[False], group[1:] == group[:-1], [False]])
+    some = np.flatnonzero(same[1:] | same[:-1])  # rows that aren't alone
+    sig, cls = sig[some], cls[order[some]]
     group = sig >> U(1)
     order = np.lexsort((sig, cls, group))
     group, cls, part = group[order], cls[order], (sig[order] & U(1)) == 1
@@ -208,59 +288,31 @@ def _sets(shingle: int):
     return run
 
 
-def _tokens(buckets: int):
-    """Tokens of the candidates' sets, dealt by hash."""
+def _tokens(deal: Deal):
+    """Tokens of the candidates' sets, dealt by hash; chance equals of 48 bits only leave fewer alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "tokens"):
-            n = np.array([len(t) for t in batch["tokens"]], I8)
-            cls = batch["cls"].to_numpy()
-            token = batch["tokens"].flatten().to_numpy()
-            which = np.repeat(np.arange(len(n)), n)
-            to = (mix(token.view(U8)) % U(buckets)).astype(I8)
-            order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                if len(i := order[edge[b]:edge[b + 1]]):
-                    used, place = np.unique(which[i], return_inverse=True)
-                    rows.append((b, cls[used].tobytes(), place.astype(np.uint32).tobytes(), token[i].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(
-                    ("bucket", "known", "which", "tokens"),
-                    (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)), strict=True)))
+        yield from deal.held_back(
+            (np.repeat(b["cls"].to_numpy(), pa.compute.list_value_length(b["tokens"]).to_numpy()), b["tokens"].flatten().to_numpy().view(U8) & LOW)
+            for b in slices(batches, "tokens"))
     return run
 
 
-def _alone(buckets: int):
-    """How many tokens of each class no other candidate has, in one bucket; packed by class."""
+def _alone(deal: Deal):
+    """How many tokens of each class no other candidate has, in one bucket; dealt by class."""
     def run(key, table):
-        known, n = _lone_tokens(table)
-        to = (mix(known.view(U8)) % U(buckets)).astype(I8)
-        order = np.argsort(to, kind="stable")
-        edge = np.searchsorted(to[order], np.arange(buckets + 1))
-        held = [(b, known[i].tobytes(), n[i].tobytes()) for b in range(buckets) if len(i := order[edge[b]:edge[b + 1]])]
-        return pa.table(dict(zip(("part", "cls", "n"), (pa.array(c, k) for c, k in zip(
-            zip(*held, strict=True) if held else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+        cls, token = entries(table)
+        order = np.argsort(token)
+        t = token[order]
+        same = np.concatenate([[False], t[1:] == t[:-1], [False]])
+        known, n = np.unique(cls[order[~(same[1:] | same[:-1])]], return_counts=True)
+        return deal.first(known, n.astype(U8))
     return run
 
 
 def _summed(key, table):
-    cls, n = (np.frombuffer(b"".join(table[c].to_pylist()), I8) for c in ("cls", "n"))
+    cls, n = entries(table)
     known, place = np.unique(cls, return_inverse=True)
-    return pa.table({"cls": pa.array(known), "u": pa.array(np.bincount(place, n).astype(I8))})
-
-
-def _lone_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    token = np.frombuffer(b"".join(table["tokens"].to_pylist()), I8)
-    cls = np.concatenate([np.frombuffer(k, I8)[np.frombuffer(w, np.uint32)] for k, w in
-                          zip(table["known"].to_pylist(), table["which"].to_pylist(), strict=True)] or [np.zeros(0, I8)])
-    order = np.argsort(token, kind="stable")
-    t, c = token[order], cls[order]
-    one = np.ones(len(t), bool)
-    same = t[1:] == t[:-1]
-    one[1:] &= ~same
-    one[:-1] &= ~same
-    return np.unique(c[one], return_counts=True)
+    return pa.table({"cls": pa.array(known), "u": pa.array(np.bincount(place, n.astype(I8), len(known)).astype(I8))})
 
 
 def _may_link(percent: int):
@@ -291,27 +343,32 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return side("a").join(side("b"), "t").where(fits).select("a", "b").distinct()
 
 
-def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES,
+                 fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """(summary, links): ``summary`` has (doc_id, _k, n_shingles, cls) for every row, ``links`` has the
     verified pairs (a, b) of classes that connect all that is connected."""
     spark = docs.sparkSession
     rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_t")).withColumn("_k", F.xxhash64("doc_id", "_t"))
     summary = materialize(rows.mapInArrow(_summary(shingle), "doc_id bigint, _k bigint, n_shingles bigint, cls bigint"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = int(max(parts(docs), -(-size // BUCKET_BYTES)))
-    index = rows.select("_t").mapInArrow(_index(shingle, percent, buckets), "bucket int, known binary, which binary, sigs binary")
-    members = written(index.groupBy("bucket").applyInArrow(trimmed(_shared), "sig bigint, cls bigint"))
+    buckets = int(max(parts(docs), -(-size // bucket_bytes)))
+    deal, sums = Deal(buckets, fan=fan), Deal(buckets, True, fan)
+    index = rows.select("_t").mapInArrow(_index(shingle, percent, deal), PACKED)
+    members = written(deal.met(index).groupBy("lot").applyInArrow(trimmed(_shared), "sig bigint, cls bigint"))
+    let_go(spark)
     # Whole sets of the candidates, from one row of each class.
     reps = members.select("cls").distinct().join(
         summary.groupBy("cls").agg(F.min_by("_k", F.struct("doc_id", "_k")).alias("_k")), "cls")
     texts = rows.select("_k", "_t").join(reps, "_k").dropDuplicates(["_k"])  # dealt by _k already
     sets = written(texts.select("cls", "_t").mapInArrow(_sets(shingle), "cls bigint, tokens array<bigint>"))
-    alone = sets.mapInArrow(_tokens(buckets), "bucket int, known binary, which binary, tokens binary").groupBy("bucket").applyInArrow(
-        trimmed(_alone(buckets)), "part int, cls binary, n binary").groupBy("part").applyInArrow(trimmed(_summed), "cls bigint, u bigint")
+    let_go(spark)
+    alone = deal.met(sets.mapInArrow(_tokens(deal), PACKED)).groupBy("lot").applyInArrow(trimmed(_alone(sums)), PACKED)
+    alone = sums.met(alone).groupBy("lot").applyInArrow(trimmed(_summed), "cls bigint, u bigint")
     stats = sets.select("cls", F.size("tokens").cast("long").alias("n")).join(alone, "cls", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # A class that shares too few tokens with all others has no link.
     stats = stats.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
     members = written(members.join(stats, "cls"))
+    let_go(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
@@ -327,17 +384,20 @@ def link_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         F.col("p.cls").alias("b"), F.col("p.n").alias("nb"), F.col("p.u").alias("ub"))
     best = near.where(_may_link(percent)).groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     links = materialize(verified(best))
+    let_go(spark)
     labels = components(links)
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     # Signatures whose members the links have not joined.
     apart = placed.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("sig")
     apart = placed.join(apart, "sig").groupBy("cls").agg(F.min("n").alias("n"), F.min("label").alias("label"))
     more = verified(_rare_pairs(sets.join(written(apart), "cls"), percent))
-    return summary, materialize(links.unionByName(more))
+    links = materialize(links.unionByName(more))
+    let_go(spark)
+    return summary, links
 
 
-def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    summary, links = link_classes(docs, shingle, percent)
+def _placed(docs: DataFrame, shingle: int, percent: int, **dealing: int) -> DataFrame:
+    summary, links = link_classes(docs, shingle, percent, **dealing)
     labels = components(links)
     classes = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_d"))
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -347,9 +407,9 @@ def _placed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return summary.join(of, "cls", "left").select("doc_id", "_k", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **dealing: int) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id it reaches by links) of every row."""
-    return _placed(docs, shingle, percent).drop("_k")
+    return _placed(docs, shingle, percent, **dealing).drop("_k")
 
 
 def keep_firsts(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -625,6 +625,50 @@ def test_jaccard_join(spark, seed, percent):
     assert collected(jaccard_join.join_components(frame(spark, rows), 4, percent)) == brute_components(rows, 4, percent)
 
 
+def test_jaccard_join_over_levels_of_buckets(spark):
+    """Buckets of a few bytes, and three lots at a time: the entries are dealt over several levels."""
+    rows = near_copies(4)
+    got = jaccard_join.join_components(frame(spark, rows), 4, 85, bucket_bytes=4000, fan=5)
+    assert collected(got) == brute_components(rows, 4, 85)
+
+
+def test_dealt_rows_grow_with_the_entries():
+    """Five times the entries over five times the buckets: five times the rows, at every level."""
+    rng = np.random.default_rng(6)
+    made = {}
+    for n in (40_000, 200_000):
+        cls, value = np.repeat(np.arange(n // 20), 20), rng.integers(0, 2**48, n, dtype=np.uint64)
+        deal = jaccard_join.Deal(n // 200, fan=16, held=1000)
+        rows = pa.Table.from_batches(deal.held_back((cls[i:i + 100], value[i:i + 100]) for i in range(0, n, 100)))
+        made[n] = [rows.num_rows]
+        for level in range(1, deal.levels):
+            groups = [(lot, rows.filter(pa.compute.equal(rows["lot"], lot)).slice(p, 16)) for lot in pa.compute.unique(rows["lot"])
+                      for p in range(0, pa.compute.sum(pa.compute.equal(rows["lot"], lot)).as_py(), 16)]
+            rows = pa.concat_tables([deal.again(level)((lot,), g) for lot, g in groups])
+            made[n].append(rows.num_rows)
+        c, v = jaccard_join.entries(rows)
+        assert sorted(zip(c.tolist(), v.tolist())) == sorted(zip(cls.tolist(), value.tolist()))
+        for lot, group in ((r["lot"], pa.Table.from_pylist([r])) for r in rows.to_pylist()):
+            assert (deal.place(*jaccard_join.entries(group)) == lot).all()
+        assert all(m <= 17 * n // 1000 or m <= 16 * len(groups) for m in made[n])
+    assert made[200_000][0] <= 5.5 * made[40_000][0]
+
+
+def test_shuffles_of_finished_steps_go(spark, tmp_path):
+    """Nothing that the join's own steps shuffled is left when it returns but what the result still needs."""
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    common.let_go(spark)
+    time.sleep(1)
+    before = held()
+    docs = spark.createDataFrame(near_copies(5), "doc_id bigint, text string")
+    summary, links = jaccard_join.link_classes(docs)
+    for _ in range(40):
+        if held() <= before:
+            break
+        time.sleep(0.25)
+    assert held() <= before
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
     bands = jaccard_join.Bands(85)
