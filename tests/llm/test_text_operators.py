@@ -441,6 +441,65 @@ def test_mined_rules_by_brute_force(spark):
     assert {r.verdict for r in got} == {"block", "allow"}
 
 
+def decided_by_all_rules(urls, label, pages, tokens, least, confidence, lift):
+    """Verdict of each page by every token combination it has, listed one by one."""
+    share = {v: label.count(v) / len(urls) for v in ("block", "allow")}
+    having = collections.defaultdict(int)  # labelled urls with a token, as bits
+    for i, u in enumerate(urls):
+        for t in tokens[u]:
+            having[t] |= 1 << i
+    said = {v: sum(1 << i for i, x in enumerate(label) if x == v) for v in share}
+    out = {}
+    for u in pages:
+        best, level = (0, 0, 0, "allow"), [(-1, (1 << len(urls)) - 1, 0)]
+        order = sorted(tokens[u])
+        while level:
+            at, cover, size = level.pop()
+            for j in range(at + 1, len(order)):
+                c = cover & having[order[j]]
+                if not any((c & x).bit_count() >= least for x in said.values()):
+                    continue
+                level.append((j, c, size + 1))
+                for v, x in said.items():
+                    hits = (c & x).bit_count()
+                    if hits >= least and hits / c.bit_count() >= confidence and hits / c.bit_count() / share[v] >= lift:
+                        best = max(best, (hits / c.bit_count(), hits / len(urls), size + 1, v))
+        out[u] = best[3]
+    return out
+
+
+@pytest.mark.parametrize("url_tokens", [0, 9])
+def test_rules_of_long_urls_by_brute_force(spark, url_tokens):
+    """Rules that need rare tokens of labelled urls with many, tokens that always come together, and ties."""
+    rng = random.Random(11)
+    words = [f"w{i:02d}" for i in range(9)]
+    urls, label = [], []
+    for n in range(60):
+        has = [w for w in words if rng.random() < (0.9 if n % 4 else 0.3)] + [f"t{k}" for k in range(6) if rng.random() < 0.25]
+        has += ["left", "right"] if rng.random() < 0.2 else []
+        urls.append(f"http://h.org/{'/'.join(has)}/{n}")
+        label.append("block" if "t0" in has or {"t1", "w03"} <= set(has) or rng.random() < 0.2 else "allow")
+    labelled = spark.createDataFrame(list(zip(urls, label)), "url string, label string")
+    others = ["http://h.org/" + "/".join(rng.sample(words + ["t0", "t1", "t2", "t3", "left", "right"], rng.randint(1, 9))) for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls + others)), "page_id bigint, url string")
+    tokens = {r.url: frozenset(r.t) for r in pages.select("url", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
+    assert max(len(tokens[u]) for u in urls) > 12
+    want = decided_by_all_rules(urls, label, set(tokens), tokens, 5, 0.5, 1.05)
+    got = url_rules.filter_urls(pages, labelled, (), min_confidence=0.5, min_lift=1.05, url_tokens=url_tokens).collect()
+    assert len(got) == 120 and set(want.values()) == {"block", "allow"}
+    assert {r.url: r.verdict for r in got} == want
+
+
+def test_rule_of_a_rare_token_of_long_urls(spark):
+    """What tells the labels apart is the rarest of more token classes than FP-growth is given."""
+    words = [f"w{i:02d}" for i in range(16)]
+    urls = [("http://h.org/" + "/".join(w for i, w in enumerate(words) if i != n % 16) + ("/bad" if n < 8 else ""), "block" if n < 8 else "allow") for n in range(64)]
+    labelled = spark.createDataFrame(urls, "url string, label string")
+    pages = spark.createDataFrame([(1, urls[0][0]), (2, urls[63][0]), (3, "http://new.net/bad")], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, labelled, ()).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_long_labelled_urls_do_not_enumerate_their_subsets(spark):
     """Six copies of a URL of 60 path words, and urls that share random parts of it."""
     rng = random.Random(7)
